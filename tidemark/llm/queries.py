@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.decontam import op10_decontamination
+from tidemark.llm.packing import op8_packing
 from tidemark.llm.simhash import op6_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_simhash": op6_simhash,
+        "op8_packing": op8_packing,
+        "op10_decontamination": op10_decontamination,
     }
 
 

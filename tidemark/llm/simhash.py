@@ -117,7 +117,7 @@ def forest(left: np.ndarray, right: np.ndarray, limit: int = LIMIT) -> list[tupl
     return out
 
 
-def _block_links(key, both: pa.Table) -> pa.Table:
+def _block_links(both):
     side, fp = both.column("side").to_numpy(), both.column("fp").to_numpy()
     found = forest(fp[side == 0], fp[side == 1])
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
