@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.decontam import op10_decontamination
+from tidemark.llm.lattice import op9_lattice_lm
 from tidemark.llm.packing import op8_packing
 from tidemark.llm.simhash import op6_simhash
 
@@ -15,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_simhash": op6_simhash,
         "op8_packing": op8_packing,
+        "op9_lattice_lm": op9_lattice_lm,
         "op10_decontamination": op10_decontamination,
     }
 
