@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import arrow_map, connected_components, narrow, table
 from tidemark.session import ship, written
@@ -53,16 +54,20 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
-def _fingerprints(batches):
-    for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text"))
-        values = np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*[c for c, n in zip(batch.columns, batch.schema.names) if n != "text"], pa.array(values)], [*[n for n in batch.schema.names if n != "text"], "fp"])
+def _fingerprints(text_col: str, keep: bool):
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            values = np.array([fingerprint(t.as_py()) for t in texts], np.uint64).view(np.int64)
+            kept = [n for n in batch.schema.names if keep or n != text_col]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)) for n in kept], pa.array(values)], [*kept, "_fp"])
+
+    return run
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) for each row; null text counts as empty."""
-    return arrow_map(narrow(docs, "doc_id", "text"), _fingerprints, "doc_id bigint, fp bigint")
+    return arrow_map(narrow(docs, "doc_id", "text"), _fingerprints("text", False), "doc_id bigint, _fp bigint").withColumnRenamed("_fp", "fp")
 
 
 def counts_of(fp: Column) -> Column:
@@ -156,6 +161,15 @@ def links(distinct: DataFrame, groups: int | None = None) -> DataFrame:
     return near.union(dealt.groupBy("grid", "cell", "lo", "hi").applyInArrow(_block_links, "a bigint, b bigint"))
 
 
+def classes(fps: DataFrame) -> DataFrame:
+    """(fp, component, least) for each fingerprint of (doc_id, fp): a name of its component and the least doc_id there."""
+    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fp")
+    linked = connected_components(links(least.select("fp"))).withColumnRenamed("node", "fp").join(least, "fp")
+    named = linked.groupBy("component").agg(F.min("rep").alias("least"))
+    joined = linked.join(named, "component").select("fp", "component", "least")
+    return joined.union(least.join(joined, "fp", "left_anti").select("fp", F.col("fp").alias("component"), "rep"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): the smallest doc_id reachable over links, itself included.
 
@@ -164,12 +178,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one unless all ids are null; an empty table gives an empty result.
     """
     fps = written(fingerprints(docs), "fingerprints")
-    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct-fp")
-    found = connected_components(links(least.select("fp")))
-    linked = found.withColumnRenamed("node", "fp").join(least, "fp")
-    named = linked.groupBy("component").agg(F.min("rep").alias("least"))
-    by_fp = linked.join(named, "component").select("fp", "least")
-    return fps.join(by_fp.union(least.join(by_fp.select("fp"), "fp", "left_anti").select("fp", "rep")), "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
+    return fps.join(classes(fps), "fp").select("doc_id", "fp", F.col("least").alias("component_id"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,6 +187,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row of each component: the one whose doc_id names it. All columns stay."""
-    found = near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component: one with the doc_id that names it. All columns stay.
+
+    A component without any id keeps one of its rows; of repeated ids one row stays.
+    """
+    fps = written(fingerprints(docs), "fingerprints")
+    found = written(classes(fps), "classes")
+    named = fps.join(found, "fp").where("doc_id = least").select("doc_id").distinct()
+    out = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    nameless = found.where("least is null").select(F.col("fp").alias("_fp"), F.col("component").alias("_component"))
+    if nameless.isEmpty():
+        return out
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+    rows = arrow_map(docs.where("doc_id is null"), _fingerprints("text", True), schema)
+    return out.union(rows.join(nameless, "_fp").dropDuplicates(["_component"]).select(*docs.columns))
