@@ -24,30 +24,40 @@ def cosine(a, b) -> Column:
 
 
 def unit(a) -> Column:
-    norm = F.sqrt(dot(a, a))
-    return F.transform(c(a), lambda x: F.try_divide(x, norm))
+    return let(F.sqrt(dot(a, a)), lambda norm: F.transform(c(a), lambda x: F.try_divide(x, norm)))
 
 
 def centred(a) -> Column:
-    mean = total(c(a)) / F.size(c(a))
-    return F.transform(c(a), lambda x: x - mean)
+    return let(total(c(a)) / F.size(c(a)), lambda mean: F.transform(c(a), lambda x: x - mean))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once: lambdas don't share their subexpressions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _distortion(prediction, target, epsilon: float, scaled: bool) -> Column:
+    both = F.struct(centred(prediction).alias("p"), centred(target).alias("t"))
+
+    def ratio(v):
+        noise = total(F.zip_with(v["p"], v["t"], lambda x, y: (x - (v["a"] * y if scaled else y)) * (x - (v["a"] * y if scaled else y))))
+        return 10 * F.log10((v["a"] * v["a"] * v["tt"] + epsilon) / (noise + epsilon))
+
+    def scale(v):
+        energy = dot(v["t"], v["t"])
+        return let(F.struct(v["p"].alias("p"), v["t"].alias("t"), energy.alias("tt"), (dot(v["p"], v["t"]) / (energy + epsilon)).alias("a")), ratio)
+
+    return let(both, scale)
 
 
 def si_sdr(prediction, target, epsilon: float = 1e-8) -> Column:
     """M1: scale-invariant signal-to-distortion ratio in dB of zero-mean vectors."""
-    p, t = centred(prediction), centred(target)
-    scale = dot(p, t) / (dot(t, t) + epsilon)
-    signal = scale * scale * dot(t, t)
-    noise = total(F.zip_with(p, t, lambda x, y: F.pow(x - scale * y, F.lit(2.0))))
-    return 10 * F.log10((signal + epsilon) / (noise + epsilon))
+    return _distortion(prediction, target, epsilon, True)
 
 
 def sd_sdr(prediction, target, epsilon: float = 1e-8) -> Column:
-    """M2: scale-dependent signal-to-distortion ratio in dB."""
-    p, t = centred(prediction), centred(target)
-    scale = dot(p, t) / (dot(t, t) + epsilon)
-    noise = total(F.zip_with(p, t, lambda x, y: F.pow(x - y, F.lit(2.0))))
-    return 10 * F.log10((scale * scale * dot(t, t) + epsilon) / (noise + epsilon))
+    """M2: scale-dependent signal-to-distortion ratio in dB of zero-mean vectors."""
+    return _distortion(prediction, target, epsilon, False)
 
 
 def rms_db(a, epsilon: float = 1e-12) -> Column:
