@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_MARKED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,6 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it goes when the driver's JVM ends."""
+    at = f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+    if at not in _MARKED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _MARKED.add(at)
+    return at
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -37,7 +50,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     executor, and the step is not computed twice.
     """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    at = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 

@@ -113,8 +113,8 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
     return unique(out, "id")
 
 
-def read_zip_members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, size, crc, content) of each archive; a wrong checksum fails."""
+def zip_members(archives: DataFrame) -> DataFrame:
+    """(archive, member, size, crc, content) of rows (path, content); a wrong checksum fails."""
 
     def members(batches):
         for batch in batches:
@@ -125,7 +125,12 @@ def read_zip_members(spark: SparkSession, path: str) -> DataFrame:
             cols = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()])], ["archive", "member", "size", "crc", "content"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(members, "archive string, member string, size bigint, crc bigint, content binary")
+    return archives.select("path", "content").mapInArrow(members, "archive string, member string, size bigint, crc bigint, content binary")
+
+
+def read_zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """The members of all archives of a path."""
+    return zip_members(spark.read.format("binaryFile").load(path))
 
 
 def merged_manifests(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.session import shared_dir
+from tidemark.session import shared_dir, work_dir
 
 
 def event_stream(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
@@ -64,7 +64,7 @@ def drained(df: DataFrame, mode: str = "append", keep: str | None = None) -> Dat
     exact. With ``keep`` the checkpoint has a fixed name and a later call goes on.
     """
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tidemark/stream-{keep or uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{keep}" if keep else f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
