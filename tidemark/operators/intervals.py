@@ -80,19 +80,27 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket: flo
     return both.where(F.col("l_bucket") == F.greatest("l_first", "r_first")).drop("l_first", "r_first", "l_bucket", "r_bucket")
 
 
-def set_intersection(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Length of the intersection of two interval sets per key."""
-    both = overlap_join(merged(left, keys), merged(right, keys), keys)
-    return both.groupBy(*[F.col(f"l_{k}").alias(k) for k in keys]).agg(F.sum(overlap_length("l_onset", "l_off", "r_onset", "r_off")).alias("intersection"))
+def common_time(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key the lengths of the intersection and of the union of two interval sets.
+
+    One sweep: the ends of both sides in time order, with running counts of what
+    is open on each side; a single shuffle on the keys, no join.
+    """
+    side = lambda df, a, b: df.select(*keys, "onset", "off", F.when(F.col("off") > F.col("onset"), a).otherwise(0).alias("a"), F.when(F.col("off") > F.col("onset"), b).otherwise(0).alias("b"))
+    both = side(left, 1, 0).union(side(right, 0, 1))
+    ends = F.array(F.struct(F.col("onset").alias("t"), "a", "b"), F.struct(F.col("off").alias("t"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b")))
+    points = both.select(*keys, F.explode(ends).alias("p")).select(*keys, "p.*")
+    w = Window.partitionBy(*keys).orderBy("t")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    open_ = points.withColumns({"na": F.sum("a").over(upto), "nb": F.sum("b").over(upto), "d": F.lead("t").over(w) - F.col("t")})
+    length = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("d"))), F.lit(0.0))
+    return open_.groupBy(*keys).agg(length((F.col("na") > 0) & (F.col("nb") > 0)).alias("intersection"), length((F.col("na") > 0) | (F.col("nb") > 0)).alias("union"))
 
 
 def set_iou(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Intersection over union of two interval sets; both empty give 1, one empty 0."""
-    a, b = union_length(left, keys).withColumnRenamed("union_length", "a"), union_length(right, keys).withColumnRenamed("union_length", "b")
-    every = left.select(*keys).union(right.select(*keys)).distinct()
-    joined = every.join(a, keys, "left").join(b, keys, "left").join(set_intersection(left, right, keys), keys, "left").na.fill(0.0, ["a", "b", "intersection"])
-    union = F.col("a") + F.col("b") - F.col("intersection")
-    return joined.select(*keys, F.when(union > 0, F.col("intersection") / union).otherwise(1.0).alias("iou"))
+    t = common_time(left, right, keys)
+    return t.select(*keys, F.when(F.col("union") > 0, F.col("intersection") / F.col("union")).otherwise(1.0).alias("iou"))
 
 
 def frame_range(onset, off, hop: float, valid) -> tuple[Column, Column]:
