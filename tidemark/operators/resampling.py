@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.sequences import numbered
+
 
 def hash_number(*parts) -> Column:
     """The first eight bytes of the SHA-256 of the joined parts, as an exact decimal."""
@@ -20,7 +22,7 @@ def hash_number(*parts) -> Column:
 def cluster_sums(df: DataFrame, cluster: str, *values: Column) -> DataFrame:
     """One row per cluster with sums s_0.., its row count and a dense number from zero."""
     sums = df.groupBy(cluster).agg(*[F.sum(v).alias(f"s_{i}") for i, v in enumerate(values)], F.count("*").alias("n"))
-    return sums.withColumn("number", F.row_number().over(Window.orderBy(cluster)) - 1)
+    return numbered(sums, cluster)
 
 
 def bootstrap(clusters: DataFrame, replicates: int, seed: str) -> DataFrame:
@@ -53,9 +55,9 @@ def fold_majority(df: DataFrame, key: Column, group: str, value: str, folds: int
     f = df.withColumn("fold", key % folds)
     counts = f.groupBy("fold", group, value).agg(F.count("*").alias("n"))
     whole = counts.groupBy(group, value).agg(F.sum("n").alias("t"))
-    numbers = df.sparkSession.range(folds).select(F.col("id").cast("int").alias("fold"))
-    # folds are few and whole is one row per (group, value): counts of the other folds by subtraction
-    rest = whole.join(numbers, F.lit(True)).join(counts, ["fold", group, value], "left").withColumn("r", F.col("t") - F.coalesce("n", F.lit(0))).where("r > 0")
+    # one row per (group, value) and fold: counts of the other folds by subtraction
+    every_fold = whole.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    rest = every_fold.join(counts, ["fold", group, value], "left").withColumn("r", F.col("t") - F.coalesce("n", F.lit(0))).where("r > 0")
     own = rest.groupBy("fold", group).agg(F.min_by(value, F.struct(-F.col("r"), F.col(value))).alias("a"))
     every = rest.groupBy("fold", value).agg(F.sum("r").alias("r")).groupBy("fold").agg(F.min_by(value, F.struct(-F.col("r"), F.col(value))).alias("b"))
     return f.join(own, ["fold", group], "left").join(every, "fold", "left").withColumn("predicted", F.coalesce("a", "b")).drop("a", "b")

@@ -15,18 +15,44 @@ def capped(df: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= most)
 
 
-def hash_split(df: DataFrame, key: str, share: float, salt: str) -> DataFrame:
-    """W4, SP19: exactly floor(n * share) keys by hash rank.
+def numbered(df: DataFrame, *order: str, parts: int | None = None) -> DataFrame:
+    """df with ``number``: the row's place from zero in a total order, without one task ranking all rows.
 
-    Hashes are counted per prefix first, so no single task ranks all keys: the
-    rank within a prefix is added to the number of keys in lesser prefixes.
+    Rows are dealt by ranges of the order and written once (ranges come from a
+    sample, so they must not be drawn twice); a place is the place in its range
+    plus the rows of lesser ranges.
     """
-    h = df.withColumn("_h", F.sha2(F.concat_ws("|", F.lit(salt), F.col(key).cast("string")), 256)).withColumn("_p", F.substring("_h", 1, 2))
-    sizes = h.groupBy("_p").agg(F.count("*").alias("_c"))
+    from tidemark.session import written
+
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    kept = written(dealt.withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = kept.groupBy("_p").agg(F.count("*").alias("_c"))
     before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("_p", before.alias("_start"), F.sum("_c").over(Window.partitionBy()).alias("_n"))
-    ranked = h.join(F.broadcast(starts), "_p").withColumn("_r", F.col("_start") + F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)) - 1)  # 256 prefixes
-    return ranked.withColumn("chosen", F.col("_r") < F.floor(F.col("_n") * share)).drop("_h", "_p", "_r", "_start", "_n")
+    starts = F.broadcast(sizes.select("_p", before.alias("_s")))  # one row per range
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return kept.join(starts, "_p").withColumn("number", F.col("_s") + place).drop("_p", "_s")
+
+
+def hash_running(df: DataFrame, key: str, size: str | None, salt: str) -> DataFrame:
+    """df with, in hash order of the key, _before: the total size (or count) of lesser hashes, and _total.
+
+    Totals are taken per two-digit hash prefix first, so one window sees 256
+    rows and the others a 256th of all rows each.
+    """
+    n = F.col(size) if size else F.lit(1)
+    h = df.withColumn("_h", F.sha2(F.concat(F.lit(salt), F.col(key).cast("string")), 256)).withColumn("_p", F.substring("_h", 1, 2))
+    sizes = h.groupBy("_p").agg(F.sum(n).alias("_c"))
+    lesser = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sizes.select("_p", lesser.alias("_s"), F.sum("_c").over(Window.partitionBy()).alias("_total")))  # 256 prefixes
+    own = F.coalesce(F.sum(n).over(Window.partitionBy("_p").orderBy("_h", key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return h.join(starts, "_p").withColumn("_before", F.col("_s") + own).drop("_h", "_p", "_s")
+
+
+def hash_split(df: DataFrame, key: str, share: float, salt: str) -> DataFrame:
+    """W4, SP19: exactly floor(n * share) keys by hash rank."""
+    ranked = hash_running(df, key, None, f"{salt}|")
+    return ranked.withColumn("chosen", F.col("_before") < F.floor(F.col("_total") * share)).drop("_before", "_total")
 
 
 def filled(df: DataFrame, keys: list[str], order: list, column: str) -> DataFrame:

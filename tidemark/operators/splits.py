@@ -10,6 +10,8 @@ from collections import Counter, defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.sequences import hash_running
+
 
 def sha(*parts) -> str:
     return hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()
@@ -43,9 +45,8 @@ def components(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 def disjoint_halves(groups: DataFrame, component: str, share: float, salt: str) -> DataFrame:
     """SP22: whole components in hash order fill the calibration side up to its share."""
     sizes = groups.groupBy(component).agg(F.count("*").alias("size"))
-    w = Window.orderBy(F.sha2(F.concat(F.lit(salt), F.col(component).cast("string")), 256))
-    before = F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return sizes.withColumn("side", F.when(before < F.sum("size").over(Window.partitionBy()) * share, "calibration").otherwise("selection"))
+    ordered = hash_running(sizes, component, "size", salt)
+    return ordered.withColumn("side", F.when(F.col("_before") < F.col("_total") * share, "calibration").otherwise("selection")).drop("_before", "_total")
 
 
 def round_robin(df: DataFrame, label: str, order, limit: int) -> DataFrame:

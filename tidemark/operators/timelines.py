@@ -56,8 +56,8 @@ def extremes(df: DataFrame) -> DataFrame:
 
 
 def nth(df: DataFrame, label: str, n: int) -> DataFrame:
-    """The n-th occurrence of a label per scene."""
-    return flattened(df).where((F.col("label") == label) & (F.col("occurrence") == n))
+    """The n-th occurrence of a label per scene; only rows of the label are shuffled, by scene alone."""
+    return df.where(F.col("label") == label).withColumn("occurrence", F.row_number().over(in_scene())).where(F.col("occurrence") == n)
 
 
 def neighbours(df: DataFrame, label: str, n: int) -> DataFrame:
@@ -103,8 +103,12 @@ def between(df: DataFrame, left: str, right: str) -> DataFrame:
     b = nth(df, right, 1).select("scene", F.col("onset").alias("hi"))
     inner = df.join(a, "scene").join(b, "scene").where((F.col("onset") > F.least("lo", "hi")) & (F.col("onset") < F.greatest("lo", "hi")))
     central = 2.4 * F.col("conf") - F.abs(F.col("onset") - (F.col("lo") + F.col("hi")) / 2) / F.abs(F.col("hi") - F.col("lo"))
-    first = inner.groupBy("scene", "label").agg(F.min(F.struct("onset", "event_id")).alias("p"))
-    return first.groupBy("scene").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "label"))), lambda x: x["label"]), ", ").alias("labels")).join(inner.groupBy("scene").agg(F.max_by("label", F.struct("conf", -F.col("event_id"))).alias("strongest"), F.max_by("label", F.struct(central, -F.col("event_id"))).alias("central")), "scene")
+    in_order = F.array_sort(F.collect_list(F.struct("onset", "event_id", "label")))
+    return inner.groupBy("scene").agg(
+        F.array_join(F.array_distinct(F.transform(in_order, lambda x: x["label"])), ", ").alias("labels"),
+        F.max_by("label", F.struct("conf", -F.col("event_id"))).alias("strongest"),
+        F.max_by("label", F.struct(central, -F.col("event_id"))).alias("central"),
+    )
 
 
 def overlapping(df: DataFrame, label: str) -> DataFrame:

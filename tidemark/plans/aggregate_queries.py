@@ -125,8 +125,8 @@ def binned_accuracy(spark, sf):
 def majority_shortcut(spark, sf):
     d = load(spark, sf, "documents").select("doc_id", "source", "lang")
     train = d.where("doc_id % 5 <> 0")
-    every = A.mode(train.withColumn("k", F.lit(0)), ["k"], "lang").select(F.col("mode").alias("fallback"))
-    out = d.where("doc_id % 5 = 0").join(A.mode(train, ["source"], "lang"), "source", "left").join(F.broadcast(every))  # one row
+    every = A.mode(train.withColumn("k", F.lit(0)), ["k"], "lang").select("k", F.col("mode").alias("fallback"))
+    out = d.where("doc_id % 5 = 0").withColumn("k", F.lit(0)).join(A.mode(train, ["source"], "lang"), "source", "left").join(F.broadcast(every), "k")  # one row
     return out.select("doc_id", F.coalesce("mode", "fallback").alias("predicted"), (F.coalesce("mode", "fallback") == F.col("lang")).alias("correct"))
 
 

@@ -87,9 +87,11 @@ def rounding_rules(spark, sf):
 
 @query("F27", "WITH p AS (SELECT p_partkey, p_brand, (row_number() OVER (ORDER BY p_partkey) - 1) % 5 AS k FROM part) SELECT p_partkey, array_to_string(list_concat(list_concat(['a', 'b', 'c', 'd'][1:k], [p_brand]), ['a', 'b', 'c', 'd'][k + 1:4]), '|') AS options FROM p")
 def answer_positions(spark, sf):
-    k = ((F.row_number().over(Window.orderBy("p_partkey")) - 1) % 5).alias("k")
+    from tidemark.operators.sequences import numbered
+
     d = F.array(*map(F.lit, "abcd"))
-    return load(spark, sf, "part").select("p_partkey", "p_brand", k).select("p_partkey", F.array_join(F.concat(F.slice(d, F.lit(1), F.col("k")), F.array("p_brand"), F.slice(d, F.col("k") + 1, F.lit(4))), "|").alias("options"))
+    p = numbered(load(spark, sf, "part").select("p_partkey", "p_brand"), "p_partkey").withColumn("k", (F.col("number") % 5).cast("int"))
+    return p.select("p_partkey", F.array_join(F.concat(F.slice(d, F.lit(1), F.col("k")), F.array("p_brand"), F.slice(d, F.col("k") + 1, F.lit(4))), "|").alias("options"))
 
 
 @query("F28", "SELECT c_custkey, round(least(1, greatest(0, c_acctbal / 10000)), 6) AS clamped, round(1 / (1 + exp(-c_acctbal / 1000)), 6) AS activation FROM customer")
