@@ -19,6 +19,7 @@ vocabulary of the corpus is collected or broadcast.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -40,65 +41,100 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def log_sum(terms: list[float]) -> float:
+    """log of the sum of the exponentials."""
+    if len(terms) == 1:
+        return terms[0]
+    if len(terms) == 2:
+        x, y = terms
+        return x + math.log1p(math.exp(y - x)) if x > y else y + math.log1p(math.exp(x - y))
+    m = max(terms)
+    return m + math.log(sum([math.exp(t - m) for t in terms]))
+
+
 class Lattice:
-    """The pieces as a trie; 256 byte pieces stand in for characters without a piece."""
+    """The pieces as a trie; 256 byte pieces stand in for characters without a piece.
+
+    A trie node is [weight or None, piece number, children].
+    """
 
     def __init__(self, pieces: list[tuple[str, int]], logp: np.ndarray):
-        self.root: dict = {}
+        self.root: list = [None, -1, {}]
         for piece, i in pieces:
             node = self.root
             for ch in piece:
-                node = node.setdefault(ch, {})
-            node[""] = (i, float(logp[i]))
+                node = node[2].setdefault(ch, [None, -1, {}])
+            node[0], node[1] = float(logp[i]), i
         self.bytes = [float(x) for x in logp[:256]]
 
-    def edges(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """Per end position: (start, log weight, piece numbers)."""
-        into: list[list] = [[] for _ in range(len(s) + 1)]
-        root = self.root
-        for i, first in enumerate(s):
-            node = root.get(first)
-            if node is None or "" not in node:
-                b = first.encode("utf-8", "surrogatepass")
-                into[i + 1].append((i, sum(self.bytes[x] for x in b), tuple(b)))
-            j = i
-            while node is not None:
-                j += 1
-                if (hit := node.get("")) is not None:
-                    into[j].append((i, hit[1], (hit[0],)))
-                node = node.get(s[j]) if j < len(s) else None
-        return into
-
-    def forward(self, into: list) -> list[float]:
-        alpha = [0.0] * len(into)
-        exp, log = math.exp, math.log
-        for j in range(1, len(into)):
-            terms = [alpha[i] + w for i, w, _ in into[j]]
-            if len(terms) == 1:
-                alpha[j] = terms[0]
-            else:
-                m = max(terms)
-                alpha[j] = m + log(sum([exp(t - m) for t in terms]))
-        return alpha
+    def by_bytes(self, ch: str) -> float | None:
+        """The weight of a character spelled in byte pieces; None if it has a piece of its own."""
+        node = self.root[2].get(ch)
+        if node is not None and node[0] is not None:
+            return None
+        return sum(self.bytes[x] for x in ch.encode("utf-8", "surrogatepass"))
 
     def score(self, word: str) -> float:
-        """Natural logarithm of the word's marginal probability."""
-        return self.forward(self.edges(_MARK + word))[-1]
-
-    def expect(self, word: str, count: float, into_counts: np.ndarray) -> None:
-        """Add the expected piece counts of ``count`` copies of the word."""
-        into = self.edges(_MARK + word)
-        alpha = self.forward(into)
+        """Natural logarithm of the word's marginal probability, by forward recursion."""
+        s = _MARK + word
+        n, first = len(s), self.root[2]
+        terms: list[list[float]] = [[] for _ in range(n + 1)]
+        terms[0].append(0.0)
+        for i in range(n):
+            alpha = log_sum(terms[i])
+            node, j = first.get(s[i]), i + 1
+            if node is None or node[0] is None:
+                terms[j].append(alpha + self.by_bytes(s[i]))
+            while node is not None:
+                if (w := node[0]) is not None:
+                    terms[j].append(alpha + w)
+                if j == n:
+                    break
+                node = node[2].get(s[j])
+                j += 1
+        return log_sum(terms[n])
+
+    def expect(self, word: str, count: float, into_counts: list[float]) -> None:
+        """Add the expected piece counts of ``count`` copies of the word: forward, then mass backward."""
+        s = _MARK + word
+        n, first = len(s), self.root[2]
+        terms: list[list[float]] = [[] for _ in range(n + 1)]
+        froms: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]  # (start, piece; -1: bytes)
+        terms[0].append(0.0)
+        alphas = []
+        for i in range(n):
+            alpha = log_sum(terms[i])
+            alphas.append(alpha)
+            node, j = first.get(s[i]), i + 1
+            if node is None or node[0] is None:
+                terms[j].append(alpha + self.by_bytes(s[i]))
+                froms[j].append((i, -1))
+            while node is not None:
+                if (w := node[0]) is not None:
+                    terms[j].append(alpha + w)
+                    froms[j].append((i, node[1]))
+                if j == n:
+                    break
+                node = node[2].get(s[j])
+                j += 1
+        alphas.append(log_sum(terms[n]))
         exp = math.exp
-        back = [0.0] * len(into)  # probability mass through each position
-        back[-1] = count
-        for j in range(len(into) - 1, 0, -1):
-            if back[j]:
-                for i, w, ids in into[j]:
-                    mass = back[j] * exp(alpha[i] + w - alpha[j])
-                    back[i] += mass
-                    for x in ids:
-                        into_counts[x] += mass
+        back = [0.0] * n + [count]
+        for j in range(n, 0, -1):
+            if mass := back[j]:
+                edges = froms[j]
+                if len(edges) == 1:
+                    shares = (mass,)
+                else:
+                    a = alphas[j]
+                    shares = [mass * exp(t - a) for t in terms[j]]
+                for (i, piece), share in zip(edges, shares):
+                    back[i] += share
+                    if piece >= 0:
+                        into_counts[piece] += share
+                    else:
+                        for x in s[i].encode("utf-8", "surrogatepass"):
+                            into_counts[x] += share
 
 
 def vocabulary(name: str = VOCABULARY) -> tuple[list[tuple[str, int]], np.ndarray]:
@@ -116,6 +152,13 @@ def vocabulary(name: str = VOCABULARY) -> tuple[list[tuple[str, int]], np.ndarra
     return pieces, np.log(weights / weights.sum())
 
 
+def numbering() -> defaultdict[bytes, int]:
+    """Gives each new word the next number."""
+    out: defaultdict[bytes, int] = defaultdict()
+    out.default_factory = out.__len__
+    return out
+
+
 def _chunks(chunk_bytes: int):
     names = ["chunk", "doc_id", "held_out", "n_words", "idx", "tf", "words", "counts"]
     types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.list_(pa.int64())]
@@ -125,9 +168,7 @@ def _chunks(chunk_bytes: int):
 
     def number(batches):
         base, part = TaskContext.get().partitionId() << 24, 0
-        numbers: dict[bytes, int] = {}
-        counts = np.zeros(1 << 16, np.int64)
-        size = 0
+        numbers, counts, size = numbering(), np.zeros(1 << 16, np.int64), 0
 
         def close():
             n = len(numbers)
@@ -137,8 +178,7 @@ def _chunks(chunk_bytes: int):
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 found = tokens(text := text.as_py())
-                get = numbers.setdefault
-                ids = np.fromiter((get(w, len(numbers)) for w in found), np.int32, len(found))
+                ids = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
                 idx, tf = np.unique(ids, return_counts=True)
                 if len(numbers) > len(counts):
                     counts = np.concatenate([counts, np.zeros(max(len(counts), len(numbers) - len(counts)), np.int64)])
@@ -151,7 +191,7 @@ def _chunks(chunk_bytes: int):
                     yield rows([*out, [None] * len(out[0]), [None] * len(out[0])])
                     yield close()
                     out = [[], [], [], [], [], []]
-                    part, size, numbers, counts = part + 1, 0, {}, np.zeros(1 << 16, np.int64)
+                    part, size, numbers, counts = part + 1, 0, numbering(), np.zeros(1 << 16, np.int64)
             yield rows([*out, [None] * len(out[0]), [None] * len(out[0])])
         yield close()
 
@@ -163,10 +203,11 @@ CHUNK_SCHEMA = "chunk bigint, doc_id bigint, held_out boolean, n_words bigint, i
 
 def _expectation(pieces, logp):
     def run(batches):
-        lattice, counts = Lattice(pieces, logp), np.zeros(len(logp))
+        lattice, counts = Lattice(pieces, logp), [0.0] * len(logp)
         for batch in batches:
             for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 lattice.expect(word.decode("utf-8", "surrogatepass"), c, counts)
+        counts = np.array(counts)
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(counts[some])], ["piece", "n"])
 
