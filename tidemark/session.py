@@ -15,20 +15,17 @@ _MARKED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session leaves it unset (tests, one machine) a temporary
-    folder is made and set as checkpoint folder.
+    Where it is unset, a session on one machine gets a temporary folder, set as
+    its checkpoint folder; a cluster's session uses its warehouse.
     """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    at = spark.sparkContext.getCheckpointDir()
-    if not at:
-        at = tempfile.mkdtemp(prefix="tidemark-checkpoints-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir() or at
-    return at.rstrip("/")
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not at and context.master.split("[")[0] == "local":
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoints-"))
+        at = context.getCheckpointDir()
+    return (at or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def work_dir(spark: SparkSession) -> str:
