@@ -55,7 +55,7 @@ def audible_intervals(df: DataFrame, rate: int) -> DataFrame:
 def peak_split(df: DataFrame, keys: list[str], threshold: float, peak: float) -> DataFrame:
     """Runs at or above ``threshold``, split midway between local peaks at or above ``peak``."""
 
-    def run(key, p: pd.DataFrame) -> pd.DataFrame:
+    def run(key, p):
         p = p.sort_values("frame")
         f, x = p.frame.to_numpy(), p.p.to_numpy()
         rows, at = [], 0

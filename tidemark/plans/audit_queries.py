@@ -151,7 +151,7 @@ def greedy_matchings(spark, sf):
 def cheapest_assignment(spark, sf):
     import numpy as np
 
-    def run(key, p: pd.DataFrame) -> pd.DataFrame:
+    def run(key, p):
         p = p.sort_values("onset").head(12)
         a, b = p.iloc[::2], p.iloc[1::2]
         k = min(len(a), len(b))
@@ -171,7 +171,7 @@ def non_maximum(spark, sf):
 def boundary_error(spark, sf):
     t = timeline(spark, sf).withColumn("day", F.col("onset") / 86400)
 
-    def run(key, p: pd.DataFrame) -> pd.DataFrame:
+    def run(key, p):
         a, b = sorted(p.day[p.event_id % 2 == 0]), sorted(p.day[p.event_id % 2 == 1])
         return pd.DataFrame({"scene": [key[0]], "error": [M.boundary_error(a, b)]})
 
@@ -182,7 +182,7 @@ def boundary_error(spark, sf):
 def word_errors(spark, sf):
     from tidemark.functions.text import best_quote
 
-    def run(key, p: pd.DataFrame) -> pd.DataFrame:
+    def run(key, p):
         said = [t.split() for t in p.sort_values("turn").text.fillna("")]
         voted = M.vote(said[:3])
         errors = sum(M.word_distance(s, voted) for s in said)

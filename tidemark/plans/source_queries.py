@@ -120,7 +120,7 @@ def unique_starts(spark, sf):
 
     from tidemark.operators.matching import unique_starts as shifted
 
-    def run(key, p: pd.DataFrame) -> pd.DataFrame:
+    def run(key, p):
         p = p.sort_values(["frame", "event_id"])
         return pd.DataFrame({"scene": key[0], "event_id": p.event_id, "start": shifted(p.frame.tolist(), [1] * len(p), 24 * 60)})
 
