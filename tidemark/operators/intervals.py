@@ -152,16 +152,16 @@ def summed_overlap(df: DataFrame, keys: list[str], key: str) -> DataFrame:
     """Sum of pair overlaps with other intervals over the own length, at most 1."""
     pairs = overlap_join(df, df, keys).where(F.col(f"l_{key}") != F.col(f"r_{key}"))
     total = pairs.groupBy(F.col(f"l_{key}").alias(key)).agg(F.sum(overlap_length("l_onset", "l_off", "r_onset", "r_off")).alias("_s"))
-    return df.join(total, key, "left").withColumn("overlap_sum", F.least(F.lit(1.0), F.coalesce("_s", F.lit(0.0)) / (F.col("off") - F.col("onset")))).drop("_s")
+    return df.join(total, key, "left").withColumn("overlap_sum", F.least(F.lit(1.0), F.try_divide(F.coalesce("_s", F.lit(0.0)), F.col("off") - F.col("onset")))).drop("_s")
 
 
 def covered(df: DataFrame, keys: list[str], key: str) -> DataFrame:
-    """Share of each interval covered by the union of the others, and how many overlap it."""
+    """Share of each interval covered by the union of the others (null for an empty one), and how many overlap it."""
     pairs = overlap_join(df, df, keys).where(F.col(f"l_{key}") != F.col(f"r_{key}"))
     clipped = pairs.select(F.col(f"l_{key}").alias(key), F.greatest("l_onset", "r_onset").alias("onset"), F.least("l_off", "r_off").alias("off"))
     n = clipped.groupBy(key).agg(F.count("*").alias("n_overlaps"))
     out = df.join(union_length(clipped, [key]), key, "left").join(n, key, "left")
-    return out.withColumns({"covered": F.coalesce("union_length", F.lit(0.0)) / (F.col("off") - F.col("onset")), "n_overlaps": F.coalesce("n_overlaps", F.lit(0))}).drop("union_length")
+    return out.withColumns({"covered": F.try_divide(F.coalesce("union_length", F.lit(0.0)), F.col("off") - F.col("onset")), "n_overlaps": F.coalesce("n_overlaps", F.lit(0))}).drop("union_length")
 
 
 def isolation(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -211,8 +211,8 @@ def midpoint_slot(onset, off, duration, slots: int = 8) -> Column:
 
 
 def cluster_overlap(df: DataFrame, cluster: str) -> DataFrame:
-    """I32: common intersection over the shortest member."""
-    return df.groupBy(cluster).agg((F.greatest(F.lit(0.0), F.min("off") - F.max("onset")) / F.min(F.col("off") - F.col("onset"))).alias("overlap"))
+    """I32: common intersection over the shortest member; null if that is empty."""
+    return df.groupBy(cluster).agg(F.try_divide(F.greatest(F.lit(0.0), F.min("off") - F.max("onset")), F.min(F.col("off") - F.col("onset"))).alias("overlap"))
 
 
 def window_starts(df: DataFrame, keys: list[str], rate: float, window: int, samples) -> DataFrame:

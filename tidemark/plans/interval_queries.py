@@ -103,7 +103,7 @@ def ambiguity_audit(spark, sf):
     t = timeline(spark, sf)
     length = I.overlap_length("l_onset", "l_off", "r_onset", "r_off")
     pairs = I.overlap_join(t, t, ["scene"]).where("l_event_id <> r_event_id").groupBy(F.col("l_event_id").alias("event_id")).agg(F.sum(length).alias("t"), F.sum(F.when(F.col("r_label").isin("error", "purchase"), length)).alias("s"), F.array_sort(F.collect_set("r_label")).alias("m"))
-    out = I.isolation(t, ["scene"]).join(pairs, "event_id", "left").withColumns({"any_share": F.coalesce("t", F.lit(0.0)) / (F.col("off") - F.col("onset")), "selected_share": F.coalesce("s", F.lit(0.0)) / (F.col("off") - F.col("onset"))})
+    out = I.isolation(t, ["scene"]).join(pairs, "event_id", "left").withColumns({"any_share": F.try_divide(F.coalesce("t", F.lit(0.0)), F.col("off") - F.col("onset")), "selected_share": F.try_divide(F.coalesce("s", F.lit(0.0)), F.col("off") - F.col("onset"))})
     margin = F.least(F.coalesce("left_margin", F.lit(10.0)), F.coalesce("right_margin", F.lit(10.0)))
     return out.select("event_id", R("any_share", 6).alias("any_share"), R("selected_share", 6).alias("selected_share"), F.coalesce(F.array_join("m", ","), F.lit("")).alias("labels"), I.ambiguity_tier("any_share", "selected_share", margin).alias("tier"))
 

@@ -96,7 +96,7 @@ def sliding_windows(spark, sf):
 @query("W16", f"WITH {TL}, w AS (SELECT scene, min(onset) a FROM tl GROUP BY 1) SELECT w.scene, round(sum(conf * greatest(0, least(off, a + 864000) - greatest(onset, a)) / (off - onset)), 6) AS weight FROM tl JOIN w ON w.scene = tl.scene WHERE onset < a + 864000 GROUP BY 1")
 def overlap_weights(spark, sf):
     t = timeline(spark, sf).withColumn("a", F.min("onset").over(Window.partitionBy("scene"))).where("onset < a + 864000")
-    share = F.greatest(F.lit(0.0), F.least(F.col("off"), F.col("a") + 864000) - F.greatest("onset", "a")) / (F.col("off") - F.col("onset"))
+    share = F.try_divide(F.greatest(F.lit(0.0), F.least(F.col("off"), F.col("a") + 864000) - F.greatest("onset", "a")), F.col("off") - F.col("onset"))
     return t.groupBy("scene").agg(R(F.sum(F.col("conf") * share)).alias("weight"))
 
 
