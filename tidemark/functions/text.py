@@ -178,12 +178,12 @@ has_duplicate_keys_udf = batched(has_duplicate_keys, "boolean")
 
 def best_quote(quote: str, spoken: list[str]) -> tuple[int, int, float]:
     """(start, end, ratio) of the word window, of the quote's length give or take two, most like the quote; the first best wins."""
-    target = quote.lower().split()
+    target, spoken = quote.lower().split(), [w.lower() for w in spoken]
     best = (0, 0, -1.0)
     for n in range(max(1, len(target) - 2), len(target) + 3):
         for i in range(len(spoken) - n + 1):
-            ratio = difflib.SequenceMatcher(None, target, [w.lower() for w in spoken[i : i + n]]).ratio()
-            if ratio > best[2]:
+            m = difflib.SequenceMatcher(None, target, spoken[i : i + n])
+            if m.quick_ratio() > best[2] and (ratio := m.ratio()) > best[2]:  # the first bounds the second
                 best = (i, i + n, ratio)
     return best
 

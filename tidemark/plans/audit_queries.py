@@ -152,12 +152,11 @@ def cheapest_assignment(spark, sf):
     import numpy as np
 
     def run(key, p):
-        p = p.sort_values("onset").head(12)
-        a, b = p.iloc[::2], p.iloc[1::2]
-        k = min(len(a), len(b))
-        cost = np.abs(a.onset.values[:k, None] - b.onset.values[None, :k]) / 86400
-        cols = M.assignment(cost) if k else []
-        return pd.DataFrame({"scene": [key[0]] * k, "left": a.event_id.values[:k], "right": [b.event_id.values[j] for j in cols]})
+        p = p.sort_values(["onset", "event_id"])
+        a, b = p.iloc[::2], p.iloc[1::2]  # a has as many as b or one more, so b's are the rows
+        cost = np.abs(b.onset.values[:, None] - a.onset.values[None, :]) / 86400
+        cols = M.assignment(cost) if len(b) else []
+        return pd.DataFrame({"scene": [key[0]] * len(b), "left": [a.event_id.values[j] for j in cols], "right": b.event_id.values})
 
     return timeline(spark, sf).select("scene", "onset", "event_id").groupBy("scene").applyInPandas(run, "scene bigint, left bigint, right bigint")
 
@@ -184,9 +183,9 @@ def word_errors(spark, sf):
 
     def run(key, p):
         said = [t.split() for t in p.sort_values("turn").text.fillna("")]
-        voted = M.vote(said[:3])
+        voted = M.vote(said)
         errors = sum(M.word_distance(s, voted) for s in said)
-        a, b, ratio = best_quote(" ".join(said[0][:4]), said[-1])
+        a, b, ratio = best_quote(" ".join(said[0]), said[-1])
         return pd.DataFrame({"conv_id": [key[0]], "errors": [errors], "words": [sum(map(len, said))], "quote_start": [a], "quote_ratio": [ratio]})
 
     return load(spark, sf, "conversations").groupBy("conv_id").applyInPandas(run, "conv_id bigint, errors bigint, words bigint, quote_start bigint, quote_ratio double")
