@@ -52,7 +52,7 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 BOUNDS = {"ul", "ol", "dl", "table", "select", "article", "body"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_NAME = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[^-_]+")
 
 
 class Node:
@@ -186,8 +186,13 @@ def own_text(node: Node) -> str:
     return " ".join(entities.unescape(" ".join(c for c in node.children if isinstance(c, str))).split())
 
 
-def dropped(node: Node) -> bool:
-    """Whether the element's tag, role, class or id says that it isn't article text."""
+def part(value: str) -> bool:
+    """Whether one whole token of a class or id names a page part (``cookie-banner``, not ``has-sidebar``)."""
+    return any(names and PARTS.issuperset(names) for names in map(_WORDS.findall, value.split()))
+
+
+def dropped(node: Node, kept: set[int] = frozenset()) -> bool:
+    """Whether the element's tag, role, class or id says that it isn't article text; class and id don't count in ``kept``."""
     if node.tag in DROPPED:
         return True
     header = node.tag == "header"
@@ -203,25 +208,47 @@ def dropped(node: Node) -> bool:
         name, value = name.lower(), "".join(values).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
-        if name == "role" and value.strip() in ROLES or name in ("class", "id") and PARTS.intersection(_NAME.findall(value)):
+        if name == "role" and value.strip() in ROLES or name in ("class", "id") and node.number not in kept and part(value):
             return True
     return False
 
 
-def main_text(nodes: list[Node], template: set[int] = frozenset()) -> str:
-    """The blocks of the article, without the nodes numbered in ``template``."""
-    marked = [x for x in nodes if (x.tag in ("article", "main") or x.tag == "div" and 'itemprop="articleBody"' in x.attributes)]
-    gone: dict[int, bool] = {}
+def _above(x: Node | None, into: set[int]) -> None:
+    while x and x.number not in into:
+        into.add(x.number)
+        x = x.parent
 
-    def is_gone(x: Node | None) -> bool:
-        if x is None:
-            return False
-        if x.number not in gone:
-            gone[x.number] = dropped(x) or is_gone(x.parent)
-        return gone[x.number]
 
-    for x in nodes:  # parents come first, so the recursion stays shallow
-        is_gone(x)
+def main_text(nodes: list[Node], template: set[int] = frozenset()) -> str:
+    """The blocks of the article, without the nodes numbered in ``template``.
+
+    No class or id drops a main or what holds it, nor what holds the only
+    articles, unless more text is outside them.
+    """
+    marked = [x for x in nodes if (x.tag in ("article", "main") or x.tag == "div" and 'itemprop="articleBody"' in x.attributes)]
+    kept: set[int] = set()
+    for x in marked:
+        if x.tag == "main":
+            _above(x, kept)
+    gone = _gone(nodes, kept)
+    text = _blocks(nodes, marked, gone, template)
+    if marked and all(gone[x.number] for x in marked):
+        for x in marked:
+            if not dropped(x):
+                _above(x.parent, kept)
+        other = _blocks(nodes, marked, _gone(nodes, kept), template)
+        return max(text, other, key=len)
+    return text
+
+
+def _gone(nodes: list[Node], kept: set[int]) -> list[bool]:
+    out: list[bool] = []
+    for x in nodes:  # parents come first
+        out.append(x.parent is not None and out[x.parent.number] or dropped(x, kept))
+    return out
+
+
+def _blocks(nodes: list[Node], marked: list[Node], gone: list[bool], template: set[int]) -> str:
     marked = [x for x in marked if not gone[x.number]]
     articles = [x for x in marked if x.tag == "article"] or marked
     inside = {x.number for x in articles}
