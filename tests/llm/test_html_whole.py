@@ -1,5 +1,7 @@
 """HTML extraction over layouts, wide levels and deep trees."""
 
+import random
+
 import pytest
 
 from tidemark.llm import html
@@ -14,3 +16,43 @@ def test_page_parts_are_still_dropped():
     parts = '<div class="box cookie-banner">a</div><div id="comments"><article class="comment">b</article></div><div class="related"><article>c</article></div>'
     assert html.main_text(html.parse("<p>Some longer text</p>" + parts)) == "Some longer text"
     assert html.main_text(html.parse("<article>Text</article>" + parts)) == "Text"
+
+
+def test_wide_levels_match_exactly():
+    reference, page = "<p>a</p>" * 5 + "<div>x</div>" + "<p>b</p>" * 195, "<p>a</p>" * 19 + "<div>x</div>" + "<p>b</p>" * 230
+    left, right = html.parse(page), html.parse(reference)
+    pairs = html.match(html.shape(left), html.shape(right))
+    assert sum(j >= 0 for j in pairs) == 202 and right[pairs[20]].tag == "div"
+
+
+def test_deep_elements_stay_inside_their_parents():
+    page = "<div>" * 400 + "<nav><p>menu</p></nav>text" + "</div>" * 400
+    nodes = html.parse(page)
+    assert html.main_text(nodes) == "text" and html.match(html.shape(nodes), html.shape(nodes)) == tuple(range(len(nodes)))
+
+
+def test_matches_equal_those_of_plain_tables():
+    rng = random.Random(5)
+
+    def tree(depth):
+        tag = rng.choice(["div", "span", "b"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(rng.randrange(5) if depth else 0)) + f"</{tag}>"
+
+    for _ in range(150):
+        left, right = (html.parse("".join(tree(3) for _ in range(rng.randrange(1, 6)))) for _ in range(2))
+
+        def align(a, b):
+            x, y = ([c for c in n.children if not isinstance(c, str)] for n in (a, b))
+            best = [[(0, [])] * (len(y) + 1) for _ in range(len(x) + 1)]
+            table = [[align(c, d) if c.tag == d.tag else (0, []) for d in y] for c in x]
+            for i in range(1, len(x) + 1):
+                for k in range(1, len(y) + 1):
+                    s, pairs = table[i - 1][k - 1]
+                    old = best[i - 1][k - 1]
+                    # of equal totals: without the last right node, then without the last left one
+                    best[i][k] = max(best[i][k - 1], best[i - 1][k], (old[0] + s, old[1] + pairs), key=lambda t: t[0])
+            total, pairs = best[-1][-1]
+            return 1 + total, [(a.number, b.number), *pairs]
+
+        got = html.match(html.shape(left), html.shape(right))
+        assert sorted((i, j) for i, j in enumerate(got) if j >= 0) == sorted(align(left[0], right[0])[1])

@@ -21,6 +21,7 @@ import html as entities
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +35,6 @@ EVIDENCE, CONSTANT = 3, 0.9
 COPY = 0.7
 #: Inside an article only short constant nodes are template.
 SHORT_WORDS = 15
-#: Levels wider than this many child pairs are matched by order of equal tags.
-WIDE = 40_000
-DEEP = 150
 #: Bytes of reference pages up to which they are broadcast.
 BROADCAST_BYTES = 8 << 20
 
@@ -107,7 +105,7 @@ def parse(page: str | None) -> list[Node]:
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else n
-        elif tag not in VOID and not m[3].rstrip().endswith("/") and node.depth < DEEP:
+        elif tag not in VOID and not m[3].rstrip().endswith("/"):
             here = node
     return nodes
 
@@ -117,68 +115,103 @@ def shape(nodes: list[Node]) -> tuple[tuple[int, str], ...]:
     return tuple((x.depth, x.tag) for x in nodes)
 
 
+def _classes(s: tuple[tuple[int, str], ...], known: dict) -> tuple[list[list[int]], list[int]]:
+    """The children of each node, and a number for its subtree: the same for equal ones."""
+    below, path = [[] for _ in s], []
+    for i, (depth, _) in enumerate(s):
+        del path[depth:]
+        if path:
+            below[path[-1]].append(i)
+        path.append(i)
+    number = [0] * len(s)
+    for i in range(len(s) - 1, -1, -1):
+        number[i] = known.setdefault((s[i][1], *(number[j] for j in below[i])), len(known))
+    return below, number
+
+
+def _aligned(x: list[int], y: list[int], size: dict[tuple[int, int], int]) -> tuple[int, list[tuple[int, int]]]:
+    """Greatest total size and position pairs of an order-keeping match of two levels; of equal ones the earliest.
+
+    Equal heads always match. Only every ``step``-th row is kept; those between are made again.
+    """
+    head = 0
+    while head < min(len(x), len(y)) and x[head] == y[head]:
+        head += 1
+    pairs = [(i, i) for i in range(head)]
+    total = sum(size[c, c] for c in x[:head])
+    x, y = x[head:], y[head:]
+    if not x or not y:
+        return total, pairs
+    kinds, which = np.unique(y, return_inverse=True)
+    weights = {c: np.array([size.get((c, k), 0) for k in kinds.tolist()], np.int64)[which] for c in set(x)}
+
+    def following(row, c):
+        new = row.copy()  # a size of zero adds nothing, as not matching does
+        np.maximum(new[1:], row[:-1] + weights[c], out=new[1:])
+        return np.maximum.accumulate(new)
+
+    step = int(len(x) ** 0.5) + 1
+    row, saved = np.zeros(len(y) + 1, np.int64), {0: np.zeros(len(y) + 1, np.int64)}
+    for i, c in enumerate(x, 1):
+        row = following(row, c)
+        if i % step == 0:
+            saved[i] = row
+    total += int(row[-1])
+    found, i, k = [], len(x), len(y)
+    rows, first = [], len(x) + 1
+    while i and k:
+        if i - 1 < first:  # the rows from the last saved one below i
+            first = (i - 1) // step * step
+            rows = [saved[first]]
+            for c in x[first:i]:
+                rows.append(following(rows[-1], c))
+        here = rows[i - first]
+        k = int(np.searchsorted(here[: k + 1], here[k]))  # the earliest of equal totals
+        if not k:
+            break
+        if here[k] == rows[i - 1 - first][k]:
+            i -= 1
+        else:
+            found.append((head + i - 1, head + k - 1))
+            i, k = i - 1, k - 1
+    return total, pairs + found[::-1]
+
+
 @functools.lru_cache(2048)
 def match(left: tuple[tuple[int, str], ...], right: tuple[tuple[int, str], ...]) -> tuple[int, ...]:
     """For each left node the right node it matches, or -1, by simple tree matching."""
-
-    def children(s):
-        out, path = [[] for _ in s], []
-        for i, (depth, _) in enumerate(s):
-            del path[depth:]
-            if path:
-                out[path[-1]].append(i)
-            path.append(i)
-        return out
-
-    below_l, below_r = children(left), children(right)
-    sizes: dict[tuple[int, int], int] = {}
+    known: dict[tuple, int] = {}
+    below_l, class_l = _classes(left, known)
+    below_r, class_r = _classes(right, known)
+    kinds = list(known)  # by number: tag, numbers of the children
+    size: dict[tuple[int, int], int] = {}
+    for c, (_, *children) in enumerate(kinds):  # equal subtrees match as a whole
+        size[c, c] = 1 + sum(size[d, d] for d in children)
     chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
-
-    def size(a: int, b: int) -> int:
-        if left[a][1] != right[b][1]:
-            return 0
-        if (a, b) in sizes:
-            return sizes[a, b]
-        x, y = below_l[a], below_r[b]
-        pairs: list[tuple[int, int]] = []
-        total = 0
-        if x and y and len(x) * len(y) > WIDE:
-            used = 0
-            for i in x:  # in order, each with the next of its tag
-                j = next((j for j in range(used, len(y)) if right[y[j]][1] == left[i][1]), None)
-                if j is not None:
-                    pairs.append((i, y[j]))
-                    used = j + 1
-            total = sum(size(i, j) for i, j in pairs)
-        elif x and y:
-            best = [[0] * (len(y) + 1)]
-            for i in x:
-                above, row = best[-1], [0]
-                for k, j in enumerate(y):
-                    s = size(i, j)
-                    row.append(max(above[k + 1], row[k], above[k] + s if s else 0))
-                best.append(row)
-            i, k = len(x), len(y)
-            total = best[i][k]
-            while i and k:  # of equally good matches the earliest
-                if best[i][k] == best[i][k - 1]:
-                    k -= 1
-                elif best[i][k] == best[i - 1][k]:
-                    i -= 1
-                else:
-                    pairs.append((x[i - 1], y[k - 1]))
-                    i, k = i - 1, k - 1
-        sizes[a, b] = 1 + total
-        chosen[a, b] = pairs
-        return 1 + total
-
-    size(0, 0)
-    out = [-1] * len(left)
-    todo = [(0, 0)]
+    if left[0][1] != right[0][1]:
+        return (-1,) * len(left)
+    todo = [(class_l[0], class_r[0])]
     while todo:
-        a, b = todo.pop()
+        a, b = todo[-1]
+        if (a, b) in size:
+            todo.pop()
+            continue
+        x, y = kinds[a][1:], kinds[b][1:]
+        needed = [(c, d) for c in set(x) for d in set(y) if kinds[c][0] == kinds[d][0] and (c, d) not in size]
+        if needed:
+            todo += needed
+            continue
+        total, chosen[a, b] = _aligned(x, y, size)
+        size[a, b] = 1 + total
+        todo.pop()
+    out = [-1] * len(left)
+    nodes = [(0, 0)]
+    while nodes:
+        a, b = nodes.pop()
         out[a] = b
-        todo += chosen.get((a, b), ())
+        c = class_l[a], class_r[b]
+        pairs = chosen[c] if c[0] != c[1] else ((i, i) for i in range(len(below_l[a])))
+        nodes += [(below_l[a][i], below_r[b][k]) for i, k in pairs]
     return tuple(out)
 
 
