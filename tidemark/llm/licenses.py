@@ -4,7 +4,8 @@ Texts become lower-case words. Shingles of ``SHINGLE`` words are hashed, and of
 every ``WINDOW`` consecutive hashes the least is kept (winnowing), in templates
 and documents alike; a run of SHINGLE + WINDOW - 1 equal words is sure to share
 a fingerprint. The index leads from a fingerprint to template positions, which
-give candidate diagonals. Around each, a local alignment in a band counts
+give candidate diagonals. Around each, local alignments in a band, one after the
+other over the words that none has taken, count
 matched words; its coverage of the template and its span are reported.
 """
 
@@ -76,6 +77,7 @@ def align(template: np.ndarray, ids: np.ndarray, diagonal: int, band: int = BAND
 
     Cells lie within ``band`` of the diagonal (document position - template
     position). A match scores 2, a replaced, added or missing word -1.
+    No alignment holds a word with a negative id.
     """
     best, width = (0, 0, 0, 0), 2 * band + 1
     # per cell of a row: score, matches, first document word
@@ -85,7 +87,7 @@ def align(template: np.ndarray, ids: np.ndarray, diagonal: int, band: int = BAND
         left = (0, 0, 0)
         for b in range(width):
             j = i + diagonal + b - band
-            if not 0 <= j < len(ids):
+            if not 0 <= j < len(ids) or ids[j] < 0:
                 cell = (0, 0, 0)
             else:
                 s, m, f = row[b]
@@ -142,9 +144,14 @@ class Index:
                 if last is not None and d - last <= BAND // 2:
                     continue
                 last = d
-                matched, first, end = align(self.ids[t], ids, d)
-                if matched >= COVERAGE * len(self.ids[t]):
+                left = ids
+                while True:  # copies within the band of each other are found one by one
+                    matched, first, end = align(self.ids[t], left, d)
+                    if matched < COVERAGE * len(self.ids[t]):
+                        break
                     out.append((self.names[t], matched / len(self.ids[t]), first, end, matched))
+                    left = left.copy() if left is ids else left
+                    left[first:end] = -1
         free, kept = np.ones(len(ids), bool), []
         for m in sorted(out, key=lambda m: (-m[4], -m[1], m[0], m[2])):  # the longest first; ties by coverage, name, place
             if free[m[2] : m[3]].all():
