@@ -189,15 +189,23 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component: one with the doc_id that names it. All columns stay.
 
-    A component without any id keeps one of its rows; of repeated ids one row stays.
+    A component without any id keeps one of its rows; of rows with equal ids in
+    one component one stays, and an id with several texts may name several components.
     """
     fps = written(fingerprints(docs), "fingerprints")
     found = written(classes(fps), "classes")
-    named = fps.join(found, "fp").where("doc_id = least").select("doc_id").distinct()
-    out = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    # only ids with several fingerprints need the row's own fingerprint once more
+    several = written(fps.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("doc_id"), "repeated-ids")
+    repeats = not several.isEmpty()
+    named = fps.join(found, "fp").where("doc_id = least").select("doc_id", F.col("fp").alias("_fp"), F.col("component").alias("_component"))
+    single = named.join(several, "doc_id", "left_anti") if repeats else named
+    out = docs.join(single.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
+    if repeats:
+        rows = arrow_map(docs.join(several, "doc_id", "left_semi").select(*docs.columns), _fingerprints("text", True), schema)
+        out = out.union(rows.join(named.distinct(), ["doc_id", "_fp"]).dropDuplicates(["_component"]).select(*docs.columns))
     nameless = found.where("least is null").select(F.col("fp").alias("_fp"), F.col("component").alias("_component"))
     if nameless.isEmpty():
         return out
-    schema = T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())])
     rows = arrow_map(docs.where("doc_id is null"), _fingerprints("text", True), schema)
     return out.union(rows.join(nameless, "_fp").dropDuplicates(["_component"]).select(*docs.columns))
