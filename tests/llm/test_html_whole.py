@@ -56,3 +56,41 @@ def test_matches_equal_those_of_plain_tables():
 
         got = html.match(html.shape(left), html.shape(right))
         assert sorted((i, j) for i, j in enumerate(got) if j >= 0) == sorted(align(left[0], right[0])[1])
+
+
+def test_induction_finds_the_article_without_names(spark):
+    """Element names, classes and roles taken away, the main slot is the same."""
+    import re
+
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    bare = [(i, u, re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", h))) for i, u, h in rows]
+    named, plain = ({r.page_id: r for r in html.extract(spark.createDataFrame(x, "page_id bigint, url string, html string")).collect()} for x in (rows, bare))
+    induced = [i for i, r in plain.items() if r.induced]
+    assert len(induced) > 0.8 * len(rows) and all(plain[i].n_template for i in induced)
+    assert sum(plain[i].text == named[i].text for i in induced) >= 0.9 * len(induced)
+
+
+def test_repeated_lines_go_and_copies_prove_nothing(spark):
+    from tests.llm.conftest import prose
+
+    line, notice = "<div>Follow us for 3 more stories</div>", "<div>Edition 7</div>"
+    one = [(i, f"http://a.example/{i}", f"<body><div>{notice}<p>{prose(i, 40)}</p>{line if i % 3 else ''}<p>{prose(i + 50, 60)}</p></div></body>") for i in range(12)]
+    copies = [(100 + i, f"http://b.example/{i}", f"<body><div><p>{prose(7, 40)}</p><p>{prose(8, 60)}</p></div><div>{prose(i, 3)}</div></body>") for i in range(9)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(one + copies + one[:2], "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == f"{prose(i, 40)}\n{prose(i + 50, 60)}" for i in range(12))
+    assert all(f"{prose(7, 40)}\n{prose(8, 60)}" in got[100 + i] for i in range(9))
+
+
+@pytest.mark.parametrize("bad", ["<a '" * 20000, '<a "x' * 20000, "<" * 100_000, "<div>" * 20000 + "</b>" * 20000, "<b>" * 20000 + "<p>x" * 20000])
+def test_odd_markup_is_read_in_one_pass(bad):
+    import time
+
+    began = time.time()
+    html.main_text(html.parse(bad))
+    assert time.time() - began < 5
+
+
+def test_quotes_hold_brackets_and_open_quotes_do_not_swallow_the_page():
+    assert html.main_text(html.parse('<p title="a > b">x</p><p>y</p>')) == "x\ny"
+    assert html.main_text(html.parse("<p>x</p><p title='open>y</p><p>z</p>")) == "x\ny\nz"
+    assert html.main_text(html.parse("1 < 2 <3 and <p>x")) == "1 < 2 <3 and\nx"

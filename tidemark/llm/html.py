@@ -1,16 +1,23 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
-Pages become element trees. Each page is aligned with its host's reference page
-(the one with the least page_id) by simple tree matching: roots of equal tags
-match, and the children's matches are the best order-keeping ones. Per host and
-reference node it is counted how often a matched node carries the reference's
-text. Nodes that nearly always do are template; varying slots are content.
-Pages that mostly repeat the reference's text (copies) are no evidence. Since a
-slot of a menu or an advert varies too, elements whose tag, role or class says
-that they aren't article text are dropped as well, and if a page marks its
-article, only that part counts.
-
-Pages never gather in one task: reference pages, one per host, are joined to
+Pages become element trees. Pages of a host with the same sections (a layout)
+are aligned with the layout's reference page, the one with the least page_id, by
+simple tree matching: roots of equal tags match, and the children's matches are
+the best order-keeping ones. Over all pages of the layout it is counted, for each
+reference node, how many pages match it, how many carry its text there, and how
+much text varies in it: the text of matched nodes that differ and of the nodes
+below it that match nothing. Nodes whose text hardly ever differs are template.
+The main slot is found by going down from the root as long as one child that
+holds further blocks has most of the varying text. A page's text is what stands
+in its main slot, without template nodes and without short lines that most pages
+of the layout repeat. A node only counts as template on the word of several
+articles (pages with different wording), so copies of a page prove nothing.
+
+Element names, roles and classes are a tie-break: inside the main slot they drop
+what names itself a page part (a menu's and an advert's slots vary too), and they
+choose the text alone where a layout has too few articles for induction.
+
+Pages never gather in one task: reference pages, one per layout, are joined to
 the pages, and the counts are added up before they are shuffled.
 """
 
@@ -19,24 +26,27 @@ from __future__ import annotations
 import functools
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, table
-from tidemark.session import written
+from tidemark.session import ship, written
 
-#: Least pages of evidence, and least share of equal texts, for a template node.
+#: Least articles that vouch for a template node, and least share of pages that carry its text.
 EVIDENCE, CONSTANT = 3, 0.9
-#: Share of equal text from which a page counts as a copy of the reference.
-COPY = 0.7
-#: Inside an article only short constant nodes are template.
-SHORT_WORDS = 15
-#: Bytes of reference pages up to which they are broadcast.
-BROADCAST_BYTES = 8 << 20
+#: Share of a slot's varying text that leads on to one child.
+MOST = 0.6
+#: Share of pages that repeat a line missing from the reference, and its most words.
+REPEATED, SHORT_WORDS = 0.5, 15
+#: Share of common words from which two texts of a node count as the same.
+ALIKE = 0.8
+#: Bytes of reference pages up to which they are broadcast; beyond, pages of a layout are dealt to this many keys.
+BROADCAST_BYTES, SALTS = 8 << 20, 16
 
 # Element names of the HTML standard, and names of page parts.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -48,7 +58,11 @@ ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dial
 #: A start tag of the key ends an open element of the values, up to the bounds.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"ul", "ol", "dl", "table", "select", "article", "body"}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+SECTIONS = "body|nav|header|main|article|aside|section|footer|form|table"
+_NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+#: The rest of a tag, quoted values whole; nothing is tried twice.
+_REST = re.compile(r"""[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>""")
+_ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORDS = re.compile(r"[^-_]+")
 
@@ -63,49 +77,84 @@ class Node:
 
 
 def parse(page: str | None) -> list[Node]:
-    """The elements of a page in document order; the first is an artificial root."""
+    """The elements of a page in document order; the first is an artificial root.
+
+    One pass: a quote that is never closed makes quotes mean nothing from its tag
+    on, so no part of the page is read more than twice.
+    """
     page = page or ""
     nodes = [Node("#root", "", None, 0)]
-    here, at, n = nodes[0], 0, len(page)
+    here, at, n, quoted = nodes[0], 0, len(page), True
+    open_: Counter = Counter()
+
+    def leave(to: Node) -> Node:
+        up = here
+        while up is not to:
+            open_[up.tag] -= 1
+            up = up.parent
+        return to
+
     while at < n:
-        m = _TOKEN.search(page, at)
-        if not m:
+        begin = page.find("<", at)
+        if begin < 0:
             here.children.append(page[at:])
             break
-        if m.start() > at:
-            here.children.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        m = None
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            end = n if end < 0 else end + 3
+        elif page[begin + 1 : begin + 2] in ("!", "?"):
+            end = page.find(">", begin)
+            end = n if end < 0 else end + 1
+        else:
+            m = _NAME.match(page, begin + 1)
+            if not m:  # a lone bracket is text
+                here.children.append(page[at : begin + 1])
+                at = begin + 1
+                continue
+            rest = _REST.match(page, m.end()) if quoted else None
+            if rest is None:
+                quoted, end = False, page.find(">", m.end()) + 1
+                if not end:
+                    here.children.append(page[at:])
+                    break
+            else:
+                end = rest.end()
+        if begin > at:
+            here.children.append(page[at:begin])
+        at = end
+        if m is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            up = here
-            while up.parent and up.tag != tag:
-                up = up.parent
-            if up.parent:
-                here = up.parent
+        tag, attributes = m[0].lower(), page[m.end() : end - 1]
+        if tag[0] == "/":
+            if open_[tag[1:]]:
+                up = here
+                while up.tag != tag[1:]:
+                    up = up.parent
+                here = leave(up.parent)
             continue
-        if tag in BLOCK:  # a block ends an open paragraph
+        if tag in BLOCK and open_["p"]:  # a block ends an open paragraph
             up = here
-            while up.parent and up.tag != "p" and up.tag not in BLOCK:
+            while up.tag != "p" and up.tag not in BLOCK:
                 up = up.parent
             if up.tag == "p":
-                here = up.parent
-        if tag in CLOSES:
+                here = leave(up.parent)
+        if tag in CLOSES and any(open_[x] for x in CLOSES[tag]):
             up = here
             while up.parent and up.tag not in CLOSES[tag] and up.tag not in BOUNDS:
                 up = up.parent
             if up.tag in CLOSES[tag]:
-                here = up.parent
+                here = leave(up.parent)
                 if tag == "tr" and here.tag == "tr":
-                    here = here.parent
-        node = Node(tag, m[3], here, len(nodes))
+                    here = leave(here.parent)
+        node = Node(tag, attributes, here, len(nodes))
         nodes.append(node)
         here.children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
+            stop = _ENDS[tag].search(page, at)
+            at = stop.end() if stop else n
+        elif tag not in VOID and not attributes.rstrip().endswith("/"):
+            open_[tag] += 1
             here = node
     return nodes
 
@@ -219,6 +268,27 @@ def own_text(node: Node) -> str:
     return " ".join(entities.unescape(" ".join(c for c in node.children if isinstance(c, str))).split())
 
 
+_DIGITS = re.compile("[0-9]+")
+
+
+def folded(text: str) -> str:
+    """Lower case, numbers alike."""
+    return _DIGITS.sub("0", text.lower())
+
+
+def alike(a: str, b: str) -> bool:
+    """Equal but for case and numbers, or nearly all words in common."""
+    if a == b:
+        return True
+    if not a or not b or not 0.5 <= len(a) / len(b) <= 2:
+        return False
+    x, y = folded(a), folded(b)
+    if x == y:
+        return True
+    u, v = set(x.split()), set(y.split())
+    return len(u & v) >= ALIKE * len(u | v)
+
+
 def part(value: str) -> bool:
     """Whether one whole token of a class or id names a page part (``cookie-banner``, not ``has-sidebar``)."""
     return any(names and PARTS.issuperset(names) for names in map(_WORDS.findall, value.split()))
@@ -228,13 +298,6 @@ def dropped(node: Node, kept: set[int] = frozenset()) -> bool:
     """Whether the element's tag, role, class or id says that it isn't article text; class and id don't count in ``kept``."""
     if node.tag in DROPPED:
         return True
-    header = node.tag == "header"
-    if header:
-        up = node.parent
-        while up and up.tag not in ("article", "main"):
-            up = up.parent
-        if not up:
-            return True
     if not node.attributes or node.tag in ("html", "body"):
         return False
     for name, *values in _ATTRIBUTE.findall(node.attributes):
@@ -252,53 +315,65 @@ def _above(x: Node | None, into: set[int]) -> None:
         x = x.parent
 
 
-def main_text(nodes: list[Node], template: set[int] = frozenset()) -> str:
-    """The blocks of the article, without the nodes numbered in ``template``.
+def main_text(nodes: list[Node], template: set[int] = frozenset(), main: Node | None = None, silent: set[int] = frozenset()) -> str:
+    """The blocks of the main slot (of the page, without one), less the nodes of ``template`` and whole elements of ``silent``.
 
-    No class or id drops a main or what holds it, nor what holds the only
+    Articles marked as such in the slot are the text if there are any. No class
+    or id drops a main or what holds it or the slot, nor what holds the only
     articles, unless more text is outside them.
     """
-    marked = [x for x in nodes if (x.tag in ("article", "main") or x.tag == "div" and 'itemprop="articleBody"' in x.attributes)]
+    top = main or nodes[0]
+    inside = [False] * len(nodes)
+    for x in nodes:  # parents come first
+        inside[x.number] = x is top or x.parent is not None and inside[x.parent.number]
+    marked = [x for x in nodes if inside[x.number] and (x.tag in ("article", "main") or x.tag == "div" and 'itemprop="articleBody"' in x.attributes)]
     kept: set[int] = set()
+    _above(top, kept)
     for x in marked:
         if x.tag == "main":
             _above(x, kept)
-    gone = _gone(nodes, kept)
-    text = _blocks(nodes, marked, gone, template)
+    gone = _gone(nodes, kept, top)
+    text = _blocks(nodes, marked, gone, template, top, silent)
     if marked and all(gone[x.number] for x in marked):
         for x in marked:
             if not dropped(x):
                 _above(x.parent, kept)
-        other = _blocks(nodes, marked, _gone(nodes, kept), template)
+        other = _blocks(nodes, marked, _gone(nodes, kept, top), template, top, silent)
         return max(text, other, key=len)
     return text
 
 
-def _gone(nodes: list[Node], kept: set[int]) -> list[bool]:
-    out: list[bool] = []
-    for x in nodes:  # parents come first
-        out.append(x.parent is not None and out[x.parent.number] or dropped(x, kept))
+def _gone(nodes: list[Node], kept: set[int], top: Node) -> list[bool]:
+    """Which elements are dropped or below a dropped one; nothing above ``top`` drops it."""
+    out, held = [], []
+    for x in nodes:
+        up = x.parent
+        held.append(x.tag in ("article", "main") or up is not None and held[up.number])
+        out.append(x is not top and (up is not None and out[up.number] or x.tag == "header" and not held[-1] or dropped(x, kept)))
     return out
 
 
-def _blocks(nodes: list[Node], marked: list[Node], gone: list[bool], template: set[int]) -> str:
+def _blocks(nodes: list[Node], marked: list[Node], gone: list[bool], template: set[int], top: Node, silent: set[int]) -> str:
     marked = [x for x in marked if not gone[x.number]]
-    articles = [x for x in marked if x.tag == "article"] or marked
-    inside = {x.number for x in articles}
-    roots = [x for x in articles if not _under(x, inside)] or nodes[:1]
+    articles = {x.number for x in marked if x.tag == "article"} or {x.number for x in marked}
+    under = [False] * len(nodes)
+    for x in nodes:
+        if x.parent:
+            under[x.number] = under[x.parent.number] or x.parent.number in articles
+    roots = [nodes[i] for i in sorted(articles) if not under[i]] or [top]
     blocks: list[list[str]] = [[]]
 
     def walk(root: Node) -> None:
         todo: list[tuple[Node | str | None, bool]] = [(root, True)]
         while todo:
-            x, silent = todo.pop()
+            x, mute = todo.pop()
             if x is None:
                 blocks.append([])
             elif isinstance(x, str):
-                if not silent:
+                if not mute:
                     blocks[-1].append(x)
-            elif not gone[x.number]:
-                mute = x.number in template and (not inside or len(own_text(x).split()) <= SHORT_WORDS)
+            elif not gone[x.number] and x.number not in silent:
+                mute = x.number in template
                 edge = x.tag in BLOCK
                 todo += [(None, False)] * edge
                 todo += [(c, mute) for c in reversed(x.children)]
@@ -313,70 +388,167 @@ def _blocks(nodes: list[Node], marked: list[Node], gone: list[bool], template: s
     return "\n".join(line for line in lines if line)
 
 
-def _under(x: Node, numbers: set[int]) -> bool:
-    up = x.parent
-    while up:
-        if up.number in numbers:
-            return True
-        up = up.parent
-    return False
-
-
 @functools.lru_cache(256)
 def _reference(page: str):
     nodes = parse(page)
-    return shape(nodes), [own_text(x) for x in nodes]
+    return nodes, shape(nodes), [own_text(x) for x in nodes]
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
+
+def identity(texts: list[str]) -> int:
+    """The least hash of a page's runs of three words: mostly the same for pages with mostly the same text."""
+    words = [w for t in texts for w in t.split()]
+    return min((_hash(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
+
+
+def _lines(nodes: list[Node], pairs: tuple[int, ...], texts: list[str]) -> list[tuple[int, int, str]]:
+    """(element, reference node above, folded text) of short elements right below a matched one that match nothing."""
+    whole = list(texts)
+    for x in reversed(nodes):  # children come after their parents
+        if x.parent and pairs[x.number] < 0 and whole[x.number] and len(whole[x.parent.number]) < 40 * SHORT_WORDS:
+            whole[x.parent.number] = f"{whole[x.number]} {whole[x.parent.number]}"
+    out = []
+    for x in nodes[1:]:
+        if pairs[x.number] < 0 <= pairs[x.parent.number] and whole[x.number] and len(whole[x.number].split()) <= SHORT_WORDS:
+            out.append((x.number, pairs[x.parent.number], folded(whole[x.number])))
+    return out
 
 
 def _counted(batches):
-    seen: Counter = Counter()
+    """Per layout and reference node: pages that match it, that carry its text, varying characters, a few identities; and repeated lines (with their hash)."""
+    seen: dict[tuple, list] = defaultdict(lambda: [0, 0, 0, set()])
     for batch in batches:
-        for host, page, reference in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        for host, layout, page, reference in zip(*(batch.column(i).to_pylist() for i in range(4))):
             nodes = parse(page)
-            like, texts = _reference(reference)
-            pairs = [(own_text(x), texts[j], j) for x, j in zip(nodes, match(shape(nodes), like)) if j >= 0 and (texts[j] or x.children)]
-            length = sum(len(a) for a, _, _ in pairs)
-            if sum(len(a) for a, b, _ in pairs if a == b) > COPY * length:
-                continue
-            for a, b, j in pairs:
-                seen[host, j, a == b and bool(a)] += 1
-    keys = list(seen)
-    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] if k[2] else 0 for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], ["host", "node", "same", "n"])
+            _, like, known = _reference(reference)
+            pairs = match(shape(nodes), like)
+            texts = [own_text(x) for x in nodes]
+            who = identity(texts)
+            above = list(pairs)
+            for x in nodes:
+                i = x.number
+                if above[i] < 0 and x.parent:
+                    above[i] = above[x.parent.number]
+                j = pairs[i]
+                same = j >= 0 and alike(texts[i], known[j])
+                if j >= 0:
+                    entry = seen[host, layout, j, 0]
+                    entry[0] += 1
+                    entry[1] += same
+                    if (same or j == 0) and len(entry[3]) < EVIDENCE:
+                        entry[3].add(who)
+                if not same and above[i] >= 0 and x.tag not in RAW:
+                    seen[host, layout, above[i], 0][2] += len(texts[i])
+            for j, line in {(j, line) for _, j, line in _lines(nodes, pairs, texts)}:
+                entry = seen[host, layout, j, _hash(line)]
+                entry[0] += 1
+                if len(entry[3]) < EVIDENCE:
+                    entry[3].add(who)
+    keys, rows = list(seen), list(seen.values())
+    types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    columns = [*([k[i] for k in keys] for i in range(4)), *([r[i] for r in rows] for i in range(3)), [sorted(r[3]) for r in rows]]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "layout", "node", "line", "n", "same", "mass", "who"])
+
+
+def main_slot(nodes: list[Node], mass: list[int]) -> int:
+    """The reference node reached from the root through children with most of the varying text; ``mass`` is each node's own."""
+    below, own = list(mass), list(mass)
+    for x in reversed(nodes):
+        if x.parent:
+            below[x.parent.number] += below[x.number]
+    here = nodes[0]
+    while True:
+        best = max((c for c in here.children if not isinstance(c, str)), key=lambda c: (below[c.number], -c.number), default=None)
+        if best is None or below[best.number] < MOST * below[here.number] or not below[best.number]:
+            return here.number
+        if best.tag not in BLOCK or best.tag in ("p", "pre", "li", "td", "dd", "dt") or best.tag.startswith("h") and best.tag[1:].isdigit():
+            return here.number  # text, not a slot of blocks
+        here = best
+
+
+def _wrapper(group):
+    """One row (host, layout, reference, main, template, lines) of a layout's counts."""
+    node, line, n, same, mass, who = (group.column(c).to_pylist() for c in ("node", "line", "n", "same", "mass", "who"))
+    nodes, _, _ = _reference(group.column("reference")[0].as_py())
+    vary, pages = [0] * len(nodes), max((c for c, h in zip(n, line) if not h), default=0)
+    template, lines = [], []
+    for j, h, c, s, m, w in zip(node, line, n, same, mass, who):
+        if h:
+            if c >= max(EVIDENCE, REPEATED * pages) and len(w) >= EVIDENCE:
+                lines.append(h)
+            continue
+        vary[j] = m
+        if c >= EVIDENCE and s >= CONSTANT * c and len(w) >= EVIDENCE:
+            template.append(j)
+    articles = max((len(w) for j, h, w in zip(node, line, who) if j == 0 and not h), default=0)
+    main = main_slot(nodes, vary) if articles >= EVIDENCE and sum(vary) else -1
+    kinds = pa.list_(pa.int32()), pa.list_(pa.int64())
+    return pa.table({"host": group.column("host")[:1], "layout": group.column("layout")[:1], "reference": group.column("reference")[:1], "main": pa.array([main], pa.int32()), "template": pa.array([sorted(template)], kinds[0]), "lines": pa.array([sorted(lines)], kinds[1])})
 
 
 def _extracted(batches):
     for batch in batches:
-        page_id, url, page, reference, template = (batch.column(i).to_pylist() for i in range(5))
         out = []
-        for p, r, t in zip(page, reference, template):
-            nodes = parse(p)
-            constant: set[int] = set()
-            if t and r is not None:
-                like, texts = _reference(r)
-                known = set(t)
-                constant = {x.number for x, j in zip(nodes, match(shape(nodes), like)) if j in known and own_text(x) == texts[j]}
-            out.append((main_text(nodes, constant), len(nodes), len(constant)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in out]), pa.array([len(x[0]) for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())], ["page_id", "url", "text", "n_chars", "n_elements", "n_template"])
+        for page, reference, main, template, lines in zip(*(batch.column(i).to_pylist() for i in range(2, 7))):
+            nodes = parse(page)
+            constant, slot, silent = set(), None, set()
+            if reference is not None and main is not None and main >= 0:
+                _, like, known = _reference(reference)
+                pairs = match(shape(nodes), like)
+                fixed, repeated = set(template), set(lines)
+                constant = {x.number for x in nodes if pairs[x.number] in fixed and alike(own_text(x), known[pairs[x.number]])}
+                slot = next((x for x in nodes if pairs[x.number] == main), None)
+                if repeated:
+                    silent = {i for i, _, line in _lines(nodes, pairs, [own_text(x) for x in nodes]) if _hash(line) in repeated}
+            out.append((main_text(nodes, constant, slot, silent), len(nodes), len(constant), slot is not None))
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+        columns = [[x[0] for x in out], [len(x[0]) for x in out], [x[1] for x in out], [x[2] for x in out], [x[3] for x in out]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, types)]], ["page_id", "url", "text", "n_chars", "n_elements", "n_template", "induced"])
+
+
+def layout_of(page: Column) -> Column:
+    """Which sectioning elements a page has: pages that differ here are wrapped apart."""
+    return F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(page), F.lit(rf"<({SECTIONS})[\s>]"), F.lit(1)))), ",")
+
+
+def wrappers(rows: DataFrame) -> DataFrame:
+    """One row per (host, layout) of (host, layout, page_id, html): reference page, main slot (-1: none), template nodes, repeated lines."""
+    ship(rows.sparkSession)
+    # one page per layout survives in each task before the shuffle
+    references = written(rows.where("host <> ''").groupBy("host", "layout").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "html")).alias("r")).select("host", "layout", F.col("r.html").alias("reference")), "references")
+    counts = arrow_map(_joined(rows, references, "inner").select("host", "layout", "html", "reference"), _counted, "host string, layout string, node int, line bigint, n bigint, same bigint, mass bigint, who array<bigint>")
+    total = counts.groupBy("host", "layout", "node", "line").agg(F.sum("n").alias("n"), F.sum("same").alias("same"), F.sum("mass").alias("mass"), F.slice(F.array_distinct(F.flatten(F.collect_list("who"))), 1, EVIDENCE).alias("who"))
+    several = total.where((F.col("line") == 0) | (F.col("n") >= EVIDENCE))
+    return written(several.join(references, ["host", "layout"]).groupBy("host", "layout").applyInArrow(_wrapper, "host string, layout string, reference string, main int, template array<int>, lines array<bigint>"), "wrappers")
+
+
+def _joined(rows: DataFrame, small: DataFrame, how: str) -> DataFrame:
+    """Pages with their layout's row of ``small``: broadcast up to BROADCAST_BYTES, else joined with a layout's pages dealt to SALTS keys."""
+    size = small.agg(F.coalesce(F.sum(F.octet_length("reference")), F.lit(0))).first()[0]
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(small), ["host", "layout"], how)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
+    return salted.join(small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "layout", "salt"], how)
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """One row per page: its main text, and how many elements it has and were template.
+    """One row per page: its main text, how many elements it has and were template, whether its layout's main slot was found.
 
-    Null html is empty and gives an empty text; a null or hostless url makes the
-    page its host's only one, so nothing of it is template; pages with equal
-    html are copies of each other and never evidence of a template.
+    Null html is empty and gives an empty text; a null or hostless url, or a
+    layout with fewer than EVIDENCE articles, leaves the choice to element names;
+    pages with equal or much the same html count as one article when a template
+    is judged, so rows may repeat; an empty table gives no rows; further columns
+    are ignored.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", 1))
-    rows = pages.select(F.col("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    # one page per host survives in each task before the shuffle
-    references = written(rows.where("host <> ''").groupBy("host").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "html")).alias("r")).select("host", F.col("r.html").alias("reference")), "references")
-    size = references.agg(F.coalesce(F.sum(F.octet_length("reference")), F.lit(0))).first()[0]
-    small = (lambda df: F.broadcast(df)) if size <= BROADCAST_BYTES else (lambda df: df)
-    counts = arrow_map(rows.join(small(references), "host").select("host", "html", "reference"), _counted, "host string, node int, same bigint, n bigint")
-    nodes = counts.groupBy("host", "node").agg(F.sum("same").alias("same"), F.sum("n").alias("n")).where((F.col("n") >= EVIDENCE) & (F.col("same") >= CONSTANT * F.col("n")))
-    marked = written(references.join(nodes.groupBy("host").agg(F.collect_list("node").alias("template")), "host", "left"), "templates")
-    return arrow_map(rows.join(small(marked), "host", "left").select("page_id", "url", "html", "reference", "template"), _extracted, "page_id bigint, url string, text string, n_chars bigint, n_elements bigint, n_template bigint")
+    rows = pages.select(F.col("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html"), host.alias("host")).withColumn("layout", layout_of(F.col("html")))
+    marked = _joined(rows, wrappers(rows), "left").select("page_id", "url", "html", "reference", "main", "template", "lines")
+    return arrow_map(marked, _extracted, "page_id bigint, url string, text string, n_chars bigint, n_elements bigint, n_template bigint, induced boolean")
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page, rules as in ``extract``."""
     return extract(table(spark, sf_dir, "pages"))
