@@ -126,7 +126,6 @@ def test_packing_is_lossless(spark, sf_dir, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = Counter()
     for r in rows:
         ids = np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4")
@@ -145,6 +144,27 @@ def test_packing_is_lossless(spark, sf_dir, rows):
         assert at <= 2048
 
 
+def test_ids_equal_the_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(3)
+    odd = ["hello <|endoftext|> x", "<|endoftext|>", "it's they'll 's'S \n\n x \t\r\n  y   ", "\x1c\x1d\x85\xa0 a\u2003b\u3000 c", "½²३ x_1 __a", "a" * 3000 + " b", "\U000107bb\u0558 ab", "", " ", "\n"]
+    for size, top in ((40, 128), (60, 0x250), (60, 0xD800), (40, 0x30000)):
+        odd += ["".join(chr(c) for c in rng.integers(0, top, size) if not 0xD800 <= c < 0xE000) for _ in range(300)]
+        odd += ["".join(rng.choice(list("a1 \n\t'.sl\x1f"), size)) for _ in range(100)]
+    encode = packing.Encoder()
+    for text in odd:
+        assert encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_equal_rows_spread_over_blocks(spark):
+    rows = spark.range(20_000).select(F.lit(5).cast("bigint").alias("doc_id"), F.lit("the same few words").alias("text"))
+    got = packing.packed(rows).groupBy(F.shiftright("sequence_id", 32).alias("block")).agg(F.count("*").alias("n")).collect()
+    assert sum(r.n for r in got) == 20_000 and len(got) >= 18 and max(r.n for r in got) < 2 * packing.BLOCK_PIECES
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_differencing_respects_the_capacity(seed):
     rng = np.random.default_rng(seed)

@@ -12,9 +12,12 @@ more windows.
 
 from __future__ import annotations
 
-import base64
 import heapq
+import os
+import re
+import unicodedata
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -28,35 +31,82 @@ CAPACITY, END_ID = 2048, 1
 #: Pieces of one block: bounds a task's memory and the differencing's time.
 BLOCK_PIECES = 1024
 VOCABULARY = "byte_bpe_50k"
-_ENCODERS: dict[str, object] = {}
-
-
-def encoder(vocabulary: str = VOCABULARY):
-    """A function from texts to lists of ids.
-
-    The rank file holds the vocabulary of the JSON file and gives the same ids
-    several times faster; texts it can't take go to the JSON file's tokenizer.
+#: Words whose ids a worker remembers, and the longest of them; longer ones are tokenised with their text.
+MOST_WORDS, WORD_CHARS = 500_000, 1000
+_ENCODERS: dict[str, Encoder] = {}
+#: The vocabulary's words in ASCII text.
+_ASCII = re.compile(r"'(?:[sdmt]|ll|ve|re)| ?[A-Za-z]++| ?[0-9]++| ?[^\t-\r A-Za-z0-9]++|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]")
+#: The vocabulary's characters for bytes: printable Latin-1 stands for itself, the others follow from 256 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
+
+class Encoder:
+    """Ids by the vocabulary's tokenizer, whose model is asked once for each distinct word.
+
+    Merges never cross the words its pre-tokenizer cuts, so a text's ids are
+    those of its words. Texts with a special token's string, with unassigned code
+    points (on which Unicode versions differ) or with very long words go to the
+    tokenizer whole.
     """
-    if vocabulary not in _ENCODERS:
+
+    def __init__(self, vocabulary: str = VOCABULARY):
         import public_tokenizers
-        import tiktoken
+        import regex
         from tokenizers import Tokenizer
 
-        with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        slow: list[Tokenizer] = []
-
-        def encode(text: str) -> list[int]:
-            try:
-                return fast.encode_ordinary(text)
-            except Exception:  # the pattern's stack can end on very long runs
-                if not slow:
-                    slow.append(Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json")))
-                    slow[0].encode_special_tokens = True
-                return slow[0].encode(text, add_special_tokens=False).ids
-
-        _ENCODERS[vocabulary] = encode
+        self.tokenizer = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.cut = regex.compile(public_tokenizers.PATTERN)
+        self.plain: set[str] = set()
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.known = self.total = 0
+        self.start, self.size, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 17, np.uint32)
+
+    def assigned(self, text: str) -> bool:
+        new = set(text) - self.plain
+        if any(unicodedata.category(c) == "Cn" for c in new):
+            return False
+        self.plain |= new
+        return True
+
+    def learn(self, words: list[str]) -> None:
+        found = [[t.id for t in self.model.tokenize(w.encode().decode("latin-1").translate(_BYTES))] for w in words]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        n, total = self.known + len(words), self.total + int(size.sum())
+        if n > len(self.size):
+            self.start, self.size = (np.concatenate([x, np.zeros(n, np.int64)]) for x in (self.start, self.size))
+        if total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(total, np.uint32)])
+        self.size[self.known : n], self.start[self.known : n] = size, self.total + np.cumsum(size) - size
+        self.flat[self.total : total] = [i for ids in found for i in ids]
+        self.known, self.total = n, total
+
+    def __call__(self, text: str) -> np.ndarray:
+        ascii_ = text.isascii()
+        words = (_ASCII if ascii_ else self.cut).findall(text)
+        if any(s in text for s in self.special) or not (ascii_ or self.assigned(text)) or len(max(words, key=len, default="")) > WORD_CHARS:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        if self.known > MOST_WORDS:
+            self.clear()
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if len(self.number) > self.known:
+            new, first = np.unique(at, return_index=True)
+            self.learn([words[i] for i in first[new >= self.known].tolist()])
+        size = self.size[at]
+        return self.flat[np.repeat(self.start[at] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+
+
+def encoder(vocabulary: str = VOCABULARY) -> Encoder:
+    """This process's encoder of the vocabulary."""
+    if vocabulary not in _ENCODERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one core a task
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
     return _ENCODERS[vocabulary]
 
 
@@ -72,7 +122,7 @@ def _pieces(capacity: int, vocabulary: str):
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), END_ID], "<u4")
+                ids = np.append(encode(text.as_py() or ""), np.uint32(END_ID)).astype("<u4")
                 out += [(doc_id, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids)) for start, length in cuts(len(ids), capacity)]
             columns = list(zip(*out)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
@@ -163,9 +213,11 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     ship(spark)
     pieces = written(arrow_map(narrow(docs, "doc_id", "text"), _pieces(capacity, vocabulary), PIECE), "pieces")
     blocks = max(1, -(-pieces.count() // BLOCK_PIECES))
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)))
+    # by place in the written table, not by content: equal rows spread over the blocks
+    dealt = pieces.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
     return dealt.groupBy("block").applyInArrow(_pack_block(capacity), f"{PIECE}, sequence_id bigint, offset bigint")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2,048 ids, rules as in ``packed``."""
     return packed(table(spark, sf_dir, "documents"))
