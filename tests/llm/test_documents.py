@@ -63,18 +63,49 @@ def test_simhash_keeps_one_row_of_each_component(clashing, rows):
     assert set(kept[0]) == set(clashing.columns)
 
 
-@pytest.mark.parametrize("groups", [6, 8])
-def test_links_equal_all_pairs(spark, groups):
+def test_links_equal_all_pairs(spark):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     near = [b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 6), replace=False))) for b in base for _ in range(4)]
     every = sorted({int(x) for x in np.array([*base, *near], np.uint64).view(np.int64)})
     df = spark.createDataFrame([(x,) for x in every], "fp bigint")
-    got = {(r.a, r.b) for r in simhash.links(df, groups).collect()}
+    got = {tuple(r) for r in map(sorted, simhash.links(df).collect())}
     mask = (1 << 64) - 1
     assert got == {(a, b) for i, a in enumerate(every) for b in every[i + 1 :] if ((a ^ b) & mask).bit_count() <= 3}
 
 
+def test_the_bound_rejects_and_never_loses(spark):
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    flips = [sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 9), replace=False)) for _ in x]
+    y = x ^ np.array(flips, np.uint64)
+    df = spark.createDataFrame([(int(a), int(b)) for a, b in zip(x.view(np.int64), y.view(np.int64))], "a bigint, b bigint")
+    m = simhash.manhattan(simhash.counts_of(F.col("a")), simhash.counts_of(F.col("b")))
+    got = df.select("a", "b", m.alias("m"), F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("h")).collect()
+    fields = lambda v: [(v >> 2 * i & 1) + (v >> 2 * i + 1 & 1) for i in range(32)]
+    mask = (1 << 64) - 1
+    assert all(r.m == sum(abs(p - q) for p, q in zip(fields(r.a & mask), fields(r.b & mask))) <= r.h for r in got)
+    dense = spark.range(3000).select(F.col("id").alias("fp"))  # neighbours everywhere: cells hold far pairs too
+    met = simhash.candidates(dense)
+    near = met.where(simhash.manhattan(F.col("x.v"), F.col("y.v")) <= 3)
+    assert met.count() > near.count() > simhash.links(dense).count()
+
+
+def test_random_fingerprints_meet_few_candidates(spark):
+    n = 50_000
+    some = spark.range(n).select(F.xxhash64("id").alias("fp")).distinct()
+    assert simhash.candidates(some).count() < n
+
+
+def test_hub_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB", 10)
+    rows = spark.range(300).select((F.col("id") % 7 * (F.col("id") % 2)).alias("k"), "id")
+    per = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("m"))
+    assert {(r.k, r.id, r.m) for r in common.hub_join(rows, per, "k").collect()} == {(r.k, r.id, r.m) for r in rows.join(per.drop("n"), "k").collect()}
+    edges = [(0, i) for i in range(1, 80)]
+    assert {r.component for r in common.connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()} == {0}
+
+
 def test_hot_cells_give_the_same_components(spark, monkeypatch):
     base = 0x0123456789ABCDEF
     every = sorted({base ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i, 20)})

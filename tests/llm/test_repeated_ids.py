@@ -10,3 +10,9 @@ def test_each_text_of_a_repeated_id_keeps_a_row(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA).repartition(3)
     got = sorted((r.doc_id, r.text) for r in simhash.one_of_each(df).collect())
     assert got == sorted([(1, a), (1, b), (3, c)])
+
+
+def test_equal_ids_in_different_components(spark):
+    a, b = prose(801, 80), prose(802, 80)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in [(1, a), (1, b), (2, b)]], SCHEMA)
+    assert sorted(r.text for r in simhash.one_of_each(df).collect()) == sorted([a, b])
