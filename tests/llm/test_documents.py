@@ -286,10 +286,62 @@ def test_redaction_leaves_no_base_span(hard):
 
 
 def test_em_finds_the_unreliable_labeler():
-    rows = [((1, 1, 1), 80.0), ((1, 1, 0), 80.0), ((0, 0, 1), 60.0), ((0, 0, 0), 60.0), ((1, 0, 1), 5.0), ((0, 1, 0), 5.0), ((-1, 1, 0), 9.0)]
-    rate, post = pii.reliabilities(rows)
-    assert post[0] > 0.9 > 0.1 > post[3] and post[6] > 0.9
-    assert abs(rate[2][1] - rate[2][0]) < 0.1 < rate[1][1] - rate[1][0]
+    rng = np.random.default_rng(1)
+    rates = [(0.05, 0.95), (0.2, 0.85), (0.3, 0.9), (0.5, 0.5)]
+    counts = Counter()
+    for _ in range(20_000):
+        kind = "phone" if rng.random() < 0.5 else "email"
+        true = rng.random() < (0.7 if kind == "phone" else 0.2)
+        votes = tuple(-1 if j == 3 and rng.random() < 0.4 else int(rng.random() < r[int(true)]) for j, r in enumerate(rates))
+        counts[kind, votes] += 1
+    rate, prior, post = pii.reliabilities([(k, v, n) for (k, v), n in sorted(counts.items())])
+    for got, want in zip(rate, rates):
+        assert got[0] == pytest.approx(want[0], abs=0.05) and got[1] == pytest.approx(want[1], abs=0.05)
+    assert prior["phone"] == pytest.approx(0.7, abs=0.05) and prior["email"] == pytest.approx(0.2, abs=0.05)
+    assert pii.reliabilities([])[2] == []
+
+
+def test_the_classifier_accepts_and_rejects_loose_spans(spark):
+    rows = []
+    for i in range(60):
+        rows += [f"mail jo{i}@site.org or call +1 555 010 {1000 + i}", f"phone (415) 555-{1000 + i} please", f"order 155 123 {2000 + i} shipped", f"contact ann{i} (at) mail (dot) org", f"x{i} at y dot zz"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    found = {r.doc_id: r for r in pii.spans(df).collect()}
+    kinds = lambda i: [k for k in pii.KINDS if found[i][f"_{k}"]]
+    for i in range(0, 300, 5):
+        assert kinds(i) == ["email", "phone"] and kinds(i + 1) == ["phone"] and kinds(i + 2) == [] and kinds(i + 3) == ["email"] and kinds(i + 4) == []
+        s = found[i + 1]["_phone"][0]
+        assert rows[i + 1][s.start : s.end].startswith("(415)")
+
+
+def test_prefix_chunks_and_bisection(spark):
+    rng = np.random.default_rng(2)
+    values = [rng.integers(0, 9, n).tolist() for n in (0, 1, 63, 64, 65, 500)]
+    df = spark.createDataFrame([(v,) for v in values], "v array<bigint>")
+    for r in df.select("v", pii.prefix(F.col("v"), lambda a, b: a + b).alias("s"), pii.prefix(F.col("v"), lambda a, b: F.greatest(a, b)).alias("m")).collect():
+        assert r.s == [sum(r.v[:i]) for i in range(len(r.v))] and r.m == [max(r.v[:i], default=0) for i in range(len(r.v))]
+    text = "é😀x" * 5000
+    at = [(0, 0), (0, 1), (511, 512), (511, 513), (512, 1024), (4095, 4096), (4095, 4097), (4096, 8192), (10, 14_999), (5000, 15_000), (14_999, 15_000)]
+    got = spark.createDataFrame([(text, a, b) for a, b in at], "t string, a bigint, b bigint").select(pii.piece(pii.chunked(F.col("t")), F.col("a"), F.col("b")).alias("p"), "a", "b").collect()
+    assert all(r.p == text[r.a : r.b] for r in got)
+    others = [(i * 10, i * 10 + 4) for i in range(50)]
+    asked = [(a, a + n) for a in range(-3, 505, 3) for n in (1, 5, 30)]
+    df = spark.createDataFrame([(others, s, e) for s, e in asked], "o array<struct<start:bigint,end:bigint>>, start bigint, end bigint")
+    for r in df.select("start", "end", pii.free_of(F.struct("start", "end"), F.col("o")).alias("f")).collect():
+        assert r.f == all(b <= r.start or a >= r.end for a, b in others)
+
+
+def test_a_long_text_with_many_spans_is_quick(spark, tmp_path):
+    import time
+
+    text = " ".join(f"jo{i}@site{i}.org 10.0.{i % 250}.7 +1555010{i:05d}" for i in range(20_000))
+    spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    began = time.time()
+    (r,) = pii.op7_pii(spark, str(tmp_path)).collect()
+    assert (r.n_email, r.n_ip, r.n_phone) == (20_000, 20_000, 20_000) and r.base_sha256 == hashlib.sha256(",".join(brute_spans(text)).encode()).hexdigest()
+    (clean,) = pii.redacted(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    assert clean.text == " ".join(["<EMAIL> <IP> <PHONE>"] * 20_000)
+    assert time.time() - began < 120
 
 
 def test_gif_queries_round_trip(spark, sf_dir, rows):
