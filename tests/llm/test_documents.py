@@ -146,12 +146,26 @@ def test_decontamination_matches_brute_force(spark, sf_dir, rows, monkeypatch):
         if len(r[1] or "") < 20_000:
             n, h, found = brute_overlap(r[1], items)
             want[r[0], n, h, len(found), hashlib.sha256(",".join(found).encode()).hexdigest(), h > 0 and 20 * h >= n] += 1
-    for block in (500_000, 3):  # one pass, then a pass per item
-        monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+    for bits in (1 << 28, 64):  # a filter that hardly errs, and one that lets nearly everything pass
+        monkeypatch.setattr(decontam, "FILTER_BITS", bits)
         got = Counter((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in collect(decontam.op10_decontamination(spark, sf_dir)) if r["n_words"] < 5000)
         assert got == want
 
 
+def test_decontamination_of_random_texts(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: " ".join(rng.choice(list("abc"), n))  # noqa: E731  three words: windows recur everywhere
+    items = [(i, word(n)) for i, n in enumerate((1, 4, 5, 6, 13, 14, 30))] + [(7, word(20)), (7, word(20))]
+    docs = [(i, word(int(rng.integers(0, 60))) + " z " + items[i % 9][1] + " y " + word(5)) for i in range(40)]
+    got = decontam.overlaps(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = {i: brute_overlap(t, items) for i, t in docs}
+    assert {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in got} == want
+    texts = dict(docs)
+    for r in got:
+        w = lowered(texts[r.doc_id])
+        assert {" ".join(w[s.start : s.end]) for s in r.spans} <= {" ".join(lowered(t)[j : j + 13]) for _, t in items for j in range(max(1, len(lowered(t)) - 12))}
+
+
 def test_packing_is_lossless(spark, sf_dir, rows):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -370,7 +384,9 @@ def test_extra_columns_do_not_clash(clashing, docs):
     assert lattice.scores(clashing).count() == n
     assert licenses.scan(clashing).count() == n
     assert quality.scored(clashing, None).count() == n
-    assert decontam.overlaps(clashing, clashing.limit(0).select(F.col("doc_id").alias("item_id"), "text")).count() == n
+    nothing = clashing.limit(0).select(F.col("doc_id").alias("item_id"), "text")
+    assert decontam.overlaps(clashing, nothing).count() == n
+    assert decontam.clean_of(clashing, nothing).columns == clashing.columns
     assert packing.packed(clashing).where("start = 0").count() == n
 
 
