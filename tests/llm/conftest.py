@@ -40,7 +40,7 @@ def clashing(docs):
     """Extra columns named like the operators' own."""
     from pyspark.sql import functions as F
 
-    names = ["fp", "v", "grid", "cell", "score", "spans", "n_words", "items", "block", "chunk", "idx", "word", "label", "x", "start", "end", "component", "least", "reference", "host", "held_out", "lang_pred"]
+    names = ["fp", "v", "grid", "cell", "score", "spans", "n_words", "items", "block", "chunk", "idx", "word", "label", "x", "start", "end", "component", "least", "reference", "host", "held_out", "lang_pred", "_score", "_attention", "_fp", "_component", "_place", "_part", "_parts", "_bad_id", "_bad_key", "_key", "key", "_text", "_chunks", "_email", "_ip", "_card", "_phone", "_loose_email", "_spans", "_items", "_words", "_hits"]
     return docs.withColumns({n: F.lit("clash") for n in names})
 
 

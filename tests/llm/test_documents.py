@@ -368,6 +368,24 @@ def test_gif_queries_round_trip(spark, sf_dir, rows):
     assert got == want
 
 
+def test_long_texts_are_read_in_slices(monkeypatch):
+    from tidemark.llm import bytestats
+
+    text = " ".join(f"word{i} ünd" for i in range(4000)).encode()
+    whole = bytestats.ngram_counts([text], 512)
+    monkeypatch.setattr(bytestats, "GROUP_BYTES", 1000)
+    assert (bytestats.ngram_counts([text], 512) == whole).all()
+    monkeypatch.setattr(bytestats, "GROUP_BYTES", 2048)
+    x, count = bytestats.passages([text])
+    assert count.tolist() == [len(x)] == [-(-len(text) // bytestats.PASSAGE_BYTES)]
+    assert len(quality.spread(x, 5)) == 5 and len(quality.spread(x[:3], 5)) == 3
+    pieces = [("a", 256), ("aa", 257), ("\u2581", 258)]
+    model = lattice.Lattice(pieces, np.log(np.full(259, 0.3)))
+    counts = [0.0] * 259
+    model.expect("a" * 25_000, 1.0, counts)
+    assert counts[256] + 2 * counts[257] == pytest.approx(25_000) and model.score("a" * 200_000) < 0
+
+
 def test_every_query_takes_empty_tables(spark, tmp_path):
     schemas = {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "benchmark": "item_id bigint, text string", "labels": "doc_id bigint, quality int, toxic int", "pages": "page_id bigint, url string, html string"}
     for name, schema in schemas.items():
@@ -384,6 +402,8 @@ def test_extra_columns_do_not_clash(clashing, docs):
     assert lattice.scores(clashing).count() == n
     assert licenses.scan(clashing).count() == n
     assert quality.scored(clashing, None).count() == n
+    assert quality.accepted(clashing, None).columns == simhash.one_of_each(clashing).columns == pii.redacted(clashing).columns == clashing.columns
+    assert pii.redacted(clashing).where("_email = 'clash' and _key = 'clash'").count() == quality.accepted(clashing, None).where("_score = 'clash'").count() == n
     nothing = clashing.limit(0).select(F.col("doc_id").alias("item_id"), "text")
     assert decontam.overlaps(clashing, nothing).count() == n
     assert decontam.clean_of(clashing, nothing).columns == clashing.columns

@@ -113,6 +113,18 @@ def test_broken_files_keep_what_they_have(spark):
     assert all(r.error and r.frame is None for r in got if r.k > 1)
 
 
+def test_odd_sizes_end_with_an_error():
+    picture = image(0, 0, 3, 2, [0] * 6)
+    for size in (0, 1, 9, 11, 12, 63, 64, 70, 255):
+        at = len(HEAD) + 10
+        data = HEAD + picture[:10] + bytes([size]) + picture[11:] + b"\x3b"
+        assert data[at] == size and gif.decode(data).error == f"broken: code size {size}"
+    vast = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0x81, 0, 0) + PALETTE
+    assert "canvas" in gif.decode(vast + picture).error
+    assert "image 0" in gif.decode(HEAD + image(0, 0, 65535, 65535, [0] * 6)).error
+    assert len(gif.decode(HEAD + picture * 5 + b"\x3b", most_total=18).frames) == 3
+
+
 def test_templates_are_found_in_noise():
     index = licenses.Index()
     for name, text in licenses.TEMPLATES.items():

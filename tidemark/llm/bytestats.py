@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Bytes of one group of texts (a longer text is a group of its own).
+#: Bytes of one group of texts, and of one slice of a longer text.
 GROUP_BYTES = 2 << 20
 _SLOT = np.uint64(0x9E3779B97F4A7C15)
 #: One multiplier for each position in a word, repeating after 64 bytes.
@@ -29,6 +29,10 @@ def groups(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def slices(text: bytes, step: int = GROUP_BYTES) -> list[bytes]:
+    return [text[at : at + step] for at in range(0, len(text), step)] or [text]
+
+
 def joined(texts: list[bytes], gap: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts, each followed by ``gap``, and the number of each byte's text."""
     data = np.frombuffer(gap.join([*texts, b""]), np.uint8)
@@ -37,7 +41,17 @@ def joined(texts: list[bytes], gap: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ngram_counts(texts: list[bytes], buckets: int) -> np.ndarray:
-    """Hashed counts of 1-, 2- and 3-grams of bytes; a text's end counts as two zero bytes."""
+    """Hashed counts of 1-, 2- and 3-grams of bytes; a text's end counts as two zero bytes. A long text is counted in slices."""
+    if len(texts) == 1 and len(texts[0]) > GROUP_BYTES:
+        total = np.zeros((1, buckets), np.int64)
+        for at in range(0, len(texts[0]), GROUP_BYTES):
+            both = texts[0][at : at + GROUP_BYTES + 2]  # the grams that begin in the two bytes beyond count with the next slice
+            total += _ngram_counts([both], buckets) - (_ngram_counts([both[GROUP_BYTES:]], buckets) if len(both) > GROUP_BYTES else 0)
+        return total
+    return _ngram_counts(texts, buckets)
+
+
+def _ngram_counts(texts: list[bytes], buckets: int) -> np.ndarray:
     data, owner = joined(texts, b"\0\0")
     x = data.astype(np.uint32)
     inside = np.flatnonzero(data)
@@ -70,7 +84,17 @@ FEATURES = CLASSES + COARSE * COARSE + WORDS
 
 
 def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every passage (PASSAGE_BYTES of a text, at least one), and passages of each text."""
+    """Features of every passage (PASSAGE_BYTES of a text, at least one), and passages of each text.
+
+    A long text is read in slices of whole passages.
+    """
+    if len(texts) == 1 and len(texts[0]) > GROUP_BYTES:
+        parts = [_passages([part])[0] for part in slices(texts[0])]
+        return np.concatenate(parts), np.array([sum(map(len, parts))])
+    return _passages(texts)
+
+
+def _passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data, owner = joined(texts, b"\n")
     length = np.array([len(t) + 1 for t in texts])
     start = np.cumsum(length) - length

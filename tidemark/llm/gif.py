@@ -24,6 +24,8 @@ from tidemark.llm.common import arrow_map, narrow, table
 #: Payloads are stored in rows of this many pixels, frames of at most this many rows.
 WIDTH, FRAME_ROWS, DELAY_CS = 192, 256, 10
 MOST_CODES = 4096
+#: Pixels of the largest canvas or image that is decoded (RGBA: 64 MB), and of all frames of a file (1 GB); beyond, the row has an error.
+MOST_PIXELS, MOST_TOTAL = 16 << 20, 256 << 20
 
 
 @functools.cache
@@ -189,11 +191,13 @@ def _palette(triples: bytes) -> np.ndarray:
     return colours
 
 
-def decode(data: bytes | None) -> Gif:
+def decode(data: bytes | None, most_pixels: int = MOST_PIXELS, most_total: int = MOST_TOTAL) -> Gif:
     """All frames of a GIF, composed by its disposal and transparency rules.
 
     Null, empty or foreign bytes give no frames and an error; a file that breaks
-    off gives the frames before the break, the last filled as far as it goes.
+    off gives the frames before the break, the last filled as far as it goes; a
+    code size outside 2 to 8, a canvas or image of more than ``most_pixels``, or
+    frames of more than ``most_total`` pixels end the file there with an error.
     """
     gif = Gif()
     if not data or data[:6] not in (b"GIF87a", b"GIF89a"):
@@ -205,6 +209,8 @@ def decode(data: bytes | None) -> Gif:
         if flags & 0x80:
             n = 2 << (flags & 7)
             shared, at = _palette(data[at : at + 3 * n]), at + 3 * n
+        if gif.height * gif.width > most_pixels:
+            raise ValueError(f"canvas of {gif.width} x {gif.height}")
         canvas = np.zeros((gif.height, gif.width, 4), np.uint8)
         clock = delay = disposal = 0
         transparent = -1
@@ -226,6 +232,10 @@ def decode(data: bytes | None) -> Gif:
             if colours is None:
                 raise ValueError("no palette")
             size = data[at]
+            if not 2 <= size <= 8:
+                raise ValueError(f"code size {size}")
+            if w * h > most_pixels or gif.height * gif.width * (len(gif.frames) + 1) > most_total:
+                raise ValueError(f"image {len(gif.frames)} of {w} x {h}")
             stream, at = _blocks(data, at + 1)
             index = np.zeros(w * h, np.uint8)
             got = lzw_decode(stream, size, w * h)
@@ -275,35 +285,38 @@ def encode(payload: bytes, width: int = WIDTH, rows: int = FRAME_ROWS, delay_cs:
     return b"".join([*out, b"\x3b"])
 
 
-FRAMES = "frame int, at_ms bigint, delay_ms bigint, width int, height int, pixels binary, histogram array<bigint>, error string"
+FRAMES = "frame int, at_ms bigint, delay_ms bigint, width int, height int, rows int, pixels binary, histogram array<bigint>, error string"
 
 
-def _frames(media: str):
+def _frames(media: str, most_total: int = MOST_TOTAL):
     def run(batches):
         for batch in batches:
             rows: list[tuple] = []
             source: list[int] = []
             for i, data in enumerate(batch.column(batch.schema.get_field_index(media)).to_pylist()):
-                gif = decode(data)
+                gif = decode(data, most_total=most_total)
                 for k, f in enumerate(gif.frames):
-                    rows.append((k, f.at_ms, f.delay_ms, gif.width, gif.height, f.pixels.tobytes(), f.histogram(), gif.error))
+                    rows.append((k, f.at_ms, f.delay_ms, gif.width, gif.height, f.box[3], f.pixels.tobytes(), f.histogram(), gif.error))
                     source.append(i)
                 if not gif.frames:
-                    rows.append((None, None, None, None, None, None, None, gif.error))
+                    rows.append((None, None, None, None, None, None, None, None, gif.error))
                     source.append(i)
             kept = [n for n in batch.schema.names if n != media]
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()]
-            columns = list(zip(*rows)) or [()] * 8
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()]
+            columns = list(zip(*rows)) or [()] * 9
             take = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)).take(take) for n in kept], *[pa.array(c, t) for c, t in zip(columns, types)]], [*kept, "frame", "at_ms", "delay_ms", "width", "height", "pixels", "histogram", "error"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)).take(take) for n in kept], *[pa.array(c, t) for c, t in zip(columns, types)]], [*kept, "frame", "at_ms", "delay_ms", "width", "height", "rows", "pixels", "histogram", "error"])
 
     return run
 
 
 def frames(df: DataFrame, key: str, media: str) -> DataFrame:
-    """One row per frame of each GIF: key, times, RGBA pixels and colour histogram.
+    """One row per frame of each GIF: key, times, RGBA pixels and colour histogram (eight bins each of red, green, blue).
 
-    What isn't a GIF has one row with a null frame and its error.
+    What isn't a GIF, null and empty bytes have one row with a null frame and its
+    error; equal files and repeated rows give equal frames; what is too large is
+    cut off with an error (``decode``); further columns are ignored; an empty
+    table gives no rows.
     """
     kind = dict(df.dtypes)[key]
     return arrow_map(narrow(df, key, media), _frames(media), f"{key} {kind}, {FRAMES}")
@@ -315,22 +328,47 @@ def padded(text: str | None) -> tuple[bytes, int]:
     return data + b" " * (-len(data) % WIDTH if data else WIDTH), len(data)
 
 
-def _stored(batches):
+def _media(batches):
+    """(doc_id, n_bytes, media) of (doc_id, text), a row at a time: a file's frames are several times its size."""
     for batch in batches:
-        rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             payload, n = padded(text.as_py())
-            media = encode(payload)
-            gif = decode(media)
-            back = b"".join(np.ascontiguousarray(f.pixels[: f.box[3], :, 0]).tobytes() for f in gif.frames)
-            total = np.sum([f.histogram() for f in gif.frames], axis=0)
-            feature = f"{gif.width}x{gif.height}x{len(gif.frames)}@{sum(f.delay_ms for f in gif.frames)}:" + ".".join(map(str, total[:8]))
-            rows.append((doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(gif.frames)))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        columns = list(zip(*rows)) or [()] * 9
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames"])
+            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([n], pa.int64()), pa.array([encode(payload)], pa.binary())], ["doc_id", "n_bytes", "media"])
+
+
+def _digests(batches):
+    """One row per stored file, from its frames as ``frames`` stores them; each batch holds all frames of one file."""
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    rows: list[tuple] = []
+    for media, batch in batches:
+        f = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in batch.schema.names}
+        # an image fills whole rows of its canvas; below a shorter last one the image before still shows
+        back = b"".join(np.frombuffer(p, np.uint8).reshape(-1, 4)[: b * f["width"][0], 0].tobytes() for p, b in zip(f["pixels"], f["rows"]))
+        total = np.sum(f["histogram"], axis=0)
+        feature = f"{f['width'][0]}x{f['height'][0]}x{len(f['frame'])}@{sum(f['delay_ms'])}:" + ".".join(map(str, total[:8]))
+        rows.append((f["doc_id"][0], f["n_bytes"][0], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(f["frame"])))
+        if len(rows) == 1000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+            rows = []
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 9, types)], names)
+
+
+def _stored(batches):
+    decoded = _frames("media", 1 << 62)  # our own files: all of every text
+
+    def files():
+        for batch in _media(batches):
+            for frames_ in decoded([batch]):
+                yield batch.column(2)[0].as_py(), frames_
+
+    yield from _digests(files())
 
 
 def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text stored as a grey GIF and read back; null texts are empty, so 192 blanks."""
+    """Each text stored as a grey GIF, its frames read back as ``frames`` stores them, and their digest.
+
+    Null texts are empty, so 192 blanks; long texts have many frames; equal texts
+    and repeated rows give equal values; further columns are ignored.
+    """
     return arrow_map(narrow(table(spark, sf_dir, "documents"), "doc_id", "text"), _stored, "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, n_frames bigint")

@@ -117,7 +117,12 @@ def _predicted(model: Model | None):
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null, empty and letterless texts are ``und`` with score 0; so is all without labels."""
+    """Language of every document. Null, empty and letterless texts are ``und`` with score 0; so is all without labels.
+
+    Equal texts and repeated rows get equal answers; of equally near codewords
+    the first language in order wins and the row is flagged ambiguous; a long
+    text is counted in slices; further columns are ignored.
+    """
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", FOLDS) == 0)
     known = docs.where("not held_out and lang is not null").select("lang", "text", F.col("doc_id").alias("key"))
     return arrow_map(narrow(docs, "doc_id", "held_out", "text"), _predicted(fit(known)), "doc_id bigint, held_out boolean, lang_pred string, score double, ambiguous boolean")

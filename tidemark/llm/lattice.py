@@ -37,6 +37,10 @@ FOLDS, HELD_OUT = 7, 2
 _MARK = "▁"
 
 
+#: Characters of a word that the expectation step takes at once; scoring takes every word whole.
+MOST_CHARS = 10_000
+
+
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
@@ -78,10 +82,10 @@ class Lattice:
         """Natural logarithm of the word's marginal probability, by forward recursion."""
         s = _MARK + word
         n, first = len(s), self.root[2]
-        terms: list[list[float]] = [[] for _ in range(n + 1)]
+        terms: defaultdict[int, list[float]] = defaultdict(list)  # only places that a piece has reached and none has left
         terms[0].append(0.0)
         for i in range(n):
-            alpha = log_sum(terms[i])
+            alpha = log_sum(terms.pop(i))
             node, j = first.get(s[i]), i + 1
             if node is None or node[0] is None:
                 terms[j].append(alpha + self.by_bytes(s[i]))
@@ -95,8 +99,12 @@ class Lattice:
         return log_sum(terms[n])
 
     def expect(self, word: str, count: float, into_counts: list[float]) -> None:
-        """Add the expected piece counts of ``count`` copies of the word: forward, then mass backward."""
+        """Add the expected piece counts of ``count`` copies of the word: forward, then mass backward; long words in parts."""
         s = _MARK + word
+        for at in range(0, len(s), MOST_CHARS):
+            self._expect(s[at : at + MOST_CHARS], count, into_counts)
+
+    def _expect(self, s: str, count: float, into_counts: list[float]) -> None:
         n, first = len(s), self.root[2]
         terms: list[list[float]] = [[] for _ in range(n + 1)]
         froms: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]  # (start, piece; -1: bytes)
@@ -177,7 +185,7 @@ def _chunks(chunk_bytes: int):
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, held, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                found = tokens(text := text.as_py())
+                found = tokens(text.as_py())
                 ids = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found))
                 idx, tf = np.unique(ids, return_counts=True)
                 if len(numbers) > len(counts):
@@ -186,7 +194,7 @@ def _chunks(chunk_bytes: int):
                     counts[idx] += tf
                 for c, v in zip(out, (base + part, doc_id, held, len(found), idx, tf)):
                     c.append(v)
-                size += len(text or "")
+                size += sum(map(len, found)) + len(found)
                 if size >= chunk_bytes:
                     yield rows([*out, [None] * len(out[0]), [None] * len(out[0])])
                     yield close()
@@ -250,7 +258,8 @@ def scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, name: str = VOCABULA
     """One row per document; null and empty texts have the end token only.
 
     Rows with equal texts get equal scores; a null id falls into the fold of the
-    text 'null'; without training rows all counts are zero.
+    text 'null'; without training rows all counts are zero; a long text or word
+    is taken whole; further columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -273,4 +282,5 @@ def scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, name: str = VOCABULA
 
 
 def op9_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document, rules as in ``scores``."""
     return scores(table(spark, sf_dir, "documents"))

@@ -182,10 +182,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """One row per document: its licenses and matches (coverage, code-point span, matched words).
 
     Null and empty texts match nothing; equal texts match alike; overlapping
-    matches leave the one with most words.
+    matches leave the one with most words; long texts are scanned whole; further
+    columns are ignored; an empty table gives no rows.
     """
     return arrow_map(narrow(docs, "doc_id", "text"), _scan(Index(templates)), "doc_id bigint, n_words bigint, n_matched bigint, licenses string, matches array<struct<license:string,coverage:double,start:bigint,end:bigint,matched:bigint>>")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses in every document, rules as in ``scan``."""
     return scan(table(spark, sf_dir, "documents"))

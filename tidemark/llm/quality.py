@@ -5,8 +5,9 @@ over byte-class and word-repetition features; gated attention
 softmax(w . (tanh(Vh) * sigmoid(Uh))) weights the encodings, and a logistic
 output scores the weighted sum. All weights are learned together from document
 labels by gradient descent on the driver, over a bounded sample (``SAMPLE``
-labelled documents, half of each label, picked by a hash of the id). Every
-passage of every document is encoded.
+labelled documents, half of each label, picked by a hash of the id, each with at
+most ``FIT_PASSAGES`` passages spread over its text). Every passage of every
+document is encoded when it is scored.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.bytestats import FEATURES, encoded, groups, passages
-from tidemark.llm.common import arrow_map, fold, narrow, table
+from tidemark.llm.common import arrow_map, fold, fresh, narrow, table
 
-SAMPLE, HIDDEN, GATE, FOLDS, SEED = 3000, 16, 8, 5, 11
+SAMPLE, FIT_PASSAGES, HIDDEN, GATE, FOLDS, SEED = 3000, 64, 16, 8, 5, 11
 THRESHOLD = 0.3
 
 
@@ -83,10 +84,15 @@ class Attention:
         return y, top
 
 
+def spread(x: np.ndarray, most: int = FIT_PASSAGES) -> np.ndarray:
+    """At most ``most`` rows, evenly spaced from the first to the last."""
+    return x if len(x) <= most else x[np.linspace(0, len(x) - 1, most).astype(int)]
+
+
 def _sampled(batches):
     for batch in batches:
         texts = [encoded(t) for t in batch.column(1).to_pylist()]
-        rows = [passages([t])[0].astype(np.float16).tobytes() for t in texts]
+        rows = [spread(passages([t])[0]).astype(np.float16).tobytes() for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["label", "x"])
 
 
@@ -113,26 +119,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention |
     return model
 
 
-def _scored(model: Attention | None, text_col: str):
+def _scored(model: Attention | None, text_col: str, names: list[str]):
     def run(batches):
         for batch in batches:
             texts = [encoded(t) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             y, top = model.score(texts) if model else (np.full(len(texts), 0.5), np.zeros(len(texts)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y, pa.float64()), pa.array(top, pa.float64())], [*batch.schema.names, "_score", "_attention"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(y, pa.float64()), pa.array(top, pa.float64())], [*batch.schema.names, *names])
 
     return run
 
 
 def scored(docs: DataFrame, model: Attention | None, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` with _score and _attention; null texts count as empty.
+    """The rows of ``docs`` with _score and _attention (more underscores if ``docs`` has such columns).
 
-    Without a model (a label is missing) every score is one half.
+    Null and empty texts have one empty passage; equal texts get equal scores;
+    a long text is read in slices; without a model (a label is missing) every
+    score is one half; an empty table gives no rows.
     """
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType()), T.StructField("_attention", T.DoubleType())])
-    return arrow_map(docs, _scored(model, text_col), schema)
+    score, top = names = fresh(docs, "_score", "_attention")
+    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(top, T.DoubleType())])
+    return arrow_map(docs, _scored(model, text_col, names), schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, rules as in ``scored``; labels of fold 0 are never learned from."""
     docs = narrow(table(spark, sf_dir, "documents"), "doc_id", "text")
     found = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", (fold("doc_id", FOLDS) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"), F.col("_attention").alias("top_attention"))
@@ -140,4 +150,5 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Attention | None, text_col: str = "text") -> DataFrame:
     """The rows that score at least the threshold, with their columns."""
-    return scored(docs, model, text_col).where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    score, _ = fresh(docs, "_score", "_attention")
+    return scored(docs, model, text_col).where(F.col(score) >= THRESHOLD).select(*docs.columns)
