@@ -68,7 +68,11 @@ def test_inventory_answers(spark):
     assert T.overlapping(t, "Printer").first().answer == "Camera"
     x = T.extremes(t).first()
     assert (x.first, x.last, x.longest) == ("Camera", "Printer", "Printer")
-    assert T.neighbours(t, "Dog", 1).count() == 0
+    missing = T.neighbours(t, "Dog", 1).first()
+    assert (missing.before, missing.before_reason, missing.after) == ("NONE", "anchor_absent", "NONE")
+    assert T.strict_neighbours(t, "Dog", 1).first().after_reason == "absent_anchor_occurrence" and T.strict_neighbours(t, "Camera", 1).first().before_reason == "no_preceding_proposal"
+    assert T.scored_neighbours(t, "Dog", 1).first().after == T.preferring_neighbours(t, "Dog", 1).first().before == "no_evidence"
+    assert T.between(t, "Dog", "Slam").first().reason == "anchor_absent" and T.overlapping(t, "Slam").first().reason == "no_overlap"
     assert T.first_among(t, ["Slam", "Dog"]).first().reason == "candidate_absent"
 
 
@@ -78,6 +82,21 @@ def test_neighbours_with_ties_follow_each_dialect(spark):
     assert T.strict_neighbours(t, "a", 1).first().after == "a"
 
 
+def test_the_best_pair_is_over_all_pairs(spark):
+    t = events(spark, ("a", 0, 1, 0.5), ("b", 2, 3, 0.1), ("b", 4, 5, 0.9), ("a", 6, 7, 0.9))
+    x = T.best_pair(t, "a", "b").first()
+    assert (x.anchor_id, x.answer_id, x.reason) == (0, 2, "ok") and x.score == pytest.approx(1.35, abs=1e-5)
+    assert T.best_pair(t, "a", "c").first().reason == "no_event_after_anchor" and T.best_pair(t, "c", "a").first().reason == "anchor_missing"
+    assert T.best_pair(t, "a", "b", least=2.0).first().reason == "pair_score_below_min"
+
+
+def test_open_dialects_prefer_as_stated(spark):
+    t = events(spark, ("a", 0, 2, 0.9), ("b", 1, 2.5, 0.9), ("c", 2, 3, 0.4), ("d", 5, 6, 0.6), ("e", 7, 8, 0.1))
+    assert T.preferring_neighbours(t, "a", 1).first().after == "d"  # apart and sure
+    assert T.preferring_neighbours(t, "d", 1).first().after == "e" and T.preferring_neighbours(t, "d", 1).first().before == "c"
+    assert T.scored_neighbours(t, "c", 1).first().before == "b" and T.scored_neighbours(t, "d", 1).first().after_reason == "after_missing"
+
+
 def test_ranking_metrics(spark):
     s = spark.createDataFrame([(0.9, 1), (0.8, 1), (0.8, 0), (0.1, 0)], "score double, label int")
     r = A.ranking(s, "score", "label").first()

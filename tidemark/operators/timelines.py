@@ -55,69 +55,131 @@ def extremes(df: DataFrame) -> DataFrame:
     )
 
 
-def nth(df: DataFrame, label: str, n: int) -> DataFrame:
+def nth(df: DataFrame, label: str, n: int, order: tuple = ORDER) -> DataFrame:
     """The n-th occurrence of a label per scene; only rows of the label are shuffled, by scene alone."""
-    return df.where(F.col("label") == label).withColumn("occurrence", F.row_number().over(in_scene())).where(F.col("occurrence") == n)
+    return df.where(F.col("label") == label).withColumn("occurrence", F.row_number().over(in_scene(*order))).where(F.col("occurrence") == n)
+
+
+def _open_order() -> tuple:
+    """Order of the open dialects: of equal times the surer event first."""
+    return ("onset", "off", F.desc("conf"), "event_id")
+
+
+def anchored(df: DataFrame, anchor: DataFrame) -> DataFrame:
+    """All events of all scenes with their scene's anchor (a_on, a_off, a_id; null where it is absent)."""
+    return df.join(anchor.select("scene", F.col("onset").alias("a_on"), F.col("off").alias("a_off"), F.col("event_id").alias("a_id")), "scene", "left")
+
+
+def reasoned(answer: Column, found: str, missing: str, absent: str) -> Column:
+    """Why an answer is what it is: the anchor is absent, no event fits, or it was found."""
+    return F.when(F.max("a_id").isNull(), absent).when(answer.isNull(), missing).otherwise(found)
 
 
 def neighbours(df: DataFrame, label: str, n: int) -> DataFrame:
-    """T8 (dialects L1, L2, L6): labels next to the n-th occurrence in scene order."""
+    """T8 (dialects L1, L2, L6): labels next to the n-th occurrence in scene order, one row per scene.
+
+    Without the anchor both answers are NONE for ``anchor_absent``; at an end of
+    the scene one is NONE for ``no_temporal_neighbour``. One sort per scene.
+    """
     w = in_scene()
-    near = df.withColumns({"before": F.lag("label").over(w), "after": F.lead("label").over(w)})
-    return nth(near, label, n).select("scene", "before", "after")
+    is_label = F.col("label") == label
+    k = F.count_if(is_label).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    near = df.select("scene", F.when(is_label & (k == n), F.struct(F.lag("label").over(w).alias("before"), F.lead("label").over(w).alias("after"))).alias("x"))
+    one = near.groupBy("scene").agg(F.max("x").alias("x"))
 
+    def reason(side):
+        return F.when(F.col("x").isNull(), "anchor_absent").when(F.col(f"x.{side}").isNull(), "no_temporal_neighbour").otherwise("adjacent_onset")
 
-def strict_neighbours(df: DataFrame, label: str, n: int, epsilon: float = 1e-6) -> DataFrame:
-    """T9 / J9 (L3): nearest strictly earlier and later onset; the label may repeat."""
-    anchor = nth(df, label, n).select("scene", F.col("onset").alias("at"))
-    both = df.join(anchor, "scene")
-    earlier, later = F.col("onset") < F.col("at") - epsilon, F.col("onset") > F.col("at") + epsilon
-    return both.groupBy("scene").agg(
-        F.max_by(F.when(earlier, F.col("label")), F.when(earlier, F.struct("onset", -F.col("event_id")))).alias("before"),
-        F.min_by(F.when(later, F.col("label")), F.when(later, F.struct("onset", "event_id"))).alias("after"),
-    )
+    return one.select("scene", *[c for side in ("before", "after") for c in (F.coalesce(f"x.{side}", F.lit("NONE")).alias(side), reason(side).alias(f"{side}_reason"))])
 
 
-def scored_after(df: DataFrame, label: str, n: int, least: float = 0.2) -> DataFrame:
-    """T10 (L5): the later event with the largest conf - seconds - 2 IoU, of at least ``least`` confidence."""
-    from tidemark.operators.intervals import hull_iou
+def strict_neighbours(df: DataFrame, label: str, n: int, epsilon: float = 1e-6) -> DataFrame:
+    """T9 / J9 (L3): nearest strictly earlier and later onset; the label may repeat. Every scene has a row with reasons."""
+    both = anchored(df, nth(df, label, n))
+    earlier, later = F.col("onset") < F.col("a_on") - epsilon, F.col("onset") > F.col("a_on") + epsilon
+    before = F.max_by(F.when(earlier, F.col("label")), F.when(earlier, F.struct("onset", -F.col("event_id"))))
+    after = F.min_by(F.when(later, F.col("label")), F.when(later, F.struct("onset", "event_id")))
+    found, absent = "anchor_occurrence_and_temporal_neighbour", "absent_anchor_occurrence"
+    return both.groupBy("scene").agg(before.alias("before"), reasoned(before, found, "no_preceding_proposal", absent).alias("before_reason"), after.alias("after"), reasoned(after, found, "no_following_proposal", absent).alias("after_reason"))
 
-    anchor = nth(df, label, n).select("scene", F.col("onset").alias("a_on"), F.col("off").alias("a_off"), F.col("event_id").alias("a_id"))
-    later = df.join(anchor, "scene").where((F.col("onset") > F.col("a_on")) & (F.col("conf") >= least))
-    score = F.col("conf") - (F.col("onset") - F.col("a_on")) - 2 * hull_iou("a_on", "a_off", "onset", "off")
-    return later.groupBy("scene").agg(F.max_by("label", F.struct(score, -F.col("event_id"))).alias("answer"))
 
+def scored_neighbours(df: DataFrame, label: str, n: int, least: float = 0.2, epsilon: float = 1e-6) -> DataFrame:
+    """T10 (L5): before and after, the event of another label with the largest conf - seconds between onsets - 2 IoU.
 
-def preferring_after(df: DataFrame, label: str, n: int, window: float = 0.08, sure: float = 0.5) -> DataFrame:
-    """T9 (L4): the next event of another label; within ``window`` seconds of the first, sure and apart ones win."""
-    anchor = nth(df, label, n).select("scene", F.col("onset").alias("a_on"), F.col("off").alias("a_off"))
-    later = df.join(anchor, "scene").where((F.col("label") != label) & (F.col("onset") > F.col("a_on")))
-    near = later.withColumn("_first", F.min("onset").over(Window.partitionBy("scene"))).where(F.col("onset") <= F.col("_first") + window)
-    apart = F.when((F.col("onset") >= F.col("a_off")) & (F.col("conf") >= sure), 0).otherwise(1)
-    return near.groupBy("scene").agg(F.min_by("label", F.struct(apart, "onset", "off", -F.col("conf"), "event_id")).alias("answer"))
+    Only events of at least ``least`` confidence count, as anchors too; of equal
+    scores the first in order wins. Every scene has a row with reasons.
+    """
+    from tidemark.operators.intervals import hull_iou
+
+    sure = df.where(F.col("conf") >= least)
+    anchor = nth(sure, label, n, _open_order())
+    both = anchored(df, anchor)
+    fits = (F.col("label") != label) & (F.col("conf") >= least)
+    score = F.col("conf") - F.abs(F.col("onset") - F.col("a_on")) - 2 * hull_iou("a_on", "a_off", "onset", "off")
+    rank = F.struct(-score, "onset", "off", -F.col("conf"), "event_id")
+    sides = {"before": F.col("onset") < F.col("a_on") - epsilon, "after": F.col("onset") > F.col("a_on") + epsilon}
+    out = []
+    for side, when in sides.items():
+        answer = F.min_by(F.when(fits & when, F.col("label")), F.when(fits & when, rank))
+        out += [F.coalesce(answer, F.lit("no_evidence")).alias(side), reasoned(answer, f"{side}_reranked", f"{side}_missing", "anchor_missing").alias(f"{side}_reason")]
+    return both.groupBy("scene").agg(*out)
+
+
+def preferring_neighbours(df: DataFrame, label: str, n: int, window: float = 0.08, sure: float = 0.5, epsilon: float = 1e-6) -> DataFrame:
+    """T9 (L4): neighbours that prefer events apart from the anchor (by up to ``window`` seconds of overlap).
+
+    After: another label; the earliest apart one that is ``sure``, else the
+    surest apart one, else the surest. Before: any label; the apart one that ends
+    last, else the one that starts last. Every scene has a row with reasons.
+    """
+    both = anchored(df, nth(df, label, n, _open_order()))
+    order = [F.col("onset"), F.col("off"), -F.col("conf"), F.col("event_id")]
+    later = (F.col("onset") > F.col("a_on") + epsilon) & (F.col("label") != label)
+    apart = F.col("onset") >= F.col("a_off") - window
+    tier = F.when(apart & (F.col("conf") >= sure), 0).when(apart, 1).otherwise(2)
+    first = F.when(tier == 0, F.col("onset")).otherwise(-F.col("conf"))
+    after = F.min_by(F.when(later, F.col("label")), F.when(later, F.struct(tier, first, *[c.alias(f"o{i}") for i, c in enumerate(order)])))
+    earlier = (F.col("onset") < F.col("a_on") - epsilon) & (F.col("event_id") != F.col("a_id"))
+    ended = F.col("off") <= F.col("a_on") + window
+    last = F.when(ended, -F.col("off")).otherwise(-F.col("onset"))
+    before = F.min_by(F.when(earlier, F.col("label")), F.when(earlier, F.struct(F.when(ended, 0).otherwise(1), last, -F.col("conf"), *[c.alias(f"o{i}") for i, c in enumerate(order)])))
+    return both.groupBy("scene").agg(
+        F.coalesce(before, F.lit("no_evidence")).alias("before"),
+        reasoned(before, "before_neighbor", "no_preceding_event", "anchor_occurrence_missing").alias("before_reason"),
+        F.coalesce(after, F.lit("no_evidence")).alias("after"),
+        reasoned(after, "after_neighbor", "no_following_event", "anchor_occurrence_missing").alias("after_reason"),
+    )
 
 
 def between(df: DataFrame, left: str, right: str) -> DataFrame:
-    """Distinct labels with onsets strictly between the first occurrences, in order; the strongest; the central one."""
-    a = nth(df, left, 1).select("scene", F.col("onset").alias("lo"))
-    b = nth(df, right, 1).select("scene", F.col("onset").alias("hi"))
-    inner = df.join(a, "scene").join(b, "scene").where((F.col("onset") > F.least("lo", "hi")) & (F.col("onset") < F.greatest("lo", "hi")))
-    central = 2.4 * F.col("conf") - F.abs(F.col("onset") - (F.col("lo") + F.col("hi")) / 2) / F.abs(F.col("hi") - F.col("lo"))
-    in_order = F.array_sort(F.collect_list(F.struct("onset", "event_id", "label")))
-    return inner.groupBy("scene").agg(
-        F.array_join(F.array_distinct(F.transform(in_order, lambda x: x["label"])), ", ").alias("labels"),
-        F.max_by("label", F.struct("conf", -F.col("event_id"))).alias("strongest"),
-        F.max_by("label", F.struct(central, -F.col("event_id"))).alias("central"),
+    """Distinct labels with onsets strictly between the first occurrences, in order; the strongest; the central one.
+
+    Every scene has a row: ``anchor_absent`` if either anchor is, ``nothing_between`` if no event is.
+    """
+    a = nth(df, left, 1).select("scene", F.col("onset").alias("l_on"))
+    b = nth(df, right, 1).select("scene", F.col("onset").alias("r_on"))
+    both = df.join(a, "scene", "left").join(b, "scene", "left")
+    inner = F.col("l_on").isNotNull() & F.col("r_on").isNotNull() & (F.col("onset") > F.least("l_on", "r_on")) & (F.col("onset") < F.greatest("l_on", "r_on"))
+    central = 2.4 * F.col("conf") - F.abs(F.col("onset") - (F.col("l_on") + F.col("r_on")) / 2) / F.abs(F.col("r_on") - F.col("l_on"))
+    in_order = F.array_sort(F.collect_list(F.when(inner, F.struct("onset", "event_id", "label"))))
+    n = F.count_if(inner)
+    return both.groupBy("scene").agg(
+        F.when(n > 0, F.array_join(F.array_distinct(F.transform(in_order, lambda x: x["label"])), ", ")).otherwise("NONE").alias("labels"),
+        F.max_by(F.when(inner, F.col("label")), F.when(inner, F.struct("conf", -F.col("event_id")))).alias("strongest"),
+        F.max_by(F.when(inner, F.col("label")), F.when(inner, F.struct(central, -F.col("event_id")))).alias("central"),
+        F.when(F.max("l_on").isNull() | F.max("r_on").isNull(), "anchor_absent").when(n == 0, "nothing_between").otherwise("between_onsets").alias("reason"),
     )
 
 
 def overlapping(df: DataFrame, label: str) -> DataFrame:
-    """Other labels that overlap any occurrence of the anchor label, in onset order."""
+    """Other labels that overlap any occurrence of the anchor label, in onset order; every scene has a row with a reason."""
     from tidemark.operators.intervals import overlap_join
 
     pairs = overlap_join(df.where(F.col("label") == label), df.where(F.col("label") != label), ["scene"])
     first = pairs.groupBy(F.col("l_scene").alias("scene"), F.col("r_label").alias("label")).agg(F.min(F.struct("r_onset", "r_event_id")).alias("p"))
-    return first.groupBy("scene").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "label"))), lambda x: x["label"]), ", ").alias("answer"))
+    found = first.groupBy("scene").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "label"))), lambda x: x["label"]), ", ").alias("answer"))
+    every = df.groupBy("scene").agg(F.count_if(F.col("label") == label).alias("n")).join(found, "scene", "left")
+    return every.select("scene", F.coalesce("answer", F.lit("NONE")).alias("answer"), F.when(F.col("n") == 0, "anchor_absent").when(F.col("answer").isNull(), "no_overlap").otherwise("interval_overlap").alias("reason"))
 
 
 def first_among(df: DataFrame, labels: list[str]) -> DataFrame:
@@ -129,18 +191,21 @@ def first_among(df: DataFrame, labels: list[str]) -> DataFrame:
 
 
 def offered_after(df: DataFrame, label: str, options: list[str]) -> DataFrame:
-    """The next event after the first occurrence whose label is offered."""
-    anchor = nth(df, label, 1).select("scene", F.col("onset").alias("at"))
-    later = df.join(anchor, "scene").where((F.col("onset") > F.col("at")) & F.array_contains(F.array(*map(F.lit, options)), F.col("label")))
-    return later.groupBy("scene").agg(F.min_by("label", F.struct("onset", "off", "event_id")).alias("answer"))
+    """The next event after the first occurrence whose label is offered; every scene has a row with a reason."""
+    both = anchored(df, nth(df, label, 1))
+    later = (F.col("onset") > F.col("a_on")) & F.array_contains(F.array(*map(F.lit, options)), F.col("label"))
+    answer = F.min_by(F.when(later, F.col("label")), F.when(later, F.struct("onset", "off", "event_id")))
+    return both.groupBy("scene").agg(answer.alias("answer"), reasoned(answer, "offered", "no_offered_event", "anchor_absent").alias("reason"))
 
 
 def boundary_neighbours(df: DataFrame, label: str, n: int, slack: float = 0.05) -> DataFrame:
-    """T25 (L8): before = latest off up to the anchor's onset; after = earliest onset from its off, both with slack."""
-    anchor = nth(df, label, n).select("scene", F.col("onset").alias("a_on"), F.col("off").alias("a_off"), F.col("event_id").alias("a_id"))
-    both = df.join(anchor, "scene").where("event_id <> a_id")
-    earlier, later = F.col("off") <= F.col("a_on") + slack, F.col("onset") >= F.col("a_off") - slack
-    return both.groupBy("scene").agg(F.max_by(F.when(earlier, F.col("label")), F.when(earlier, F.struct("off", -F.col("event_id")))).alias("before"), F.min_by(F.when(later, F.col("label")), F.when(later, F.struct("onset", "event_id"))).alias("after"))
+    """T25 (L8): before = latest off up to the anchor's onset; after = earliest onset from its off, both with slack; every scene has a row."""
+    both = anchored(df, nth(df, label, n))
+    other = F.col("event_id") != F.col("a_id")
+    earlier, later = other & (F.col("off") <= F.col("a_on") + slack), other & (F.col("onset") >= F.col("a_off") - slack)
+    before = F.max_by(F.when(earlier, F.col("label")), F.when(earlier, F.struct("off", -F.col("event_id"))))
+    after = F.min_by(F.when(later, F.col("label")), F.when(later, F.struct("onset", "event_id")))
+    return both.groupBy("scene").agg(before.alias("before"), after.alias("after"), F.max("a_id").isNull().alias("anchor_absent"))
 
 
 def evidence_window(df: DataFrame) -> DataFrame:
@@ -149,17 +214,24 @@ def evidence_window(df: DataFrame) -> DataFrame:
 
 
 def best_pair(df: DataFrame, anchor: str, answer: str, distance: float = 1e-6, crowd: float = 0.05, least: float = 0.0) -> DataFrame:
-    """The (anchor, answer) pair with the largest conf + conf - gap - crowding, or no evidence below ``least``."""
-    ordered = flattened(df)
-    a = ordered.where(F.col("label") == anchor).select("scene", F.col("onset").alias("a_on"), F.col("conf").alias("a_conf"), F.col("position").alias("a_pos"), F.col("event_id").alias("a_id"))
-    # the next answers after an anchor bound its best pair, so one row per anchor remains
-    w = Window.partitionBy("scene").orderBy("position").rowsBetween(1, Window.unboundedFollowing)
-    is_answer = F.col("label") == answer
-    following = ordered.withColumn("n", F.first(F.when(is_answer, F.struct("onset", "conf", "position", "event_id")), True).over(w)).where((F.col("label") == anchor) & F.col("n").isNotNull()).select("scene", "event_id", "n")
-    both = a.join(following, (a["scene"] == following["scene"]) & (a["a_id"] == following["event_id"])).select(a["scene"], "a_on", "a_conf", "a_pos", "a_id", "n")
-    score = F.col("a_conf") + F.col("n.conf") - distance * (F.col("n.onset") - F.col("a_on")) - crowd * (F.col("n.position") - F.col("a_pos") - 1)
-    best = both.groupBy("scene").agg(F.max(F.struct(score.alias("score"), (-F.col("a_id")).alias("a"), (-F.col("n.event_id")).alias("b"))).alias("m"))
-    return best.select("scene", F.when(F.col("m.score") >= least, -F.col("m.a")).alias("anchor_id"), F.when(F.col("m.score") >= least, -F.col("m.b")).alias("answer_id"), F.col("m.score").alias("score"))
+    """Over all pairs of an anchor and a later answer, the one with the largest conf + conf - distance - crowding.
+
+    Distance is ``distance`` per second between the onsets, crowding ``crowd``
+    per event between the two. Both are differences, so an anchor's best answer
+    is a maximum over the rows after it: one window, no pairs. Every scene has a
+    row; below ``least``, or without a pair, there is no evidence.
+    """
+    is_anchor, is_answer = F.col("label") == anchor, F.col("label") == answer
+    share = F.col("conf") - distance * F.col("onset") - crowd * F.col("position")
+    after = in_scene().rowsBetween(1, Window.unboundedFollowing)
+    best = F.max(F.when(is_answer, F.struct(share.alias("s"), (-F.col("event_id")).alias("b")))).over(after)
+    paired = flattened(df).withColumn("best", best)
+    total = F.col("conf") + distance * F.col("onset") + crowd * (F.col("position") + 1) + F.col("best.s")
+    ok = is_anchor & F.col("best").isNotNull()
+    out = paired.groupBy("scene").agg(F.max(F.when(ok, F.struct(total.alias("score"), (-F.col("event_id")).alias("a"), F.col("best.b").alias("b")))).alias("m"), F.count_if(is_anchor).alias("n"))
+    good = F.col("m.score") >= least
+    reason = F.when(F.col("n") == 0, "anchor_missing").when(F.col("m").isNull(), "no_event_after_anchor").when(good, "ok").otherwise("pair_score_below_min")
+    return out.select("scene", F.when(good, -F.col("m.a")).alias("anchor_id"), F.when(good, -F.col("m.b")).alias("answer_id"), F.col("m.score").alias("score"), reason.alias("reason"))
 
 
 def qa_items(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ O = "ORDER BY onset, off, label, event_id"  # noqa: E741
 ORD = f"o AS (SELECT *, row_number() OVER (PARTITION BY scene {O}) pos, row_number() OVER (PARTITION BY scene, label {O}) k, lag(label) OVER (PARTITION BY scene {O}) b, lead(label) OVER (PARTITION BY scene {O}) a FROM tl)"
 
 
-@query("T8 T16 W1 W2", f"WITH {TL}, {ORD} SELECT scene, b AS before, a AS after FROM o WHERE label = 'error' AND k = 2")
+@query("L1 L2 T8 T16 W1 W2", f"""WITH {TL}, {ORD}, x AS (SELECT scene, b, a FROM o WHERE label = 'error' AND k = 2) SELECT s.scene, coalesce(b, 'NONE') AS before, CASE WHEN x.scene IS NULL THEN 'anchor_absent' WHEN b IS NULL THEN 'no_temporal_neighbour' ELSE 'adjacent_onset' END AS before_reason, coalesce(a, 'NONE') AS after, CASE WHEN x.scene IS NULL THEN 'anchor_absent' WHEN a IS NULL THEN 'no_temporal_neighbour' ELSE 'adjacent_onset' END AS after_reason FROM (SELECT DISTINCT scene FROM tl) s LEFT JOIN x ON x.scene = s.scene""")
 def timeline_before_after(spark, sf):
     return T.neighbours(timeline(spark, sf), "error", 2)
 
@@ -42,32 +42,59 @@ def timeline_first_last_longest(spark, sf):
     return T.extremes(timeline(spark, sf))
 
 
-ANCHOR = f"{ORD}, x AS (SELECT scene, onset a_on, off a_off, event_id a_id FROM o WHERE label = 'error' AND k = 2)"
+#: The 12th error of a scene, which some scenes lack.
+NTH = "{o}, x AS (SELECT scene, onset a_on, off a_off, event_id a_id FROM {t} WHERE label = 'error' AND k = {n})"
+ANCHOR = NTH.format(o=ORD, t="o", n=12)
+SCENES = "(SELECT DISTINCT scene FROM tl) s LEFT JOIN x ON x.scene = s.scene JOIN tl ON tl.scene = s.scene"
 
 
-@query("T9 J9", f"WITH {TL}, {ANCHOR} SELECT x.scene, first(label ORDER BY onset DESC, event_id) FILTER (onset < a_on - 1e-6) AS before, first(label ORDER BY onset, event_id) FILTER (onset > a_on + 1e-6) AS after FROM tl JOIN x ON x.scene = tl.scene GROUP BY 1")
+def why(answer: str, found: str, missing: str, absent: str) -> str:
+    return f"CASE WHEN any_value(a_id) IS NULL THEN '{absent}' WHEN ({answer}) IS NULL THEN '{missing}' ELSE '{found}' END"
+
+
+STRICT = {"before": "first(label ORDER BY onset DESC, event_id) FILTER (onset < a_on - 1e-6)", "after": "first(label ORDER BY onset, event_id) FILTER (onset > a_on + 1e-6)"}
+
+
+@query("L3 T9 J9", f"WITH {TL}, {ANCHOR} SELECT s.scene, {STRICT['before']} AS before, {why(STRICT['before'], 'anchor_occurrence_and_temporal_neighbour', 'no_preceding_proposal', 'absent_anchor_occurrence')} AS before_reason, {STRICT['after']} AS after, {why(STRICT['after'], 'anchor_occurrence_and_temporal_neighbour', 'no_following_proposal', 'absent_anchor_occurrence')} AS after_reason FROM {SCENES} GROUP BY 1")
 def timeline_strict_neighbours(spark, sf):
-    return T.strict_neighbours(timeline(spark, sf), "error", 2)
+    return T.strict_neighbours(timeline(spark, sf), "error", 12)
+
+
+OPEN = "ORDER BY onset, off, conf DESC, event_id"
+SURE = NTH.format(o=f"o AS (SELECT *, row_number() OVER (PARTITION BY scene, label {OPEN}) k FROM tl WHERE conf >= 0.2)", t="o", n=10)
+OPENED = NTH.format(o=f"o AS (SELECT *, row_number() OVER (PARTITION BY scene, label {OPEN}) k FROM tl)", t="o", n=12)
+SCORE = "conf - abs(onset - a_on) - 2 * (greatest(0, least(off, a_off) - greatest(onset, a_on)) / (greatest(off, a_off) - least(onset, a_on)))"
+SCORED = {side: f"first(label ORDER BY {SCORE} DESC, onset, off, conf DESC, event_id) FILTER (label <> 'error' AND conf >= 0.2 AND onset {op} 1e-6)" for side, op in (("before", "< a_on -"), ("after", "> a_on +"))}
 
 
-@query("T10", f"WITH {TL}, {ANCHOR} SELECT x.scene, first(label ORDER BY conf - (onset - a_on) - 2 * (greatest(0, least(off, a_off) - greatest(onset, a_on)) / (greatest(off, a_off) - least(onset, a_on))) DESC, event_id) AS answer FROM tl JOIN x ON x.scene = tl.scene WHERE onset > a_on AND conf >= 0.2 GROUP BY 1")
+@query("L5 T10", f"WITH {TL}, {SURE} SELECT s.scene, " + ", ".join(f"coalesce({q}, 'no_evidence') AS {side}, {why(q, f'{side}_reranked', f'{side}_missing', 'anchor_missing')} AS {side}_reason" for side, q in SCORED.items()) + f" FROM {SCENES} GROUP BY 1")
 def timeline_scored_after(spark, sf):
-    return T.scored_after(timeline(spark, sf), "error", 2)
+    return T.scored_neighbours(timeline(spark, sf), "error", 10)
 
 
-@query("T9 L4", f"WITH {TL}, {ANCHOR}, c AS (SELECT tl.*, a_off, min(onset) OVER (PARTITION BY tl.scene) m FROM tl JOIN x ON x.scene = tl.scene WHERE label <> 'error' AND onset > a_on) SELECT scene, first(label ORDER BY CASE WHEN onset >= a_off AND conf >= 0.5 THEN 0 ELSE 1 END, onset, off, conf DESC, event_id) AS answer FROM c WHERE onset <= m + 0.08 GROUP BY 1")
+TIER = "CASE WHEN onset >= a_off - 0.08 AND conf >= 0.5 THEN 0 WHEN onset >= a_off - 0.08 THEN 1 ELSE 2 END"
+PREFERRED = {
+    "before": "first(label ORDER BY CASE WHEN off <= a_on + 0.08 THEN 0 ELSE 1 END, CASE WHEN off <= a_on + 0.08 THEN -off ELSE -onset END, conf DESC, onset, off, event_id) FILTER (onset < a_on - 1e-6 AND event_id <> a_id)",
+    "after": f"first(label ORDER BY {TIER}, CASE WHEN {TIER} = 0 THEN onset ELSE -conf END, onset, off, conf DESC, event_id) FILTER (label <> 'error' AND onset > a_on + 1e-6)",
+}
+
+
+@query("L4 T9", f"WITH {TL}, {OPENED} SELECT s.scene, " + ", ".join(f"coalesce({q}, 'no_evidence') AS {side}, {why(q, f'{side}_neighbor', missing, 'anchor_occurrence_missing')} AS {side}_reason" for (side, q), missing in zip(PREFERRED.items(), ("no_preceding_event", "no_following_event"))) + f" FROM {SCENES} GROUP BY 1")
 def timeline_preferring_after(spark, sf):
-    return T.preferring_after(timeline(spark, sf), "error", 2)
+    return T.preferring_neighbours(timeline(spark, sf), "error", 12)
+
 
+INNER = "onset > least(lo, hi) AND onset < greatest(lo, hi)"
 
-@query("T11 T12", f"""WITH {TL}, {ORD}, e AS (SELECT l.scene, l.onset lo, r.onset hi FROM o l JOIN o r ON l.scene = r.scene AND l.label = 'error' AND l.k = 1 AND r.label = 'purchase' AND r.k = 1),
-i AS (SELECT tl.*, lo, hi FROM tl JOIN e ON e.scene = tl.scene WHERE onset > least(lo, hi) AND onset < greatest(lo, hi)), f AS (SELECT scene, label, min(onset) p FROM i GROUP BY 1, 2), l AS (SELECT scene, string_agg(label, ', ' ORDER BY p) labels FROM f GROUP BY 1)
-SELECT i.scene, first(l.labels) AS labels, first(label ORDER BY conf DESC, event_id) AS strongest, first(label ORDER BY 2.4 * conf - abs(onset - (lo + hi) / 2) / abs(hi - lo) DESC, event_id) AS central FROM i JOIN l ON l.scene = i.scene GROUP BY 1""")
+
+@query("T11 T12", f"""WITH {TL}, {ORD}, e AS (SELECT s.scene, l.onset lo, r.onset hi FROM (SELECT DISTINCT scene FROM tl) s LEFT JOIN o l ON l.scene = s.scene AND l.label = 'error' AND l.k = 1 LEFT JOIN o r ON r.scene = s.scene AND r.label = 'signup' AND r.k = 1),
+f AS (SELECT tl.scene, label, min(onset) p FROM tl JOIN e ON e.scene = tl.scene WHERE {INNER} GROUP BY 1, 2), l AS (SELECT scene, string_agg(label, ', ' ORDER BY p) labels FROM f GROUP BY 1)
+SELECT e.scene, coalesce(any_value(l.labels), 'NONE') AS labels, first(label ORDER BY conf DESC, event_id) FILTER ({INNER}) AS strongest, first(label ORDER BY 2.4 * conf - abs(onset - (lo + hi) / 2) / abs(hi - lo) DESC, event_id) FILTER ({INNER}) AS central, CASE WHEN any_value(lo) IS NULL OR any_value(hi) IS NULL THEN 'anchor_absent' WHEN any_value(l.labels) IS NULL THEN 'nothing_between' ELSE 'between_onsets' END AS reason FROM e JOIN tl ON tl.scene = e.scene LEFT JOIN l ON l.scene = e.scene GROUP BY 1""")
 def timeline_between(spark, sf):
-    return T.between(timeline(spark, sf), "error", "purchase")
+    return T.between(timeline(spark, sf), "error", "signup")
 
 
-@query("T13 J8", f"WITH {TL}, p AS (SELECT l.scene, r.label, min(r.onset) p FROM tl l JOIN tl r ON l.scene = r.scene AND l.label = 'error' AND r.label <> 'error' AND l.onset < r.off AND r.onset < l.off GROUP BY 1, 2) SELECT scene, string_agg(label, ', ' ORDER BY p) AS answer FROM p GROUP BY 1")
+@query("T13 J8", f"WITH {TL}, p AS (SELECT l.scene, r.label, min(r.onset) p FROM tl l JOIN tl r ON l.scene = r.scene AND l.label = 'error' AND r.label <> 'error' AND l.onset < r.off AND r.onset < l.off GROUP BY 1, 2), a AS (SELECT scene, string_agg(label, ', ' ORDER BY p) answer FROM p GROUP BY 1) SELECT tl.scene, coalesce(any_value(answer), 'NONE') AS answer, CASE WHEN count(*) FILTER (label = 'error') = 0 THEN 'anchor_absent' WHEN any_value(answer) IS NULL THEN 'no_overlap' ELSE 'interval_overlap' END AS reason FROM tl LEFT JOIN a ON a.scene = tl.scene GROUP BY 1")
 def timeline_overlap(spark, sf):
     return T.overlapping(timeline(spark, sf), "error")
 
@@ -77,14 +104,17 @@ def timeline_first_among(spark, sf):
     return T.first_among(timeline(spark, sf), ["error", "signup"])
 
 
-@query("T15", f"WITH {TL}, {ORD}, x AS (SELECT scene, onset t0 FROM o WHERE label = 'error' AND k = 1) SELECT x.scene, first(label ORDER BY onset, off, event_id) AS answer FROM tl JOIN x ON x.scene = tl.scene WHERE onset > t0 AND label IN ('purchase', 'signup') GROUP BY 1")
+OFFERED = "first(label ORDER BY onset, off, event_id) FILTER (onset > a_on AND label IN ('purchase', 'signup'))"
+
+
+@query("T15", f"WITH {TL}, {NTH.format(o=ORD, t='o', n=1)} SELECT s.scene, {OFFERED} AS answer, {why(OFFERED, 'offered', 'no_offered_event', 'anchor_absent')} AS reason FROM {SCENES} GROUP BY 1")
 def timeline_offered_after(spark, sf):
     return T.offered_after(timeline(spark, sf), "error", ["purchase", "signup"])
 
 
-@query("T25", f"WITH {TL}, {ANCHOR} SELECT x.scene, first(label ORDER BY off DESC, event_id) FILTER (off <= a_on + 0.05) AS before, first(label ORDER BY onset, event_id) FILTER (onset >= a_off - 0.05) AS after FROM tl JOIN x ON x.scene = tl.scene AND event_id <> a_id GROUP BY 1")
+@query("T25", f"WITH {TL}, {ANCHOR} SELECT s.scene, first(label ORDER BY off DESC, event_id) FILTER (off <= a_on + 0.05 AND event_id <> a_id) AS before, first(label ORDER BY onset, event_id) FILTER (onset >= a_off - 0.05 AND event_id <> a_id) AS after, any_value(a_id) IS NULL AS anchor_absent FROM {SCENES} GROUP BY 1")
 def timeline_boundary_neighbours(spark, sf):
-    return T.boundary_neighbours(timeline(spark, sf), "error", 2)
+    return T.boundary_neighbours(timeline(spark, sf), "error", 12)
 
 
 @query("T20", f"WITH {TL} SELECT scene, label, round(min(onset), 3) AS start, round(max(off), 3) AS stop FROM tl GROUP BY 1, 2")
@@ -92,11 +122,11 @@ def timeline_evidence_window(spark, sf):
     return T.evidence_window(timeline(spark, sf)).select("scene", "label", F.round("start", 3).alias("start"), F.round("stop", 3).alias("stop"))
 
 
-@query("T27 I30", f"""WITH {TL}, {ORD}, n AS (SELECT l.scene, l.onset a_on, l.conf a_conf, l.pos a_pos, l.event_id a_id, r.onset, r.conf, r.pos, r.event_id, row_number() OVER (PARTITION BY l.event_id ORDER BY r.pos) q FROM o l JOIN o r ON l.scene = r.scene AND l.label = 'error' AND r.label = 'purchase' AND r.pos > l.pos),
-s AS (SELECT *, a_conf + conf - 1e-6 * (onset - a_on) - 0.05 * (pos - a_pos - 1) score FROM n WHERE q = 1), b AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY score DESC, a_id, event_id) z FROM s)
-SELECT scene, CASE WHEN score >= 0.5 THEN a_id END AS anchor_id, CASE WHEN score >= 0.5 THEN event_id END AS answer_id, round(score, 6) AS score FROM b WHERE z = 1""")
+@query("T27 I30", f"""WITH {TL}, {ORD}, s AS (SELECT l.scene, l.event_id a_id, r.event_id, l.conf + r.conf - 1e-6 * (r.onset - l.onset) - 0.05 * (r.pos - l.pos - 1) score FROM o l JOIN o r ON l.scene = r.scene AND l.label = 'error' AND r.label = 'purchase' AND r.pos > l.pos),
+b AS (SELECT *, row_number() OVER (PARTITION BY scene ORDER BY score DESC, a_id, event_id) z FROM s), n AS (SELECT scene, count(*) FILTER (label = 'error') n FROM tl GROUP BY 1)
+SELECT n.scene, CASE WHEN score >= 1.5 THEN a_id END AS anchor_id, CASE WHEN score >= 1.5 THEN event_id END AS answer_id, round(score, 6) AS score, CASE WHEN n = 0 THEN 'anchor_missing' WHEN score IS NULL THEN 'no_event_after_anchor' WHEN score >= 1.5 THEN 'ok' ELSE 'pair_score_below_min' END AS reason FROM n LEFT JOIN b ON b.scene = n.scene AND z = 1""")
 def timeline_best_pair(spark, sf):
-    return T.best_pair(timeline(spark, sf), "error", "purchase", least=0.5).withColumn("score", F.round("score", 6))
+    return T.best_pair(timeline(spark, sf), "error", "purchase", least=1.5).withColumn("score", F.round("score", 6))
 
 
 QA = f"{ORD}, qa AS (SELECT scene, 'before' AS relation, label AS anchor, k AS occurrence, b AS answer, b IS NULL AS no_evidence FROM o UNION ALL SELECT scene, 'after', label, k, a, a IS NULL FROM o)"
