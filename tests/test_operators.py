@@ -28,9 +28,9 @@ def test_union_length_counts_once(spark):
 
 
 def test_gap_merge(spark):
-    t = events(spark, ("footsteps", 1, 2, 0.5), ("footsteps", 1, 2, 0.5), ("footsteps", 2.05, 2.5, 0.9), ("water", 1.2, 1.8, 0.4))
+    t = events(spark, ("rain", 3, 5, 0.2), ("rain", 3, 5, 0.2), ("rain", 5.0625, 6, 0.7), ("wind", 3.5, 4, 0.3))
     got = sorted((r.label, r.onset, r.off, r.c) for r in I.merged(t, ["label"], 0.08, extra=[F.max("conf").alias("c")]).collect())
-    assert got == [("footsteps", 1.0, 2.5, 0.9), ("water", 1.2, 1.8, 0.4)]
+    assert got == [("rain", 3.0, 6.0, 0.7), ("wind", 3.5, 4.0, 0.3)]
 
 
 def test_isolation_margins(spark):
@@ -59,21 +59,21 @@ def test_polyphony_ends_before_it_starts(spark):
 
 
 def test_inventory_answers(spark):
-    t = events(spark, ("Camera", 0.2, 0.8, 1), ("Slam", 1.0, 1.4, 1), ("Camera", 2.0, 2.4, 1), ("Printer", 2.2, 3.5, 1))
-    assert T.listed(t).first().answer == "Camera, Slam, Printer"
-    assert T.counted(t, "Camera").first().n == 2 and T.counted(t, "Dog").first().present == "NO"
-    assert T.located(t, "Camera").first().answer == "0.20–0.80s, 2.00–2.40s"
-    assert T.neighbours(t, "Slam", 1).first().after == "Camera"
-    assert T.between(t, "Slam", "Printer").first().labels == "Camera"
-    assert T.overlapping(t, "Printer").first().answer == "Camera"
+    t = events(spark, ("Kettle", 1.5, 3.25, 1), ("Bell", 4.0, 4.5, 1), ("Kettle", 6.0, 7.0, 1), ("Tram", 6.5, 9.75, 1))
+    assert T.listed(t).first().answer == "Kettle, Bell, Tram"
+    assert T.counted(t, "Kettle").first().n == 2 and T.counted(t, "Owl").first().present == "NO"
+    assert T.located(t, "Kettle").first().answer == "1.50–3.25s, 6.00–7.00s"
+    assert T.neighbours(t, "Bell", 1).first().after == "Kettle"
+    assert T.between(t, "Bell", "Tram").first().labels == "Kettle"
+    assert T.overlapping(t, "Tram").first().answer == "Kettle"
     x = T.extremes(t).first()
-    assert (x.first, x.last, x.longest) == ("Camera", "Printer", "Printer")
-    missing = T.neighbours(t, "Dog", 1).first()
+    assert (x.first, x.last, x.longest) == ("Kettle", "Tram", "Tram")
+    missing = T.neighbours(t, "Owl", 1).first()
     assert (missing.before, missing.before_reason, missing.after) == ("NONE", "anchor_absent", "NONE")
-    assert T.strict_neighbours(t, "Dog", 1).first().after_reason == "absent_anchor_occurrence" and T.strict_neighbours(t, "Camera", 1).first().before_reason == "no_preceding_proposal"
-    assert T.scored_neighbours(t, "Dog", 1).first().after == T.preferring_neighbours(t, "Dog", 1).first().before == "no_evidence"
-    assert T.between(t, "Dog", "Slam").first().reason == "anchor_absent" and T.overlapping(t, "Slam").first().reason == "no_overlap"
-    assert T.first_among(t, ["Slam", "Dog"]).first().reason == "candidate_absent"
+    assert T.strict_neighbours(t, "Owl", 1).first().after_reason == "absent_anchor_occurrence" and T.strict_neighbours(t, "Kettle", 1).first().before_reason == "no_preceding_proposal"
+    assert T.scored_neighbours(t, "Owl", 1).first().after == T.preferring_neighbours(t, "Owl", 1).first().before == "no_evidence"
+    assert T.between(t, "Owl", "Bell").first().reason == "anchor_absent" and T.overlapping(t, "Bell").first().reason == "no_overlap"
+    assert T.first_among(t, ["Bell", "Owl"]).first().reason == "candidate_absent"
 
 
 def test_neighbours_with_ties_follow_each_dialect(spark):
@@ -135,13 +135,46 @@ def test_small_sequences():
     assert M.unique_starts([3, 3, 3], [1, 1, 1], 5) == [3, 4, 2]
     assert M.boundary_error([1.0, 5.0], [1.5]) == pytest.approx(5.25)
     assert M.word_distance("a b c".split(), "a x c d".split()) == 2
-    assert M.vote([["a", "b"], ["a", "c"], ["a", "c", "d"]]) == ["a", "c"]
-    assert X.fuzzy_mentions("the cmputer keyboard rang", {"computer keyboard": "K", "bell": "B"}) == ["K"]
-    assert X.parse_question("What came after the second dog bark?", ["dog bark"]) == ("after", ["dog bark"], 2)
-    assert X.best_quote("hello big world", "oh hello big world bye".split())[:2] == (1, 4)
+    assert M.vote([["a", "b"], ["a", "c"], ["a", "c", "d"]]) == ["a", "c"] and M.vote([]) == []
+    assert M.vote([["p", "q"], ["p", "r"]]) == ["p", "r"]  # of equal counts the greater word
+    assert M.vote([["x"], ["k", "m", "n"], ["k", "m", "n"]]) == ["k", "m", "n"]  # the middle one gives the slots
+    assert M.vote([["k"], ["k", "z"]]) == ["k", "z"]  # a word beats no word of equal count
+    assert X.fuzzy_mentions("an espreso machine hissed", {"espresso machine": "E", "gong": "G"}) == ["E"]
+    assert X.parse_question("What came after the second owl call?", ["owl call"]) == ("after", ["owl call"], 2)
+    assert X.best_quote("hello big world", "oh hello big world bye".split()) == (1, 4, 1.0) and X.best_quote("", ["a"]) is X.best_quote("a", []) is None
+    assert X.best_quote("green tea", "tee green teas green tea".split())[:2] == (3, 5)
+    assert X.quote_side("Oh, hello big world bye now", "hello BIG world", False) == "bye now" and X.quote_side("one two", "one two", True) == "NONE"
+    assert X.fuzzy_mentions("a whistel then a whistle and a kettel", {"whistle": "W", "kettle": "K", "pan": "P"}) == ["W"]
+    assert X.exact_question("  Straße\u00a0Ⅳ \n x ") == "strasse iv x"
     assert X.normalize("Çafé_Noir & Đ") == "cafe noir and"
 
 
+def test_long_chains_of_matches_need_no_recursion():
+    n = 3000
+    assert sum(p >= 0 for p in M.maximum_matching([[i, i + 1] if i else [0, 1] for i in range(n)][::-1], n + 1)) == n
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        adjacent = [[j for j in range(5) if rng.random() < 0.4] for _ in range(5)]
+        best = max(sum(j >= 0 and j in adjacent[i] for i, j in enumerate(p)) for p in itertools.permutations(range(5)))
+        assert sum(p >= 0 for p in M.maximum_matching(adjacent, 5)) == best
+    # each prediction to its best overlap: the wide one leaves the narrow gold to the other
+    assert M.match_greatest([(0.0, 10.0, 0.9), (0.0, 4.0, 0.5)], [(0.0, 5.0), (0.0, 9.0)], 0.3) == [(0, 1), (1, 0)]
+
+
+def test_conditions_and_reports(spark):
+    from tidemark.operators import audits as D
+    from tidemark.sources import writers
+
+    df = spark.createDataFrame([(1, 5.0), (2, float("nan")), (3, None), (4, float("inf")), (5, 9.0)], "k bigint, v double")
+    got = {(r.k, r.gate) for r in D.failed_conditions(df, "k", {"a": [("v", "v", ">=", 6.0)], "b": [("v", "v", "<=", 6.0)]}).collect()}
+    assert got == {(1, "a"), (5, "b"), *((k, g) for k in (2, 3, 4) for g in "ab")}
+    with pytest.raises(ValueError):
+        writers.markdown(df, 4)
+    assert len(writers.markdown(df).split("\n")) == 7
+    with pytest.raises(ValueError):
+        A.grid_fit(df, "v", "k", "test")
+
+
 def test_selection_rules():
     groups = {f"g{i}": P.Counter({"a": 1 + i % 3, "b": i % 2}) for i in range(20)}
     dev = P.improved_partition(groups, P.stratified_dev(groups, 0.25, "s"), 0.25)

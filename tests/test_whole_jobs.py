@@ -19,4 +19,5 @@ def test_all_turns_vote_and_the_whole_first_turn_is_quoted(spark, tmp_path):
     spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(turns)], "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     (r,) = REGISTRY["word_errors"].run(spark, str(tmp_path)).collect()
     assert (r.errors, r.words) == (3, 31)  # the voted words are a b x d e f
-    assert (r.quote_start, round(r.quote_ratio, 4)) == (1, 0.8333)
+    assert (r.turns, r.near, r.exact) == (5, 5, 2)
+    assert (r.quote_start, round(r.quote_ratio, 4)) == (1, 0.9091)  # by characters

@@ -85,9 +85,12 @@ def domain_key(prefix: str, domain: str, x) -> Column:
     return F.concat(F.lit(prefix), F.sha2(F.concat(F.lit(domain), c(x)), 256))
 
 
-def question(x) -> Column:
-    """one space for white space, trimmed, lower case."""
-    return F.trim(F.regexp_replace(F.lower(c(x)), r"\s+", " "))
+def exact_question(value: str) -> str:
+    return " ".join(unicodedata.normalize("NFKC", value).casefold().split())
+
+
+#: NFKC, case folded, white space to one space, trimmed.
+question = batched(exact_question, "string")
 
 
 def parent_id(x) -> Column:
@@ -126,19 +129,30 @@ def safe_path(x) -> Column:
     return c(x).isNotNull() & (c(x) != "") & ~c(x).rlike(r"^/|\\|(^|/)(\.{0,2})(/|$)")
 
 
-def fuzzy_mentions(text: str | None, variants: dict[str, str], threshold: float = 0.88) -> list[str]:
-    """labels with a variant of six or more characters like a token window of its length or one more or less."""
+# The shortest variant that is compared, and the least ratio.
+FUZZY_CHARS, FUZZY_RATIO = 6, 0.88
+
+
+def fuzzy_mentions(text: str | None, variants: dict[str, str], threshold: float = FUZZY_RATIO) -> list[str]:
+    """labels by the place of their best token window, of a variant's length or one more or less.
+
+    Each label takes the window with the highest ratio over all its variants; of
+    equal ones the first, variants in their given order.
+    """
     tokens = (normalize(text) or "").split()
-    found: list[tuple[int, str]] = []
-    for variant, label in sorted(variants.items()):
-        n = len(variant.split())
-        if len(variant) < 6:
+    best: dict[str, tuple[float, int]] = {}
+    for variant, label in variants.items():
+        wanted = normalize(variant) or ""
+        n = wanted.count(" ") + 1
+        if len(wanted) < FUZZY_CHARS:
             continue
-        for size in {max(1, n - 1), n, n + 1}:
+        for size in sorted({max(1, n - 1), n, n + 1}):
             for i in range(len(tokens) - size + 1):
-                if difflib.SequenceMatcher(None, " ".join(tokens[i : i + size]), variant).ratio() >= threshold:
-                    found.append((i, label))
-    return list(dict.fromkeys(label for _, label in sorted(found)))
+                m = difflib.SequenceMatcher(None, " ".join(tokens[i : i + size]), wanted)
+                least = max(threshold, best[label][0]) if label in best else threshold
+                if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (ratio := m.ratio()) >= threshold and (label not in best or ratio > best[label][0]):
+                    best[label] = (ratio, i)
+    return sorted(best, key=lambda label: (best[label][1], label))
 
 
 def first_json(text: str | None) -> str | None:
@@ -176,18 +190,33 @@ def has_duplicate_keys(text: str | None) -> bool | None:
 has_duplicate_keys_udf = batched(has_duplicate_keys, "boolean")
 
 
-def best_quote(quote: str, spoken: list[str]) -> tuple[int, int, float]:
-    """(start, end, ratio) of the word window, of the quote's length give or take two, most like the quote; the first best wins."""
-    target, spoken = quote.lower().split(), [w.lower() for w in spoken]
-    best = (0, 0, -1.0)
-    for n in range(max(1, len(target) - 2), len(target) + 3):
-        for i in range(len(spoken) - n + 1):
-            m = difflib.SequenceMatcher(None, target, spoken[i : i + n])
-            if m.quick_ratio() > best[2] and (ratio := m.ratio()) > best[2]:  # the first bounds the second
-                best = (i, i + n, ratio)
+def best_quote(quote: str | None, spoken: list[str]) -> tuple[int, int, float] | None:
+    """(start, end, ratio) of the word window, of the quote's length give or take two, whose characters are most like the quote's.
+
+    Windows go by start, then by length; the first best wins; without a quote or
+    words there is none.
+    """
+    target, said = normalize(quote) or "", [normalize(w) or "" for w in spoken]
+    if not target or not said:
+        return None
+    n = target.count(" ") + 1
+    best: tuple[int, int, float] | None = None
+    for i in range(len(said)):
+        for end in range(i + max(1, n - 2), min(len(said), i + n + 2) + 1):
+            m = difflib.SequenceMatcher(None, target, " ".join(said[i:end]))
+            if best is None or m.real_quick_ratio() > best[2] and m.quick_ratio() > best[2] and m.ratio() > best[2]:
+                best = (i, end, m.ratio())
     return best
 
 
+def quote_side(text: str | None, quote: str | None, before: bool) -> str:
+    """The words before or after the quote's place in a text; NONE if there are none."""
+    said = re.findall(r"\w+", text or "")
+    found = best_quote(quote, said)
+    words_ = said[: found[0]] if found and before else said[found[1] :] if found else []
+    return " ".join(words_) or "NONE"
+
+
 def parse_question(text: str | None, labels: list[str]) -> tuple[str | None, list[str], int]:
     """(relation, labels in order of mention, ordinal before the anchor).
 
@@ -205,3 +234,30 @@ def parse_question(text: str | None, labels: list[str]) -> tuple[str | None, lis
     before = q[: seen[0][0]].split()
     n = next((ORDINALS.index(w) + 1 for w in reversed(before) if w in ORDINALS), 1)
     return relation, names, n
+
+
+INTENTS = ("list", "count", "exists", "locate", "before", "after", "between", "overlap", "first", "last", "longest", "speaker_count", "speaker_identity", "speech_before_quote", "speech_after_quote")
+SPEAKERS = ("any", "male", "female", "child")
+
+
+def normalized_program(payload, labels: dict[str, str]) -> Column:
+    """A question program from JSON with its fields made valid; ``labels`` leads from normalised aliases to labels.
+
+    Unknown intents are ``unsupported``; labels without an alias are left out and
+    repeated ones named once; ordinals are whole numbers from one on, anything
+    else one; an unknown speaker is ``any``, and so is every speaker of speaker
+    questions; the confidence lies from zero to one; only quote intents keep a
+    quote. What isn't JSON is ``unsupported`` with a reason.
+    """
+    p = F.from_json(c(payload), "intent string, labels array<string>, ordinals array<string>, speaker string, quote string, confidence string")
+    tidy = lambda x: F.lower(F.trim(x))
+    alias = F.create_map(*[F.lit(x) for kv in labels.items() for x in kv])
+    intent = F.when(tidy(p["intent"]).isin(*INTENTS), tidy(p["intent"])).otherwise("unsupported")
+    named = F.array_distinct(F.array_compact(F.transform(F.coalesce(p["labels"], F.array().cast("array<string>")), lambda x: F.element_at(alias, normalized_ascii(x)))))
+    ordinals = F.transform(F.coalesce(p["ordinals"], F.array().cast("array<string>")), lambda x: F.greatest(F.lit(1), F.coalesce(x.try_cast("int"), F.lit(1))))
+    who = F.nullif(tidy(p["speaker"]), F.lit(""))
+    speaker = F.when(intent.isin("speaker_identity", "speaker_count") | (who.isNotNull() & ~who.isin(*SPEAKERS)), "any").otherwise(who)
+    quote = F.when(intent.isin("speech_before_quote", "speech_after_quote"), F.nullif(F.trim(p["quote"]), F.lit("")))
+    sure = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(p["confidence"].try_cast("double"), F.lit(0.0))))
+    broken = p.isNull() | ~F.startswith(F.trim(c(payload)), F.lit("{"))
+    return F.struct(F.when(broken, "unsupported").otherwise(intent).alias("intent"), F.coalesce(named, F.array().cast("array<string>")).alias("labels"), F.coalesce(ordinals, F.array().cast("array<int>")).alias("ordinals"), speaker.alias("speaker"), quote.alias("quote"), F.coalesce(sure, F.lit(0.0)).alias("confidence"), F.when(broken, "invalid_json").alias("reason"))

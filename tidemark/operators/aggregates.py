@@ -130,16 +130,102 @@ def wilson_upper(successes: Column, total: Column, z: float = 1.96) -> Column:
     return (p + zz / (2 * total) + z * F.sqrt(p * (1 - p) / total + zz / (4 * total * total))) / (1 + zz / total)
 
 
-def grid_fit(df: DataFrame, score: str, label: str, steps: int = 100) -> DataFrame:
-    """F1 at each grid threshold, the best with ties to precision, recall, then the higher threshold.
+def grid_fit(df: DataFrame, score: str, label: str, split: str, keys: list[str] | None = None, steps: int = 1000) -> DataFrame:
+    """F1 at each of ``steps`` + 1 thresholds (per key), the best with ties to precision, recall, fewer false positives, then the higher threshold.
 
+    Thresholds are fitted on the split ``val`` alone; another name is an error.
     Scores are counted per grid cell first; the grid meets cells, not rows.
     """
+    if split != "val":
+        raise ValueError(f"thresholds are not fitted on {split}")
+    keys = keys or []
     cell = F.least(F.lit(steps), F.floor(F.col(score) * steps)).alias("cell")
-    cells = df.groupBy(cell).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum((1 - F.col(label)).cast("long")).alias("n"))
-    dense = df.sparkSession.range(steps + 1).select(F.col("id").alias("cell")).join(cells, "cell", "left").na.fill(0)
-    w = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
-    s = dense.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w), "all": F.sum("p").over(Window.partitionBy())})
-    scored = s.select("cell", *prf(F.col("tp"), F.col("fp"), F.col("all") - F.col("tp")))
-    best = scored.agg(F.max(F.struct(F.round("f1", 9).alias("f1"), F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), "cell")).alias("m"))
-    return best.select((F.col("m.cell") / steps).alias("threshold"), "m.f1", "m.precision", "m.recall")
+    cells = df.groupBy(*keys, cell).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum((1 - F.col(label)).cast("long")).alias("n"))
+    grid = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(steps).cast("bigint"))).alias("cell")
+    every = (df.select(*keys).distinct() if keys else df.sparkSession.range(1)).select(*keys, grid)
+    dense = every.join(cells, [*keys, "cell"], "left").na.fill(0, ["p", "n"])
+    whole = Window.partitionBy(*keys)
+    above = whole.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
+    s = dense.withColumns({"tp": F.sum("p").over(above), "fp": F.sum("n").over(above), "all": F.sum("p").over(whole)})
+    scored = s.select(*keys, "cell", "fp", *prf(F.col("tp"), F.col("fp"), F.col("all") - F.col("tp")))
+    best = scored.groupBy(*keys).agg(F.max(F.struct(F.round("f1", 9).alias("f1"), F.round("precision", 9).alias("precision"), F.round("recall", 9).alias("recall"), (-F.col("fp")).alias("fp"), "cell")).alias("m"))
+    return best.select(*keys, (F.col("m.cell") / steps).alias("threshold"), "m.f1", "m.precision", "m.recall")
+
+
+def gains(df: DataFrame, base: str, candidates: list[str], harm: float = 1.0) -> DataFrame:
+    """Per candidate the mean gain over ``base``, the share of wins and of harm; and what choosing the best each time gains and chooses."""
+    best = F.greatest(base, *candidates)
+    chosen = F.when(F.col(base) == best, base)
+    for name in candidates:
+        chosen = chosen.when(F.col(name) == best, name)
+    rate = lambda x: F.avg(x.cast("int"))
+    out = [F.count("*").alias("n")]
+    for name in candidates:
+        gain = F.col(name) - F.col(base)
+        out += [F.avg(gain).alias(f"{name}_gain"), rate(gain > 0).alias(f"{name}_wins"), rate(gain < -harm).alias(f"{name}_harm")]
+    gain = best - F.col(base)
+    out += [F.avg(gain).alias("oracle_gain"), rate(gain > 1e-7).alias("oracle_wins"), rate(gain >= 1).alias("oracle_by_1"), rate(gain >= 2).alias("oracle_by_2")]
+    return df.agg(*out, *[F.count_if(chosen == name).alias(f"chose_{name}") for name in [base, *candidates]])
+
+
+def mention_bias(df: DataFrame, first: str, second: str, predicted: str, gold: str) -> DataFrame:
+    """Over questions that name two candidates: how often one is predicted, and the gaps by order of mention."""
+    named = F.col(predicted).isin(F.col(first), F.col(second))
+    is_first, right = F.col(gold) == F.col(first), (F.col(predicted) == F.col(gold)).cast("int")
+    rate = lambda x: F.avg(x.cast("int"))
+    return df.where(F.col(gold).isin(F.col(first), F.col(second))).agg(
+        rate(named).alias("named_rate"),
+        F.abs(F.avg(F.when(named, (F.col(predicted) == F.col(first)).cast("int"))) - rate(is_first)).alias("mention_bias"),
+        F.abs(F.avg(F.when(is_first, right)) - F.avg(F.when(~is_first, right))).alias("accuracy_gap"),
+    )
+
+
+#: Measures over rows with evidence, over rows without, and over all.
+ANSWERABLE = ("anchor_iou", "answer_iou", "union_iou", "weakest_iou", "boundary_mae", "duration_ratio", "energy_ratio")
+OVERALL = ("reconstruction_error", "physical_forwards", "effective_evaluations")
+
+
+def endpoints(df: DataFrame) -> DataFrame:
+    """One row of counts and frozen measures of records (probability and label of no evidence, ANSWERABLE, retained energy, OVERALL, scene, creator).
+
+    Ranking measures come from distinct probabilities, the rest from one pass.
+    """
+    has = ~F.col("no_evidence")
+    label = F.col("no_evidence").cast("int")
+    measures = [F.avg(F.when(has, F.col(c))).alias(c) for c in ANSWERABLE] + [F.avg(c).alias(c) for c in OVERALL]
+    measures += [F.avg(F.when(~has, F.col("energy_ratio"))).alias("no_evidence_energy_ratio"), F.max("reconstruction_error").alias("reconstruction_maximum"), F.avg((F.col("probability") - label) ** 2).alias("brier")]
+    counts = [F.count("*").alias("records"), F.count_distinct("scene").alias("scenes"), F.count_distinct("creator").alias("creators"), F.count_if(has).alias("answerable"), F.count_if(~has).alias("without_evidence"), F.sum("physical_forwards").alias("physical_total"), F.sum("effective_evaluations").alias("effective_total")]
+    labelled = df.withColumn("_label", label)
+    one = labelled.agg(*counts, *measures)
+    # one row each
+    return one.crossJoin(F.broadcast(ranking(labelled, "probability", "_label"))).crossJoin(F.broadcast(calibration_error(labelled, "probability", "_label")))
+
+
+def policy_search(df: DataFrame, pads: list[float], thresholds: list[float], least_reject: float) -> DataFrame:
+    """Per relation the threshold and pads with the best (mean IoU, accuracy, rejection, -mean span), the earlier of equal ones.
+
+    ``df`` has relation, score, no_evidence, right (the answer is), onset, off and
+    gold_onset, gold_off. Policies that reject at least ``least_reject`` of the
+    rows without evidence come first. Rows are summed per pads and threshold step
+    before thresholds see them.
+    """
+    grid = [(i * len(pads) + j, a, b) for i, a in enumerate(pads) for j, b in enumerate(pads)]
+    pad = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(a)).alias("left"), F.lit(float(b)).alias("right_pad")) for k, a, b in grid])).alias("pad")
+    step = sum((F.col("score") >= t).cast("int") for t in sorted(thresholds))  # how many thresholds the row reaches
+    x = df.withColumn("step", step).select("*", pad)
+    on, off = F.greatest(F.lit(0.0), F.col("onset") - F.col("pad.left")), F.col("off") + F.col("pad.right_pad")
+    inner = F.greatest(F.lit(0.0), F.least(off, F.col("gold_off")) - F.greatest(on, F.col("gold_onset")))
+    iou = inner / (off - on + F.col("gold_off") - F.col("gold_onset") - inner)
+    has = ~F.col("no_evidence")
+    sums = x.groupBy("relation", "pad", "step").agg(F.sum(F.when(has, iou).otherwise(0.0)).alias("iou"), F.count_if(has & F.col("right")).alias("ok"), F.count_if(has).alias("has"), F.count_if(~has).alias("none"), F.sum(F.when(has, off - on).otherwise(0.0)).alias("span"))
+    levels = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(t)).alias("threshold")) for i, t in enumerate(sorted(thresholds), 1)])).alias("level")
+    active = F.col("step") >= F.col("level.i")
+    total = lambda c, when=None: F.sum(F.when(when, F.col(c)).otherwise(0) if when is not None else F.col(c))
+    scored = sums.select("*", levels).groupBy("relation", "pad", "level").agg(
+        F.round(total("iou", active) / F.greatest(total("has"), F.lit(1)), 9).alias("mean_iou"),
+        F.round(total("ok", active) / F.greatest(total("has"), F.lit(1)), 9).alias("accuracy"),
+        F.round(total("none", ~active) / F.greatest(total("none"), F.lit(1)), 9).alias("rejection"),
+        F.round(F.coalesce(F.try_divide(total("span", active), total("has", active)), F.lit(0.0)), 9).alias("mean_span"),
+    )
+    key = F.struct((F.col("rejection") >= least_reject).alias("ok"), "mean_iou", "accuracy", "rejection", (-F.col("mean_span")).alias("s"), (-F.col("pad.k")).alias("k"), (-F.col("level.i")).alias("i"))
+    return scored.groupBy("relation").agg(F.max_by(F.struct(F.col("level.threshold").alias("threshold"), F.col("pad.left").alias("left"), F.col("pad.right_pad").alias("right_pad"), "mean_iou", "accuracy", "rejection", "mean_span"), key).alias("m")).select("relation", "m.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 
 def without_duplicates(df: DataFrame, content: Column) -> DataFrame:
@@ -60,3 +61,40 @@ def complete_groups(df: DataFrame, group: str, variant: str, wanted: list[str])
     """SP18, DD10: groups whose variants are exactly the wanted ones, each once."""
     want = F.array_sort(F.array(*map(F.lit, wanted)))
     return df.groupBy(group).agg(F.array_sort(F.collect_set(variant)).alias("v"), F.count("*").alias("n")).where((F.col("v") == want) & (F.col("n") == len(wanted))).select(group)
+
+
+def holds(value: Column, operator: str, threshold: float) -> Column:
+    """Value >=, > or <= threshold; null, NaN and infinite values fail."""
+    tests = {">=": value >= threshold, ">": value > threshold, "<=": value <= threshold}
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    return F.coalesce(finite & tests[operator], F.lit(False))
+
+
+def failed_conditions(df: DataFrame, key: str, gates: dict[str, list[tuple[str, str, str, float]]]) -> DataFrame:
+    """A row per failed condition: key, gate, code, value, operator, threshold. ``gates``: gate -> (code, column, operator, threshold)."""
+    rows = []
+    for gate, conditions in gates.items():
+        for code, column, operator, threshold in conditions:
+            x = F.col(column).cast("double")
+            rows.append(F.when(~holds(x, operator, threshold), F.struct(F.lit(gate).alias("gate"), F.lit(code).alias("code"), x.alias("value"), F.lit(operator).alias("operator"), F.lit(float(threshold)).alias("threshold"))))
+    return df.select(key, F.inline(F.array_compact(F.array(*rows))))
+
+
+def prohibited_fields(schema: StructType, words: tuple[str, ...] = ("oracle", "sdr")) -> list[str]:
+    """P20: paths of fields, at any depth, whose name holds one of the words (case and '-' aside)."""
+    out: list[str] = []
+
+    def walk(kind, path: str) -> None:
+        if isinstance(kind, StructType):
+            for f in kind.fields:
+                at = f"{path}.{f.name}" if path else f.name
+                if any(w in f.name.casefold().replace("-", "_") for w in words):
+                    out.append(at)
+                walk(f.dataType, at)
+        elif isinstance(kind, ArrayType):
+            walk(kind.elementType, f"{path}[]")
+        elif isinstance(kind, MapType):
+            walk(kind.valueType, f"{path}{{}}")
+
+    walk(schema, "")
+    return out

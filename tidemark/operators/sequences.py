@@ -84,12 +84,23 @@ def smoothed(column: str, keys: list[str], order: list, width: int) -> Column:
     return F.sum(column).over(rows(keys, order, -(width // 2), width // 2)) / width
 
 
-def median3(column: str, keys: list[str], order: list) -> Column:
-    """W7 for three frames, edges repeated: the median of a value and its neighbours."""
+def median(column: str, keys: list[str], order: list, width: int) -> Column:
+    """The median over an odd width (an even one is widened), edge values repeated."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    x = F.col(column)
-    a, b = F.coalesce(F.lag(column).over(w), x), F.coalesce(F.lead(column).over(w), x)
-    return a + b + x - F.greatest(a, b, x) - F.least(a, b, x)
+    half = width // 2
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    near = [F.coalesce(F.lag(column, i).over(w), F.first(column).over(whole)) for i in range(half, 0, -1)] + [F.col(column)] + [F.coalesce(F.lead(column, i).over(w), F.last(column).over(whole)) for i in range(1, half + 1)]
+    return F.element_at(F.array_sort(F.array(*near)), half + 1)
+
+
+def peak_component(df: DataFrame, keys: list[str], frame: str, p: str, threshold: float) -> DataFrame:
+    """Per key the run of frames at or above ``threshold`` around the first greatest value; that frame alone if it is below."""
+    w = Window.partitionBy(*keys)
+    peak = F.min_by(frame, F.struct(-F.col(p), F.col(frame))).over(w)
+    on = df.withColumn("_peak", peak).where((F.col(p) >= threshold) | (F.col(frame) == F.col("_peak")))
+    run = on.withColumn("_g", F.col(frame) - F.row_number().over(w.orderBy(frame)))
+    out = run.groupBy(*keys, "_g").agg(F.min(frame).alias("start"), (F.max(frame) + 1).alias("stop"), F.max(p).alias("peak"), F.max(F.col(frame) == F.col("_peak")).alias("_in"))
+    return out.where("_in").drop("_g", "_in")
 
 
 def local_maximum(column: str, keys: list[str], order: list, distance: int, least: float) -> Column:

@@ -1,5 +1,10 @@
-"""Splits, quotas and schedules. Sequential greedy rules run on the driver over
-aggregates of bounded size (groups by labels), never over rows."""
+"""Splits, quotas and schedules.
+
+Sequential greedy rules (SP1, SP3, SP5, SP10-SP17) decide one item after the
+other, so they run on the driver: over aggregates, groups by labels in size,
+where items are groups, and over the candidates themselves (SP10, SP11), a
+catalogue that has to fit there.
+"""
 
 from __future__ import annotations
 

@@ -247,3 +247,30 @@ def balanced(items: DataFrame, keys: list[str], flag: str, order: Column, most:
     n = F.row_number().over(Window.partitionBy(*keys, flag).orderBy(order))
     sizes = items.groupBy(*keys).agg(F.least(F.count_if(F.col(flag)), F.count_if(~F.col(flag)), F.lit(most)).alias("_m"))
     return items.withColumn("_n", n).join(sizes, keys).where("_n <= _m").drop("_n", "_m")
+
+
+def unambiguous_items(df: DataFrame, seed: str, gap: float = 0.08, most: int = 4, most_empty: int = 2) -> DataFrame:
+    """Questions about neighbours with one right answer, so many per scene.
+
+    Anchor and answer overlap no event of another label, differ in label, do not
+    overlap, and start more than ``gap`` seconds apart; the ends of a scene ask
+    for what isn't there. Per scene, both relations take turns in hash order.
+    """
+    from tidemark.operators.intervals import overlap_join
+
+    meets = overlap_join(df, df, ["scene"]).where("l_label <> r_label").select(F.col("l_event_id").alias("event_id"), F.lit(True).alias("_m")).distinct()
+    w = in_scene()
+    t = flattened(df).join(meets, "event_id", "left").withColumn("ambiguous", F.col("_m").isNotNull())
+    parts = []
+    for relation, take in (("after", F.lead), ("before", F.lag)):
+        other = {c: take(c).over(w) for c in ("label", "onset", "off", "ambiguous")}
+        x = t.withColumns({f"o_{c}": v for c, v in other.items()})
+        first, second = (("onset", "off"), "o_onset") if relation == "after" else (("o_onset", "o_off"), "onset")
+        apart = (F.col(second) - F.col(first[0]) > gap) & (F.col(second) >= F.col(first[1]))
+        good = ~F.col("ambiguous") & (F.col("o_label").isNull() | (~F.col("o_ambiguous") & (F.col("o_label") != F.col("label")) & apart))
+        parts.append(x.where(good).select("scene", F.lit(relation).alias("relation"), F.col("label").alias("anchor"), "occurrence", F.col("o_label").alias("answer"), F.col("o_label").isNull().alias("no_evidence")))
+    items = parts[0].unionByName(parts[1])
+    text = lambda *c: F.sha2(F.concat_ws(":", F.lit(seed), *c), 256)
+    turn = F.row_number().over(Window.partitionBy("scene", "relation", "no_evidence").orderBy(text("scene", "relation", "anchor", "occurrence")))
+    place = F.row_number().over(Window.partitionBy("scene", "no_evidence").orderBy("_i", text("scene", "relation")))
+    return items.withColumn("_i", turn).withColumn("_z", place).where(F.col("_z") <= F.when(F.col("no_evidence"), most_empty).otherwise(most)).drop("_i", "_z")

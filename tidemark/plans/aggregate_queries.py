@@ -80,7 +80,7 @@ def confusion_topk(spark, sf):
     return A.confusion(predictions(spark, sf), "gold", "pred").where("gold <> pred").orderBy(F.desc("n"), "gold", "pred").limit(5)
 
 
-@query("A13 A19 A23 M23", f"WITH {KNN} SELECT gold // 2 AS cluster, round(avg((gold // 2 = pred // 2)::INT), 6) AS collapsed, round(avg((gold = pred)::INT), 6) AS accuracy, count(*) FILTER (gold <> pred) AS wrong FROM p GROUP BY 1")
+@query("A13", f"WITH {KNN} SELECT gold // 2 AS cluster, round(avg((gold // 2 = pred // 2)::INT), 6) AS collapsed, round(avg((gold = pred)::INT), 6) AS accuracy, count(*) FILTER (gold <> pred) AS wrong FROM p GROUP BY 1")
 def collapsed_accuracy(spark, sf):
     half = lambda x: F.floor(F.col(x) / 2)
     return predictions(spark, sf).groupBy(half("gold").alias("cluster")).agg(R(F.avg((half("gold") == half("pred")).cast("int"))).alias("collapsed"), R(F.avg((F.col("gold") == F.col("pred")).cast("int"))).alias("accuracy"), F.count_if(F.col("gold") != F.col("pred")).alias("wrong"))
@@ -175,9 +175,65 @@ def best_threshold(spark, sf):
     return A.best_balanced(scored(spark, sf).withColumn("score", R("score")), "score", "label")
 
 
-@query("M9 M10 M11 M21", f"WITH {SCORED}, g AS (SELECT unnest(range(101)) c), t AS (SELECT c, count(*) FILTER (label = 1 AND least(100, floor(score * 100)) >= c) tp, count(*) FILTER (label = 0 AND least(100, floor(score * 100)) >= c) fp, count(*) FILTER (label = 1 AND least(100, floor(score * 100)) < c) fn FROM g CROSS JOIN s GROUP BY 1), m AS (SELECT c, tp / greatest(tp + fp, 1) p, tp / greatest(tp + fn, 1) r FROM t), f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END f FROM m) SELECT c / 100 AS threshold, round(f, 9) AS f1, round(p, 9) AS precision, round(r, 9) AS recall FROM f ORDER BY round(f, 9) DESC, round(p, 9) DESC, round(r, 9) DESC, c DESC LIMIT 1")
+GRID = "m AS (SELECT *, tp / greatest(tp + fp, 1) p, tp / greatest(tp + fn, 1) r FROM t), f AS (SELECT *, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) f FROM m)"
+HIT = "least(1000, floor(score * 1000)) >= c"
+
+
+@query("M9 M11", f"WITH {SCORED}, g AS (SELECT unnest(range(1001)) c), t AS (SELECT c, count(*) FILTER (label = 1 AND {HIT}) tp, count(*) FILTER (label = 0 AND {HIT}) fp, count(*) FILTER (label = 1 AND NOT {HIT}) fn FROM g CROSS JOIN s GROUP BY 1), {GRID} SELECT c / 1000 AS threshold, f AS f1, round(p, 9) AS precision, round(r, 9) AS recall FROM f ORDER BY f DESC, round(p, 9) DESC, round(r, 9) DESC, fp, c DESC LIMIT 1")
 def threshold_grid(spark, sf):
-    return A.grid_fit(scored(spark, sf), "score", "label")
+    return A.grid_fit(scored(spark, sf), "score", "label", "val").select("threshold", "f1", "precision", "recall")
+
+
+@query("M10", f"WITH s AS (SELECT lang, least(1.0, (d.n_chars % 997) / 997.0 * 0.6 + 0.4 * quality) AS score, quality AS label FROM labels JOIN documents d ON d.doc_id = labels.doc_id), g AS (SELECT unnest(range(1001)) c), t AS (SELECT lang, c, count(*) FILTER (label = 1 AND {HIT}) tp, count(*) FILTER (label = 0 AND {HIT}) fp, count(*) FILTER (label = 1 AND NOT {HIT}) fn FROM g CROSS JOIN s GROUP BY 1, 2), {GRID}, k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY f DESC, round(p, 9) DESC, round(r, 9) DESC, fp, c DESC) n FROM f) SELECT lang, c / 1000 AS threshold, f AS f1, round(p, 9) AS precision, round(r, 9) AS recall FROM k WHERE n = 1")
+def class_thresholds(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id", "n_chars", "lang")
+    s = load(spark, sf, "labels").join(d, "doc_id").select("lang", F.least(F.lit(1.0), (F.col("n_chars") % 997) / 997.0 * 0.6 + 0.4 * F.col("quality")).alias("score"), F.col("quality").alias("label"))
+    return A.grid_fit(s, "score", "label", "val", ["lang"])
+
+
+@query("A19", "WITH v AS (SELECT value % 50 crop, value % 53 a, value % 47 b FROM events), o AS (SELECT *, greatest(crop, a, b) best, CASE WHEN crop >= a AND crop >= b THEN 'crop' WHEN a >= b THEN 'a' ELSE 'b' END pick FROM v) SELECT count(*) AS n, " + ", ".join(f"round(avg({x} - crop), 6) AS {x}_gain, round(avg(({x} - crop > 0)::INT), 6) AS {x}_wins, round(avg(({x} - crop < -1)::INT), 6) AS {x}_harm" for x in "ab") + ", round(avg(best - crop), 6) AS oracle_gain, round(avg((best - crop > 1e-7)::INT), 6) AS oracle_wins, round(avg((best - crop >= 1)::INT), 6) AS oracle_by_1, round(avg((best - crop >= 2)::INT), 6) AS oracle_by_2, " + ", ".join(f"count(*) FILTER (pick = '{x}') AS chose_{x}" for x in ("crop", "a", "b")) + " FROM o")
+def candidate_gains(spark, sf):
+    v = load(spark, sf, "events").select((F.col("value") % 50).alias("crop"), (F.col("value") % 53).alias("a"), (F.col("value") % 47).alias("b"))
+    g = A.gains(v, "crop", ["a", "b"])
+    return g.select(*[R(c).alias(c) if dict(g.dtypes)[c] == "double" else c for c in g.columns])
+
+
+@query("M19", "WITH q AS (SELECT o_orderkey % 5 f, (o_orderkey + 1) % 5 s, o_custkey % 5 p, CASE WHEN o_orderkey % 3 = 0 THEN (o_orderkey + 1) % 5 ELSE o_orderkey % 5 END g FROM orders) SELECT round(avg((p IN (f, s))::INT), 6) AS named_rate, round(abs(avg((p = f)::INT) FILTER (p IN (f, s)) - avg((g = f)::INT)), 6) AS mention_bias, round(abs(avg((p = g)::INT) FILTER (g = f) - avg((p = g)::INT) FILTER (g <> f)), 6) AS accuracy_gap FROM q")
+def mention_order_bias(spark, sf):
+    k = F.col("o_orderkey")
+    q = load(spark, sf, "orders").select((k % 5).alias("f"), ((k + 1) % 5).alias("s"), (F.col("o_custkey") % 5).alias("p"), F.when(k % 3 == 0, (k + 1) % 5).otherwise(k % 5).alias("g"))
+    return A.mention_bias(q, "f", "s", "p", "g").select(*[R(c).alias(c) for c in ("named_rate", "mention_bias", "accuracy_gap")])
+
+
+MEASURED = {"anchor_iou": 101, "answer_iou": 103, "union_iou": 107, "weakest_iou": 109, "boundary_mae": 113, "duration_ratio": 127, "energy_ratio": 131, "reconstruction_error": 137}
+RECORDS = "r AS (SELECT round((n_chars % 997) / 997.0 * 0.6 + 0.4 * quality, 9) AS probability, quality = 1 AS no_evidence, " + ", ".join(f"(n_chars % {m}) / {m}.0 AS {c}" for c, m in MEASURED.items()) + ", n_chars % 3 AS physical_forwards, n_chars % 5 AS effective_evaluations, source AS scene, lang AS creator FROM labels JOIN documents d ON d.doc_id = labels.doc_id)"
+MEANS = ", ".join(f"round(avg({c}) FILTER (NOT no_evidence), 6) AS {c}" for c in A.ANSWERABLE)
+
+
+@query("A23", f"""WITH {RECORDS}, p AS (SELECT probability, sum(no_evidence::INT) p, sum(1 - no_evidence::INT) n FROM r GROUP BY 1), c AS (SELECT *, sum(p) OVER w tp, sum(n) OVER w fp FROM p WINDOW w AS (ORDER BY probability DESC ROWS UNBOUNDED PRECEDING)), k AS (SELECT round(sum(n * (tp - p / 2)) / (sum(n) * sum(p)), 6) AS auroc, round(sum(tp / (tp + fp) * p) / sum(p), 6) AS auprc FROM c),
+b AS (SELECT least(9, floor(probability * 10)) b, count(*) n, abs(avg(probability) - avg(no_evidence::INT)) g FROM r GROUP BY 1), e AS (SELECT round(sum(n * g) / sum(n), 6) AS ece FROM b)
+SELECT count(*) AS records, count(DISTINCT scene) AS scenes, count(DISTINCT creator) AS creators, count(*) FILTER (NOT no_evidence) AS answerable, count(*) FILTER (no_evidence) AS without_evidence, sum(physical_forwards)::BIGINT AS physical_total, sum(effective_evaluations)::BIGINT AS effective_total, {MEANS}, round(avg(reconstruction_error), 6) AS reconstruction_error, round(avg(physical_forwards), 6) AS physical_forwards, round(avg(effective_evaluations), 6) AS effective_evaluations,
+round(avg(energy_ratio) FILTER (no_evidence), 6) AS no_evidence_energy_ratio, round(max(reconstruction_error), 6) AS reconstruction_maximum, round(avg((probability - no_evidence::INT) * (probability - no_evidence::INT)), 6) AS brier, any_value(auroc) AS auroc, any_value(auprc) AS auprc, any_value(ece) AS ece FROM r, k, e""")
+def frozen_endpoints(spark, sf):
+    n = F.col("n_chars")
+    d = load(spark, sf, "labels").join(load(spark, sf, "documents").select("doc_id", "n_chars", "source", "lang"), "doc_id")
+    r = d.select(F.round((n % 997) / 997.0 * 0.6 + 0.4 * F.col("quality"), 9).alias("probability"), (F.col("quality") == 1).alias("no_evidence"), *[((n % m) / float(m)).alias(c) for c, m in MEASURED.items()], (n % 3).alias("physical_forwards"), (n % 5).alias("effective_evaluations"), F.col("source").alias("scene"), F.col("lang").alias("creator"))
+    e = A.endpoints(r)
+    return e.select(*[R(c).alias(c) if dict(e.dtypes)[c] == "double" else c for c in e.columns])
+
+
+PADS, LEVELS = [0.0, 2.0, 5.0], [0.2, 0.4, 0.6, 0.8]
+SPANS = "p AS (SELECT event_type AS relation, value / 500 AS score, event_id % 4 = 0 AS no_evidence, event_id % 3 <> 0 AS right_, 10 + event_id % 7 AS onset, 20 + event_id % 11 AS off, 8 + event_id % 5 AS g_on, 22 + event_id % 13 AS g_off FROM events)"
+
+
+@query("M21", f"""WITH {SPANS}, l AS (SELECT unnest([{', '.join(map(str, PADS))}]) AS l), r AS (SELECT unnest([{', '.join(map(str, PADS))}]) AS r), t AS (SELECT unnest([{', '.join(map(str, LEVELS))}]) AS t),
+x AS (SELECT p.*, l, r, t, greatest(0, onset - l) a, off + r b, score >= t act FROM p, l, r, t), y AS (SELECT *, greatest(0, least(b, g_off) - greatest(a, g_on)) i FROM x),
+s AS (SELECT relation, l, r, t, round(coalesce(sum(i / (b - a + g_off - g_on - i)) FILTER (NOT no_evidence AND act), 0) / greatest(1, count(*) FILTER (NOT no_evidence)), 9) mean_iou, round(count(*) FILTER (NOT no_evidence AND act AND right_) / greatest(1, count(*) FILTER (NOT no_evidence)), 9) accuracy, round(count(*) FILTER (no_evidence AND NOT act) / greatest(1, count(*) FILTER (no_evidence)), 9) rejection, round(coalesce(avg(b - a) FILTER (NOT no_evidence AND act), 0), 9) mean_span FROM y GROUP BY 1, 2, 3, 4),
+k AS (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY (rejection >= 0.5) DESC, mean_iou DESC, accuracy DESC, rejection DESC, mean_span, l, r, t) n FROM s) SELECT relation, t::DOUBLE AS threshold, l::DOUBLE AS left, r::DOUBLE AS right_pad, mean_iou, accuracy, rejection, mean_span FROM k WHERE n = 1""".replace("AS left,", 'AS "left",'))
+def policy_search(spark, sf):
+    n = F.col("event_id")
+    p = load(spark, sf, "events").select(F.col("event_type").alias("relation"), (F.col("value") / 500).alias("score"), (n % 4 == 0).alias("no_evidence"), (n % 3 != 0).alias("right"), (10 + n % 7).alias("onset"), (20 + n % 11).alias("off"), (8 + n % 5).alias("gold_onset"), (22 + n % 13).alias("gold_off"))
+    return A.policy_search(p, PADS, LEVELS, 0.5)
 
 
 @query("M3 M8 M16 M20", f"WITH {SCORED}, a AS (SELECT avg((score >= 0.5)::INT) FILTER (label = 1) x, avg((score < 0.5)::INT) FILTER (label = 0) y, avg((score - label) * (score - label)) b, count(*) FILTER (score >= 0.5) k, count(*) n FROM s) SELECT round(x, 6) AS hit, round(y, 6) AS reject, round(b, 6) AS brier, round(CASE WHEN x > 0 AND y > 0 THEN 2 * x * y / (x + y) ELSE 0 END, 6) AS harmonic, round((k / n + 3.8416 / (2 * n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS upper FROM a")

@@ -53,9 +53,14 @@ def moving_average(spark, sf):
     return dense(spark, sf).select("scene", "frame", R(S.smoothed("p", ["scene"], ["frame"], 5)).alias("smooth"))
 
 
-@query("W7", f"WITH {DENSE} SELECT scene, frame, round(list_sort([coalesce(lag(p) OVER w, p), p, coalesce(lead(p) OVER w, p)])[2], 6) AS median FROM fr WINDOW w AS (PARTITION BY scene ORDER BY frame)")
+@query("W7", f"WITH {DENSE} SELECT scene, frame, round(list_sort([coalesce(lag(p) OVER w, p), p, coalesce(lead(p) OVER w, p)])[2], 6) AS median, round(list_sort([coalesce(lag(p, 2) OVER w, first(p) OVER w), coalesce(lag(p) OVER w, first(p) OVER w), p, coalesce(lead(p) OVER w, last(p) OVER u), coalesce(lead(p, 2) OVER w, last(p) OVER u)])[3], 6) AS median_5 FROM fr WINDOW w AS (PARTITION BY scene ORDER BY frame), u AS (PARTITION BY scene ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
 def median_filter(spark, sf):
-    return dense(spark, sf).select("scene", "frame", R(S.median3("p", ["scene"], ["frame"])).alias("median"))
+    return dense(spark, sf).select("scene", "frame", R(S.median("p", ["scene"], ["frame"], 3)).alias("median"), R(S.median("p", ["scene"], ["frame"], 5)).alias("median_5"))
+
+
+@query("I28", f"WITH {DENSE}, k AS (SELECT *, first(frame) OVER (PARTITION BY scene ORDER BY p DESC, frame) peak FROM fr), r AS (SELECT *, frame - row_number() OVER (PARTITION BY scene ORDER BY frame) g FROM k WHERE p >= 0.6 OR frame = peak), c AS (SELECT scene, g, min(frame) AS start, max(frame) + 1 AS stop, max(p) m, bool_or(frame = peak) i FROM r GROUP BY 1, 2) SELECT scene, start, stop, round(m, 6) AS peak FROM c WHERE i")
+def peak_component(spark, sf):
+    return S.peak_component(dense(spark, sf), ["scene"], "frame", "p", 0.6).withColumn("peak", R("peak"))
 
 
 @query("W8", f"WITH {DENSE} SELECT scene, frame FROM (SELECT *, max(p) OVER (PARTITION BY scene ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) m FROM fr) WHERE p >= m AND p >= 0.3")
@@ -106,10 +111,10 @@ def onset_and_passage(spark, sf):
     return d.select("scene", "frame", R(F.col("rise") / (F.sum("rise").over(Window.partitionBy("scene")) + 1e-6)).alias("onset_mass"), R("fp").alias("first_passage"))
 
 
-@query("W18 SP8", "WITH p AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) n FROM part), h AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) k FROM p WHERE n <= 30 AND p_partkey % 4 = 0), r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) k FROM p WHERE n > 70) SELECT h.p_brand, h.p_partkey, h.k AS hole, r.p_partkey AS refill_p_partkey FROM h LEFT JOIN r ON r.p_brand = h.p_brand AND r.k = h.k")
+@query("W18 SP8", "WITH p AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) n FROM part), h AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) k FROM p WHERE n <= 30 AND p_partkey % 4 = 0), r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) k FROM p WHERE n > 30) SELECT h.p_brand, h.p_partkey, h.k AS hole, r.p_partkey AS refill_p_partkey FROM h LEFT JOIN r ON r.p_brand = h.p_brand AND r.k = h.k")
 def reserve_refill(spark, sf):
     p = load(spark, sf, "part").select("p_brand", "p_partkey").withColumn("n", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")))
-    out = S.refilled(p.where("n <= 30").drop("n"), p.where("n > 70").drop("n"), ["p_brand"], F.col("p_partkey") % 4 == 0, ["p_partkey"])
+    out = S.refilled(p.where("n <= 30").drop("n"), p.where("n > 30").drop("n"), ["p_brand"], F.col("p_partkey") % 4 == 0, ["p_partkey"])
     return out.select("p_brand", "p_partkey", "hole", "refill_p_partkey")
 
 
@@ -121,21 +126,23 @@ def bottleneck_ranking(spark, sf):
     return load(spark, sf, "nation").join(s, "n_nationkey", "left").join(c, "n_nationkey", "left").select("n_nationkey", r.alias("r")).orderBy(F.desc("r"), "n_nationkey").limit(10).select("n_nationkey", R("r").alias("ratio"))
 
 
-@query("O6", "WITH p AS (SELECT p_brand b, p_partkey k, p_size z, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) n FROM part), q AS (SELECT * FROM p WHERE n <= 8), c AS (SELECT a.b, a.k k1, d.k k2, e.k k3, f.k k4, greatest(d.z - a.z, e.z - d.z, f.z - e.z) m FROM q a JOIN q d ON a.b = d.b AND a.n < d.n JOIN q e ON d.b = e.b AND d.n < e.n JOIN q f ON e.b = f.b AND e.n < f.n) SELECT b AS p_brand, k1, k2, k3, k4 FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY m, k1, k2, k3, k4) r FROM c) WHERE r = 1")
+@query("O6", "WITH q AS (SELECT l_orderkey b, l_quantity z, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) n FROM lineitem), c AS (SELECT a.b, a.n k1, d.n k2, e.n k3, f.n k4, greatest(d.z - a.z, e.z - d.z, f.z - e.z) m FROM q a JOIN q d ON a.b = d.b AND a.n < d.n JOIN q e ON d.b = e.b AND d.n < e.n JOIN q f ON e.b = f.b AND e.n < f.n) SELECT b AS l_orderkey, k1, k2, k3, k4 FROM (SELECT *, row_number() OVER (PARTITION BY b ORDER BY m, k1, k2, k3, k4) r FROM c) WHERE r = 1")
 def best_chain(spark, sf):
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    q = load(spark, sf, "part").select("p_brand", "p_partkey", "p_size").withColumn("n", F.row_number().over(w)).where("n <= 8")
-    out = q.toDF("p_brand", "k1", "z1", "n1")
+    # all line items of an order, which are few
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    q = load(spark, sf, "lineitem").select("l_orderkey", F.col("l_quantity").alias("z"), F.row_number().over(w).alias("n"))
+    out = q.toDF("l_orderkey", "z1", "k1")
     for i in (2, 3, 4):
-        nxt = q.toDF("b", f"k{i}", f"z{i}", f"n{i}")
-        out = out.join(nxt, (F.col("p_brand") == F.col("b")) & (F.col(f"n{i - 1}") < F.col(f"n{i}"))).drop("b")
+        out = out.join(q.toDF("l_orderkey", f"z{i}", f"k{i}"), "l_orderkey").where(F.col(f"k{i - 1}") < F.col(f"k{i}"))
     worst = F.greatest(*[F.col(f"z{i + 1}") - F.col(f"z{i}") for i in (1, 2, 3)])
-    return out.groupBy("p_brand").agg(F.min(F.struct(worst.alias("m"), "k1", "k2", "k3", "k4")).alias("x")).select("p_brand", "x.k1", "x.k2", "x.k3", "x.k4")
+    return out.groupBy("l_orderkey").agg(F.min(F.struct(worst.alias("m"), "k1", "k2", "k3", "k4")).alias("x")).select("l_orderkey", "x.k1", "x.k2", "x.k3", "x.k4")
 
 
 @query("O7 F22", "SELECT event_type, array_to_string(list_sort(list(DISTINCT user_id))[1:5], ',') AS sample FROM events GROUP BY 1")
 def limited_samples(spark, sf):
-    return load(spark, sf, "events").groupBy("event_type").agg(F.array_join(F.slice(F.array_sort(F.collect_set("user_id")), 1, 5), ",").alias("sample"))
+    u = load(spark, sf, "events").select("event_type", "user_id").distinct()
+    few = S.capped(u, ["event_type"], ["user_id"], 5)
+    return few.groupBy("event_type").agg(F.array_join(F.array_sort(F.collect_list("user_id")), ",").alias("sample"))
 
 
 @query("O8 P10", "SELECT p_partkey, p_name FROM part WHERE p_size IN (1, 5, 9) AND (contains(lower(p_name), 'a') OR contains(lower(p_type), 'steel')) ORDER BY p_retailprice DESC, p_partkey LIMIT 50")

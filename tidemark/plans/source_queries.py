@@ -80,7 +80,7 @@ def manifest_merge(spark, sf):
     return readers.merged_manifests(o).select("split", "video", F.array_join("routes", ",").alias("routes"), "path")
 
 
-@query("S10 S20 S21 S22 S25 ST2 ST3", "SELECT count(*) AS n, sum(vec_id)::BIGINT AS ids, true AS files_bounded, false AS second_commit FROM embeddings")
+@query("S10 S20 S21 S22 S25 ST2", "SELECT count(*) AS n, sum(vec_id)::BIGINT AS ids, true AS files_bounded, false AS second_commit FROM embeddings")
 def shard_commit(spark, sf):
     at = place(spark, "shards")
     e = load(spark, sf, "embeddings")
@@ -108,7 +108,7 @@ def best_crop(spark, sf):
     return Q.best_crop(t, ["scene", "day"], 7200.0).select("scene", "day", F.round("start", 3).alias("start"), "labels", "events")
 
 
-@query("I26 S18", None)
+@query("I26", None)
 def audible_trim(spark, sf):
     e = load(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("wave"), F.lit(0.0).alias("onset"), F.lit(6.4).alias("off"))
     return Q.audible_intervals(e, 10)
@@ -141,7 +141,7 @@ def absent_pools(spark, sf):
     return Q.absent_labels(p, "scene", "part", "label", "neg", 2).select("scene", F.array_join("absent", ",").alias("absent"))
 
 
-@query("M18 M19", "WITH s AS (SELECT o_custkey k, o_orderkey % 4 slot, max(o_totalprice / 500000) l, max((o_totalprice % 1000) / 1000) r FROM orders GROUP BY 1, 2), g AS (SELECT k, list(DISTINCT slot) FILTER (l >= 0.5) a, list(DISTINCT slot) FILTER (r >= 0.5) b FROM s GROUP BY 1) SELECT k AS custkey, coalesce(len(a), 0) > 0 AND coalesce(len(b), 0) > 0 AND len(list_distinct(list_concat(a, b))) > 1 AS resolved FROM g")
+@query("M18", "WITH s AS (SELECT o_custkey k, o_orderkey % 4 slot, max(o_totalprice / 500000) l, max((o_totalprice % 1000) / 1000) r FROM orders GROUP BY 1, 2), g AS (SELECT k, list(DISTINCT slot) FILTER (l >= 0.5) a, list(DISTINCT slot) FILTER (r >= 0.5) b FROM s GROUP BY 1) SELECT k AS custkey, coalesce(len(a), 0) > 0 AND coalesce(len(b), 0) > 0 AND len(list_distinct(list_concat(a, b))) > 1 AS resolved FROM g")
 def pair_resolution(spark, sf):
     s = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("custkey"), (F.col("o_orderkey") % 4).alias("slot")).agg(F.max(F.col("o_totalprice") / 500000).alias("iou_left"), F.max(F.col("o_totalprice") % 1000 / 1000).alias("iou_right"))
     return Q.pair_resolution(s, ["custkey"])
@@ -157,7 +157,7 @@ def parsed_questions(spark, sf):
     return load(spark, sf, "events").select("event_type").distinct().select("event_type", parse(asked).alias("parsed"), fuzzy(asked).alias("fuzzy"))
 
 
-@query("SP12 SP23 SP26", None)
+@query("SP23 SP26", None)
 def confusion_partition(spark, sf):
     labels = load(spark, sf, "embeddings").groupBy("label", (F.col("vec_id") % 10).alias("pred")).agg(F.count("*").alias("n")).collect()
     counts = np.zeros((10, 10))

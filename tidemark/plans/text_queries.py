@@ -30,9 +30,9 @@ def label_mentions(spark, sf):
     return d.select("doc_id", F.array_join(X.mentions("text", {"the": "THE", "was": "WAS", "und": "UND"}), ",").alias("labels"), X.contains_phrase("text", ["not", "are"]).alias("cue"))
 
 
-@query("F11 F12 F13 F26", "SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', ' ', 'g')) AS caption, 'creator_' || sha256('creator:' || url) AS creator, trim(regexp_replace(lower(left(html, 80)), '\\s+', ' ', 'g')) AS question, regexp_replace(url, '_[^_]*$', '') AS parent FROM pages")
+@query("F11 F12 F13 F26", "SELECT page_id, trim(regexp_replace(lower(url), '[^a-z0-9]+', ' ', 'g')) AS caption, 'creator_' || sha256('creator:' || url) AS creator, trim(regexp_replace(replace(lower(html), 'ß', 'ss'), '\\s+', ' ', 'g')) AS question, regexp_replace(url, '_[^_]*$', '') AS parent FROM pages")
 def text_keys(spark, sf):
-    return load(spark, sf, "pages").select("page_id", X.caption("url").alias("caption"), X.domain_key("creator_", "creator:", "url").alias("creator"), X.question(F.substring("html", 1, 80)).alias("question"), X.parent_id("url").alias("parent"))
+    return load(spark, sf, "pages").select("page_id", X.caption("url").alias("caption"), X.domain_key("creator_", "creator:", "url").alias("creator"), X.question("html").alias("question"), X.parent_id("url").alias("parent"))
 
 
 @query("F14 DD9", """SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS fingerprint FROM nation""")
@@ -78,9 +78,9 @@ def nested_fallback(spark, sf):
     return e.select("event_id", get("$.k").cast("bigint").alias("k"), F.coalesce(F.nullif(get("$.name"), F.lit("")), F.nullif("event_type", F.lit("")), F.lit("none")).alias("name"), (finite & (F.col("value") > 1)).alias("good"))
 
 
-@query("F20", "SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_extendedprice / 100, 0) AS half_even, round(l_extendedprice / 100, 0) AS half_up FROM lineitem WHERE l_orderkey < 2000")
+@query("F20", "SELECT l_orderkey, l_linenumber, l_partkey, round_even(l_extendedprice / 100, 0) AS half_even, round(l_extendedprice / 100, 0) AS half_up FROM lineitem")
 def rounding_rules(spark, sf):
-    l = load(spark, sf, "lineitem").where("l_orderkey < 2000")  # noqa: E741
+    l = load(spark, sf, "lineitem")  # noqa: E741
     x = F.col("l_extendedprice") / 100
     return l.select("l_orderkey", "l_linenumber", "l_partkey", F.bround(x, 0).alias("half_even"), F.round(x, 0).alias("half_up"))
 
@@ -113,31 +113,66 @@ def semantic_filter(spark, sf):
     return k.select("user_id", F.array_join(V.sorted_distinct(F.transform("events", lambda e: e["event_type"])), ",").alias("labels"), F.size("events").cast("bigint").alias("n"))
 
 
-@query("P4 P5 P7", "SELECT event_id, len(json_keys(props)) = 1 AND json_keys(props)[1] = 'k' AS exact FROM events")
+@query("P4", "SELECT event_id, len(json_keys(props)) = 1 AND json_keys(props)[1] = 'k' AS exact FROM events")
 def exact_fields(spark, sf):
     keys = F.map_keys(F.from_json("props", "map<string,string>"))
     want = F.array(F.lit("k"))
     return load(spark, sf, "events").select("event_id", ((F.size(F.array_except(keys, want)) == 0) & (F.size(F.array_except(want, keys)) == 0)).alias("exact"))
 
 
-@query("P6 P8", "WITH o AS (SELECT user_id, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) k FROM events) SELECT user_id, event_type, min(k) = 1 AND max(k) = count(*) AND count(DISTINCT k) = count(*) AS valid FROM o GROUP BY 1, 2")
+@query("P8", "WITH o AS (SELECT user_id, event_type, ts, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) k FROM events) SELECT user_id, event_type, min(k) = 1 AND max(k) = count(*) AND count(DISTINCT k) = count(*) AS valid FROM o GROUP BY 1, 2")
 def occurrence_check(spark, sf):
     k = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
     return load(spark, sf, "events").withColumn("k", k).groupBy("user_id", "event_type").agg(((F.min("k") == 1) & (F.max("k") == F.count("*")) & (F.count_distinct("k") == F.count("*"))).alias("valid"))
 
 
-@query("P9 P20", """SELECT event_id, sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}') AS binding FROM events""")
+@query("P9", """SELECT event_id, sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '"}') AS binding FROM events""")
 def label_free_projection(spark, sf):
     return load(spark, sf, "events").select("event_id", X.canonical_hash("event_id", "event_type").alias("binding"))
 
 
-@query("P12 P13 P15 P16", "SELECT p_partkey, g AS failed, CASE WHEN g = '' THEN 'gold' WHEN s = '' AND p_size <= 40 THEN 'silver' ELSE 'rejected' END AS level FROM (SELECT p_partkey, p_size, array_to_string(list_filter([CASE WHEN p_retailprice < 1200 THEN 'price' END, CASE WHEN p_size > 20 THEN 'size' END], lambda v: v IS NOT NULL), ',') g, CASE WHEN p_retailprice < 1000 THEN 'price' ELSE '' END s FROM part)")
+@query("P12 P13", "SELECT p_partkey, g AS failed, CASE WHEN g = '' THEN 'gold' WHEN s = '' AND p_size <= 40 THEN 'silver' ELSE 'rejected' END AS level FROM (SELECT p_partkey, p_size, array_to_string(list_filter([CASE WHEN p_retailprice < 1200 THEN 'price' END, CASE WHEN p_size > 20 THEN 'size' END], lambda v: v IS NOT NULL), ',') g, CASE WHEN p_retailprice < 1000 THEN 'price' ELSE '' END s FROM part)")
 def quality_gates(spark, sf):
     failed = F.array_join(F.array_compact(F.array(F.when(F.col("p_retailprice") < 1200, F.lit("price")), F.when(F.col("p_size") > 20, F.lit("size")))), ",")
     p = load(spark, sf, "part").withColumns({"failed": failed, "s": F.when(F.col("p_retailprice") < 1000, "price").otherwise("")})
     return p.select("p_partkey", "failed", F.when(F.col("failed") == "", "gold").when((F.col("s") == "") & (F.col("p_size") <= 40), "silver").otherwise("rejected").alias("level"))
 
 
+CONDITIONS = {"gold": [("price", "p_retailprice", ">=", 1200.0), ("size", "p_size", "<=", 20.0)], "silver": [("price", "p_retailprice", ">", 1000.0), ("size", "p_size", "<=", 40.0)]}
+
+
+@query("P15 P16", " UNION ALL ".join(f"SELECT p_partkey, '{gate}' AS gate, '{code}' AS code, {column}::DOUBLE AS value, '{op}' AS operator, {limit} AS threshold FROM part WHERE NOT {column} {op} {limit}" for gate, rows in CONDITIONS.items() for code, column, op, limit in rows))
+def rejection_details(spark, sf):
+    from tidemark.operators.audits import failed_conditions
+
+    return failed_conditions(load(spark, sf, "part"), "p_partkey", CONDITIONS)
+
+
+@query("P20", "SELECT unnest(['claims.best_oracle', 'scores[].SI-SDR']) AS path")
+def prohibited_fields(spark, sf):
+    from tidemark.operators.audits import prohibited_fields as found
+
+    nested = load(spark, sf, "events").select("event_id", F.struct("event_type", F.col("value").alias("best_oracle")).alias("claims"), F.array(F.struct(F.col("value").alias("SI-SDR"), F.col("ts").alias("at"))).alias("scores"))
+    return spark.createDataFrame([(p,) for p in found(nested.schema)], "path string")
+
+
+INTENTS = ", ".join(f"'{i}'" for i in X.INTENTS)
+SAID = "s AS (SELECT event_id, event_type l, CASE event_id % 5 WHEN 0 THEN ' After ' WHEN 1 THEN 'dance' WHEN 2 THEN 'speech_after_quote' WHEN 3 THEN 'speaker_count' ELSE 'before' END i, (event_id % 4 - 1)::VARCHAR || CASE WHEN event_id % 7 = 0 THEN 'x' ELSE '' END o, CASE event_id % 3 WHEN 0 THEN 'Female' WHEN 1 THEN 'robot' ELSE '' END w, (event_id % 30 - 5) / 10.0 c FROM events)"
+
+
+@query("T19", f"""WITH {SAID} SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'unsupported' WHEN lower(trim(i)) IN ({INTENTS}) THEN lower(trim(i)) ELSE 'unsupported' END AS intent,
+CASE WHEN event_id % 11 = 0 OR l NOT IN ('click', 'error') THEN '' ELSE upper(l) END AS labels, CASE WHEN event_id % 11 = 0 THEN '' ELSE greatest(1, coalesce(try_cast(o AS INTEGER), 1))::VARCHAR END AS ordinals,
+CASE WHEN event_id % 11 = 0 THEN NULL WHEN i = 'speaker_count' OR w = 'robot' THEN 'any' ELSE nullif(lower(w), '') END AS speaker, CASE WHEN event_id % 11 <> 0 AND i = 'speech_after_quote' THEN l || ' now' END AS quote, CASE WHEN event_id % 11 = 0 THEN 0.0 ELSE least(1, greatest(0, c)) END::DOUBLE AS confidence FROM s""")
+def question_programs(spark, sf):
+    e, n = load(spark, sf, "events"), F.col("event_id")
+    intent = F.element_at(F.array(*map(F.lit, [" After ", "dance", "speech_after_quote", "speaker_count", "before"])), (n % 5 + 1).cast("int"))
+    ordinal = F.concat((n % 4 - 1).cast("string"), F.when(n % 7 == 0, "x").otherwise(""))
+    who = F.element_at(F.array(*map(F.lit, ["Female", "robot", ""])), (n % 3 + 1).cast("int"))
+    body = F.to_json(F.struct(intent.alias("intent"), F.array(F.col("event_type"), F.concat("event_type", F.lit("  "))).alias("labels"), F.array(ordinal).alias("ordinals"), who.alias("speaker"), F.concat(F.lit(" "), "event_type", F.lit(" now ")).alias("quote"), ((n % 30 - 5) / 10.0).cast("double").alias("confidence")))
+    p = e.select("event_id", X.normalized_program(F.when(n % 11 == 0, "sorry, no").otherwise(body), {"click": "CLICK", "error": "ERROR"}).alias("p"))
+    return p.select("event_id", "p.intent", F.array_join("p.labels", ",").alias("labels"), F.array_join("p.ordinals", ",").alias("ordinals"), "p.speaker", "p.quote", "p.confidence")
+
+
 @query("P17", "WITH m AS (SELECT user_id, event_type, max(value) p FROM events GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY p DESC) k FROM m) SELECT e.event_id FROM events e JOIN r ON r.user_id = e.user_id AND r.event_type = e.event_type WHERE (k <= 2 OR p >= 480 OR e.event_type = 'error') AND (value >= 100 OR e.event_type = 'error')")
 def inventory_filter(spark, sf):
     e = load(spark, sf, "events")
@@ -164,7 +199,7 @@ def unicode_normalize(spark, sf):
     return load(spark, sf, "documents").select("doc_id", X.normalize_udf("text").alias("normalized"))
 
 
-@query("F10 T19", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+@query("F10", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
 def json_recovery(spark, sf):
     found = X.first_json_udf(F.concat(F.lit("reply: {oops "), "props", F.lit(" thanks")))
     return load(spark, sf, "events").select("event_id", F.get_json_object(found, "$.k").cast("bigint").alias("k"))

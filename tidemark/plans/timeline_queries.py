@@ -132,15 +132,26 @@ def timeline_best_pair(spark, sf):
 QA = f"{ORD}, qa AS (SELECT scene, 'before' AS relation, label AS anchor, k AS occurrence, b AS answer, b IS NULL AS no_evidence FROM o UNION ALL SELECT scene, 'after', label, k, a, a IS NULL FROM o)"
 
 
-@query("T21 T24", f"WITH {TL}, {QA} SELECT * FROM qa")
+@query("T21", f"WITH {TL}, {QA} SELECT * FROM qa")
 def qa_generation(spark, sf):
     return T.qa_items(timeline(spark, sf))
 
 
-@query("T22 T23 O3", f"WITH {TL}, {QA}, r AS (SELECT *, row_number() OVER (PARTITION BY relation, anchor, no_evidence ORDER BY sha256(scene || ':' || occurrence)) n, least(count(*) FILTER (no_evidence) OVER (PARTITION BY relation, anchor), count(*) FILTER (NOT no_evidence) OVER (PARTITION BY relation, anchor), 20) m FROM qa) SELECT scene, relation, anchor, occurrence, no_evidence FROM r WHERE n <= m")
+@query("T23 O3", f"WITH {TL}, {QA}, r AS (SELECT *, row_number() OVER (PARTITION BY relation, anchor, occurrence, no_evidence ORDER BY sha256(scene || ':' || occurrence)) n, least(count(*) FILTER (no_evidence) OVER (PARTITION BY relation, anchor, occurrence), count(*) FILTER (NOT no_evidence) OVER (PARTITION BY relation, anchor, occurrence), 20) m FROM qa) SELECT scene, relation, anchor, occurrence, no_evidence FROM r WHERE n <= m")
 def qa_balanced(spark, sf):
     order = F.sha2(F.concat_ws(":", "scene", "occurrence"), 256)
-    return T.balanced(T.qa_items(timeline(spark, sf)), ["relation", "anchor"], "no_evidence", order, 20).select("scene", "relation", "anchor", "occurrence", "no_evidence")
+    return T.balanced(T.qa_items(timeline(spark, sf)), ["relation", "anchor", "occurrence"], "no_evidence", order, 20).select("scene", "relation", "anchor", "occurrence", "no_evidence")
+
+
+PLAIN = f"""{ORD}, u AS (SELECT o.*, EXISTS (SELECT 1 FROM tl y WHERE y.scene = o.scene AND y.label <> o.label AND y.onset < o.off AND o.onset < y.off) amb FROM o),
+n AS (SELECT *, lag(label) OVER w pl, lag(onset) OVER w po, lag(off) OVER w pf, lag(amb) OVER w pa, lead(label) OVER w nl, lead(onset) OVER w no_, lead(amb) OVER w na FROM u WINDOW w AS (PARTITION BY scene {O})),
+q AS (SELECT scene, 'after' AS relation, label AS anchor, k AS occurrence, nl AS answer, nl IS NULL AS no_evidence FROM n WHERE NOT amb AND (nl IS NULL OR (NOT na AND nl <> label AND no_ - onset > 0.08 AND no_ >= off)) UNION ALL SELECT scene, 'before', label, k, pl, pl IS NULL FROM n WHERE NOT amb AND (pl IS NULL OR (NOT pa AND pl <> label AND onset - po > 0.08 AND onset >= pf))),
+h AS (SELECT *, row_number() OVER (PARTITION BY scene, relation, no_evidence ORDER BY sha256('qa:' || scene || ':' || relation || ':' || anchor || ':' || occurrence)) i FROM q), j AS (SELECT *, row_number() OVER (PARTITION BY scene, no_evidence ORDER BY i, sha256('qa:' || scene || ':' || relation)) z FROM h)"""
+
+
+@query("T22 O3", f"WITH {TL}, {PLAIN} SELECT scene, relation, anchor, occurrence, answer, no_evidence FROM j WHERE z <= CASE WHEN no_evidence THEN 2 ELSE 4 END")
+def qa_unambiguous(spark, sf):
+    return T.unambiguous_items(timeline(spark, sf), "qa")
 
 
 @query("T17", "SELECT conv_id, count(*) AS turns, count(DISTINCT role) AS speakers, string_agg(DISTINCT role, ',' ORDER BY role) AS roles, coalesce(sum(length(text)) FILTER (role = 'user'), 0)::BIGINT AS user_chars, sha256(coalesce(string_agg(text, ' ' ORDER BY turn) FILTER (role = 'assistant'), '')) AS assistant_text FROM conversations GROUP BY 1")

@@ -86,22 +86,26 @@ def read_allowed(spark: SparkSession, path: str, columns: list[str], allow: Data
 def row_groups(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Rows and compressed bytes of each row group, from the footers alone.
 
-    Footers are read through the file system's own reader, one path per row.
+    Paths are dealt to tasks, which open each file at its end; no data page is
+    read. Files must lie where pyarrow's file systems reach them (a shared
+    folder, HDFS, an object store).
     """
     import pyarrow.parquet as pq
-
-    schema = "path string, row_group int, n_rows bigint, n_bytes bigint"
+    from pyarrow import fs
 
     def inspect(batches):
         for batch in batches:
             out: list[tuple] = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                meta = pq.ParquetFile(io.BytesIO(content)).metadata
+            for path in batch.column(0).to_pylist():
+                place, at = fs.FileSystem.from_uri(path)
+                with place.open_input_file(at) as f:
+                    meta = pq.read_metadata(f)
                 out += [(path, i, meta.row_group(i).num_rows, sum(meta.row_group(i).column(k).total_compressed_size for k in range(meta.num_columns))) for i in range(meta.num_row_groups)]
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int32(), pa.int64(), pa.int64()])], ["path", "row_group", "n_rows", "n_bytes"])
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(inspect, schema)
+    files = sorted({f if "://" in f or f.startswith("file:") else f"file://{f}" for p in paths for f in spark.read.parquet(p).inputFiles()})
+    return spark.createDataFrame([(f.replace("file:///", "/") if f.startswith("file:///") else f,) for f in files], "path string").repartition(max(1, min(len(files), 1000))).mapInArrow(inspect, "path string, row_group int, n_rows bigint, n_bytes bigint")
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:

@@ -44,14 +44,25 @@ def commit_fragment(df: DataFrame, path: str) -> bool:
     return True
 
 
-def markdown(df: DataFrame, rows: int = 100) -> str:
-    """A report table of at most ``rows`` rows."""
+#: Most rows of a report table; more is an error, not a cut.
+REPORT_ROWS = 10_000
+
+
+def _report(df: DataFrame, most: int) -> list:
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    return rows
+
+
+def markdown(df: DataFrame, rows: int = REPORT_ROWS) -> str:
+    """A report table of all rows; more than ``rows`` fail."""
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.limit(rows).collect()])
+    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in _report(df, rows)])
 
 
-def latex(df: DataFrame, rows: int = 100) -> str:
-    """S24."""
+def latex(df: DataFrame, rows: int = REPORT_ROWS) -> str:
+    """As ``markdown``."""
     escape = lambda v: "" if v is None else str(v).replace("\\", r"\textbackslash{}").replace("&", r"\&").replace("%", r"\%").replace("_", r"\_")
-    body = [" & ".join(map(escape, r)) + r" \\" for r in [df.columns, *df.limit(rows).collect()]]
+    body = [" & ".join(map(escape, r)) + r" \\" for r in [df.columns, *_report(df, rows)]]
     return "\n".join([rf"\begin{{tabular}}{{{'l' * len(df.columns)}}}", *body, r"\end{tabular}"])
