@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of one group of texts, and of one slice of a longer text.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 512 << 10
 _SLOT = np.uint64(0x9E3779B97F4A7C15)
 #: One multiplier for each position in a word, repeating after 64 bytes.
 _ROUND = np.cumsum(np.full(64, _SLOT, np.uint64)) | np.uint64(1)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from tidemark.session import ship, written
 
 #: Bytes of one Arrow batch, where the session sets none: bounds a Python worker's memory for long texts.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Rows of one join key beyond which the key is dealt to several.
 HUB = 500_000
 _BOUND = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -32,7 +32,7 @@ WINDOW, SHINGLE = 13, 5
 #: Most bits of the filter (32 MB): with two probes, 30 million shingles let 4 % of the others pass.
 FILTER_BITS = 1 << 28
 #: Words whose hashes a worker remembers.
-MOST_WORDS = 500_000
+MOST_WORDS = 100_000
 #: Shingle counts that a task gathers before it writes them.
 MOST_COUNTS = 200_000
 #: A-Z to lower case; what is neither letter, digit nor beyond ASCII separates words.

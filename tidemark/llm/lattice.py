@@ -11,9 +11,10 @@ marginals and of the end token's probability.
 
 Flow: each task numbers the words of chunks of about ``CHUNK_BYTES`` of text and
 writes, per document, word numbers with counts, and one vocabulary row per
-chunk. Words are aggregated over all chunks, each distinct word is scored once,
-and counts and scores return to their chunks by joins on (chunk, word). No
-vocabulary of the corpus is collected or broadcast.
+chunk. One shuffle brings the rows of a word together and gives them its count;
+each distinct word is taken once by the expectation step and scored once, and
+counts and scores return to their chunks by number. No vocabulary of the corpus
+is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import arrow_map, fold, table
@@ -223,11 +224,17 @@ def _expectation(pieces, logp):
 
 
 def _scored(pieces, logp):
+    """(of_chunk, idx, c, lp) of (word, chunk, idx, c); equal words come one after the other and are scored once."""
+
     def run(batches):
-        lattice = Lattice(pieces, logp)
+        lattice, last, lp = Lattice(pieces, logp), None, 0.0
         for batch in batches:
-            lp = [lattice.score(w.decode("utf-8", "surrogatepass")) for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lp, pa.float64())], ["word", "c", "lp"])
+            out = []
+            for word in batch.column(0).to_pylist():
+                if word != last:
+                    last, lp = word, lattice.score(word.decode("utf-8", "surrogatepass"))
+                out.append(lp)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), batch.column(3), pa.array(out, pa.float64())], ["of_chunk", "idx", "c", "lp"])
 
     return run
 
@@ -265,18 +272,20 @@ def scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, name: str = VOCABULA
     ship(spark)
     chunks = written(arrow_map(docs.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text"), _chunks(chunk_bytes), CHUNK_SCHEMA), "chunks")
     numbered = chunks.where("words is not null").select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("idx", "w")).select("chunk", "idx", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    counted = written(numbered.groupBy("word").agg(F.sum("n").alias("c")), "words")
-    n_words, distinct = counted.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    # one shuffle brings a word's rows together: they get its count, and the first of them speaks for it
+    w = Window.partitionBy("word")
+    counted = written(numbered.withColumns({"c": F.sum("n").over(w), "first": F.row_number().over(w.orderBy("chunk", "idx")) == 1}).drop("n"), "words")
+    distinct_words = counted.where("first and c > 0")
+    n_words, distinct = distinct_words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = chunks.where("words is null and not held_out").count()
     n, v = n_words + ends, distinct + (ends > 0)
     pieces, first = vocabulary(name)
     expected = np.zeros(len(first))
-    for row in arrow_map(counted.where("c > 0"), _expectation(pieces, first), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+    for row in arrow_map(distinct_words.select("word", "c"), _expectation(pieces, first), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect():
         expected[row.piece] = row.n
     expected[-1] = ends
     logp = np.log((expected + PRIOR * np.exp(first)) / (expected.sum() + PRIOR))
-    known = arrow_map(counted, _scored(pieces, logp), "word binary, c bigint, lp double")
-    back = numbered.select("chunk", "idx", "word").join(known, "word").select(F.col("chunk").alias("of_chunk"), "idx", "c", "lp")
+    back = arrow_map(counted.select("word", "chunk", "idx", "c"), _scored(pieces, logp), "of_chunk bigint, idx int, c bigint, lp double")
     rows = chunks.where("words is null").select("chunk", "doc_id", "held_out", "n_words", "idx", "tf")
     return rows.groupBy("chunk").cogroup(back.groupBy("of_chunk")).applyInArrow(_documents(n, v, ends, float(logp[-1])), RESULT)
 
