@@ -229,3 +229,17 @@ def policy_search(df: DataFrame, pads: list[float], thresholds: list[float], lea
     )
     key = F.struct((F.col("rejection") >= least_reject).alias("ok"), "mean_iou", "accuracy", "rejection", (-F.col("mean_span")).alias("s"), (-F.col("pad.k")).alias("k"), (-F.col("level.i")).alias("i"))
     return scored.groupBy("relation").agg(F.max_by(F.struct(F.col("level.threshold").alias("threshold"), F.col("pad.left").alias("left"), F.col("pad.right_pad").alias("right_pad"), "mean_iou", "accuracy", "rejection", "mean_span"), key).alias("m")).select("relation", "m.*")
+
+
+def frame_metrics(df: DataFrame, example: str, score: str, target: str, threshold: float) -> DataFrame:
+    """M3, M8: IoU and F1 of frames at a threshold, averaged over examples and over all frames; share of frames kept; examples without target left empty.
+
+    An empty union is a match: both measures are one.
+    """
+    on, gold = F.col(score) >= threshold, F.col(target) == 1
+    per = df.groupBy(example).agg(F.count_if(on & gold).alias("tp"), F.count_if(on & ~gold).alias("fp"), F.count_if(~on & gold).alias("fn"), F.count("*").alias("n"))
+    iou = lambda tp, fp, fn: F.when(tp + fp + fn == 0, 1.0).otherwise(tp / F.greatest(tp + fp + fn, F.lit(1)))
+    f1 = lambda tp, fp, fn: F.when(tp + fp + fn == 0, 1.0).otherwise(2 * tp / F.greatest(2 * tp + fp + fn, F.lit(1)))
+    one, every = [F.col(c) for c in ("tp", "fp", "fn")], [F.sum(c) for c in ("tp", "fp", "fn")]
+    none = F.col("tp") + F.col("fn") == 0
+    return per.agg(F.avg(iou(*one)).alias("macro_iou"), iou(*every).alias("micro_iou"), F.avg(f1(*one)).alias("macro_f1"), f1(*every).alias("micro_f1"), (F.sum(F.col("tp") + F.col("fp")) / F.sum("n")).alias("retained"), F.avg(F.when(none, (F.col("fp") == 0).cast("int"))).alias("reject_rate"))

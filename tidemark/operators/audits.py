@@ -98,3 +98,11 @@ def prohibited_fields(schema: StructType, words: tuple[str, ...] = ("oracle", "s
 
     walk(schema, "")
     return out
+
+
+def assert_disjoint(train: DataFrame, held_out: DataFrame, key: str) -> DataFrame:
+    """DD12: ``train``, after checking that none of its keys is held out."""
+    shared = train.join(held_out.select(key).distinct(), key, "left_semi").select(key).limit(5).collect()
+    if shared:
+        raise ValueError(f"held-out keys in training: {[r[0] for r in shared]}")
+    return train

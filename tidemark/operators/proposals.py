@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.intervals import overlap_length
-from tidemark.operators.matching import split_at_peaks
 
 
 def best_crop(df: DataFrame, keys: list[str], length: float, least_visible: float = 0.5) -> DataFrame:
@@ -53,26 +52,20 @@ def audible_intervals(df: DataFrame, rate: int) -> DataFrame:
 
 
 def peak_split(df: DataFrame, keys: list[str], threshold: float, peak: float) -> DataFrame:
-    """Runs at or above ``threshold``, split midway between local peaks at or above ``peak``."""
-
-    def run(key, p):
-        p = p.sort_values("frame")
-        f, x = p.frame.to_numpy(), p.p.to_numpy()
-        rows, at = [], 0
-        while at < len(f):
-            if x[at] < threshold:
-                at += 1
-                continue
-            end = at
-            while end + 1 < len(f) and x[end + 1] >= threshold and f[end + 1] == f[end] + 1:
-                end += 1
-            peaks = [int(f[i]) for i in range(at, end + 1) if x[i] >= peak and (i == at or x[i] > x[i - 1]) and (i == end or x[i] >= x[i + 1])]
-            rows += [[*key, a, b] for a, b in split_at_peaks(int(f[at]), int(f[end]) + 1, peaks)]
-            at = end + 1
-        return pd.DataFrame(rows, columns=[*keys, "start", "stop"])
-
-    kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
-    return df.groupBy(*keys).applyInPandas(run, f"{kinds}, start bigint, stop bigint")
+    """Runs of frames at or above ``threshold``, split midway between local peaks at or above ``peak``; windows alone.
+
+    A peak is above the frame before and not below the one after, ends of a run
+    apart; the run's first frame and each midpoint start a piece.
+    """
+    on = df.where(F.col("p") >= threshold).withColumn("_run", F.col("frame") - F.row_number().over(Window.partitionBy(*keys).orderBy("frame")))
+    run = [*keys, "_run"]
+    w = Window.partitionBy(*run).orderBy("frame")
+    is_peak = (F.col("p") >= peak) & F.coalesce(F.col("p") > F.lag("p").over(w), F.lit(True)) & F.coalesce(F.col("p") >= F.lead("p").over(w), F.lit(True))
+    marked = on.withColumns({"_peak": F.when(is_peak, F.col("frame")), "_head": F.row_number().over(w) == 1, "_stop": F.max("frame").over(Window.partitionBy(*run)) + 1})
+    last = F.last("_peak", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    middle = F.floor((last + F.col("_peak") + 1) / 2)
+    pieces = marked.withColumn("start", F.explode(F.array_compact(F.array(F.when(F.col("_head"), F.col("frame")), middle)))).select(*run, "_stop", "start").distinct()
+    return pieces.withColumn("stop", F.coalesce(F.lead("start").over(Window.partitionBy(*run).orderBy("start")), "_stop")).select(*keys, "start", "stop")
 
 
 def absent_labels(df: DataFrame, scene: str, partition: str, label: str, seed: str, most: int) -> DataFrame:

@@ -26,14 +26,18 @@ def cluster_sums(df: DataFrame, cluster: str, *values: Column) -> DataFrame:
 
 
 def bootstrap(clusters: DataFrame, replicates: int, seed: str) -> DataFrame:
-    """Per replicate, the sums over as many drawn clusters as there are, with replacement."""
+    """Per replicate, the sums over as many drawn clusters as there are, with replacement.
+
+    ``m_0``.. are means of cluster means in which each draw of a cluster counts
+    as a cluster of its own; all statistics of a replicate share its draws.
+    """
     n = clusters.count()
     spark = clusters.sparkSession
     draws = spark.range(replicates).select(F.col("id").alias("replicate"), F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0)))).alias("draw"))
     drawn = draws.withColumn("number", (hash_number(seed, F.col("replicate"), F.col("draw")) % max(n, 1)).cast("int"))
     weights = drawn.groupBy("replicate", "number").agg(F.count("*").alias("w"))
     sums = [c for c in clusters.columns if c.startswith("s_")]
-    return weights.join(clusters, "number").groupBy("replicate").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in sums], F.sum(F.col("w") * F.col("n")).alias("n"))
+    return weights.join(clusters, "number").groupBy("replicate").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in sums], *[(F.sum(F.col("w") * F.col(c) / F.col("n")) / F.sum("w")).alias(f"m_{c[2:]}") for c in sums], F.sum(F.col("w") * F.col("n")).alias("n"))
 
 
 def interval(df: DataFrame, statistic: str, level: float = 0.95) -> DataFrame:

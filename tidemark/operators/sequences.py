@@ -15,6 +15,14 @@ def capped(df: DataFrame, keys: list[str], order: list, most: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= most)
 
 
+def fixed_count(df: DataFrame, label: str, order: list, count: int) -> DataFrame:
+    """SP25: exactly ``count`` rows per label in the given order; a label with fewer is an error."""
+    short = df.groupBy(label).agg(F.count("*").alias("n")).where(F.col("n") < count).limit(5).collect()
+    if short:
+        raise ValueError(f"too few rows: {[(r[0], r.n) for r in short]}")
+    return capped(df, [label], order, count)
+
+
 def numbered(df: DataFrame, *order: str, parts: int | None = None) -> DataFrame:
     """df with ``number``: the row's place from zero in a total order, without one task ranking all rows.
 

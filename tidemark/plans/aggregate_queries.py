@@ -135,7 +135,7 @@ def class_weights(spark, sf):
     return A.class_weights(load(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"))).select("event_type", R("pos_weight").alias("pos_weight"), R("root_weight").alias("root_weight"))
 
 
-@query("A30 A31", "WITH p AS (SELECT o_custkey, count(*) FILTER (o_orderkey % 2 = 0) a, count(*) FILTER (o_orderkey % 2 = 1) b, avg(o_totalprice) FILTER (o_orderkey % 2 = 0) x, avg(o_totalprice) FILTER (o_orderkey % 2 = 1) y FROM orders GROUP BY 1) SELECT count(*) FILTER (a > 0 AND b > 0) AS complete, count(*) FILTER (a = 0 OR b = 0) AS incomplete, round(avg(((x > 200000) = (y > 200000))::INT), 6) AS invariance, round(avg((x > 200000 AND y > 200000)::INT), 6) AS both_high, round(avg(abs(x - y)), 2) AS gap FROM p")
+@query("A30", "WITH p AS (SELECT o_custkey, count(*) FILTER (o_orderkey % 2 = 0) a, count(*) FILTER (o_orderkey % 2 = 1) b, avg(o_totalprice) FILTER (o_orderkey % 2 = 0) x, avg(o_totalprice) FILTER (o_orderkey % 2 = 1) y FROM orders GROUP BY 1) SELECT count(*) FILTER (a > 0 AND b > 0) AS complete, count(*) FILTER (a = 0 OR b = 0) AS incomplete, round(avg(((x > 200000) = (y > 200000))::INT), 6) AS invariance, round(avg((x > 200000 AND y > 200000)::INT), 6) AS both_high, round(avg(abs(x - y)), 2) AS gap FROM p")
 def control_pairs(spark, sf):
     even = F.col("o_orderkey") % 2 == 0
     p = load(spark, sf, "orders").groupBy("o_custkey").agg(F.count_if(even).alias("a"), F.count_if(~even).alias("b"), F.avg(F.when(even, F.col("o_totalprice"))).alias("x"), F.avg(F.when(~even, F.col("o_totalprice"))).alias("y"))
@@ -236,7 +236,7 @@ def policy_search(spark, sf):
     return A.policy_search(p, PADS, LEVELS, 0.5)
 
 
-@query("M3 M8 M16 M20", f"WITH {SCORED}, a AS (SELECT avg((score >= 0.5)::INT) FILTER (label = 1) x, avg((score < 0.5)::INT) FILTER (label = 0) y, avg((score - label) * (score - label)) b, count(*) FILTER (score >= 0.5) k, count(*) n FROM s) SELECT round(x, 6) AS hit, round(y, 6) AS reject, round(b, 6) AS brier, round(CASE WHEN x > 0 AND y > 0 THEN 2 * x * y / (x + y) ELSE 0 END, 6) AS harmonic, round((k / n + 3.8416 / (2 * n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS upper FROM a")
+@query("M16 M20", f"WITH {SCORED}, a AS (SELECT avg((score >= 0.5)::INT) FILTER (label = 1) x, avg((score < 0.5)::INT) FILTER (label = 0) y, avg((score - label) * (score - label)) b, count(*) FILTER (score >= 0.5) k, count(*) n FROM s) SELECT round(x, 6) AS hit, round(y, 6) AS reject, round(b, 6) AS brier, round(CASE WHEN x > 0 AND y > 0 THEN 2 * x * y / (x + y) ELSE 0 END, 6) AS harmonic, round((k / n + 3.8416 / (2 * n) + 1.96 * sqrt(k / n * (1 - k / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS upper FROM a")
 def threshold_metrics(spark, sf):
     s = scored(spark, sf)
     a = s.agg(F.avg(F.when(F.col("label") == 1, (F.col("score") >= 0.5).cast("int"))).alias("x"), F.avg(F.when(F.col("label") == 0, (F.col("score") < 0.5).cast("int"))).alias("y"), F.avg((F.col("score") - F.col("label")) ** 2).alias("b"), F.count_if(F.col("score") >= 0.5).alias("k"), F.count("*").alias("n"))

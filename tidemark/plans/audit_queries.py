@@ -22,7 +22,7 @@ def dup_content(spark, sf):
 SPLITS = "s AS (SELECT CASE doc_id % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'dev' ELSE 'test' END AS split, sha256(text) content, source FROM documents)"
 
 
-@query("DD2 DD3 DD12 U2 A8", f"WITH {SPLITS}, l AS (SELECT DISTINCT split, 'content' field, content AS value FROM s UNION SELECT split, 'source', source FROM s), p AS (SELECT a.field, a.value, a.split AS left, b.split AS right FROM l a JOIN l b ON a.field = b.field AND a.value = b.value AND a.split < b.split) SELECT field, \"left\", \"right\", count(*) AS shared, array_to_string(list_sort(list(value))[1:5], ',') AS samples FROM p GROUP BY 1, 2, 3")
+@query("DD2 DD3 U2 A8", f"WITH {SPLITS}, l AS (SELECT DISTINCT split, 'content' field, content AS value FROM s UNION SELECT split, 'source', source FROM s), p AS (SELECT a.field, a.value, a.split AS left, b.split AS right FROM l a JOIN l b ON a.field = b.field AND a.value = b.value AND a.split < b.split) SELECT field, \"left\", \"right\", count(*) AS shared, array_to_string(list_sort(list(value))[1:5], ',') AS samples FROM p GROUP BY 1, 2, 3")
 def split_leakage(spark, sf):
     d = load(spark, sf, "documents").select(F.element_at(F.array(*map(F.lit, ["train", "dev", "test"])), (F.col("doc_id") % 3 + 1).cast("int")).alias("split"), F.sha2("text", 256).alias("content"), "source")
     return D.leakage(d, "split", ["content", "source"]).withColumn("samples", F.array_join("samples", ","))

@@ -19,7 +19,7 @@ def dense(spark, sf):
     return load(spark, sf, "events").select(F.col("user_id").alias("scene"), F.row_number().over(w).alias("frame"), (F.col("value") / 500).alias("p"))
 
 
-@query("W3 SP6 SP25", "SELECT * FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, sha256(p_partkey::VARCHAR)) AS rank FROM part) WHERE rank <= 7")
+@query("W3 SP6", "SELECT * FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, sha256(p_partkey::VARCHAR)) AS rank FROM part) WHERE rank <= 7")
 def quota_rank(spark, sf):
     return S.capped(load(spark, sf, "part"), ["p_brand"], [F.desc("p_size"), F.sha2(F.col("p_partkey").cast("string"), 256)], 7).select("p_brand", "p_partkey", "rank")
 
@@ -190,7 +190,7 @@ def cluster_bootstrap(spark, sf):
     return B.interval(boot(spark, sf), "x").select(*[R(c, 2).alias(c) for c in ("mean", "low", "high")])
 
 
-@query("B2 B3 B5", f"WITH {BOOT} SELECT round(avg(y), 6) AS mean, round(avg((y > 0.5)::INT), 6) AS above FROM b")
+@query("B2", f"WITH {BOOT} SELECT round(avg(y), 6) AS mean, round(avg((y > 0.5)::INT), 6) AS above FROM b")
 def paired_bootstrap(spark, sf):
     return boot(spark, sf).agg(R(F.avg("y")).alias("mean"), R(F.avg((F.col("y") > 0.5).cast("int"))).alias("above"))
 

@@ -65,13 +65,13 @@ def list_files(spark, sf):
     return readers.read_list(spark, at).select("id", "split")
 
 
-@query("S14", None)
+@query("S14", "SELECT 'nations.zip' AS archive, n_nationkey || '.txt' AS member, length(n_name)::BIGINT AS size, true AS intact, n_name AS content FROM nation")
 def zip_members(spark, sf):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as z:
         for r in load(spark, sf, "nation").collect():
             z.writestr(f"{r.n_nationkey}.txt", r.n_name)
-    return spark.createDataFrame([("nations.zip", bytearray(buffer.getvalue()))], "path string, content binary").transform(readers.zip_members)
+    return spark.createDataFrame([("nations.zip", bytearray(buffer.getvalue()))], "path string, content binary").transform(readers.zip_members).select("archive", "member", "size", (F.crc32("content") == F.col("crc")).alias("intact"), F.col("content").cast("string").alias("content"))
 
 
 @query("S17", "WITH m AS (SELECT o_custkey % 50 v, o_orderstatus s, o_orderpriority r, o_orderkey k, o_orderkey % 3 = 0 e FROM orders) SELECT s AS split, v AS video, array_to_string(list_sort(list(DISTINCT r)), ',') AS routes, first('p' || lpad(k::VARCHAR, 9, '0') ORDER BY NOT e, k) AS path FROM m GROUP BY 1, 2")
@@ -108,10 +108,10 @@ def best_crop(spark, sf):
     return Q.best_crop(t, ["scene", "day"], 7200.0).select("scene", "day", F.round("start", 3).alias("start"), "labels", "events")
 
 
-@query("I26", None)
+@query("I26", "WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[][1:64], lambda x: abs(x)) e FROM embeddings), t AS (SELECT *, greatest(1e-4, list_max(e) * power(10, -1.5)) h FROM v), m AS (SELECT vec_id, list_transform(e, lambda x: x >= h) a FROM t) SELECT vec_id AS key, round(greatest(0, (list_position(a, true) - 1) / 10 - 0.02), 6) AS onset, round(least(6.4, (len(a) - list_position(list_reverse(a), true) + 1) / 10 + 0.02), 6) AS off FROM m")
 def audible_trim(spark, sf):
     e = load(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("wave"), F.lit(0.0).alias("onset"), F.lit(6.4).alias("off"))
-    return Q.audible_intervals(e, 10)
+    return Q.audible_intervals(e, 10).select("key", F.round("onset", 6).alias("onset"), F.round("off", 6).alias("off"))
 
 
 @query("I33", None)
@@ -128,7 +128,9 @@ def unique_starts(spark, sf):
     return t.groupBy("scene").applyInPandas(run, "scene bigint, event_id bigint, start bigint")
 
 
-@query("W11", None)
+@query("W11", """WITH fr AS (SELECT user_id AS scene, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS frame, value / 500 AS p FROM events), o AS (SELECT *, frame - row_number() OVER (PARTITION BY scene ORDER BY frame) g FROM fr WHERE p >= 0.1), b AS (SELECT *, lag(p) OVER w lp, lead(p) OVER w np FROM o WINDOW w AS (PARTITION BY scene, g ORDER BY frame)),
+k AS (SELECT scene, g, frame, lag(frame) OVER (PARTITION BY scene, g ORDER BY frame) pf FROM b WHERE p >= 0.2 AND (lp IS NULL OR p > lp) AND (np IS NULL OR p >= np)), c AS (SELECT scene, g, (pf + frame + 1) // 2 c FROM k WHERE pf IS NOT NULL UNION SELECT scene, g, min(frame) FROM o GROUP BY 1, 2), r AS (SELECT scene, g, max(frame) + 1 stop FROM o GROUP BY 1, 2)
+SELECT c.scene, c AS start, coalesce(lead(c) OVER (PARTITION BY c.scene, c.g ORDER BY c), stop) AS stop FROM c JOIN r ON r.scene = c.scene AND r.g = c.g""")
 def peak_split_decode(spark, sf):
     w = Window.partitionBy("user_id").orderBy("ts")
     d = load(spark, sf, "events").select(F.col("user_id").alias("scene"), F.row_number().over(w).cast("bigint").alias("frame"), (F.col("value") / 500).alias("p"))
@@ -147,7 +149,7 @@ def pair_resolution(spark, sf):
     return Q.pair_resolution(s, ["custkey"])
 
 
-@query("T18 F6 F9", None)
+@query("T18 F6 F9", "SELECT DISTINCT event_type, CASE WHEN event_type = 'purchase' THEN 'None|[]|1' ELSE 'after|[''' || event_type || ''']|2' END AS parsed, 'purchase' AS fuzzy FROM events")
 def parsed_questions(spark, sf):
     from tidemark.functions.text import batched, fuzzy_mentions, parse_question
 

@@ -98,8 +98,12 @@ def row_groups(spark: SparkSession, paths: list[str]) -> DataFrame:
             out: list[tuple] = []
             for path in batch.column(0).to_pylist():
                 place, at = fs.FileSystem.from_uri(path)
-                with place.open_input_file(at) as f:
-                    meta = pq.read_metadata(f)
+
+                def footer(place=place, at=at):
+                    with place.open_input_file(at) as f:
+                        return pq.read_metadata(f)
+
+                meta = retried(footer)
                 out += [(path, i, meta.row_group(i).num_rows, sum(meta.row_group(i).column(k).total_compressed_size for k in range(meta.num_columns))) for i in range(meta.num_row_groups)]
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.string(), pa.int32(), pa.int64(), pa.int64()])], ["path", "row_group", "n_rows", "n_bytes"])
@@ -132,6 +136,46 @@ def zip_members(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInArrow(members, "archive string, member string, size bigint, crc bigint, content binary")
 
 
+def checked_members(members: DataFrame, expected: DataFrame) -> DataFrame:
+    """The members that ``expected`` (member, size, crc) names; another size or checksum, or a missing member, fails."""
+    e = expected.select("member", F.col("size").alias("e_size"), F.col("crc").alias("e_crc"))
+    both = e.join(members, "member", "left")
+    good = F.coalesce((F.col("size") == F.col("e_size")) & (F.col("crc") == F.col("e_crc")), F.lit(False))
+    fail = F.raise_error(F.concat(F.lit("not as expected: "), "member")).cast("string")
+    return both.withColumn("member", F.when(good, F.col("member")).otherwise(fail)).select(*members.columns)
+
+
+def until(df: DataFrame, stop, schema) -> DataFrame:
+    """The batches of each partition up to the first for which ``stop(batch)`` holds; the rest of the partition isn't read."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch
+            if stop(batch):
+                return
+
+    return df.mapInArrow(run, schema)
+
+
+def coverage(events: DataFrame) -> DataFrame:
+    """Per split and class, its recordings, events and seconds."""
+    return events.groupBy("split", "mid").agg(F.count_distinct("recording").alias("recordings"), F.count("*").alias("events"), F.sum(F.col("off") - F.col("onset")).alias("seconds"))
+
+
+def retried(operation, attempts: int = 4, first: float = 0.5, factor: float = 2.0, sleep=None):
+    """ST3: the operation's result; an OSError waits ``first`` seconds, then ``factor`` times as long, and is raised after ``attempts``."""
+    import time
+
+    for i in range(attempts):
+        try:
+            return operation()
+        except OSError:
+            if i == attempts - 1:
+                raise
+            (sleep or time.sleep)(first * factor**i)
+    raise ValueError("no attempts")
+
+
 def read_zip_members(spark: SparkSession, path: str) -> DataFrame:
     """The members of all archives of a path."""
     return zip_members(spark.read.format("binaryFile").load(path))

@@ -8,7 +8,7 @@ what is there (availableNow) and can be run again from its checkpoint.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -57,11 +57,13 @@ def running_turns(df: DataFrame) -> DataFrame:
     return df.groupBy("user_id").applyInPandasWithState(update, "user_id long, event_type string, run long", "kind string, n long", "update", "NoTimeout")
 
 
-def drained(df: DataFrame, mode: str = "append", keep: str | None = None) -> DataFrame:
+def drained(df: DataFrame, mode: str = "append", keep: str | None = None, notify: Callable[[str, dict], None] | None = None) -> DataFrame:
     """ST1, ST2: run to the end of the input, each batch written once under its number; the written rows.
 
     A batch that is tried again replaces its own folder, so the sink stays
     exact. With ``keep`` the checkpoint has a fixed name and a later call goes on.
+    X1, ST4: ``notify`` is called with ("batch", its progress) for each batch and
+    ("finished", their number) at the end.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/stream-{keep}" if keep else f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -69,7 +71,12 @@ def drained(df: DataFrame, mode: str = "append", keep: str | None = None) -> Dat
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
 
-    df.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    run = df.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    if notify:
+        for p in run.recentProgress:
+            notify("batch", {"number": p["batchId"], "rows": p["numInputRows"]})
+        notify("finished", {"batches": len(run.recentProgress)})
     return spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(f"{at}/rows")
 
 
