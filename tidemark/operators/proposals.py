@@ -64,7 +64,7 @@ def peak_split(df: DataFrame, keys: list[str], threshold: float, peak: float) ->
     marked = on.withColumns({"_peak": F.when(is_peak, F.col("frame")), "_head": F.row_number().over(w) == 1, "_stop": F.max("frame").over(Window.partitionBy(*run)) + 1})
     last = F.last("_peak", True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     middle = F.floor((last + F.col("_peak") + 1) / 2)
-    pieces = marked.withColumn("start", F.explode(F.array_compact(F.array(F.when(F.col("_head"), F.col("frame")), middle)))).select(*run, "_stop", "start").distinct()
+    pieces = marked.withColumn("_middle", middle).withColumn("start", F.explode(F.array_compact(F.array(F.when(F.col("_head"), F.col("frame")), F.col("_middle"))))).select(*run, "_stop", "start").distinct()
     return pieces.withColumn("stop", F.coalesce(F.lead("start").over(Window.partitionBy(*run).orderBy("start")), "_stop")).select(*keys, "start", "stop")
 
 

@@ -108,7 +108,7 @@ def best_crop(spark, sf):
     return Q.best_crop(t, ["scene", "day"], 7200.0).select("scene", "day", F.round("start", 3).alias("start"), "labels", "events")
 
 
-@query("I26", "WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[][1:64], lambda x: abs(x)) e FROM embeddings), t AS (SELECT *, greatest(1e-4, list_max(e) * power(10, -1.5)) h FROM v), m AS (SELECT vec_id, list_transform(e, lambda x: x >= h) a FROM t) SELECT vec_id AS key, round(greatest(0, (list_position(a, true) - 1) / 10 - 0.02), 6) AS onset, round(least(6.4, (len(a) - list_position(list_reverse(a), true) + 1) / 10 + 0.02), 6) AS off FROM m")
+@query("I26", "WITH v AS (SELECT vec_id, list_transform((embedding::DOUBLE[])[1:64], lambda x: abs(x)) e FROM embeddings), t AS (SELECT *, greatest(1e-4, list_max(e) * power(10, -1.5)) h FROM v), m AS (SELECT vec_id, list_transform(e, lambda x: x >= h) a FROM t) SELECT vec_id AS key, round(greatest(0, (list_position(a, true) - 1) / 10 - 0.02), 6) AS onset, round(least(6.4, (len(a) - list_position(list_reverse(a), true) + 1) / 10 + 0.02), 6) AS off FROM m")
 def audible_trim(spark, sf):
     e = load(spark, sf, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("wave"), F.lit(0.0).alias("onset"), F.lit(6.4).alias("off"))
     return Q.audible_intervals(e, 10).select("key", F.round("onset", 6).alias("onset"), F.round("off", 6).alias("off"))
