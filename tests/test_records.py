@@ -84,3 +84,41 @@ def test_models_separate_two_clouds(spark):
         got = L.scored(df.where("i < 80"), df.where("i >= 80"), name, "x", "y").collect()
         assert all((r.score > 0.5) == (r.y == 1) for r in got), name
     assert L.cluster_count(df, "x", 4) == 2 and L.cluster_count(df.limit(2), "x", 4) == 1
+
+
+def test_decoders():
+    from tidemark.operators import proposals as Q
+
+    x = np.array([0.1, 0.3, 0.9, 0.3, 0.6, 0.3, 0.1, 0.7, 0.1])
+    assert Q.runs_of(x >= 0.5) == [(2, 3), (4, 5), (7, 8)]
+    assert Q.decoded_runs(x, 0.5, 0.2, "threshold") == [(2, 3, 0.9), (4, 5, 0.6), (7, 8, 0.7)]
+    assert Q.decoded_runs(x, 0.5, 0.2, "hysteresis") == [(1, 5, 0.9), (7, 8, 0.7)]  # widened to midways; touching pieces become one
+    assert Q.decoded_runs(x, 0.5, 0.2, "peak", 3) == [(1, 4, 0.9), (7, 8, 0.7)]  # 0.6 is too near the higher peak
+    y = np.array([0.8, 0.5, 0.2, 0.5, 0.9])
+    assert Q.valley_cuts(y, 0, 5, 1, 0.5) == [(0, 2), (2, 5)] and Q.valley_cuts(y, 0, 5, 1, 0.1) == [(0, 5)]
+    assert Q.top_segments(x, 2, 0.5, 0.2) == [(2, 3, 0.9), (7, 8, 0.7)] and Q.top_segments(x, 1, 0.2, 0.2) == [(1, 6, 0.9)]
+    assert Q.top_segments(np.zeros(0), 3, 0.5, 0.1) == [] == Q.decoded_runs(np.zeros(4), 0.5, 0.1, "peak")
+
+
+def test_folds_are_disjoint_and_found_behind_a_dead_end():
+    from tidemark.operators.splits import disjoint_folds
+
+    # the best set {b, c} leaves no two others
+    good = {("b", "c"): 0, ("a", "b"): 1, ("c", "d"): 2}
+    assert disjoint_folds(list("abcd"), 2, 2, good.get) == [("a", "b"), ("c", "d")]
+    with pytest.raises(ValueError):
+        disjoint_folds(list("abcd"), 2, 2, {("b", "c"): 0}.get)
+
+
+def test_a_design_needs_its_rows(spark):
+    with pytest.raises(ValueError, match="more rows"):
+        S.registered(spark.createDataFrame([("a", 1)], "k string, v int"), "k", ["v"], {"a": 1, "b": 1})
+
+
+def test_pools_are_suppressed_then_capped(spark):
+    from tidemark.operators.proposals import pooled
+
+    rows = [(1, "a", 0.0, 10.0, 0.9, 1), (1, "a", 1.0, 10.0, 0.8, 2), (1, "a", 20.0, 30.0, 0.7, 3), (1, "a", 40.0, 50.0, 0.6, 4), (1, "b", 0.0, 10.0, 0.5, 5), (2, "a", 0.0, 1.0, 0.1, 6)]
+    df = spark.createDataFrame(rows, "scene int, label string, onset double, off double, conf double, event_id int")
+    got = {(r.event_id, r.rank) for r in pooled([df.where("event_id % 2 = 0"), df.where("event_id % 2 = 1")], ["scene"], 0.5, 2, 2).collect()}
+    assert got == {(1, 1), (3, 2), (6, 1)}

@@ -15,6 +15,25 @@ def with_reasons(left: DataFrame, right: DataFrame, key: str, checks: dict[str,
     return joined.withColumn("reason", reason).drop("_l", "_r")
 
 
+def joined_metadata(items: DataFrame, sources: dict[str, DataFrame], key: str, checks: dict[str, Column] | None = None) -> DataFrame:
+    """``items`` with the columns of several metadata tables and ``reason``: the first table without the key, else the first defect, else null.
+
+    A table in which a key repeats would multiply items, so the key then counts
+    as ``repeated_<table>``.
+    """
+    out, reason = items, None
+    for name, table in sources.items():
+        n = Window.partitionBy(key)
+        one = table.withColumns({f"_{name}": F.count("*").over(n), "_k": F.row_number().over(n.orderBy(*[c for c in table.columns if c != key]))}).where("_k = 1").drop("_k")
+        out = out.join(one, key, "left")
+        bad = [(F.col(f"_{name}").isNull(), f"missing_{name}"), (F.col(f"_{name}") > 1, f"repeated_{name}")]
+        for when, text in bad:
+            reason = reason.when(when, text) if reason is not None else F.when(when, text)
+    for text, when in (checks or {}).items():
+        reason = reason.when(when, text)
+    return out.withColumn("reason", reason).drop(*[f"_{name}" for name in sources])
+
+
 def allowed(df: DataFrame, allow: DataFrame, key: str, scope: str) -> DataFrame:
     """Rows whose key is allowed for their scope or for '*'."""
     a = allow.select(F.col(key).alias("_k"), F.col(scope).alias("_s"))

@@ -23,6 +23,17 @@ def fixed_count(df: DataFrame, label: str, order: list, count: int) -> DataFrame
     return capped(df, [label], order, count)
 
 
+def registered(df: DataFrame, category: str, order: list, design: dict[str, int]) -> DataFrame:
+    """SP24: of each category of a fixed design its number of rows, in order; a category with fewer is an error, others are left out."""
+    want = F.create_map(*[F.lit(x) for kv in design.items() for x in kv])
+    have = {r[0]: r.n for r in df.where(F.col(category).isin(*design)).groupBy(category).agg(F.count("*").alias("n")).collect()}
+    short = {c: n for c, n in design.items() if have.get(c, 0) < n}
+    if short:
+        raise ValueError(f"the design needs more rows: {short}")
+    rank = F.row_number().over(Window.partitionBy(category).orderBy(*order))
+    return df.where(F.col(category).isin(*design)).withColumn("rank", rank).where(F.col("rank") <= F.element_at(want, F.col(category)))
+
+
 def numbered(df: DataFrame, *order: str, parts: int | None = None) -> DataFrame:
     """df with ``number``: the row's place from zero in a total order, without one task ranking all rows.
 

@@ -9,7 +9,7 @@ catalogue that has to fit there.
 from __future__ import annotations
 
 import hashlib
-import heapq
+import itertools
 from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame, Window
@@ -169,15 +169,27 @@ def schedule(sources: dict[str, list[str]], rounds: int, width: int) -> list[lis
     return scenes
 
 
-def disjoint_folds(weights: dict[str, int], folds: int) -> list[list[str]]:
-    """SP17: labels dealt to folds, heaviest first, each to the lightest fold."""
-    heap = [(0, i) for i in range(folds)]
-    out: list[list[str]] = [[] for _ in range(folds)]
-    for label in sorted(weights, key=lambda x: (-weights[x], x)):
-        load, i = heapq.heappop(heap)
-        out[i].append(label)
-        heapq.heappush(heap, (load + weights[label], i))
-    return out
+def disjoint_folds(labels: list[str], width: int, folds: int, score) -> list[tuple[str, ...]]:
+    """SP17: ``folds`` disjoint sets of ``width`` labels, the best by ``score`` (None: not allowed; lower is better) that fit together.
+
+    Sets go by score; the first choice that can be completed wins, found depth
+    first. Labels are a catalogue of some tens.
+    """
+    rated = [(v, c) for c in itertools.combinations(sorted(labels), width) if (v := score(c)) is not None]
+    sets = [frozenset(c) for _, c in sorted(rated)]
+    chosen: list[int] = []
+    at = 0
+    while len(chosen) < folds:
+        used = frozenset().union(*(sets[i] for i in chosen))
+        fit = next((i for i in range(at, len(sets)) if not used & sets[i]), None) if len(labels) - len(used) >= (folds - len(chosen)) * width else None
+        if fit is not None:
+            chosen.append(fit)
+            at = fit + 1
+        elif chosen:
+            at = chosen.pop() + 1
+        else:
+            raise ValueError(f"no {folds} disjoint sets of {width} labels")
+    return [tuple(sorted(sets[i])) for i in chosen]
 
 
 def label_groups(df: DataFrame, group: str, label: str) -> dict[str, Counter]:

@@ -202,3 +202,105 @@ def cluster_count(spark, sf):
     from tidemark.operators.models import cluster_count as count
 
     return spark.createDataFrame([(count(load(spark, sf, "embeddings"), "embedding", 5),)], "clusters int")
+
+
+@query("J2", "WITH i AS (SELECT o_orderkey k, o_custkey FROM orders WHERE o_orderkey % 2 = 0), g AS (SELECT o_orderkey k, count(*) n, min(o_totalprice) price FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1), c AS (SELECT l_orderkey k, count(*) n, min(l_quantity) q FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) SELECT i.k AS o_orderkey, CASE WHEN g.n IS NULL THEN 'missing_truth' WHEN g.n > 1 THEN 'repeated_truth' WHEN c.n IS NULL THEN 'missing_clips' WHEN c.n > 1 THEN 'repeated_clips' WHEN price < 50000 THEN 'too_cheap' END AS reason FROM i LEFT JOIN g ON g.k = i.k LEFT JOIN c ON c.k = i.k")
+def metadata_reasons(spark, sf):
+    from tidemark.operators.joins import joined_metadata
+
+    o = load(spark, sf, "orders")
+    truth = o.where("o_orderkey % 7 <> 0").select("o_orderkey", "o_totalprice")
+    clips = load(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity", "l_partkey")
+    return joined_metadata(o.where("o_orderkey % 2 = 0").select("o_orderkey"), {"truth": truth, "clips": clips}, "o_orderkey", {"too_cheap": F.col("o_totalprice") < 50000}).select("o_orderkey", "reason")
+
+
+KEPT = "m AS (SELECT scene, label, max(conf) p FROM tl GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY scene ORDER BY p DESC) k FROM m), e AS (SELECT tl.* FROM tl JOIN r ON r.scene = tl.scene AND r.label = tl.label WHERE (k <= 2 OR p >= 0.96 OR tl.label = 'error') AND (conf >= 0.2 OR tl.label = 'error')), s AS (SELECT *, CASE WHEN max(off) OVER w IS NULL OR onset > max(off) OVER w + 7200 THEN 1 ELSE 0 END n FROM e WINDOW w AS (PARTITION BY scene, label ORDER BY onset, off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT *, sum(n) OVER (PARTITION BY scene, label ORDER BY onset, off ROWS UNBOUNDED PRECEDING) g FROM s)"
+
+
+@query("P17", f"WITH {TL}, {KEPT} SELECT scene, label, round(min(onset), 3) AS onset, round(max(off), 3) AS off, round(max(conf), 6) AS conf FROM g WHERE off > onset GROUP BY scene, label, g")
+def filtered_inventory(spark, sf):
+    from pyspark.sql import Window
+
+    from tidemark.operators.intervals import merged
+
+    t = timeline(spark, sf)
+    m = t.groupBy("scene", "label").agg(F.max("conf").alias("p")).withColumn("k", F.rank().over(Window.partitionBy("scene").orderBy(F.desc("p"))))
+    forced = F.col("label") == "error"
+    kept = t.join(m, ["scene", "label"]).where(((F.col("k") <= 2) | (F.col("p") >= 0.96) | forced) & ((F.col("conf") >= 0.2) | forced))
+    out = merged(kept, ["scene", "label"], 7200.0, extra=[F.max("conf").alias("conf")])
+    return out.select("scene", "label", R("onset", 3).alias("onset"), R("off", 3).alias("off"), R("conf").alias("conf"))
+
+
+@query("P18", "WITH e AS (SELECT user_id, event_id, CASE WHEN event_id % 9 = 0 THEN NULL WHEN event_id % 10 = 0 THEN 'nan'::DOUBLE ELSE value END AS onset, value + 5 AS off, CASE WHEN event_id % 4 <> 0 THEN event_id % 4 END occ FROM events) SELECT user_id, string_agg(event_id || '#' || coalesce(occ, 1), ',' ORDER BY onset, off, event_id) AS events FROM e WHERE onset IS NOT NULL AND NOT isnan(onset) GROUP BY 1")
+def display_events(spark, sf):
+    n = F.col("event_id")
+    e = load(spark, sf, "events").select("user_id", n.alias("event_id"), F.when(n % 9 == 0, None).when(n % 10 == 0, float("nan")).otherwise(F.col("value")).alias("onset"), (F.col("value") + 5).alias("off"), F.when(n % 4 != 0, n % 4).alias("occurrence"))
+    nested = e.groupBy("user_id").agg(F.collect_list(F.struct("onset", "off", "event_id", "occurrence")).alias("events"))
+    # numbers alone are shown: a null or NaN time is none
+    shown = F.array_sort(F.filter("events", lambda x: x["onset"].isNotNull() & ~F.isnan(x["onset"]) & x["off"].isNotNull() & ~F.isnan(x["off"])))
+    k = nested.withColumn("events", shown).where(F.size("events") > 0)
+    return k.select("user_id", F.array_join(F.transform("events", lambda x: F.concat_ws("#", x["event_id"], F.coalesce(x["occurrence"], F.lit(1)))), ",").alias("events"))
+
+
+TURNS = """x AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i, CASE WHEN event_id % 3 <> 0 THEN length(event_type) END v FROM events), f AS (SELECT user_id, i, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING), first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) v FROM x),
+m AS (SELECT user_id, i, list_sort([coalesce(lag(v) OVER w, v), v, coalesce(lead(v) OVER w, v)])[2] v FROM f WINDOW w AS (PARTITION BY user_id ORDER BY i)), n AS (SELECT *, CASE WHEN lag(v) OVER (PARTITION BY user_id ORDER BY i) = v THEN 0 ELSE 1 END s FROM m WHERE v IS NOT NULL), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING) t FROM n), t AS (SELECT user_id, t::BIGINT AS turn, any_value(v) v, min(i) a, max(i) b FROM g GROUP BY 1, 2), q AS (SELECT *, min(a) OVER (PARTITION BY user_id, v) fa FROM t)"""
+
+
+@query("W5", f"WITH {TURNS} SELECT user_id, turn, a AS start, b AS stop, dense_rank() OVER (PARTITION BY user_id ORDER BY fa) AS speaker FROM q")
+def decoded_turns(spark, sf):
+    from pyspark.sql import Window
+
+    i = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    x = load(spark, sf, "events").select("user_id", i.alias("i"), F.when(F.col("event_id") % 3 != 0, F.length("event_type")).alias("v"))
+    smooth = S.filled(x, ["user_id"], ["i"], "v").withColumn("v", S.median("v", ["user_id"], ["i"], 3)).where("v is not null")
+    return S.turns(smooth, ["user_id"], "i", "v").select("user_id", "turn", "start", "stop", "speaker")
+
+
+@query("SP24", "SELECT event_type, event_id, rank FROM (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rank FROM events) WHERE rank <= CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'error' THEN 2 ELSE 0 END")
+def registered_design(spark, sf):
+    return S.registered(load(spark, sf, "events"), "event_type", ["event_id"], {"click": 1, "view": 2, "error": 2}).select("event_type", "event_id", "rank")
+
+
+def frames(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return load(spark, sf, "events").select(F.col("user_id").alias("scene"), F.row_number().over(w).alias("frame"), (F.col("value") / 500).alias("p"))
+
+
+@query("W10", None)
+def decoder_variants(spark, sf):
+    from tidemark.operators.proposals import decoded_runs, decoded_scenes
+
+    kinds = ("threshold", "hysteresis", "valley", "peak")
+    out = None
+    for kind in kinds:
+        rows = decoded_scenes(frames(spark, sf), ["scene"], lambda x, kind=kind: decoded_runs(x, 0.5, 0.2, kind, 3)).withColumn("decoder", F.lit(kind))
+        out = rows if out is None else out.union(rows)
+    return out
+
+
+@query("O5", None)
+def top_label_segments(spark, sf):
+    from tidemark.operators.proposals import decoded_scenes, top_segments
+
+    return decoded_scenes(frames(spark, sf), ["scene"], lambda x: top_segments(x, 3, 0.6, 0.2))
+
+
+@query("U1 W12", None)
+def pooled_proposals(spark, sf):
+    from tidemark.operators.proposals import pooled
+
+    t = timeline(spark, sf)
+    return pooled([t.where("event_id % 2 = 0"), t.where("event_id % 2 = 1").withColumn("conf", F.col("conf") * 0.9)], ["scene"], 0.3, 3, 8).select("scene", "label", "event_id", "rank")
+
+
+@query("M12", None)
+def event_scores(spark, sf):
+    from tidemark.operators.matching import matched
+
+    t = timeline(spark, sf)
+    m = matched(t.where("event_id % 2 = 0"), t.where("event_id % 2 = 1"), ["scene", "label"], ["greatest"], 0.1)
+    per = m.groupBy("label").agg(F.sum("matched").alias("tp"), F.sum("predicted").alias("p"), F.sum("gold").alias("g"))
+    f1 = lambda tp, p, g: 2 * tp / F.greatest(p + g, F.lit(1))
+    return per.agg(f1(F.sum("tp"), F.sum("p"), F.sum("g")).alias("micro_f1"), F.avg(F.when(F.col("g") > 0, f1(F.col("tp"), F.col("p"), F.col("g")))).alias("macro_f1"), F.sum("tp").alias("matched"))
