@@ -274,3 +274,29 @@ def unambiguous_items(df: DataFrame, seed: str, gap: float = 0.08, most: int = 4
     turn = F.row_number().over(Window.partitionBy("scene", "relation", "no_evidence").orderBy(text("scene", "relation", "anchor", "occurrence")))
     place = F.row_number().over(Window.partitionBy("scene", "no_evidence").orderBy("_i", text("scene", "relation")))
     return items.withColumn("_i", turn).withColumn("_z", place).where(F.col("_z") <= F.when(F.col("no_evidence"), most_empty).otherwise(most)).drop("_i", "_z")
+
+
+#: Slot, relation, place of the anchor and of the answer (from zero; -1: the absent label, no evidence); first: the two named, in order of mention.
+FAMILY = [("after_0", "after", 0, 1), ("after_1", "after", 1, 2), ("before_0", "before", 2, 1), ("before_1", "before", 3, 2), ("first_forward", "first", 0, 2), ("first_reversed", "first", 2, 0), ("after_absent", "after", -1, -1), ("before_absent", "before", -1, -1)]
+
+
+def question_family(scenes: DataFrame, absent: Column, ordinal: Column, nothing: str = "no_evidence") -> DataFrame:
+    """The eight questions of each scene of four events (array ``events`` of event_id, phrase, in order of onset); other scenes give none.
+
+    The answer's place among the five options goes round with scene and slot;
+    the label ``absent`` asks for what isn't there.
+    """
+    slots = F.array(*[F.struct(F.lit(i).alias("index"), F.lit(n).alias("slot"), F.lit(r).alias("relation"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (n, r, a, b) in enumerate(FAMILY)])
+    q = scenes.where(F.size("events") == 4).withColumns({"_absent": absent, "_ordinal": ordinal}).select("*", F.inline(slots))
+    phrase = lambda i: F.get("events", F.col(i) if isinstance(i, str) else i)["phrase"]
+    event = lambda i: F.get("events", F.col(i) if isinstance(i, str) else i)["event_id"]
+    none = F.col("a") < 0
+    first = F.least("a", "b")
+    answer = F.when(none, nothing).when(F.col("relation") == "first", phrase(first)).otherwise(phrase("b"))
+    text = F.when(F.col("relation") == "first", F.concat(F.lit("Which starts first, "), phrase("a"), F.lit(" or "), phrase("b"), F.lit("?"))).otherwise(F.concat(F.lit("What comes right "), "relation", F.lit(" "), F.when(none, F.col("_absent")).otherwise(phrase("a")), F.lit("?")))
+    place = ((F.col("_ordinal") * len(FAMILY) + F.col("index")) % 5).cast("int")
+    others = F.array_except(F.concat(F.transform("events", lambda e: e["phrase"]), F.array(F.lit(nothing))), F.array("answer"))
+    q = q.withColumns({"answer": answer, "place": place})
+    options = F.concat(F.slice(others, F.lit(1), F.col("place")), F.array("answer"), F.slice(others, F.col("place") + 1, F.lit(4)))
+    evidence = F.when(none, F.array().cast(f"array<{dict(scenes.select(F.explode('events').alias('e')).select('e.event_id').dtypes)['event_id']}>")).otherwise(F.array(event(F.least("a", "b")), event(F.greatest("a", "b"))))
+    return q.select(*scenes.columns, "slot", "relation", text.alias("question"), "answer", F.col("place").alias("answer_index"), options.alias("options"), none.alias("no_evidence"), evidence.alias("evidence"))

@@ -10,6 +10,7 @@ from tidemark.operators import audits as D
 from tidemark.operators import records as C
 from tidemark.operators import resampling as B
 from tidemark.operators import sequences as S
+from tidemark.operators import timelines
 from tidemark.plans.registry import TL, load, query, timeline
 from tidemark.sources import audio, readers
 from tidemark.streaming import streams
@@ -304,3 +305,16 @@ def event_scores(spark, sf):
     per = m.groupBy("label").agg(F.sum("matched").alias("tp"), F.sum("predicted").alias("p"), F.sum("gold").alias("g"))
     f1 = lambda tp, p, g: 2 * tp / F.greatest(p + g, F.lit(1))
     return per.agg(f1(F.sum("tp"), F.sum("p"), F.sum("g")).alias("micro_f1"), F.avg(F.when(F.col("g") > 0, f1(F.col("tp"), F.col("p"), F.col("g")))).alias("macro_f1"), F.sum("tp").alias("matched"))
+
+
+SLOTS = ", ".join(f"('{n}', '{r}', {a}, {b}, {i})" for i, (n, r, a, b) in enumerate(timelines.FAMILY))
+
+
+@query("T24", f"""WITH e AS (SELECT l_orderkey k, list('part ' || l_partkey ORDER BY l_linenumber, l_partkey, l_suppkey) p FROM lineitem GROUP BY 1 HAVING count(*) = 4 AND count(DISTINCT l_partkey) = 4), s(slot, relation, a, b, i) AS (VALUES {SLOTS}),
+q AS (SELECT *, CASE WHEN a < 0 THEN 'no_evidence' WHEN relation = 'first' THEN p[least(a, b) + 1] ELSE p[b + 1] END answer, (k * 8 + i) % 5 place FROM e, s), o AS (SELECT *, list_filter(list_append(p, 'no_evidence'), lambda x: x <> answer) r FROM q)
+SELECT k AS l_orderkey, slot, CASE WHEN relation = 'first' THEN 'Which starts first, ' || p[a + 1] || ' or ' || p[b + 1] || '?' ELSE 'What comes right ' || relation || ' ' || CASE WHEN a < 0 THEN 'part 0' ELSE p[a + 1] END || '?' END AS question, answer, place::BIGINT AS answer_index, array_to_string(list_concat(list_append(r[1:place], answer), r[place + 1:4]), '|') AS options, a < 0 AS no_evidence FROM o""")
+def question_families(spark, sf):
+    e = load(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct("l_partkey").alias("d"), F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("x")).where("n = 4 AND d = 4")
+    scenes = e.select("l_orderkey", F.transform("x", lambda v: F.struct(v["l_linenumber"].alias("event_id"), F.concat(F.lit("part "), v["l_partkey"].cast("string")).alias("phrase"))).alias("events"))
+    q = timelines.question_family(scenes, F.lit("part 0"), F.col("l_orderkey"))
+    return q.select("l_orderkey", "slot", "question", "answer", F.col("answer_index").cast("bigint").alias("answer_index"), F.array_join("options", "|").alias("options"), "no_evidence")

@@ -35,7 +35,7 @@ def session_windows(spark, sf):
     return S.sessions(e, "6 hours").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("n"))
 
 
-@query("S7 S12", "SELECT count(*) AS n_rows, true AS sized FROM orders")
+@query("S7 S12 ST3", "SELECT count(*) AS n_rows, true AS sized FROM orders")
 def row_group_footers(spark, sf):
     from tidemark.sources.readers import row_groups
 
