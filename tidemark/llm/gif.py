@@ -329,40 +329,39 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 
 def _media(batches):
-    """(doc_id, n_bytes, media) of (doc_id, text), a row at a time: a file's frames are several times its size."""
+    """(row, doc_id, n_bytes, media, media_sha256, media_bytes) of (doc_id, text): each text as a grey GIF."""
+    names, types = ["row", "doc_id", "n_bytes", "media", "media_sha256", "media_bytes"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64()]
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+        rows = []
+        for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
             payload, n = padded(text.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([n], pa.int64()), pa.array([encode(payload)], pa.binary())], ["doc_id", "n_bytes", "media"])
+            media = encode(payload)
+            rows.append((i, doc_id, n, media, hashlib.sha256(media).hexdigest(), len(media)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, types)], names)
 
 
 def _digests(batches):
-    """One row per stored file, from its frames as ``frames`` stores them; each batch holds all frames of one file."""
+    """One row per stored file, from its frames as ``frames`` stores them; all frames of a file are in one batch."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-    rows: list[tuple] = []
-    for media, batch in batches:
+    for batch in batches:
         f = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in batch.schema.names}
-        # an image fills whole rows of its canvas; below a shorter last one the image before still shows
-        back = b"".join(np.frombuffer(p, np.uint8).reshape(-1, 4)[: b * f["width"][0], 0].tobytes() for p, b in zip(f["pixels"], f["rows"]))
-        total = np.sum(f["histogram"], axis=0)
-        feature = f"{f['width'][0]}x{f['height'][0]}x{len(f['frame'])}@{sum(f['delay_ms'])}:" + ".".join(map(str, total[:8]))
-        rows.append((f["doc_id"][0], f["n_bytes"][0], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(f["frame"])))
-        if len(rows) == 1000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-            rows = []
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 9, types)], names)
+        rows, end = [], 0
+        while end < batch.num_rows:
+            first, end = end, end + 1
+            while end < batch.num_rows and f["row"][end] == f["row"][first]:
+                end += 1
+            at, width = range(first, end), f["width"][first]
+            # an image fills whole rows of its canvas; below a shorter last one the image before still shows
+            back = b"".join(f["pixels"][i][: 4 * width * f["rows"][i] : 4] for i in at)
+            total = np.sum([f["histogram"][i][:8] for i in at], axis=0)
+            feature = f"{width}x{f['height'][first]}x{len(at)}@{sum(f['delay_ms'][i] for i in at)}:" + ".".join(map(str, total))
+            rows.append((f["doc_id"][first], f["n_bytes"][first], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), f["media_bytes"][first], f["media_sha256"][first], feature, len(at)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 9, types)], names)
 
 
 def _stored(batches):
-    decoded = _frames("media", 1 << 62)  # our own files: all of every text
-
-    def files():
-        for batch in _media(batches):
-            for frames_ in decoded([batch]):
-                yield batch.column(2)[0].as_py(), frames_
-
-    yield from _digests(files())
+    return _digests(_frames("media", 1 << 62)(_media(batches)))  # our own files: all of every text
 
 
 def op1_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
