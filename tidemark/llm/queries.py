@@ -1,4 +1,4 @@
-"""The registered queries of this subpackage; none has an SQL form (see each module)."""
+"""The registered queries of this subpackage; only the filter audit has an SQL form (see each module)."""
 
 from __future__ import annotations
 
@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm import filters
+from tidemark.llm.bpe import op13_bpe
+from tidemark.llm.conversations import op11_conversations
 from tidemark.llm.decontam import op10_decontamination
+from tidemark.llm.filters import op12_filter_audit
 from tidemark.llm.gif import op1_gif
 from tidemark.llm.html import op5_html
 from tidemark.llm.langid import op3_langid
@@ -30,8 +34,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": op8_packing,
         "op9_lattice_lm": op9_lattice_lm,
         "op10_decontamination": op10_decontamination,
+        "op11_conversations": op11_conversations,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_bpe": op13_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_filter_audit": filters.ORACLE_SQL}
