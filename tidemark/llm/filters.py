@@ -18,6 +18,7 @@ move, so copies that hold a third of the table arrive as a few rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -89,38 +90,42 @@ def joint_failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.groupBy("part").agg(*sums).select("part", *[F.array(*[f"{w}{s}" for s in range(FULL + 1)]).alias(w) for w in WEIGHTS])
 
 
-def _sum(terms: list[tuple[int, Column]]) -> Column:
-    out = F.lit(0).cast("bigint")
-    for sign, c in terms:
-        out = out + c if sign > 0 else out - c
-    return out
+def _signed(sign: Column, x: Column) -> Column:
+    """x, or -x where the number ``sign`` is odd."""
+    return F.when(sign % 2 == 0, x).otherwise(-x)
 
 
-def survivors(g: Column, s: int) -> Column:
-    """How many pass all filters of the bit set."""
-    return _sum([((-1) ** t.bit_count(), g[t]) for t in range(FULL + 1) if t & ~s == 0])
+def _over_sets(g: Column, term: Callable[[Column, Column], Column]) -> Column:
+    """Array over all bit sets s of the sum of term(s, t) over all bit sets t."""
+    sets = F.sequence(F.lit(0), F.lit(FULL))
+    return F.transform(sets, lambda s: F.aggregate(sets, F.lit(0).cast("bigint"), lambda a, t: a + term(s, t)))
 
 
-def exactly(g: Column, s: int) -> Column:
-    """How many fail the filters of the bit set and no other."""
-    return _sum([((-1) ** (t & ~s).bit_count(), g[t]) for t in range(FULL + 1) if s & ~t == 0])
+def survivors(g: Column) -> Column:
+    """For each bit set how many pass all its filters."""
+    return _over_sets(g, lambda s, t: F.when(t.bitwiseAND(F.bitwise_not(s)) == 0, _signed(F.bit_count(t), g[t])).otherwise(0))
 
 
-def shapley(g: Column, k: int) -> Column:
-    """The documents that filter k removes, summed over all orders of the filters."""
-    return _sum([((-1) ** (t.bit_count() + 1), g[t] * (120 // t.bit_count())) for t in range(FULL + 1) if t >> k & 1])
+def exactly(g: Column) -> Column:
+    """For each bit set how many fail its filters and no other."""
+    return _over_sets(g, lambda s, t: F.when(s.bitwiseAND(F.bitwise_not(t)) == 0, _signed(F.bit_count(t) - F.bit_count(s), g[t])).otherwise(0))
+
+
+def shapley(g: Column) -> Column:
+    """For each bit set of one filter the documents it removes, summed over all orders: dividends of the sets around it by size."""
+    return _over_sets(g, lambda s, t: F.when((s > 0) & (s.bitwiseAND(F.bitwise_not(t)) == 0), _signed(F.bit_count(t) + 1, g[t]) * F.floor(F.lit(120) / F.bit_count(t))).otherwise(0))
 
 
 def audit(joint: DataFrame) -> DataFrame:
     """(part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley): every order and step of each part of ``joint_failures``."""
-    after = [F.array(*[survivors(F.col(w), s) for s in range(FULL + 1)]).alias(f"_{w}") for w in WEIGHTS]
-    k_of = [F.array(*[f(F.col("all"), k) for k in range(len(FILTERS))]).alias(name) for f, name in ((lambda g, k: g[1 << k], "_fails"), (lambda g, k: exactly(g, 1 << k), "_unique"), (shapley, "_shapley"))]
+    after = [survivors(F.col(w)).alias(f"_{w}") for w in WEIGHTS]
+    k_of = [F.col("all").alias("_fails"), exactly(F.col("all")).alias("_unique"), shapley(F.col("all")).alias("_shapley")]
     orders = F.split(F.lit(",".join(map("".join, permutations(FILTERS)))), ",")
     rows = joint.select("part", *after, *k_of, F.explode(orders).alias("filter_order"))
     bits = F.transform(F.split("filter_order", ""), lambda c: F.pow(F.lit(2), F.instr(F.lit(FILTERS), c) - 1).cast("int"))
     rows = rows.select("*", bits.alias("_bits"), F.explode(F.sequence(F.lit(1), F.lit(len(FILTERS)))).alias("step"))
     rows = rows.withColumn("_before", F.aggregate(F.slice("_bits", 1, F.col("step") - 1), F.lit(0), lambda a, b: a + b))
-    rows = rows.withColumns({"_now": F.col("_before") + F.col("_bits")[F.col("step") - 1], "_k": F.instr(F.lit(FILTERS), F.substring("filter_order", F.col("step"), F.lit(1))) - 1})
+    rows = rows.withColumns({"_now": F.col("_before") + F.col("_bits")[F.col("step") - 1], "_k": F.col("_bits")[F.col("step") - 1]})
     lost = {w: F.col(f"_{w}")[F.col("_before")] - F.col(f"_{w}")[F.col("_now")] for w in WEIGHTS}
     of = {name: F.col(f"_{name}")[F.col("_k")] for name in ("fails", "unique", "shapley")}
     return rows.select("part", "filter_order", "step", F.col("_all")[F.col("_now")].alias("kept"), lost["all"].alias("removed"), (of["fails"] - lost["all"]).alias("redundant"), of["unique"].alias("unique_fails"), lost["good"].alias("good_lost"), lost["toxic"].alias("toxic_lost"), of["shapley"].alias("shapley"))
@@ -132,7 +137,7 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Applies every order step by step, without inclusion-exclusion.
-ORACLE_SQL = """
+ORACLE_SQL = r"""
 WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 least_id AS (SELECT t, min(doc_id) AS first_id FROM docs GROUP BY t),
 marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
