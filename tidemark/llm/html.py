@@ -3,15 +3,21 @@
 Pages become element trees. Pages of a host with the same sections (a layout)
 are aligned with the layout's reference page, the one with the least page_id, by
 simple tree matching: roots of equal tags match, and the children's matches are
-the best order-keeping ones. Over all pages of the layout it is counted, for each
-reference node, how many pages match it, how many carry its text there, and how
-much text varies in it: the text of matched nodes that differ and of the nodes
-below it that match nothing. Nodes whose text hardly ever differs are template.
+the best order-keeping ones. The unit of text is a block: what stands in a block
+element, inline elements included. Over all pages of the layout it is counted,
+for each reference node, how many pages match it, how many carry its very text
+there, and how much text varies in it; and each text is counted by the node
+above it, so what most pages say there is known even if the reference page says
+something else, or nothing.
+
 The main slot is found by going down from the root as long as one child that
 holds further blocks has most of the varying text. A page's text is what stands
-in its main slot, without template nodes and without short lines that most pages
-of the layout repeat. A node only counts as template on the word of several
-articles (pages with different wording), so copies of a page prove nothing.
+in its main slot, without template blocks: those that carry, at their place, the
+very text that nearly all pages that have the place, or most pages of the
+layout, carry. A block whose wording or numbers vary is content. A heading that
+repeats stays if what follows it stays, and a marked article keeps all that
+doesn't name itself a page part. A block only counts as template on the word of
+several articles (pages with different wording), so copies of a page prove nothing.
 
 Element names, roles and classes are a tie-break: inside the main slot they drop
 what names itself a page part (a menu's and an advert's slots vary too), and they
@@ -27,6 +33,7 @@ import functools
 import html as entities
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,10 +48,15 @@ from tidemark.session import ship, written
 EVIDENCE, CONSTANT = 3, 0.9
 #: Share of a slot's varying text that leads on to one child.
 MOST = 0.6
-#: Share of pages that repeat a line missing from the reference, and its most words.
-REPEATED, SHORT_WORDS = 0.5, 15
-#: Share of common words from which two texts of a node count as the same.
+#: Share of a layout's pages that repeat a text under the same node.
+REPEATED = 0.5
+#: Share of common words from which two texts of a node say nothing about where the varying text is.
 ALIKE = 0.8
+#: Counts that a task holds before it hands them on.
+MOST_COUNTS = 100_000
+#: Pairs of sibling subtrees from which their sizes are found together, the most children of those, and the cells of one such step.
+TOGETHER, MOST_CHILDREN, CELLS = 64, 24, 4 << 20
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Bytes of reference pages up to which they are broadcast; beyond, pages of a layout are dealt to this many keys.
 BROADCAST_BYTES, SALTS = 8 << 20, 16
 
@@ -178,7 +190,39 @@ def _classes(s: tuple[tuple[int, str], ...], known: dict) -> tuple[list[list[int
     return below, number
 
 
-def _aligned(x: list[int], y: list[int], size: dict[tuple[int, int], int]) -> tuple[int, list[tuple[int, int]]]:
+class Sizes(dict):
+    """(class, class) -> match size, with tables for many pairs at once."""
+
+    def __init__(self):
+        self.tables: list[tuple[dict[int, int], np.ndarray]] = []
+        self.of: defaultdict[int, list[tuple[int, int]]] = defaultdict(list)  # class -> (table, row)
+
+    def add(self, xs: list[int], ys: list[int], table: np.ndarray) -> None:
+        for i, c in enumerate(xs):
+            self.of[c].append((len(self.tables), i))
+        self.tables.append(({d: k for k, d in enumerate(ys)}, table))
+
+    def between(self, xs: list[int], ys: list[int]) -> np.ndarray:
+        """The sizes of all pairs; zero for pairs of different tags."""
+        out = np.zeros((len(xs), len(ys)), np.int64)
+        columns: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for i, c in enumerate(xs):
+            covered = 0
+            for table, row in self.of.get(c, ()):
+                if table not in columns:
+                    at = np.array([self.tables[table][0].get(d, -1) for d in ys], np.int64)
+                    columns[table] = np.flatnonzero(at >= 0), at[at >= 0]
+                to, at = columns[table]
+                out[i, to] = self.tables[table][1][row][at]
+                covered = max(covered, len(to))
+            if covered < len(ys):
+                for k, d in enumerate(ys):
+                    if (n := self.get((c, d))) is not None:
+                        out[i, k] = n
+        return out
+
+
+def _aligned(x: list[int], y: list[int], size: Sizes) -> tuple[int, list[tuple[int, int]]]:
     """Greatest total size and position pairs of an order-keeping match of two levels; of equal ones the earliest.
 
     Equal heads always match. Only every ``step``-th row is kept; those between are made again.
@@ -192,7 +236,8 @@ def _aligned(x: list[int], y: list[int], size: dict[tuple[int, int], int]) -> tu
     if not x or not y:
         return total, pairs
     kinds, which = np.unique(y, return_inverse=True)
-    weights = {c: np.array([size.get((c, k), 0) for k in kinds.tolist()], np.int64)[which] for c in set(x)}
+    rows_of = sorted(set(x))
+    weights = dict(zip(rows_of, size.between(rows_of, kinds.tolist())[:, which]))
 
     def following(row, c):
         new = row.copy()  # a size of zero adds nothing, as not matching does
@@ -226,6 +271,30 @@ def _aligned(x: list[int], y: list[int], size: dict[tuple[int, int], int]) -> tu
     return total, pairs + found[::-1]
 
 
+def _sizes(xs: list[int], ys: list[int], kinds: list[tuple], size: Sizes) -> None:
+    """Add the match sizes of all pairs of subtrees of one tag; those of their children are known."""
+    below_x, below_y = (sorted({c for a in side for c in kinds[a][1:]}) for side in (xs, ys))
+    weights = np.zeros((len(below_x) + 1, len(below_y) + 1), np.int64)  # the last row and column stand for no child
+    weights[:-1, :-1] = size.between(below_x, below_y)
+    longest = [max(len(kinds[a]) - 1 for a in side) for side in (xs, ys)]
+    weights = weights.astype(np.int16 if weights.max() * min(longest) < 1 << 14 else np.int32)
+    numbers = {c: i for i, c in enumerate(below_x)}, {c: i for i, c in enumerate(below_y)}
+    left, right = (np.array([[number[c] for c in kinds[a][1:]] + [len(number)] * (long - len(kinds[a]) + 1) for a in side], np.int64).reshape(len(side), long) for side, number, long in zip((xs, ys), numbers, longest))
+    table = np.empty((len(xs), len(ys)), weights.dtype)
+    step = max(1, CELLS // (len(ys) * (longest[1] + 1)))
+    for at in range(0, len(xs), step):
+        some = left[at : at + step]
+        row = np.zeros((longest[1] + 1, len(some), len(ys)), weights.dtype)
+        for i in range(longest[0]):
+            w, new = weights[some[:, i]], np.zeros_like(row)
+            for k in range(longest[1]):
+                np.maximum(row[k] + w[:, right[:, k]], row[k + 1], out=new[k + 1])
+                np.maximum(new[k + 1], new[k], out=new[k + 1])
+            row = new
+        table[at : at + step] = row[-1] + 1
+    size.add(xs, ys, table)
+
+
 @functools.lru_cache(2048)
 def match(left: tuple[tuple[int, str], ...], right: tuple[tuple[int, str], ...]) -> tuple[int, ...]:
     """For each left node the right node it matches, or -1, by simple tree matching."""
@@ -233,39 +302,62 @@ def match(left: tuple[tuple[int, str], ...], right: tuple[tuple[int, str], ...])
     below_l, class_l = _classes(left, known)
     below_r, class_r = _classes(right, known)
     kinds = list(known)  # by number: tag, numbers of the children
-    size: dict[tuple[int, int], int] = {}
+    size = Sizes()
     for c, (_, *children) in enumerate(kinds):  # equal subtrees match as a whole
         size[c, c] = 1 + sum(size[d, d] for d in children)
-    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
     if left[0][1] != right[0][1]:
         return (-1,) * len(left)
-    todo = [(class_l[0], class_r[0])]
+    todo: list[tuple[tuple[int, ...], tuple[int, ...]]] = [((class_l[0],), (class_r[0],))]
+    ready: set[tuple[tuple[int, ...], tuple[int, ...]]] = set()
     while todo:
-        a, b = todo[-1]
-        if (a, b) in size:
-            todo.pop()
+        xs, ys = here = todo[-1]
+        if here not in ready:  # first the pairs of their children, by tag; many pairs go as one step
+            ready.add(here)
+            by_tag: dict[str, tuple[set, set]] = defaultdict(lambda: (set(), set()))
+            for side, classes in enumerate(here):
+                for c in {c for a in classes for c in kinds[a][1:]}:
+                    by_tag[kinds[c][0]][side].add(c)
+            for u, v in by_tag.values():
+                wide = [tuple(sorted(c for c in w if len(kinds[c]) - 1 <= MOST_CHILDREN)) for w in (u, v)]
+                if len(wide[0]) * len(wide[1]) >= TOGETHER:
+                    todo += [(tuple(wide[0]), tuple(wide[1]))] * ((tuple(wide[0]), tuple(wide[1])) not in ready)
+                else:
+                    wide = [(), ()]
+                together = set(wide[0]), set(wide[1])
+                todo += [((c,), (d,)) for c in u for d in v if (c, d) not in size and not (c in together[0] and d in together[1])]
             continue
-        x, y = kinds[a][1:], kinds[b][1:]
-        needed = [(c, d) for c in set(x) for d in set(y) if kinds[c][0] == kinds[d][0] and (c, d) not in size]
-        if needed:
-            todo += needed
-            continue
-        total, chosen[a, b] = _aligned(x, y, size)
-        size[a, b] = 1 + total
         todo.pop()
+        if len(xs) * len(ys) > 1:
+            _sizes(list(xs), list(ys), kinds, size)
+        elif (xs[0], ys[0]) not in size:
+            size[xs[0], ys[0]] = 1 + _aligned(kinds[xs[0]][1:], kinds[ys[0]][1:], size)[0]
     out = [-1] * len(left)
+    chosen: dict[tuple[int, int], list[tuple[int, int]]] = {}
     nodes = [(0, 0)]
     while nodes:
         a, b = nodes.pop()
         out[a] = b
         c = class_l[a], class_r[b]
-        pairs = chosen[c] if c[0] != c[1] else ((i, i) for i in range(len(below_l[a])))
-        nodes += [(below_l[a][i], below_r[b][k]) for i, k in pairs]
+        if c not in chosen:
+            chosen[c] = [(i, i) for i in range(len(below_l[a]))] if c[0] == c[1] else _aligned(kinds[c[0]][1:], kinds[c[1]][1:], size)[1]
+        nodes += [(below_l[a][i], below_r[b][k]) for i, k in chosen[c]]
     return tuple(out)
 
 
-def own_text(node: Node) -> str:
-    return " ".join(entities.unescape(" ".join(c for c in node.children if isinstance(c, str))).split())
+def block_texts(nodes: list[Node]) -> list[str]:
+    """The text of each block element, inline elements included and further blocks not; nothing for inline ones."""
+    parts: list[list[str]] = [[] for _ in nodes]
+    todo: list[tuple[Node | str, int]] = [(nodes[0], 0)]
+    while todo:
+        x, owner = todo.pop()
+        if isinstance(x, str):
+            parts[owner].append(x)
+        elif x.tag not in RAW:
+            owner = x.number if x.tag in BLOCK else owner
+            if x.tag == "br" or x.tag in BLOCK and x.parent:
+                parts[owner if x.tag == "br" else x.parent.number].append(" ")
+            todo += [(c, owner) for c in reversed(x.children)]
+    return [" ".join(entities.unescape("".join(p)).split()) for p in parts]
 
 
 _DIGITS = re.compile("[0-9]+")
@@ -315,12 +407,12 @@ def _above(x: Node | None, into: set[int]) -> None:
         x = x.parent
 
 
-def main_text(nodes: list[Node], template: set[int] = frozenset(), main: Node | None = None, silent: set[int] = frozenset()) -> str:
-    """The blocks of the main slot (of the page, without one), less the nodes of ``template`` and whole elements of ``silent``.
+def main_text(nodes: list[Node], template: set[int] = frozenset(), main: Node | None = None) -> str:
+    """The blocks of the main slot (of the page, without one), less the own text of the block elements of ``template``.
 
-    Articles marked as such in the slot are the text if there are any. No class
-    or id drops a main or what holds it or the slot, nor what holds the only
-    articles, unless more text is outside them.
+    Articles marked as such in the slot are the text if there are any, and keep
+    their template blocks. No class or id drops a main or what holds it or the
+    slot, nor what holds the only articles, unless more text is outside them.
     """
     top = main or nodes[0]
     inside = [False] * len(nodes)
@@ -333,12 +425,12 @@ def main_text(nodes: list[Node], template: set[int] = frozenset(), main: Node |
         if x.tag == "main":
             _above(x, kept)
     gone = _gone(nodes, kept, top)
-    text = _blocks(nodes, marked, gone, template, top, silent)
+    text = _blocks(nodes, marked, gone, template, top)
     if marked and all(gone[x.number] for x in marked):
         for x in marked:
             if not dropped(x):
                 _above(x.parent, kept)
-        other = _blocks(nodes, marked, _gone(nodes, kept, top), template, top, silent)
+        other = _blocks(nodes, marked, _gone(nodes, kept, top), template, top)
         return max(text, other, key=len)
     return text
 
@@ -353,45 +445,54 @@ def _gone(nodes: list[Node], kept: set[int], top: Node) -> list[bool]:
     return out
 
 
-def _blocks(nodes: list[Node], marked: list[Node], gone: list[bool], template: set[int], top: Node, silent: set[int]) -> str:
+def _blocks(nodes: list[Node], marked: list[Node], gone: list[bool], template: set[int], top: Node) -> str:
     marked = [x for x in marked if not gone[x.number]]
-    articles = {x.number for x in marked if x.tag == "article"} or {x.number for x in marked}
+    articles = {x.number for x in marked if x.tag != "main"} or {x.number for x in marked}
     under = [False] * len(nodes)
     for x in nodes:
         if x.parent:
             under[x.number] = under[x.parent.number] or x.parent.number in articles
     roots = [nodes[i] for i in sorted(articles) if not under[i]] or [top]
-    blocks: list[list[str]] = [[]]
+    if any(x.tag != "main" for x in roots) and articles:
+        template = frozenset()  # the page itself says that this is the article
+    blocks: list[tuple[Node, list[str]]] = []
 
     def walk(root: Node) -> None:
-        todo: list[tuple[Node | str | None, bool]] = [(root, True)]
+        todo: list[tuple[Node | str | None, Node]] = [(root, root)]
         while todo:
-            x, mute = todo.pop()
+            x, owner = todo.pop()
             if x is None:
-                blocks.append([])
+                blocks.append((owner, []))
             elif isinstance(x, str):
-                if not mute:
-                    blocks[-1].append(x)
-            elif not gone[x.number] and x.number not in silent:
-                mute = x.number in template
+                blocks[-1][1].append(x)
+            elif not gone[x.number]:
                 edge = x.tag in BLOCK
-                todo += [(None, False)] * edge
-                todo += [(c, mute) for c in reversed(x.children)]
-                todo += [(None, False)] * edge
+                todo += [(None, owner)] * edge
+                todo += [(c, x if edge else owner) for c in reversed(x.children)]
+                todo += [(None, x)] * edge
                 if x.tag == "br":
-                    blocks[-1].append(" ")
+                    blocks[-1][1].append(" ")
 
     for root in roots:
+        blocks.append((root, []))
         walk(root)
-        blocks.append([])
-    lines = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
-    return "\n".join(line for line in lines if line)
+    lines, follows = [], False
+    for owner, pieces in reversed(blocks):
+        line = " ".join(entities.unescape("".join(pieces)).split())
+        if not line:
+            continue
+        stays = owner.number not in template or owner.tag in HEADINGS and follows
+        if owner.tag not in HEADINGS:
+            follows = stays
+        if stays:
+            lines.append(line)
+    return "\n".join(reversed(lines))
 
 
 @functools.lru_cache(256)
 def _reference(page: str):
     nodes = parse(page)
-    return nodes, shape(nodes), [own_text(x) for x in nodes]
+    return nodes, shape(nodes), block_texts(nodes)
 
 
 def _hash(text: str) -> int:
@@ -404,53 +505,58 @@ def identity(texts: list[str]) -> int:
     return min((_hash(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
 
 
-def _lines(nodes: list[Node], pairs: tuple[int, ...], texts: list[str]) -> list[tuple[int, int, str]]:
-    """(element, reference node above, folded text) of short elements right below a matched one that match nothing."""
-    whole = list(texts)
-    for x in reversed(nodes):  # children come after their parents
-        if x.parent and pairs[x.number] < 0 and whole[x.number] and len(whole[x.parent.number]) < 40 * SHORT_WORDS:
-            whole[x.parent.number] = f"{whole[x.number]} {whole[x.parent.number]}"
-    out = []
-    for x in nodes[1:]:
-        if pairs[x.number] < 0 <= pairs[x.parent.number] and whole[x.number] and len(whole[x.number].split()) <= SHORT_WORDS:
-            out.append((x.number, pairs[x.parent.number], folded(whole[x.number])))
-    return out
+def _texts(nodes: list[Node], pairs: tuple[int, ...], texts: list[str], known: list[str]) -> Iterator[tuple[int, int, int, bool]]:
+    """(element, reference node it matches or else stands under, that of its parent, whether it has the reference's text) of the blocks with text."""
+    above = list(pairs)
+    for x in nodes:
+        i = x.number
+        if above[i] < 0 and x.parent:
+            above[i] = above[x.parent.number]
+        if texts[i] and above[i] >= 0:
+            yield i, above[i], above[x.parent.number] if x.parent else 0, pairs[i] >= 0 and texts[i] == known[pairs[i]]
 
 
 def _counted(batches):
-    """Per layout and reference node: pages that match it, that carry its text, varying characters, a few identities; and repeated lines (with their hash)."""
+    """Per layout and reference node: pages that match it, that carry its text, varying characters, a few identities; and, per text in a node's children (with its hash), the pages that have it."""
+    types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+
+    def rows(seen):
+        keys, found = list(seen), list(seen.values())
+        columns = [*([k[i] for k in keys] for i in range(4)), *([r[i] for r in found] for i in range(3)), [sorted(r[3]) for r in found]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "layout", "node", "line", "n", "same", "mass", "who"])
+
     seen: dict[tuple, list] = defaultdict(lambda: [0, 0, 0, set()])
     for batch in batches:
         for host, layout, page, reference in zip(*(batch.column(i).to_pylist() for i in range(4))):
             nodes = parse(page)
             _, like, known = _reference(reference)
             pairs = match(shape(nodes), like)
-            texts = [own_text(x) for x in nodes]
+            texts = block_texts(nodes)
             who = identity(texts)
-            above = list(pairs)
-            for x in nodes:
-                i = x.number
-                if above[i] < 0 and x.parent:
-                    above[i] = above[x.parent.number]
-                j = pairs[i]
-                same = j >= 0 and alike(texts[i], known[j])
+            same: set[int] = set()
+            lines: set[tuple[int, int]] = set()
+            for i, j, up, equal in _texts(nodes, pairs, texts, known):
+                lines.add((up, _hash(texts[i])))
+                if equal:
+                    same.add(j)
+                elif pairs[i] < 0 or not alike(texts[i], known[j]):
+                    seen[host, layout, j, 0][2] += len(texts[i])
+            for j in pairs:
                 if j >= 0:
                     entry = seen[host, layout, j, 0]
                     entry[0] += 1
-                    entry[1] += same
-                    if (same or j == 0) and len(entry[3]) < EVIDENCE:
+                    entry[1] += j in same
+                    if (j in same or j == 0) and len(entry[3]) < EVIDENCE:
                         entry[3].add(who)
-                if not same and above[i] >= 0 and x.tag not in RAW:
-                    seen[host, layout, above[i], 0][2] += len(texts[i])
-            for j, line in {(j, line) for _, j, line in _lines(nodes, pairs, texts)}:
-                entry = seen[host, layout, j, _hash(line)]
+            for j, line in lines:
+                entry = seen[host, layout, j, line]
                 entry[0] += 1
                 if len(entry[3]) < EVIDENCE:
                     entry[3].add(who)
-    keys, rows = list(seen), list(seen.values())
-    types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
-    columns = [*([k[i] for k in keys] for i in range(4)), *([r[i] for r in rows] for i in range(3)), [sorted(r[3]) for r in rows]]
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["host", "layout", "node", "line", "n", "same", "mass", "who"])
+            if len(seen) >= MOST_COUNTS:
+                yield rows(seen)
+                seen.clear()
+    yield rows(seen)
 
 
 def main_slot(nodes: list[Node], mass: list[int]) -> int:
@@ -469,41 +575,40 @@ def main_slot(nodes: list[Node], mass: list[int]) -> int:
         here = best
 
 
-def _wrapper(group):
-    """One row (host, layout, reference, main, template, lines) of a layout's counts."""
+def _wrapper(group, reference):
+    """One row (host, layout, reference, main, template, nodes and lines) of a layout's counts."""
     node, line, n, same, mass, who = (group.column(c).to_pylist() for c in ("node", "line", "n", "same", "mass", "who"))
-    nodes, _, _ = _reference(group.column("reference")[0].as_py())
-    vary, pages = [0] * len(nodes), max((c for c, h in zip(n, line) if not h), default=0)
-    template, lines = [], []
+    page = reference.column("reference")[0].as_py()
+    nodes, _, _ = _reference(page)
+    vary, template, lines, articles = [0] * len(nodes), [], [], 0
     for j, h, c, s, m, w in zip(node, line, n, same, mass, who):
         if h:
-            if c >= max(EVIDENCE, REPEATED * pages) and len(w) >= EVIDENCE:
-                lines.append(h)
+            lines.append((j, h))
             continue
         vary[j] = m
         if c >= EVIDENCE and s >= CONSTANT * c and len(w) >= EVIDENCE:
             template.append(j)
-    articles = max((len(w) for j, h, w in zip(node, line, who) if j == 0 and not h), default=0)
+        if j == 0:
+            articles = len(w)
     main = main_slot(nodes, vary) if articles >= EVIDENCE and sum(vary) else -1
-    kinds = pa.list_(pa.int32()), pa.list_(pa.int64())
-    return pa.table({"host": group.column("host")[:1], "layout": group.column("layout")[:1], "reference": group.column("reference")[:1], "main": pa.array([main], pa.int32()), "template": pa.array([sorted(template)], kinds[0]), "lines": pa.array([sorted(lines)], kinds[1])})
+    columns = {"host": reference.column("host"), "layout": reference.column("layout"), "reference": reference.column("reference"), "main": pa.array([main], pa.int32())}
+    lists = {"template": (sorted(template), pa.int32()), "places": ([j for j, _ in sorted(lines)], pa.int32()), "lines": ([h for _, h in sorted(lines)], pa.int64())}
+    return pa.table(columns | {name: pa.array([v], pa.list_(t)) for name, (v, t) in lists.items()})
 
 
 def _extracted(batches):
     for batch in batches:
         out = []
-        for page, reference, main, template, lines in zip(*(batch.column(i).to_pylist() for i in range(2, 7))):
+        for page, reference, main, template, places, lines in zip(*(batch.column(i).to_pylist() for i in range(2, 8))):
             nodes = parse(page)
-            constant, slot, silent = set(), None, set()
+            constant, slot = set(), None
             if reference is not None and main is not None and main >= 0:
                 _, like, known = _reference(reference)
-                pairs = match(shape(nodes), like)
-                fixed, repeated = set(template), set(lines)
-                constant = {x.number for x in nodes if pairs[x.number] in fixed and alike(own_text(x), known[pairs[x.number]])}
+                pairs, texts = match(shape(nodes), like), block_texts(nodes)
+                fixed, repeated = set(template), set(zip(places, lines))
+                constant = {i for i, j, up, equal in _texts(nodes, pairs, texts, known) if equal and j in fixed or (up, _hash(texts[i])) in repeated}
                 slot = next((x for x in nodes if pairs[x.number] == main), None)
-                if repeated:
-                    silent = {i for i, _, line in _lines(nodes, pairs, [own_text(x) for x in nodes]) if _hash(line) in repeated}
-            out.append((main_text(nodes, constant, slot, silent), len(nodes), len(constant), slot is not None))
+            out.append((main_text(nodes, constant, slot), len(nodes), len(constant), slot is not None))
         types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
         columns = [[x[0] for x in out], [len(x[0]) for x in out], [x[1] for x in out], [x[2] for x in out], [x[3] for x in out]]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(c, t) for c, t in zip(columns, types)]], ["page_id", "url", "text", "n_chars", "n_elements", "n_template", "induced"])
@@ -515,14 +620,17 @@ def layout_of(page: Column) -> Column:
 
 
 def wrappers(rows: DataFrame) -> DataFrame:
-    """One row per (host, layout) of (host, layout, page_id, html): reference page, main slot (-1: none), template nodes, repeated lines."""
+    """One row per (host, layout) of (host, layout, page_id, html): reference page, main slot (-1: none), template nodes, repeated lines and their places."""
     ship(rows.sparkSession)
     # one page per layout survives in each task before the shuffle
     references = written(rows.where("host <> ''").groupBy("host", "layout").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", "html")).alias("r")).select("host", "layout", F.col("r.html").alias("reference")), "references")
     counts = arrow_map(_joined(rows, references, "inner").select("host", "layout", "html", "reference"), _counted, "host string, layout string, node int, line bigint, n bigint, same bigint, mass bigint, who array<bigint>")
-    total = counts.groupBy("host", "layout", "node", "line").agg(F.sum("n").alias("n"), F.sum("same").alias("same"), F.sum("mass").alias("mass"), F.slice(F.array_distinct(F.flatten(F.collect_list("who"))), 1, EVIDENCE).alias("who"))
-    several = total.where((F.col("line") == 0) | (F.col("n") >= EVIDENCE))
-    return written(several.join(references, ["host", "layout"]).groupBy("host", "layout").applyInArrow(_wrapper, "host string, layout string, reference string, main int, template array<int>, lines array<bigint>"), "wrappers")
+    total = written(counts.groupBy("host", "layout", "node", "line").agg(F.sum("n").alias("n"), F.sum("same").alias("same"), F.sum("mass").alias("mass"), F.slice(F.array_distinct(F.flatten(F.collect_list("who"))), 1, EVIDENCE).alias("who")).where((F.col("line") == 0) | ((F.col("n") >= EVIDENCE) & (F.size("who") >= EVIDENCE))), "counts")
+    # each kept line is on half of the pages, so a layout keeps at most two pages' worth of them
+    pages = total.where("node = 0 and line = 0").select("host", "layout", F.col("n").alias("pages"))
+    several = total.join(pages, ["host", "layout"]).where((F.col("line") == 0) | (F.col("n") >= REPEATED * F.col("pages"))).drop("pages")
+    made = several.groupBy("host", "layout").cogroup(references.groupBy("host", "layout")).applyInArrow(_wrapper, "host string, layout string, reference string, main int, template array<int>, places array<int>, lines array<bigint>")
+    return written(made, "wrappers")
 
 
 def _joined(rows: DataFrame, small: DataFrame, how: str) -> DataFrame:
@@ -545,7 +653,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]+)", 1))
     rows = pages.select(F.col("page_id"), F.col("url"), F.coalesce("html", F.lit("")).alias("html"), host.alias("host")).withColumn("layout", layout_of(F.col("html")))
-    marked = _joined(rows, wrappers(rows), "left").select("page_id", "url", "html", "reference", "main", "template", "lines")
+    marked = _joined(rows, wrappers(rows), "left").select("page_id", "url", "html", "reference", "main", "template", "places", "lines")
     return arrow_map(marked, _extracted, "page_id bigint, url string, text string, n_chars bigint, n_elements bigint, n_template bigint, induced boolean")
 
 
