@@ -86,20 +86,6 @@ def test_models_separate_two_clouds(spark):
     assert L.cluster_count(df, "x", 4) == 2 and L.cluster_count(df.limit(2), "x", 4) == 1
 
 
-def test_decoders():
-    from tidemark.operators import proposals as Q
-
-    x = np.array([0.1, 0.3, 0.9, 0.3, 0.6, 0.3, 0.1, 0.7, 0.1])
-    assert Q.runs_of(x >= 0.5) == [(2, 3), (4, 5), (7, 8)]
-    assert Q.decoded_runs(x, 0.5, 0.2, "threshold") == [(2, 3, 0.9), (4, 5, 0.6), (7, 8, 0.7)]
-    assert Q.decoded_runs(x, 0.5, 0.2, "hysteresis") == [(1, 5, 0.9), (7, 8, 0.7)]  # widened to midways; touching pieces become one
-    assert Q.decoded_runs(x, 0.5, 0.2, "peak", 3) == [(1, 4, 0.9), (7, 8, 0.7)]  # 0.6 is too near the higher peak
-    y = np.array([0.8, 0.5, 0.2, 0.5, 0.9])
-    assert Q.valley_cuts(y, 0, 5, 1, 0.5) == [(0, 2), (2, 5)] and Q.valley_cuts(y, 0, 5, 1, 0.1) == [(0, 5)]
-    assert Q.top_segments(x, 2, 0.5, 0.2) == [(2, 3, 0.9), (7, 8, 0.7)] and Q.top_segments(x, 1, 0.2, 0.2) == [(1, 6, 0.9)]
-    assert Q.top_segments(np.zeros(0), 3, 0.5, 0.1) == [] == Q.decoded_runs(np.zeros(4), 0.5, 0.1, "peak")
-
-
 def test_folds_are_disjoint_and_found_behind_a_dead_end():
     from tidemark.operators.splits import disjoint_folds
 

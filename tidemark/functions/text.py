@@ -8,7 +8,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Ordinal words.
@@ -133,26 +133,111 @@ def safe_path(x) -> Column:
 FUZZY_CHARS, FUZZY_RATIO = 6, 0.88
 
 
-def fuzzy_mentions(text: str | None, variants: dict[str, str], threshold: float = FUZZY_RATIO) -> list[str]:
-    """labels by the place of their best token window, of a variant's length or one more or less.
+def settled(run, kind: str):
+    """A pandas function whose results are columns of their own before others use them; the optimizer would move it into lambda functions, which can't call Python."""
+    return F.pandas_udf(run, kind).asNondeterministic()
 
-    Each label takes the window with the highest ratio over all its variants; of
-    equal ones the first, variants in their given order.
+
+def normal_form(x: Column) -> Column:
+    """F1 for use in lambda functions."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(normalize, na_action="ignore").astype(object)
+
+    return settled(run, "string")(x)
+
+
+def spans(n, least: int | Column, most: int | Column) -> Column:
+    """All windows of ``least`` to ``most`` of n words, as structs (start, stop), by start, then by length."""
+    as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
+    low, high = F.greatest(F.lit(1), as_column(least)), as_column(most)
+    at = lambda i: F.filter(F.transform(F.sequence(low, F.greatest(low, high)), lambda k: F.struct(i.alias("start"), (i + k).alias("stop"))), lambda w: w["stop"] <= n)
+    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), at))).otherwise(F.array().cast("array<struct<start: int, stop: int>>"))
+
+
+def ratios(target: Column, words: Column, windows: Column, target_first: bool = False) -> Column:
+    """The likeness (0 to 1, by matching blocks of characters) of each window of words to the target; -1 where an earlier window is at least as like.
+
+    The likeness may depend on which of the two comes first.
+    """
+
+    def of(wanted, said, places):
+        out, best = [], -1.0
+        for w in places:
+            pair = " ".join(said[w["start"] : w["stop"]]), wanted
+            m = difflib.SequenceMatcher(None, *(reversed(pair) if target_first else pair))
+            # a window that can't beat an earlier one needs no exact ratio
+            out.append(m.ratio() if m.real_quick_ratio() > best and m.quick_ratio() > best else -1.0)
+            best = max(best, out[-1])
+        return out
+
+    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        return pd.Series([of(*x) if x[0] is not None and x[2] is not None else None for x in zip(a, b, c)])
+
+    return settled(run, "array<double>")(target, words, windows)
+
+
+def most_alike(windows: Column, like: Column) -> Column:
+    """The first of the windows with the greatest ratio, as a struct (ratio, start, stop); null without windows."""
+    scored = F.transform(F.arrays_zip(windows.alias("w"), like.alias("r")), lambda x: F.struct(x["r"].alias("ratio"), (-x["w"]["start"]).alias("start"), (-x["w"]["stop"]).alias("stop")))
+    best = F.array_max(scored)
+    return F.when(best.isNotNull(), F.struct(best["ratio"].alias("ratio"), (-best["start"]).alias("start"), (-best["stop"]).alias("stop")))
+
+
+def with_quotes(df: DataFrame, quote: str, spoken: str, into: str = "found") -> DataFrame:
+    """``df`` with the place (ratio, start, stop) of each row's quote among its array of spoken words.
+
+    Windows are two words shorter to two longer than the quote; quote and words
+    are compared in normal form. Null without a quote or words.
     """
-    tokens = (normalize(text) or "").split()
-    best: dict[str, tuple[float, int]] = {}
-    for variant, label in variants.items():
-        wanted = normalize(variant) or ""
-        n = wanted.count(" ") + 1
-        if len(wanted) < FUZZY_CHARS:
-            continue
-        for size in sorted({max(1, n - 1), n, n + 1}):
-            for i in range(len(tokens) - size + 1):
-                m = difflib.SequenceMatcher(None, " ".join(tokens[i : i + size]), wanted)
-                least = max(threshold, best[label][0]) if label in best else threshold
-                if m.real_quick_ratio() >= least and m.quick_ratio() >= least and (ratio := m.ratio()) >= threshold and (label not in best or ratio > best[label][0]):
-                    best[label] = (ratio, i)
-    return sorted(best, key=lambda label: (best[label][1], label))
+    marked = df.withColumns({"_target": normal_form(F.col(quote)), "_words": normalized_words(F.col(spoken))})
+    n = F.size(F.split("_target", " "))
+    marked = marked.withColumn("_windows", F.when((F.col("_target") != "") & (F.size("_words") > 0), spans(F.size("_words"), n - 2, n + 2)))
+    return marked.withColumn(into, most_alike(F.col("_windows"), ratios(F.col("_target"), F.col("_words"), F.col("_windows"), True))).drop("_target", "_words", "_windows")
+
+
+def beside_quote(spoken: str, found: str, before: bool) -> Column:
+    """The words before or after a found quote; NONE if there are none."""
+    start, stop = F.col(found)["start"], F.col(found)["stop"]
+    said = F.when(start.isNotNull(), F.slice(spoken, F.lit(1), start) if before else F.slice(spoken, stop + 1, F.size(spoken)))
+    return F.coalesce(F.nullif(F.array_join(said, " "), F.lit("")), F.lit("NONE"))
+
+
+def normalized_words(words: Column) -> Column:
+    """F1 of each element."""
+
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda ws: None if ws is None else [normalize(w) or "" for w in ws])
+
+    return settled(run, "array<string>")(words)
+
+
+def with_fuzzy_mentions(df: DataFrame, text: str, variants: dict[str, str], threshold: float = FUZZY_RATIO, into: str = "labels") -> DataFrame:
+    """``df`` with the labels whose variants nearly occur in the text, by the place of their best window.
+
+    Windows have a variant's number of words, one less or one more; each label
+    takes the greatest ratio over its variants, of equal ones the first variant's
+    first window (shorter windows before longer ones). Labels at one place go by name.
+    """
+    wanted = [(normalize(v) or "", label) for v, label in variants.items()]
+    wanted = [(v, label) for v, label in wanted if len(v) >= FUZZY_CHARS]
+    if not wanted:
+        return df.withColumn(into, F.array().cast("array<string>"))
+    out = df.withColumn("_words", F.filter(F.split(F.coalesce(normal_form(F.col(text)), F.lit("")), " "), lambda w: w != ""))
+    found = []
+    for i, (variant, label) in enumerate(wanted):
+        n = variant.count(" ") + 1
+        # shorter windows come first, so the windows go by length, then by start
+        by_length = F.array_sort(F.transform(spans(F.size("_words"), n - 1, n + 1), lambda w: F.struct((w["stop"] - w["start"]).alias("n"), w["start"].alias("start"), w["stop"].alias("stop"))))
+        out = out.withColumn("_windows", by_length).withColumn("_like", ratios(F.lit(variant), F.col("_words"), F.col("_windows")))
+        best = F.array_max(F.transform("_like", lambda r, k: F.struct(r.alias("ratio"), (-k).alias("k"))))
+        out = out.withColumn(f"_found{i}", F.when(best["ratio"] >= threshold, F.struct(best["ratio"].alias("ratio"), F.lit(-i).alias("variant"), F.get("_windows", -best["k"])["start"].alias("start"), F.lit(label).alias("label"))))
+        found.append(f"_found{i}")
+    every = F.array_compact(F.array(*found))
+    best_of = lambda x: F.array_max(F.filter(every, lambda y: y["label"] == x))
+    chosen = F.transform(F.array_distinct(F.transform(every, lambda x: x["label"])), best_of)
+    ordered = F.array_sort(F.transform(chosen, lambda x: F.struct(x["start"], x["label"])))
+    return out.withColumn(into, F.transform(ordered, lambda x: x["label"])).drop("_words", "_windows", "_like", *found)
 
 
 def first_json(text: str | None) -> str | None:
@@ -190,45 +275,18 @@ def has_duplicate_keys(text: str | None) -> bool | None:
 has_duplicate_keys_udf = batched(has_duplicate_keys, "boolean")
 
 
-def best_quote(quote: str | None, spoken: list[str]) -> tuple[int, int, float] | None:
-    """(start, end, ratio) of the word window, of the quote's length give or take two, whose characters are most like the quote's.
-
-    Windows go by start, then by length; the first best wins; without a quote or
-    words there is none.
-    """
-    target, said = normalize(quote) or "", [normalize(w) or "" for w in spoken]
-    if not target or not said:
-        return None
-    n = target.count(" ") + 1
-    best: tuple[int, int, float] | None = None
-    for i in range(len(said)):
-        for end in range(i + max(1, n - 2), min(len(said), i + n + 2) + 1):
-            m = difflib.SequenceMatcher(None, target, " ".join(said[i:end]))
-            if best is None or m.real_quick_ratio() > best[2] and m.quick_ratio() > best[2] and m.ratio() > best[2]:
-                best = (i, end, m.ratio())
-    return best
-
-
-def quote_side(text: str | None, quote: str | None, before: bool) -> str:
-    """The words before or after the quote's place in a text; NONE if there are none."""
-    said = re.findall(r"\w+", text or "")
-    found = best_quote(quote, said)
-    words_ = said[: found[0]] if found and before else said[found[1] :] if found else []
-    return " ".join(words_) or "NONE"
-
-
-def parse_question(text: str | None, labels: list[str]) -> tuple[str | None, list[str], int]:
+def parse_question(text: str | None, labels: list[str], cues: tuple[str, ...] = ("before", "after")) -> tuple[str | None, list[str], int]:
     """(relation, labels in order of mention, ordinal before the anchor).
 
-    Two or more labels ask for the first of them; one label needs a before or
-    after cue; the nearest ordinal word before the anchor counts, else 1.
+    Two or more labels ask for the first of them; one label needs one of the
+    cues (the first that occurs in their order); the nearest ordinal word before the anchor counts, else 1.
     """
     q = f" {normalize(text) or ''} "
     seen = sorted((q.find(f" {normalize(label)} "), label) for label in labels if f" {normalize(label)} " in q)
     names = [label for _, label in seen]
     if len(names) >= 2:
         return "first", names, 1
-    relation = next((r for r in ("before", "after") if f" {r} " in q), None)
+    relation = next((r for r in cues if f" {r} " in q), None)
     if not names or not relation:
         return None, names, 1
     before = q[: seen[0][0]].split()

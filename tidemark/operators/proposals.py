@@ -119,96 +119,6 @@ def rebalanced_negatives(demand: dict[str, list[str]], capacity: dict[str, int])
     return out
 
 
-def spaced_peaks(x: np.ndarray, least: float, gap: int) -> list[int]:
-    """Frames at or above ``least`` and both neighbours, the higher first (of equal ones the earlier), ``gap`` frames apart."""
-    padded = np.concatenate(([-np.inf], x, [-np.inf]))
-    at = np.flatnonzero((x >= least) & (x >= padded[:-2]) & (x >= padded[2:]))
-    kept: list[int] = []
-    for i in at[np.argsort(-x[at], kind="stable")].tolist():
-        if all(abs(i - k) >= gap for k in kept):
-            kept.append(i)
-    return sorted(kept)
-
-
-def runs_of(on: np.ndarray) -> list[tuple[int, int]]:
-    edges = np.flatnonzero(np.diff(np.concatenate(([0], on.astype(np.int8), [0]))))
-    return [(int(a), int(b)) for a, b in edges.reshape(-1, 2)]
-
-
-def valley_cuts(x: np.ndarray, start: int, stop: int, gap: int, ratio: float) -> list[tuple[int, int]]:
-    """A run cut at the lowest frame between neighbouring high peaks, where it is at most ``ratio`` of the lower one."""
-    peaks = [start + i for i in spaced_peaks(x[start:stop], 0.7 * x[start:stop].max(), gap)]
-    cuts = []
-    for a, b in zip(peaks, peaks[1:]):
-        low = a + int(np.argmin(x[a : b + 1]))
-        if b > a + 1 and x[low] <= ratio * min(x[a], x[b]):
-            cuts.append(max(start + 1, min(stop - 1, low)))
-    edges = [start, *cuts, stop]
-    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
-
-
-def decoded_runs(x: np.ndarray, high: float, low: float, kind: str, gap: int = 1, ratio: float = 0.5, merge: int = 0) -> list[tuple[int, int, float]]:
-    """(start, stop, greatest value) of runs seeded at ``high``.
-
-    ``threshold`` takes the seeds as they are, ``hysteresis`` widens them over
-    frames at or above ``low``, ``valley`` cuts them at valleys first, ``peak``
-    seeds at single peaks. Widening stops midway between neighbouring seeds'
-    peaks; pieces up to ``merge`` frames apart become one.
-    """
-    seeds = [(i, i + 1) for i in spaced_peaks(x, high, gap)] if kind == "peak" else runs_of(x >= high)
-    if kind == "valley":
-        seeds = [part for a, b in seeds for part in valley_cuts(x, a, b, gap, ratio)]
-    peaks = [a + int(np.argmax(x[a:b])) for a, b in seeds]
-    out: list[tuple[int, int, float]] = []
-    for n, ((a, b), top) in enumerate(zip(seeds, peaks)):
-        if kind != "threshold":
-            first = (peaks[n - 1] + top) // 2 if n else 0
-            last = max(first + 1, (top + peaks[n + 1]) // 2) if n + 1 < len(peaks) else len(x)
-            a, b = top, top + 1
-            while a > first and x[a - 1] >= low:
-                a -= 1
-            while b < last and x[b] >= low:
-                b += 1
-        value = float(x[a:b].max())
-        if out and a <= out[-1][1] + merge:
-            out[-1] = (out[-1][0], max(out[-1][1], b), max(out[-1][2], value))
-        else:
-            out.append((a, b, value))
-    return out
-
-
-def top_segments(x: np.ndarray, most: int, share: float, least: float, most_iou: float = 0.5) -> list[tuple[int, int, float]]:
-    """Up to ``most`` segments, each the run around the highest frame left that stays above ``share`` of it; taken frames go."""
-    from tidemark.operators.matching import iou
-
-    x, out = np.array(x, float), []
-    for _ in range(3 * most):
-        if len(out) == most or not len(x) or x.max() < least:
-            break
-        top = int(np.argmax(x))
-        cut = max(least, share * x[top])
-        a, b = top, top + 1
-        while a > 0 and x[a - 1] >= cut:
-            a -= 1
-        while b < len(x) and x[b] >= cut:
-            b += 1
-        if all(iou((a, b), s) < most_iou for s in out):
-            out.append((a, b, float(x[top])))
-        x[a:b] = -1.0
-    return sorted(out, key=lambda s: (s[0], -s[2]))
-
-
-def decoded_scenes(df: DataFrame, keys: list[str], decode) -> DataFrame:
-    """(keys, start, stop, peak): ``decode(values)`` over each key's frames in order; a scene is a recording of bounded length."""
-
-    def run(key, p):
-        rows = [[*key, *s] for s in decode(p.sort_values("frame").p.to_numpy())]
-        return pd.DataFrame(rows, columns=[*keys, "start", "stop", "peak"])
-
-    kinds = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in keys)
-    return df.groupBy(*keys).applyInPandas(run, f"{kinds}, start bigint, stop bigint, peak double")
-
-
 def pooled(pools: list[DataFrame], keys: list[str], most_iou: float, per_label: int, most: int) -> DataFrame:
     """Several pools of events in one; per key and label suppressed, then at most ``per_label``, then ``most`` by (confidence, length, earlier onset)."""
     from tidemark.operators.matching import non_maximum

@@ -181,14 +181,17 @@ def boundary_error(spark, sf):
 
 @query("M14 M15 T26", None)
 def word_errors(spark, sf):
-    from tidemark.functions.text import best_quote
+    from tidemark.functions.text import with_quotes
 
     def run(key, p):
         said = [t.split() for t in p.sort_values("turn").text.fillna("")]
         voted = M.vote(said)
         wrong = [M.word_distance(s, voted) for s in said]
-        found = best_quote(" ".join(said[0]), said[-1])
         near = sum(e <= 0.25 * len(s) for e, s in zip(wrong, said))
-        return pd.DataFrame({"conv_id": [key[0]], "errors": [sum(wrong)], "words": [sum(map(len, said))], "turns": [len(said)], "near": [near], "exact": [wrong.count(0)], "quote_start": [found[0] if found else None], "quote_ratio": [found[2] if found else None]}).astype({"quote_start": "Int64"})
+        return pd.DataFrame({"conv_id": [key[0]], "errors": [sum(wrong)], "words": [sum(map(len, said))], "turns": [len(said)], "near": [near], "exact": [wrong.count(0)]})
 
-    return load(spark, sf, "conversations").groupBy("conv_id").applyInPandas(run, "conv_id bigint, errors bigint, words bigint, turns bigint, near bigint, exact bigint, quote_start bigint, quote_ratio double")
+    turns = load(spark, sf, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    voted = turns.groupBy("conv_id").applyInPandas(run, "conv_id bigint, errors bigint, words bigint, turns bigint, near bigint, exact bigint")
+    ends = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("quote"), F.filter(F.split(F.max_by("text", "turn"), r"\s+"), lambda w: w != "").alias("said"))
+    quoted = with_quotes(ends, "quote", "said").select("conv_id", F.col("found.start").cast("bigint").alias("quote_start"), F.col("found.ratio").alias("quote_ratio"))
+    return voted.join(quoted, "conv_id")

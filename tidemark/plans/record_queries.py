@@ -271,21 +271,20 @@ def frames(spark, sf):
 
 @query("W10", None)
 def decoder_variants(spark, sf):
-    from tidemark.operators.proposals import decoded_runs, decoded_scenes
+    from tidemark.operators.decoding import KINDS, decoded
 
-    kinds = ("threshold", "hysteresis", "valley", "peak")
     out = None
-    for kind in kinds:
-        rows = decoded_scenes(frames(spark, sf), ["scene"], lambda x, kind=kind: decoded_runs(x, 0.5, 0.2, kind, 3)).withColumn("decoder", F.lit(kind))
+    for kind in KINDS:
+        rows = decoded(frames(spark, sf), ["scene"], 0.5, 0.2, kind, 3).withColumn("decoder", F.lit(kind))
         out = rows if out is None else out.union(rows)
     return out
 
 
 @query("O5", None)
 def top_label_segments(spark, sf):
-    from tidemark.operators.proposals import decoded_scenes, top_segments
+    from tidemark.operators.decoding import strongest
 
-    return decoded_scenes(frames(spark, sf), ["scene"], lambda x: top_segments(x, 3, 0.6, 0.2))
+    return strongest(frames(spark, sf), ["scene"], 3, 0.6, 0.2)
 
 
 @query("U1 W12", None)

@@ -149,14 +149,36 @@ def pair_resolution(spark, sf):
     return Q.pair_resolution(s, ["custkey"])
 
 
+#: Turns in ASCII as words between single spaces, with the places of two frequent words.
+ASKED = r"""a AS (SELECT conv_id, turn, ' ' || trim(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))) || ' ' AS s FROM conversations WHERE regexp_full_match(text, '[\x00-\x7F]*') AND NOT contains(text, '&')),
+p AS (SELECT *, list_sort(list_filter([{'place': strpos(s, ' the '), 'l': 'the'}, {'place': strpos(s, ' and '), 'l': 'and'}], lambda x: x.place > 0)) AS m FROM a)"""
+
+
+@query("T18 F6", f"""WITH {ASKED} SELECT conv_id, turn, CASE WHEN len(m) >= 2 THEN 'first' WHEN len(m) = 1 AND contains(s, ' to ') THEN 'to' WHEN len(m) = 1 AND contains(s, ' of ') THEN 'of' END AS relation,
+array_to_string(list_transform(m, lambda x: x.l), ',') AS labels FROM p""")
+def parsed_turns(spark, sf):
+    """Every turn in ASCII read as a question, with two frequent words as labels and two as cues."""
+    import pandas as pd
+
+    from tidemark.functions.text import parse_question
+
+    def run(batches):
+        for p in batches:
+            found = [parse_question(t, ["the", "and"], ("to", "of")) for t in p.text]
+            yield pd.DataFrame({"conv_id": p.conv_id, "turn": p.turn, "relation": [f[0] for f in found], "labels": [",".join(f[1]) for f in found]})
+
+    asked = load(spark, sf, "conversations").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z") & ~F.col("text").contains("&"))
+    return asked.select("conv_id", "turn", "text").mapInPandas(run, "conv_id bigint, turn bigint, relation string, labels string")
+
+
 @query("T18 F6 F9", "SELECT DISTINCT event_type, CASE WHEN event_type = 'purchase' THEN 'None|[]|1' ELSE 'after|[''' || event_type || ''']|2' END AS parsed, 'purchase' AS fuzzy FROM events")
 def parsed_questions(spark, sf):
-    from tidemark.functions.text import batched, fuzzy_mentions, parse_question
+    from tidemark.functions.text import batched, parse_question, with_fuzzy_mentions
 
     asked = F.concat(F.lit("What came after the second "), "event_type", F.lit(" sound, roughly the purchse one?"))
     parse = batched(lambda q: "|".join(map(str, parse_question(q, ["click", "view", "error", "signup"]))), "string")
-    fuzzy = batched(lambda q: ",".join(fuzzy_mentions(q, {"purchase": "purchase"})), "string")
-    return load(spark, sf, "events").select("event_type").distinct().select("event_type", parse(asked).alias("parsed"), fuzzy(asked).alias("fuzzy"))
+    kinds = load(spark, sf, "events").select("event_type").distinct().select("event_type", asked.alias("asked"))
+    return with_fuzzy_mentions(kinds, "asked", {"purchase": "purchase"}).select("event_type", parse("asked").alias("parsed"), F.array_join("labels", ",").alias("fuzzy"))
 
 
 @query("SP23 SP26", None)
