@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import detection as D
 from tidemark.operators import selection as S
 from tidemark.operators import speakers as V
+from tidemark.operators import splits as P
 from tidemark.plans import REGISTRY
 from tidemark.sources import fetched, groups
 from tidemark.streaming import quotas
@@ -314,3 +315,89 @@ def test_quotas_that_are_met_stop_early(spark):
     q = quotas.QuotaStream(spark, "i", "labels", "i", ["a"], 3)
     out = q.run(quotas.ordered_stream(spark, spark.range(20).select(F.col("id").alias("i"), F.array(F.lit("a")).alias("labels")), "i", 4))
     assert sorted(r.i for r in out.collect()) == [0, 1, 2] and [m.finished for m in q.manifests()] == [True] * 4 and q.manifests()[-1].seen == 5
+
+
+def test_families_are_picked_in_turns(spark):
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(0, 14)), "abc"[rng.integers(3)], int(rng.integers(0, 50)), i) for i in range(90)]
+    df = spark.createDataFrame(rows, "family int, category string, score int, id int")
+    quota = {"b": 3, "a": 4, "c": 2}
+    got = P.diverse_families(df, "family", "category", [F.desc("score"), F.col("id")], quota)
+    queues = {}
+    for c in quota:
+        best = {}
+        for f, _, s, i in sorted((r for r in rows if r[1] == c), key=lambda r: (-r[2], r[3])):
+            best.setdefault(f, (-s, i, f))
+        queues[c] = sorted(best.values())
+    want, used = [], set()
+    for turn in range(max(quota.values())):
+        for c in (c for c, n in quota.items() if n > turn):
+            f = next(f for *_, f in queues[c] if f not in used)
+            used.add(f)
+            want.append((c, f))
+    assert got == want
+    with pytest.raises(ValueError, match="too few"):
+        P.diverse_families(df.where("family < 3"), "family", "category", [F.desc("score")], quota)
+    picked = REGISTRY["diverse_families"].run(spark, SF).collect()
+    assert len({r.family for r in picked}) == len(picked) == 12
+
+
+def test_builds_are_locked(spark):
+    row = "id int, grp int, labels array<string>"
+    train = spark.createDataFrame([(i, i // 2, ["a"] if i % 3 else ["b", "x"]) for i in range(20)] + [(90, 50, ["x"])], row)
+    test = spark.createDataFrame([(100 + i, 100 + i, ["a"]) for i in range(3)], row)
+    kept = spark.createDataFrame([(200, 200, ["b"], "dev"), (201, 201, ["a"], "test"), (202, 202, ["x"], "train")], row + ", split string")
+    build = lambda a=train, b=test, c=kept, o=("a", "b"): P.locked_build(a, b, c, "grp", "labels", ["id", "grp"], list(o), 0.3, "s")
+    out = {r.id: r for r in build().collect()}
+    assert set(out) == {*range(20), 100, 101, 102, 200, 201}
+    assert all(out[i].split == "test" and out[i].origin == "official" for i in (100, 101, 102)) and (out[200].split, out[201].split) == ("dev", "test")
+    assert all(out[i].split == out[i + 1].split for i in range(0, 20, 2)) and {out[i].split for i in range(20)} == {"train", "dev"}
+    assert all(set(r.labels) <= {"a", "b"} for r in out.values())
+    for message, bad in [("share a group", lambda: build(b=test.union(train.limit(1)))), ("known split", lambda: build(c=kept.withColumn("split", F.lit("validation")))), ("two splits", lambda: build(c=kept.withColumn("id", F.lit(100)).withColumn("split", F.lit("dev")))), ("without a train row", lambda: build(o=("a", "b", "q")))]:
+        with pytest.raises(ValueError, match=message):
+            bad()
+
+
+def test_the_build_query_keeps_its_sides(spark):
+    for r in REGISTRY["locked_build"].run(spark, SF).collect():
+        assert (r.grp % 5 == 3) == (r.origin == "official" and r.split == "test") and (r.grp % 5 == 4) == (r.origin == "preserved")
+        assert r.origin != "preserved" or r.split == ("train", "dev", "test")[r.grp % 3]
+
+
+def test_covers_equal_the_ordered_fold(spark):
+    import hashlib
+
+    rng = np.random.default_rng(7)
+    rows = [(i, "abcd"[x]) for i in range(40) for x in set(rng.integers(0, 4, 3).tolist())]
+    quota, have, want = {"a": 3, "b": 5, "c": 0}, {}, []
+    for i in sorted(range(40), key=lambda i: hashlib.sha256(f"s:{i}".encode()).hexdigest()):
+        needed = [x for k, x in rows if k == i and have.get(x, 0) < quota.get(x, 0)]
+        if needed:
+            want.append(i)
+        for x in needed:
+            have[x] = have.get(x, 0) + 1
+    got = P.cover(spark.createDataFrame(rows + rows[:9], "i int, x string"), "i", "x", quota, "s").orderBy("place").collect()
+    assert [r.i for r in got] == want
+
+
+def test_streams_tell_of_every_batch(spark, tmp_path):
+    from tidemark.streaming import streams
+
+    for i in range(130):
+        pq.write_table(pa.table({"event_id": [i], "ts": pa.array([1_600_000_000_000_000 + i], pa.timestamp("us"))}), f"{tmp_path}/{i:04d}.parquet")
+    seen = []
+    rows = streams.drained(streams.event_stream(spark, str(tmp_path), 1), notify=lambda name, payload: seen.append((name, payload)))
+    assert rows.count() == 130 and seen[-1] == ("finished", {"batches": 130}) and sum(p["rows"] for n, p in seen if n == "batch") == 130
+    assert [p["number"] for n, p in seen if n == "batch"] == list(range(130))
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from tidemark import session
+
+    cluster = SimpleNamespace(sparkContext=SimpleNamespace(master="spark://x", getCheckpointDir=lambda: None), conf=SimpleNamespace(get=lambda k, *d: {"spark.sql.warehouse.dir": "file:/tmp/w"}.get(k, *d)), _jvm=spark._jvm, _jsc=spark._jsc)
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        session.shared_dir(cluster)
+    monkeypatch.setattr(session, "machine_local", lambda *a: False)
+    assert session.shared_dir(cluster) == "file:/tmp/w"

@@ -176,7 +176,6 @@ def test_selection_rules():
     total = sum((groups[g] for g in dev), P.Counter())
     every = sum(groups.values(), P.Counter())
     assert abs(total["a"] / every["a"] - 0.25) < 0.1 and abs(total["b"] / every["b"] - 0.25) < 0.15
-    assert P.cover([("x", {"a"}), ("y", {"a"}), ("z", {"b"})], {"a": 1, "b": 1}) == ["x", "z"]
     assert P.packed_groups([("a", 5), ("b", 6), ("c", 1)], 2, 10) == [["a"], ["b", "c"]]
     got = P.isolated_allocation([("s1", "a", "o"), ("s2", "b", "o"), ("s3", "b", "p")], {"a": 1, "b": 1}, "s")
     assert got == {"a": ["s1"], "b": ["s3"]}

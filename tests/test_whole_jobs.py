@@ -79,9 +79,11 @@ def test_selections_keep_their_rules(spark):
 def test_unique_starts_and_boundary_errors(spark):
     starts = defaultdict(list)
     for r in REGISTRY["unique_starts"].run(spark, SF).collect():
+        assert r.placed == (r.start is not None)
         starts[r.scene].append(r.start)
     for scene in starts.values():
-        assert len(scene) > 1440 or len(set(scene)) == len(scene)
+        placed = [x for x in scene if x is not None]
+        assert len(set(placed)) == len(placed) == min(len(scene), 1440)
     got = {r.scene: r.error for r in REGISTRY["boundary_error"].run(spark, SF).collect()}
     for (scene,), events in sorted(groups(spark, "scene").items())[:15]:
         a, b = (sorted(e[0] / 86400 for e in events if e[3] % 2 == k) for k in (0, 1))

@@ -182,6 +182,24 @@ def ambiguity_tier(any_share, selected_share, margin, least_margin: float = 0.1,
     return F.when((c(any_share) <= 1e-12) & (c(margin) >= least_margin - 1e-12), 0).when(c(selected_share) <= 1e-12, 1).when(c(selected_share) <= low + 1e-12, 2).otherwise(3)
 
 
+def related_overlap(df: DataFrame, keys: list[str], key: str, hierarchy: DataFrame) -> DataFrame:
+    """(key, related_seconds, related_share, related_labels): how much of each event lies under events of labels above or below its own.
+
+    ``hierarchy`` is a closure (parent, child). Events are copied to each label
+    that theirs is related to, so a scene's events meet only those related to
+    them, by time buckets; overlapping ones count once, and the share is at most 1
+    (null for an empty event).
+    """
+    both = hierarchy.select(F.col("parent").alias("label"), F.col("child").alias("of")).union(hierarchy.select("child", "parent")).where("label <> of").distinct()
+    others = df.select(*keys, F.col("label").alias("of"), "onset", "off").join(both, "of")
+    pairs = overlap_join(df.select(*keys, "label", key, "onset", "off"), others, [*keys, "label"])
+    inside = pairs.select(F.col(f"l_{key}").alias(key), F.col("r_of").alias("of"), F.greatest("l_onset", "r_onset").alias("onset"), F.least("l_off", "r_off").alias("off"))
+    names = inside.groupBy(key).agg(F.array_sort(F.collect_set("of")).alias("related_labels"))
+    out = df.select(key, "onset", "off").join(union_length(inside, [key]), key, "left").join(names, key, "left")
+    seconds = F.coalesce("union_length", F.lit(0.0))
+    return out.select(key, seconds.alias("related_seconds"), F.least(F.lit(1.0), F.try_divide(seconds, F.col("off") - F.col("onset"))).alias("related_share"), F.coalesce("related_labels", F.array().cast("array<string>")).alias("related_labels"))
+
+
 def clipped(df: DataFrame, start, stop) -> DataFrame:
     """Intervals meeting the crop, in its coordinates."""
     kept = df.where((F.col("off") > c(start)) & (F.col("onset") < c(stop)))

@@ -1,6 +1,6 @@
 """Splits, quotas and schedules.
 
-Sequential greedy rules (SP1, SP3, SP5, SP10-SP17) decide one item after the
+Sequential greedy rules (SP1, SP3, SP10-SP17) decide one item after the
 other, so they run on the driver: over aggregates, groups by labels in size,
 where items are groups, and over the candidates themselves (SP10, SP11), a
 catalogue that has to fit there.
@@ -12,7 +12,7 @@ import hashlib
 import itertools
 from collections import Counter, defaultdict
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.sequences import hash_running
@@ -115,16 +115,19 @@ def improved_partition(groups: dict[str, Counter], dev: set[str], share: float)
     return side
 
 
-def cover(items: list[tuple[str, set[str]]], quota: dict[str, int], limit: int | None = None) -> list[str]:
-    """SP5, S11: in the given order, keep an item if any of its labels is below quota; count only those."""
-    left, kept = dict(quota), []
-    for name, labels in items:
-        needed = [x for x in labels if left.get(x, 0) > 0]
-        if needed and (limit is None or len(kept) < limit):
-            kept.append(name)
-            for x in needed:
-                left[x] -= 1
-    return kept
+def cover(items: DataFrame, key: str, label: str, quota: dict[str, int], salt: str) -> DataFrame:
+    """SP5: keys, in the order of their hash, of which some label is below its quota when they come; each kept key counts for those.
+
+    A label below quota counts each key that has it, so the kept keys are the
+    first ones, as many as its quota, of each label. ``items`` has a row per key
+    and label; the result a row per kept key with its ``place``, at most the sum of
+    the quotas.
+    """
+    place = F.sha2(F.concat_ws(":", F.lit(salt), F.col(key).cast("string")), 256)
+    wanted = F.create_map(*[F.lit(x) for kv in quota.items() for x in kv])
+    few = items.where(F.col(label).isin(*quota)).select(key, label).distinct().withColumn("place", place)
+    rank = F.row_number().over(Window.partitionBy(label).orderBy("place", key))
+    return few.withColumn("_r", rank).where(F.col("_r") <= F.element_at(wanted, F.col(label))).select(key, "place").distinct()
 
 
 def packed_groups(rows: list[tuple[str, int]], most_rows: int, most_size: int) -> list[list[str]]:
@@ -198,3 +201,67 @@ def label_groups(df: DataFrame, group: str, label: str) -> dict[str, Counter]:
     for r in df.groupBy(group, label).agg(F.count("*").alias("n")).collect():
         out[str(r[0])][str(r[1])] = r.n
     return dict(out)
+
+
+def diverse_families(df: DataFrame, family: str, category: str, order: list[Column], quota: dict[str, int]) -> list[tuple[str, str]]:
+    """SP16: (category, family) picks, a family once, as many per category as its quota; categories take turns in the order of ``quota``.
+
+    Each turn takes the category's best family not yet picked, which repairs
+    conflicts between categories; a category without one left while its quota
+    isn't met fails. Spark finds each family's best row per category and the first
+    families, as many as all quotas together, of each: no more can be looked at.
+    """
+    total = sum(quota.values())
+    best = Window.partitionBy(family, category).orderBy(*order)
+    of = df.where(F.col(category).isin(*quota)).withColumn("_b", F.row_number().over(best)).where("_b = 1")
+    place = F.row_number().over(Window.partitionBy(category).orderBy(*order, family))
+    rows = of.withColumn("_p", place).where(F.col("_p") <= total).select(F.col(category).alias("c"), F.col(family).alias("f"), "_p").orderBy("c", "_p").collect()
+    queues: dict[str, list] = {c: [r.f for r in rows if r.c == c][::-1] for c in quota}
+    left, used, out = dict(quota), set(), []
+    while any(left.values()):
+        for c in [c for c in quota if left[c]]:
+            while queues[c] and queues[c][-1] in used:
+                queues[c].pop()
+            if not queues[c]:
+                raise ValueError(f"too few families for {c}: {left[c]} missing")
+            used.add(queues[c][-1])
+            out.append((c, queues[c].pop()))
+            left[c] -= 1
+    return out
+
+
+def locked_build(train: DataFrame, test: DataFrame, preserved: DataFrame, group: str, labels: str, identities: list[str], ontology: list[str], share: float, seed: str) -> DataFrame:
+    """SP4: all rows with ``split`` (train, dev, test) and ``origin`` (official or preserved).
+
+    Only rows with a label of the ontology stay, their labels cut to it. Official
+    test rows are test and nothing else; preserved rows keep their own ``split``;
+    official train groups are divided into train and dev with each label's share
+    kept. The build fails if official train and test share a group, a preserved
+    split is unknown, an identity (a null is none) occurs in two splits, or a label
+    of the ontology has no train row.
+    """
+    from tidemark.operators.audits import leakage
+
+    unknown = preserved.where(F.col("split").isNull() | ~F.col("split").isin("train", "dev", "test")).limit(1).count()
+    if unknown:
+        raise ValueError("preserved rows without a known split")
+    if train.select(group).join(test.select(group), group, "left_semi").limit(1).count():
+        raise ValueError("official train and test share a group")
+    known = F.array(*map(F.lit, ontology))
+
+    def eligible(df: DataFrame) -> DataFrame:
+        return df.withColumn(labels, F.array_sort(F.array_intersect(labels, known))).where(F.size(labels) > 0)
+
+    official = eligible(train)
+    dev = stratified_dev(label_groups(official.select(group, F.explode(labels).alias("_label")), group, "_label"), share, seed)
+    side = F.when(F.col(group).cast("string").isin(*sorted(dev)), "dev").otherwise("train") if dev else F.lit("train")
+    columns = [c for c in train.columns if c != "split"]
+    parts = [official.select(*columns, side.alias("split"), F.lit("official").alias("origin")), eligible(test).select(*columns, F.lit("test").alias("split"), F.lit("official").alias("origin")), eligible(preserved).select(*columns, "split", F.lit("preserved").alias("origin"))]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    shared = leakage(out, "split", identities).limit(1).collect()
+    if shared:
+        raise ValueError(f"an identity occurs in two splits: {shared[0].asDict()}")
+    seen = {r[0] for r in out.where("split = 'train'").select(F.explode(labels)).distinct().collect()}
+    if missing := sorted(set(ontology) - seen):
+        raise ValueError(f"labels without a train row: {missing}")
+    return out

@@ -115,11 +115,10 @@ def stratified_split(spark, sf):
 
 @query("SP5 SP13 S11", None)
 def quota_cover(spark, sf):
-    labels = load(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("s"), F.count("*").alias("n")).collect()
-    order = sorted(labels, key=lambda r: P.sha("cover", r.user_id))
-    kept = P.cover([(str(r.user_id), set(r.s)) for r in order], {k: 12 for k in ("click", "view", "error", "purchase", "signup")})
-    size = {str(r.user_id): r.n for r in order}
-    batches = P.packed_groups([(k, size[k]) for k in kept], 8, 500)
+    e = load(spark, sf, "events")
+    kept = P.cover(e, "user_id", "event_type", {k: 12 for k in ("click", "view", "error", "purchase", "signup")}, "cover")
+    sizes = e.join(kept, "user_id").groupBy("user_id", "place").agg(F.count("*").alias("n")).orderBy("place").collect()  # at most the quotas' sum
+    batches = P.packed_groups([(str(r.user_id), r.n) for r in sizes], 8, 500)
     return spark.createDataFrame([(k, i) for i, b in enumerate(batches) for k in b], "user_id string, batch bigint")
 
 

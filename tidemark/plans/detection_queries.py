@@ -179,3 +179,25 @@ def quota_stream(spark, sf):
     e = load(spark, sf, "events").where("event_id % 11 <> 0").select("event_id", labels.alias("labels"))
     wanted = sorted({r.label for r in e.select(F.explode("labels").alias("label")).distinct().collect()} - {"u6"})  # types and classes
     return QuotaStream(spark, "event_id", "labels", "event_id", wanted, 40).run(ordered_stream(spark, e, "event_id", 5)).select("event_id")
+
+
+@query("SP16", None)
+def diverse_families(spark, sf):
+    """Customers as families, their orders' priorities as categories; dearer orders are better."""
+    from tidemark.operators.splits import diverse_families as picked
+
+    quota = {"1-URGENT": 5, "2-HIGH": 4, "3-MEDIUM": 3}
+    rows = picked(load(spark, sf, "orders"), "o_custkey", "o_orderpriority", [F.desc("o_totalprice"), F.col("o_orderkey")], quota)
+    return spark.createDataFrame([(i, c, f) for i, (c, f) in enumerate(rows)], "place int, category string, family bigint")
+
+
+@query("SP4", None)
+def locked_build(spark, sf):
+    """Orders as rows, clerks' customers as groups, statuses and priorities as labels."""
+    from tidemark.operators.splits import locked_build as built
+
+    o = load(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 60).alias("grp"), F.array("o_orderstatus", "o_orderpriority").alias("labels"))
+    side = F.col("grp") % 5
+    kept = o.where(side == 4).withColumn("split", F.element_at(F.array(F.lit("train"), F.lit("dev"), F.lit("test")), (F.col("grp") % 3 + 1).cast("int")))
+    ontology = sorted({r[0] for r in o.select(F.explode("labels")).distinct().collect()} - {"5-LOW", "P"})
+    return built(o.where(side < 3), o.where(side == 3), kept, "grp", "labels", ["o_orderkey", "grp"], ontology, 0.2, "build").withColumn("labels", F.array_join("labels", ","))

@@ -108,6 +108,23 @@ def ambiguity_audit(spark, sf):
     return out.select("event_id", R("any_share", 6).alias("any_share"), R("selected_share", 6).alias("selected_share"), F.coalesce(F.array_join("m", ","), F.lit("")).alias("labels"), I.ambiguity_tier("any_share", "selected_share", margin).alias("tier"))
 
 
+KIN = "e AS (SELECT scene, event_id, onset, off, CASE WHEN event_id % 5 = 0 AND label IN ('click', 'view') THEN 'look' WHEN event_id % 5 = 1 THEN 'act' ELSE label END AS label FROM tl), h(p, c) AS (VALUES ('act', 'look'), ('look', 'click'), ('look', 'view'), ('act', 'click'), ('act', 'view'), ('act', 'purchase')), k AS (SELECT p a, c b FROM h UNION SELECT c, p FROM h)"
+
+
+@query("I21", f"""WITH {TL}, {KIN}, p AS (SELECT l.event_id id, r.label rl, greatest(l.onset, r.onset) a, least(l.off, r.off) b FROM e l JOIN k ON k.a = l.label JOIN e r ON r.scene = l.scene AND r.label = k.b AND l.onset < r.off AND r.onset < l.off),
+s AS (SELECT *, CASE WHEN max(b) OVER w IS NULL OR a > max(b) OVER w THEN 1 ELSE 0 END n FROM p WINDOW w AS (PARTITION BY id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), g AS (SELECT *, sum(n) OVER (PARTITION BY id ORDER BY a, b ROWS UNBOUNDED PRECEDING) g FROM s),
+m AS (SELECT id, sum(b - a) u FROM (SELECT id, g, min(a) a, max(b) b FROM g GROUP BY 1, 2) GROUP BY 1), t AS (SELECT id, array_to_string(list_sort(list(DISTINCT rl)), ',') ls FROM p GROUP BY 1)
+SELECT event_id, round(coalesce(u, 0), 3) AS related_seconds, round(least(1, coalesce(u, 0) / (off - onset)), 6) AS related_share, coalesce(ls, '') AS related_labels FROM e LEFT JOIN m ON m.id = event_id LEFT JOIN t ON t.id = event_id""")
+def hierarchy_overlap(spark, sf):
+    from tidemark.operators.joins import closure
+
+    n = F.col("event_id") % 5
+    label = F.when((n == 0) & F.col("label").isin("click", "view"), "look").when(n == 1, "act").otherwise(F.col("label"))
+    kin = closure(spark.createDataFrame([("act", "look"), ("look", "click"), ("look", "view"), ("act", "purchase")], "parent string, child string"))
+    out = I.related_overlap(timeline(spark, sf).withColumn("label", label), ["scene"], "event_id", kin.select("parent", "child"))
+    return out.select("event_id", R("related_seconds", 3).alias("related_seconds"), R("related_share", 6).alias("related_share"), F.array_join("related_labels", ",").alias("related_labels"))
+
+
 DAY = "floor(onset / 86400)"
 
 

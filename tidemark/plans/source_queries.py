@@ -122,10 +122,11 @@ def unique_starts(spark, sf):
 
     def run(key, p):
         p = p.sort_values(["frame", "event_id"])
-        return pd.DataFrame({"scene": key[0], "event_id": p.event_id, "start": shifted(p.frame.tolist(), [1] * len(p), 24 * 60)})
+        found = pd.array(shifted(p.frame.tolist(), [1] * len(p), 24 * 60), "Int64")
+        return pd.DataFrame({"scene": key[0], "event_id": p.event_id, "start": found, "placed": ~found.isna()})
 
     t = timeline(spark, sf).select("scene", "event_id", (F.floor(F.col("onset") / 3600) % 24).alias("frame"))
-    return t.groupBy("scene").applyInPandas(run, "scene bigint, event_id bigint, start bigint")
+    return t.groupBy("scene").applyInPandas(run, "scene bigint, event_id bigint, start bigint, placed boolean")
 
 
 @query("W11", """WITH fr AS (SELECT user_id AS scene, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS frame, value / 500 AS p FROM events), o AS (SELECT *, frame - row_number() OVER (PARTITION BY scene ORDER BY frame) g FROM fr WHERE p >= 0.1), b AS (SELECT *, lag(p) OVER w lp, lead(p) OVER w np FROM o WINDOW w AS (PARTITION BY scene, g ORDER BY frame)),

@@ -18,14 +18,25 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
     Where it is unset, a session on one machine gets a temporary folder, set as
-    its checkpoint folder; a cluster's session uses its warehouse.
+    its checkpoint folder; a cluster's session uses its warehouse, which must not
+    be a folder of one machine.
     """
     context = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not at and context.master.split("[")[0] == "local":
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoints-"))
         at = context.getCheckpointDir()
-    return (at or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    if not at:
+        at = spark.conf.get("spark.sql.warehouse.dir")
+        if machine_local(spark, at):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share: {at} is local to each machine")
+    return at.rstrip("/")
+
+
+def machine_local(spark: SparkSession, path: str) -> bool:
+    """Whether Spark would read the path from the disk of whatever machine it runs on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().getScheme() == "file"
 
 
 def work_dir(spark: SparkSession) -> str:

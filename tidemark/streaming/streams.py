@@ -62,21 +62,26 @@ def drained(df: DataFrame, mode: str = "append", keep: str | None = None, notify
 
     A batch that is tried again replaces its own folder, so the sink stays
     exact. With ``keep`` the checkpoint has a fixed name and a later call goes on.
-    X1, ST4: ``notify`` is called with ("batch", its progress) for each batch and
-    ("finished", their number) at the end.
+    X1, ST4: ``notify`` is called on the driver with ("batch", its number and
+    written rows) when a batch is written, and ("finished", their number) at the
+    end; every batch is told, however many there are.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/stream-{keep}" if keep else f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
 
+    told = 0
+
     def save(batch: DataFrame, number: int) -> None:
+        nonlocal told
         batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
+        told += 1
+        if notify:
+            notify("batch", {"number": number, "rows": spark.read.schema(batch.schema).parquet(f"{at}/rows/batch={number}").count()})
 
     run = df.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     if notify:
-        for p in run.recentProgress:
-            notify("batch", {"number": p["batchId"], "rows": p["numInputRows"]})
-        notify("finished", {"batches": len(run.recentProgress)})
+        notify("finished", {"batches": told})
     return spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(f"{at}/rows")
 
 
