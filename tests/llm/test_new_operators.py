@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, conversations, filters
+from tidemark.llm import bpe, conversations, filters, lattice
 
 sys.setrecursionlimit(20_000)
 SPACE = " \t\n\x0b\x0c\r"
@@ -268,3 +268,34 @@ def test_unordered_merges_are_refused():
 
 def test_bpe_of_no_documents(spark, empty):
     assert bpe.decoded(bpe.encoded(empty)).count() == 0
+
+
+# expectation over long words, and words in very many chunks
+
+
+def test_expectations_of_long_words_are_whole(monkeypatch):
+    rng = random.Random(3)
+    pieces, logp = lattice.vocabulary()
+    words = ["".join(rng.choice("aeinrstThe文é") for _ in range(n)) for n in (1, 30, 500, 2500)] + ["ab" * 1000, "x" * 900]
+    for word in words:
+        found = []
+        for most in (10**9, 7, 64, 1000):
+            monkeypatch.setattr(lattice, "MOST_CHARS", most)
+            counts = [0.0] * len(logp)
+            lattice.Lattice(pieces, logp).expect(word, 3.0, counts)
+            found.append(np.array(counts))
+        for other in found[1:]:
+            assert np.abs(other - found[0]).max() <= 1e-9 * max(1, len(word))
+    monkeypatch.setattr(lattice, "MOST_CHARS", 10_000)
+    counts = [0.0] * len(logp)
+    lattice.Lattice(pieces, logp).expect("the cat"[:3] * 33_334, 1.0, counts)
+    assert sum(counts) > 0
+
+
+def test_words_of_many_chunks_are_dealt(spark, docs, monkeypatch):
+    def run():
+        return sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 5)) for r in collect(lattice.scores(docs, 2000))))
+
+    whole = run()
+    monkeypatch.setattr(lattice, "WORD_ROWS", 3)
+    assert run() == whole

@@ -20,6 +20,7 @@ is collected or broadcast.
 from __future__ import annotations
 
 import math
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -38,8 +39,10 @@ FOLDS, HELD_OUT = 7, 2
 _MARK = "▁"
 
 
-#: Characters of a word that the expectation step takes at once; scoring takes every word whole.
+#: Characters of a word whose edges the expectation step holds at once; a longer word's are made again, block by block.
 MOST_CHARS = 10_000
+#: Rows of one word that meet in a window (it has one per chunk); with more chunks a word is dealt to several keys.
+WORD_ROWS = 200_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -71,6 +74,7 @@ class Lattice:
                 node = node[2].setdefault(ch, [None, -1, {}])
             node[0], node[1] = float(logp[i]), i
         self.bytes = [float(x) for x in logp[:256]]
+        self.longest = max((len(p) for p, _ in pieces), default=1)
 
     def by_bytes(self, ch: str) -> float | None:
         """The weight of a character spelled in byte pieces; None if it has a piece of its own."""
@@ -81,12 +85,17 @@ class Lattice:
 
     def score(self, word: str) -> float:
         """Natural logarithm of the word's marginal probability, by forward recursion."""
-        s = _MARK + word
+        return self._forward(_MARK + word, None)
+
+    def _forward(self, s: str, alphas: array | None) -> float:
+        """The log-probability of the whole; ``alphas`` takes that of each beginning."""
         n, first = len(s), self.root[2]
         terms: defaultdict[int, list[float]] = defaultdict(list)  # only places that a piece has reached and none has left
         terms[0].append(0.0)
         for i in range(n):
             alpha = log_sum(terms.pop(i))
+            if alphas is not None:
+                alphas.append(alpha)
             node, j = first.get(s[i]), i + 1
             if node is None or node[0] is None:
                 terms[j].append(alpha + self.by_bytes(s[i]))
@@ -100,10 +109,43 @@ class Lattice:
         return log_sum(terms[n])
 
     def expect(self, word: str, count: float, into_counts: list[float]) -> None:
-        """Add the expected piece counts of ``count`` copies of the word: forward, then mass backward; long words in parts."""
+        """Add the expected piece counts of ``count`` copies of the word: forward, then mass backward.
+
+        A long word keeps a number per character, and the edges of one block.
+        """
         s = _MARK + word
-        for at in range(0, len(s), MOST_CHARS):
-            self._expect(s[at : at + MOST_CHARS], count, into_counts)
+        if len(s) <= MOST_CHARS:
+            self._expect(s, count, into_counts)
+            return
+        n, first = len(s), self.root[2]
+        alphas = array("d")
+        alphas.append(self._forward(s, alphas))
+        back = array("d", bytes(8 * n))
+        back.append(count)
+        for top in range(n, 0, -MOST_CHARS):
+            low = max(0, top - MOST_CHARS)
+            edges: list[list[tuple[int, int, float]]] = [[] for _ in range(top - low)]
+            for i in range(max(0, low + 1 - self.longest), top):
+                node, j = first.get(s[i]), i + 1
+                if (node is None or node[0] is None) and j > low:
+                    edges[j - low - 1].append((i, -1, self.by_bytes(s[i])))
+                while node is not None:
+                    if node[0] is not None and j > low:
+                        edges[j - low - 1].append((i, node[1], node[0]))
+                    if j == top:
+                        break
+                    node = node[2].get(s[j])
+                    j += 1
+            for j in range(top, low, -1):
+                if mass := back[j]:
+                    for i, piece, w in edges[j - low - 1]:
+                        share = mass * math.exp(alphas[i] + w - alphas[j])
+                        back[i] += share
+                        if piece >= 0:
+                            into_counts[piece] += share
+                        else:
+                            for x in s[i].encode("utf-8", "surrogatepass"):
+                                into_counts[x] += share
 
     def _expect(self, s: str, count: float, into_counts: list[float]) -> None:
         n, first = len(s), self.root[2]
@@ -261,6 +303,26 @@ def _documents(n: int, v: int, ends: int, end_logp: float):
 RESULT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
+def counted_words(numbered: DataFrame, n_chunks: int) -> DataFrame:
+    """(chunk, idx, word, n) with, for n, the word's count c over all chunks, and ``first``: one of its rows, which speaks for it.
+
+    One shuffle brings a word's rows together, up to WORD_ROWS chunks of it; with
+    more chunks they are summed up by (word, part of the chunks), the parts by
+    word, and the count goes back to the parts.
+    """
+    parts = max(1, -(-n_chunks // WORD_ROWS))
+    part = F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int") if parts > 1 else F.lit(0)
+    w = Window.partitionBy("word", "part") if parts > 1 else Window.partitionBy("word")
+    summed = numbered.withColumn("part", part).withColumns({"c": F.sum("n").over(w), "first": F.row_number().over(w.orderBy("chunk", "idx")) == 1}).drop("n")
+    if parts == 1:
+        return written(summed.drop("part"), "words")
+    summed = written(summed, "words")
+    some = summed.where("first").select("word", "part", "c")
+    total = some.groupBy("word").agg(F.sum("c").alias("total"), F.min("part").alias("speaker"))
+    back = some.drop("c").join(total, "word")
+    return written(summed.drop("c").join(back, ["word", "part"]).select("chunk", "idx", "word", F.col("total").alias("c"), (F.col("first") & (F.col("part") == F.col("speaker"))).alias("first")), "words")
+
+
 def scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, name: str = VOCABULARY) -> DataFrame:
     """One row per document; null and empty texts have the end token only.
 
@@ -272,9 +334,7 @@ def scores(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, name: str = VOCABULA
     ship(spark)
     chunks = written(arrow_map(docs.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "text"), _chunks(chunk_bytes), CHUNK_SCHEMA), "chunks")
     numbered = chunks.where("words is not null").select("chunk", F.posexplode(F.arrays_zip("words", "counts")).alias("idx", "w")).select("chunk", "idx", F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
-    # one shuffle brings a word's rows together: they get its count, and the first of them speaks for it
-    w = Window.partitionBy("word")
-    counted = written(numbered.withColumns({"c": F.sum("n").over(w), "first": F.row_number().over(w.orderBy("chunk", "idx")) == 1}).drop("n"), "words")
+    counted = counted_words(numbered, chunks.where("words is not null").count())
     distinct_words = counted.where("first and c > 0")
     n_words, distinct = distinct_words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = chunks.where("words is null and not held_out").count()

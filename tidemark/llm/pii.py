@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import let
 from tidemark.llm.common import narrow, table
+from tidemark.session import written
 
 KINDS = ("email", "ip", "card", "phone")
 STRICT = {
@@ -281,6 +282,17 @@ def kept(kind: str, span: Column, w: list[float]) -> Column:
     return (span["strict"] == 1) | (z >= 0)
 
 
+def judged(found: DataFrame, mark: str) -> DataFrame:
+    """``found``, written once and read for the votes and for the result, with the spans that are base or accepted."""
+    held = written(found, "candidates")
+    w = learn(held, mark)
+
+    def good(kind):
+        return lambda s: kept(kind, s, w)
+
+    return held.withColumns({f"{mark}{k}": F.filter(f"{mark}{k}", good(k)) for k in KINDS})
+
+
 def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with _text, _chunks and arrays _email, _ip, _card, _phone of base and accepted spans.
 
@@ -290,13 +302,9 @@ def spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     the new ones begin with more underscores (``mark_for``).
     """
     m = mark_for(docs)
-    found = candidates(docs, text_col)
-    w = learn(found, m)
-
-    def good(kind):
-        return lambda s: kept(kind, s, w)
-
-    return found.withColumns({f"{m}{k}": F.filter(f"{m}{k}", good(k)) for k in KINDS})
+    out = judged(candidates(docs, text_col).drop(f"{m}text", f"{m}chunks"), m).withColumn(f"{m}text", F.coalesce(F.col(text_col), F.lit("")))
+    some = F.size(F.concat(*[f"{m}{k}" for k in KINDS])) > 0
+    return out.withColumn(f"{m}chunks", F.when(some, chunked(F.col(f"{m}text"))).otherwise(F.array().cast("array<string>")))
 
 
 def listed(kinds: dict[str, Column]) -> Column:
@@ -310,7 +318,7 @@ def listed(kinds: dict[str, Column]) -> Column:
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digest of the base spans and all spans of every document, rules as in ``spans``."""
-    found = spans(narrow(table(spark, sf_dir, "documents"), "doc_id", "text"))
+    found = judged(candidates(narrow(table(spark, sf_dir, "documents"), "doc_id", "text")).select("doc_id", *[f"_{k}" for k in KINDS]), "_")
     base = {k: F.filter(f"_{k}", lambda s: s["strict"] == 1) for k in KINDS}
     return found.select(
         "doc_id",
