@@ -387,7 +387,7 @@ def test_long_texts_are_read_in_slices(monkeypatch):
 
 
 def test_every_query_takes_empty_tables(spark, tmp_path):
-    schemas = {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "benchmark": "item_id bigint, text string", "labels": "doc_id bigint, quality int, toxic int", "pages": "page_id bigint, url string, html string"}
+    schemas = {"documents": "doc_id bigint, text string, lang string, source string, n_chars bigint", "benchmark": "item_id bigint, text string", "labels": "doc_id bigint, quality int, toxic int", "pages": "page_id bigint, url string, html string", "conversations": "conv_id bigint, turn bigint, role string, text string"}
     for name, schema in schemas.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, run in queries().items():

@@ -222,3 +222,18 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     tokens = {i: len(packing.encoder()(t)) + 1 for i, t in kept["personal_data"].items()}
     assert {r.doc_id: r.doc_tokens for r in got} == tokens
     assert simhash.fingerprint(None) == 0
+
+
+def test_frames_of_long_files_go_on_in_small_batches(monkeypatch):
+    import pyarrow as pa
+
+    text = "".join(chr(32 + i * i % 90) for i in range(3_000_000))
+    batches = [pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array(["short", text, None])], ["doc_id", "text"]), pa.RecordBatch.from_arrays([pa.array([4]), pa.array(["short"])], ["doc_id", "text"])]
+    digests = lambda: [r for b in gif._digests(gif._frames("media", 1 << 62)(gif._media(batches))) for r in b.to_pylist()]
+    whole = digests()
+    monkeypatch.setattr(gif, "FRAME_BYTES", 1 << 20)
+    sizes = [sum(len(x) for x in b.column("pixels").to_pylist() if x) for b in gif._frames("media", 1 << 62)(gif._media(batches))]
+    one = gif.FRAME_ROWS * gif.WIDTH * 4
+    assert len(sizes) > 3 and max(sizes) <= (1 << 20) + one and sum(sizes) > 4 * len(text)
+    assert digests() == whole and [r["doc_id"] for r in whole] == [1, 2, 3, 4]
+    assert [r["n_bytes"] for r in whole] == [5, len(text), 0, 5] and whole[0]["payload_sha256"] == whole[3]["payload_sha256"]

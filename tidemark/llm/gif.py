@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,6 +27,8 @@ from tidemark.llm.common import arrow_map, narrow, table
 WIDTH, FRAME_ROWS, DELAY_CS = 192, 256, 10
 #: Files whose frames are held at once: they are several times the texts' size.
 FILES = 64
+#: Bytes of frames that wait together; a larger file's frames go on in several batches.
+FRAME_BYTES = 8 << 20
 MOST_CODES = 4096
 #: Pixels of the largest canvas or image that is decoded (RGBA: 64 MB), and of all frames of a file (1 GB); beyond, the row has an error.
 MOST_PIXELS, MOST_TOTAL = 16 << 20, 256 << 20
@@ -194,17 +198,23 @@ def _palette(triples: bytes) -> np.ndarray:
 
 
 def decode(data: bytes | None, most_pixels: int = MOST_PIXELS, most_total: int = MOST_TOTAL) -> Gif:
-    """All frames of a GIF, composed by its disposal and transparency rules.
+    """All frames of a GIF, as ``drawn`` gives them one by one."""
+    gif = Gif()
+    gif.frames = list(drawn(data, gif, most_pixels, most_total))
+    return gif
+
+
+def drawn(data: bytes | None, gif: Gif, most_pixels: int = MOST_PIXELS, most_total: int = MOST_TOTAL) -> Iterator[Frame]:
+    """The frames of a GIF, composed by its disposal and transparency rules; ``gif`` takes the size and, by the last frame, the error.
 
     Null, empty or foreign bytes give no frames and an error; a file that breaks
     off gives the frames before the break, the last filled as far as it goes; a
     code size outside 2 to 8, a canvas or image of more than ``most_pixels``, or
     frames of more than ``most_total`` pixels end the file there with an error.
     """
-    gif = Gif()
     if not data or data[:6] not in (b"GIF87a", b"GIF89a"):
         gif.error = "not a GIF"
-        return gif
+        return
     try:
         gif.width, gif.height, flags = struct.unpack_from("<HHB", data, 6)
         at, shared = 13, None
@@ -214,7 +224,7 @@ def decode(data: bytes | None, most_pixels: int = MOST_PIXELS, most_total: int =
         if gif.height * gif.width > most_pixels:
             raise ValueError(f"canvas of {gif.width} x {gif.height}")
         canvas = np.zeros((gif.height, gif.width, 4), np.uint8)
-        clock = delay = disposal = 0
+        clock = delay = disposal = n_frames = 0
         transparent = -1
         while data[at] != 0x3B:
             if data[at] == 0x21:
@@ -236,8 +246,8 @@ def decode(data: bytes | None, most_pixels: int = MOST_PIXELS, most_total: int =
             size = data[at]
             if not 2 <= size <= 8:
                 raise ValueError(f"code size {size}")
-            if w * h > most_pixels or gif.height * gif.width * (len(gif.frames) + 1) > most_total:
-                raise ValueError(f"image {len(gif.frames)} of {w} x {h}")
+            if w * h > most_pixels or gif.height * gif.width * (n_frames + 1) > most_total:
+                raise ValueError(f"image {n_frames} of {w} x {h}")
             stream, at = _blocks(data, at + 1)
             index = np.zeros(w * h, np.uint8)
             got = lzw_decode(stream, size, w * h)
@@ -256,9 +266,10 @@ def decode(data: bytes | None, most_pixels: int = MOST_PIXELS, most_total: int =
                 canvas[rows, cols] = colours[index[inside]]
             else:
                 canvas[rows, cols][paint] = colours[index[inside][paint]]
-            gif.frames.append(Frame(clock, delay, (x, y, w, h), canvas.copy()))
             if len(got) < w * h:
                 gif.error = "short image"
+            yield Frame(clock, delay, (x, y, w, h), canvas.copy())
+            n_frames += 1
             clock += delay
             if disposal == 2:
                 canvas[rows, cols] = 0
@@ -268,7 +279,6 @@ def decode(data: bytes | None, most_pixels: int = MOST_PIXELS, most_total: int =
             transparent = -1
     except (IndexError, ValueError, struct.error) as e:
         gif.error = gif.error or f"broken: {e}"
-    return gif
 
 
 _GREYS = bytes(v for c in range(256) for v in (c, c, c))
@@ -293,21 +303,34 @@ FRAMES = "frame int, at_ms bigint, delay_ms bigint, width int, height int, rows
 def _frames(media: str, most_total: int = MOST_TOTAL):
     def run(batches):
         for batch in batches:
-            rows: list[tuple] = []
-            source: list[int] = []
-            for i, data in enumerate(batch.column(batch.schema.get_field_index(media)).to_pylist()):
-                gif = decode(data, most_total=most_total)
-                for k, f in enumerate(gif.frames):
-                    rows.append((k, f.at_ms, f.delay_ms, gif.width, gif.height, f.box[3], f.pixels.tobytes(), f.histogram(), gif.error))
-                    source.append(i)
-                if not gif.frames:
-                    rows.append((None, None, None, None, None, None, None, None, gif.error))
-                    source.append(i)
             kept = [n for n in batch.schema.names if n != media]
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.string()]
-            columns = list(zip(*rows)) or [()] * 9
-            take = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)).take(take) for n in kept], *[pa.array(c, t) for c, t in zip(columns, types)]], [*kept, "frame", "at_ms", "delay_ms", "width", "height", "rows", "pixels", "histogram", "error"])
+            rows: list[tuple] = []
+            source: list[int] = []
+
+            def out(batch=batch, kept=kept, types=types, rows=rows, source=source):
+                columns = list(zip(*rows)) or [()] * 9
+                take = pa.array(source, pa.int64())
+                made = pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(n)).take(take) for n in kept], *[pa.array(c, t) for c, t in zip(columns, types)]], [*kept, "frame", "at_ms", "delay_ms", "width", "height", "rows", "pixels", "histogram", "error"])
+                rows.clear()
+                source.clear()
+                return made
+
+            held = 0
+            for i, data in enumerate(batch.column(batch.schema.get_field_index(media))):
+                gif, waiting = Gif(), None
+                for k, f in enumerate(drawn(data.as_py(), gif, most_total=most_total)):
+                    if waiting:
+                        rows.append((*waiting, None))
+                        source.append(i)
+                    waiting = k, f.at_ms, f.delay_ms, gif.width, gif.height, f.box[3], f.pixels.tobytes(), f.histogram()
+                    held += len(waiting[6])
+                    if held >= FRAME_BYTES and rows:
+                        yield out()
+                        held = len(waiting[6])
+                rows.append((*(waiting or [None] * 8), gif.error))  # the last frame tells
+                source.append(i)
+            yield out()
 
     return run
 
@@ -316,7 +339,7 @@ def frames(df: DataFrame, key: str, media: str) -> DataFrame:
     """One row per frame of each GIF: key, times, RGBA pixels and colour histogram (eight bins each of red, green, blue).
 
     What isn't a GIF, null and empty bytes have one row with a null frame and its
-    error; equal files and repeated rows give equal frames; what is too large is
+    error; the error of a file with frames stands in its last one; equal files and repeated rows give equal frames; what is too large is
     cut off with an error (``decode``); further columns are ignored; an empty
     table gives no rows.
     """
@@ -332,34 +355,61 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 def _media(batches):
     """(row, doc_id, n_bytes, media, media_sha256, media_bytes) of (doc_id, text): each text as a grey GIF."""
+    number = itertools.count()
     names, types = ["row", "doc_id", "n_bytes", "media", "media_sha256", "media_bytes"], [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.int64()]
     for batch in batches:
         rows = []
-        for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             payload, n = padded(text.as_py())
             media = encode(payload)
-            rows.append((i, doc_id, n, media, hashlib.sha256(media).hexdigest(), len(media)))
+            rows.append((next(number), doc_id, n, media, hashlib.sha256(media).hexdigest(), len(media)))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 6, types)], names)
 
 
+class _File:
+    """What is told of a stored file, frame by frame."""
+
+    def __init__(self):
+        self.n = self.size = self.delay = 0
+        self.sha, self.tail, self.total = hashlib.sha256(), b"", np.zeros(8, np.int64)
+
+    def add(self, pixels: bytes, width: int, rows: int, delay: int, histogram: list[int]) -> None:
+        # an image fills whole rows of its canvas; below a shorter last one the image before still shows
+        part = pixels[: 4 * width * rows : 4]
+        self.sha.update(part)
+        self.tail = (self.tail + part[-16:])[-16:]
+        self.n, self.size, self.delay = self.n + 1, self.size + len(part), self.delay + delay
+        self.total += histogram[:8]
+
+
 def _digests(batches):
-    """One row per stored file, from its frames as ``frames`` stores them; all frames of a file are in one batch."""
+    """One row per stored file, from its frames as ``frames`` stores them, in order; a file's frames may be in several batches."""
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+    here, of, seen = None, None, _File()
+
+    def told():
+        doc_id, n_bytes, media_bytes, media_sha256, width, height = of
+        feature = f"{width}x{height}x{seen.n}@{seen.delay}:" + ".".join(map(str, seen.total.tolist()))
+        return doc_id, n_bytes, seen.size, seen.sha.hexdigest(), zlib.crc32(seen.tail), media_bytes, media_sha256, feature, seen.n
+
+    def made(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 9, types)], names)
+
     for batch in batches:
-        f = {n: batch.column(batch.schema.get_field_index(n)).to_pylist() for n in batch.schema.names}
-        rows, end = [], 0
-        while end < batch.num_rows:
-            first, end = end, end + 1
-            while end < batch.num_rows and f["row"][end] == f["row"][first]:
-                end += 1
-            at, width = range(first, end), f["width"][first]
-            # an image fills whole rows of its canvas; below a shorter last one the image before still shows
-            back = b"".join(f["pixels"][i][: 4 * width * f["rows"][i] : 4] for i in at)
-            total = np.sum([f["histogram"][i][:8] for i in at], axis=0)
-            feature = f"{width}x{f['height'][first]}x{len(at)}@{sum(f['delay_ms'][i] for i in at)}:" + ".".join(map(str, total))
-            rows.append((f["doc_id"][first], f["n_bytes"][first], len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), f["media_bytes"][first], f["media_sha256"][first], feature, len(at)))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 9, types)], names)
+        f = {n: batch.column(batch.schema.get_field_index(n)) for n in batch.schema.names}
+        plain = {n: c.to_pylist() for n, c in f.items() if n not in ("pixels",)}
+        rows = []
+        for i in range(batch.num_rows):
+            if plain["row"][i] != here:
+                if of:
+                    rows.append(told())
+                here, seen = plain["row"][i], _File()
+                of = tuple(plain[n][i] for n in ("doc_id", "n_bytes", "media_bytes", "media_sha256", "width", "height"))
+            seen.add(f["pixels"][i].as_py(), plain["width"][i], plain["rows"][i], plain["delay_ms"][i], plain["histogram"][i])
+        yield made(rows)
+    if of:
+        yield made([told()])
 
 
 def _stored(batches):
