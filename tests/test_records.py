@@ -108,3 +108,32 @@ def test_pools_are_suppressed_then_capped(spark):
     df = spark.createDataFrame(rows, "scene int, label string, onset double, off double, conf double, event_id int")
     got = {(r.event_id, r.rank) for r in pooled([df.where("event_id % 2 = 0"), df.where("event_id % 2 = 1")], ["scene"], 0.5, 2, 2).collect()}
     assert got == {(1, 1), (3, 2), (6, 1)}
+
+
+def test_strict_scans_need_newlines_and_files_that_stay(spark, tmp_path):
+    at = tmp_path / "rows"
+    at.mkdir()
+    (at / "a.json").write_text('{"k": 1}\n{"k": 2}\n')
+    total = lambda df: df.agg(F.sum("k")).first()[0]
+    assert readers.scanned_strictly(spark, str(at), "k int", total) == 3
+
+    def meanwhile(df):
+        (at / "a.json").write_text('{"k": 1}\n{"k": 22}\n')
+        return total(df)
+
+    with pytest.raises(ValueError, match="changed"):
+        readers.scanned_strictly(spark, str(at), "k int", meanwhile)
+    for bad in ('{"k": 1}', ""):
+        (at / "b.json").write_text(bad)
+        with pytest.raises(ValueError, match="newline"):
+            readers.scanned_strictly(spark, str(at), "k int", total)
+    (at / "b.json").write_text('{"k": 1}\n\n')
+    with pytest.raises(Exception, match="blank line"):
+        readers.scanned_strictly(spark, str(at), "k int", total)
+
+
+def test_prohibited_names_at_any_depth():
+    from tidemark.functions.text import prohibited_in
+
+    assert prohibited_in('{"a": [{"Oracle-x": 1}, [{"sdr": {}}]], "b": "oracle", "c": {"best_ORACLE": {"sdr": 1}}}') == ["a[].Oracle-x", "a[][].sdr", "c.best_ORACLE", "c.best_ORACLE.sdr"]
+    assert prohibited_in("{") is None and prohibited_in(None) is None and prohibited_in("[1, null]") == []

@@ -148,12 +148,15 @@ def rejection_details(spark, sf):
     return failed_conditions(load(spark, sf, "part"), "p_partkey", CONDITIONS)
 
 
-@query("P20", "SELECT unnest(['claims.best_oracle', 'scores[].SI-SDR']) AS path")
+@query("P20", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'claims.best_oracle' WHEN 1 THEN 'scores[].SI-SDR,scores[].old.sdr' ELSE '' END AS paths FROM events")
 def prohibited_fields(spark, sf):
-    from tidemark.operators.audits import prohibited_fields as found
+    """Payloads of the events, half of them with fields that may not be there."""
+    from tidemark.functions.text import prohibited_paths
 
-    nested = load(spark, sf, "events").select("event_id", F.struct("event_type", F.col("value").alias("best_oracle")).alias("claims"), F.array(F.struct(F.col("value").alias("SI-SDR"), F.col("ts").alias("at"))).alias("scores"))
-    return spark.createDataFrame([(p,) for p in found(nested.schema)], "path string")
+    n, v = F.col("event_id") % 4, F.col("value").cast("string")
+    payload = F.when(n == 0, F.concat(F.lit('{"claims": {"best_oracle": '), v, F.lit(', "fine": 1}}')))
+    payload = payload.when(n == 1, F.concat(F.lit('{"scores": [{"at": 1}, {"SI-SDR": '), v, F.lit(', "old": {"sdr": null}}]}'))).when(n == 2, F.concat(F.lit('{"note": "oracle", "k": '), v, F.lit("}"))).otherwise(F.col("props"))
+    return load(spark, sf, "events").select("event_id", F.array_join(prohibited_paths(payload), ",").alias("paths"))
 
 
 INTENTS = ", ".join(f"'{i}'" for i in X.INTENTS)
@@ -205,6 +208,20 @@ def json_recovery(spark, sf):
     return load(spark, sf, "events").select("event_id", F.get_json_object(found, "$.k").cast("bigint").alias("k"))
 
 
-@query("S2", "SELECT event_id, false AS duplicated FROM events")
+@query("S2", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN NULL ELSE false END AS duplicated FROM events")
 def duplicate_json_keys(spark, sf):
-    return load(spark, sf, "events").select("event_id", X.has_duplicate_keys_udf("props").alias("duplicated"))
+    """Properties as they are, with a key twice, with one twice below, and broken off."""
+    n = F.col("event_id") % 5
+    text = F.when(n == 0, F.concat(F.lit('{"k": 0, '), F.substring("props", 2, 1000))).when(n == 1, F.concat(F.lit('{"in": [{"a": 1, "a": '), "props", F.lit("}]}"))).when(n == 2, F.concat("props", F.lit("{"))).otherwise(F.col("props"))
+    return load(spark, sf, "events").select("event_id", X.has_duplicate_keys_udf(text).alias("duplicated"))
+
+
+@query("F10", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_type END AS relation, CASE WHEN event_id % 3 <> 0 AND event_id % 2 = 0 THEN 'a ' || user_id END AS anchor, CASE WHEN event_id % 3 <> 0 THEN event_id % 9 END AS ordinal, CASE WHEN event_id % 3 = 0 THEN 'missing_relation' ELSE 'partial' END AS outcome FROM events")
+def partial_fields(spark, sf):
+    """Fields of objects that break off before their end."""
+    n = F.col("event_id")
+    head = F.when(n % 3 == 0, F.lit('{"other": 1')).otherwise(F.concat(F.lit('{"relation" : "'), "event_type", F.lit('"')))
+    anchor = F.when(n % 2 == 0, F.concat(F.lit(', "anchor_label": "a '), F.col("user_id").cast("string"), F.lit('"'))).otherwise(F.lit(', "anchor_label": null'))
+    text = F.concat(F.lit("so: "), head, anchor, F.lit(', "anchor_ordinal": '), (n % 9).cast("string"), F.lit(', "candidate_labels": ["x", '))
+    f = X.recovered_fields(text)
+    return load(spark, sf, "events").select("event_id", f["relation"].alias("relation"), f["anchor_label"].alias("anchor"), f["anchor_ordinal"].cast("bigint").alias("ordinal"), f["outcome"].alias("outcome"))

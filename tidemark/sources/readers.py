@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Callable
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+T = TypeVar("T")
+
+
 class EmptySource(ValueError):
     """A scan that must not be empty found nothing."""
 
@@ -36,6 +41,50 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: StructType | str)
     return checked.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
+def file_states(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Name, size and time of change of the files of a path, empty ones too; contents aren't read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files, out = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        if f.getPath().getName()[0] not in "._":
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(out)
+
+
+def unfinished(spark: SparkSession, path: str) -> list[str]:
+    """Files that are empty or whose last byte isn't a newline; each task reads one byte of its files."""
+
+    def last(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            bad = []
+            for name, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                at, inside = fs.FileSystem.from_uri(name)
+                if size:
+                    with at.open_input_file(inside) as f:
+                        f.seek(size - 1)
+                        if f.read(1) == b"\n":
+                            continue
+                bad.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(bad, pa.string())], ["path"])
+
+    files = spark.createDataFrame([s[:2] for s in file_states(spark, path)], "path string, length bigint")
+    return sorted(r.path for r in files.mapInArrow(last, "path string").collect())
+
+
+def scanned_strictly(spark: SparkSession, path: str, schema: StructType | str, use: Callable[[DataFrame], T]) -> T:
+    """``use`` of the rows of ``read_jsonl_strict``, after checking that each file ends with a newline, and before that none has changed meanwhile."""
+    before = file_states(spark, path)
+    if bad := unfinished(spark, path):
+        raise ValueError(f"no newline at the end of {bad[0]}")
+    out = use(read_jsonl_strict(spark, path, schema))
+    if file_states(spark, path) != before:
+        raise ValueError(f"{path} changed while it was read")
+    return out
+
+
 def read_csv_exact(spark: SparkSession, path: str, schema: StructType, separator: str = ",") -> DataFrame:
     """A header that must equal the schema's field names, in order."""
     header = spark.read.option("header", True).option("sep", separator).csv(path).columns
