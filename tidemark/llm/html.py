@@ -54,6 +54,8 @@ REPEATED = 0.5
 ALIKE = 0.8
 #: Counts that a task holds before it hands them on.
 MOST_COUNTS = 100_000
+#: Words whose hashes a worker remembers.
+MOST_WORDS = 200_000
 #: Pairs of sibling subtrees from which their sizes are found together, the most children of those, and the cells of one such step.
 TOGETHER, MOST_CHILDREN, CELLS = 64, 24, 4 << 20
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -499,10 +501,25 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MOST_WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
+_WORD_HASHES = _WordHashes()
+
+
 def identity(texts: list[str]) -> int:
     """The least hash of a page's runs of three words: mostly the same for pages with mostly the same text."""
     words = [w for t in texts for w in t.split()]
-    return min((_hash(" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))), default=0)
+    h = np.fromiter(map(_WORD_HASHES.__getitem__, words), np.uint64, len(words))
+    if len(h) > 2:
+        odd = np.uint64(0x9E3779B97F4A7C15)
+        h = ((h[:-2] * odd ^ h[1:-1]) * odd ^ h[2:]) * odd
+    return int(h.min(initial=np.uint64((1 << 64) - 1))) >> 1
 
 
 def _texts(nodes: list[Node], pairs: tuple[int, ...], texts: list[str], known: list[str]) -> Iterator[tuple[int, int, int, bool]]:
