@@ -16,6 +16,7 @@ versions classify differently go through the vocabulary's own splitter.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 import os
@@ -36,7 +37,7 @@ VOCABULARY = "word_bpe_49k"
 #: Characters of a text that are cut into words at once; cuts stand before white space, which no word holds.
 SLICE = 1 << 20
 #: Words whose ids a worker remembers, and symbols of one index (a longer word has an index of its own).
-MOST_WORDS, INDEX_SYMBOLS = 400_000, 1 << 20
+MOST_WORDS, INDEX_SYMBOLS = 200_000, 1 << 20
 
 # The vocabulary's word pattern (for ASCII, and for all text) and its characters for bytes.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]++|[0-9]|[^\t-\r a-z0-9]++")
@@ -132,10 +133,6 @@ class Encoder:
         self.cut_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.cut = regex.compile(_ANY)
         self.plain: set[str] = set()
-        names = tokenizer.get_vocab(with_added_tokens=True)
-        self.names = [""] * (max(names.values()) + 1)
-        for token, i in names.items():
-            self.names[i] = token
         self.clear()
 
     def clear(self) -> None:
@@ -226,9 +223,24 @@ class Encoder:
         settle()
         return [b"".join(x) for x in out]
 
-    def decode(self, ids: bytes) -> str:
-        names = self.names
-        return " ".join(filter(None, [names[i] if i < len(names) else "" for i in np.frombuffer(ids, "<u4").tolist()]))
+
+def decode(ids: bytes, names: list[str]) -> str:
+    """The names of the ids with a space between; ids without a name say nothing."""
+    return " ".join(filter(None, [names[i] if i < len(names) else "" for i in np.frombuffer(ids, "<u4").tolist()]))
+
+
+@functools.lru_cache(2)
+def token_names(vocabulary: str = VOCABULARY) -> list[str]:
+    """The vocabulary's tokens by id, special ones too; all that decoding needs of the file."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(f"{vocabulary}.json"), encoding="utf-8") as f:
+        found = json.load(f)
+    named = found["model"]["vocab"] | {t["content"]: t["id"] for t in found["added_tokens"]}
+    names = [""] * (max(named.values()) + 1)
+    for token, i in named.items():
+        names[i] = token
+    return names
 
 
 def encoder(name: str = VOCABULARY) -> Encoder:
@@ -264,9 +276,9 @@ def decoded(ids: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
 
     def run(batches):
-        decode = encoder(vocabulary).decode
+        names = token_names(vocabulary)
         for batch in batches:
-            texts = [decode(x.as_py() or b"") for x in batch.column(1)]
+            texts = [decode(x.as_py() or b"", names) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     kind = ids.schema["doc_id"].dataType.simpleString()
