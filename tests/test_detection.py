@@ -401,3 +401,20 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
         session.shared_dir(cluster)
     monkeypatch.setattr(session, "machine_local", lambda *a: False)
     assert session.shared_dir(cluster) == "file:/tmp/w"
+
+
+def test_plans_are_locked_and_quotas_exact(spark):
+    rows = [(1, "train", "a", "x", 1), (1, "train", "b", "x", 2), (2, "eval", "a", "y", 3)]
+    df = lambda x: spark.createDataFrame(x, "video int, split string, label string, location string, request int")
+    quota = {("train", "a"): 1, ("train", "b"): 1, ("eval", "a"): 1}
+    got = {r.video: [tuple(x) for x in r.requests] for r in P.locked_plan(df(rows), quota).collect()}
+    assert got == {1: [("a", 1), ("b", 2)], 2: [("a", 3)]}
+    for message, bad, q in [("not one split", [*rows, (1, "eval", "a", "x", 4)], quota), ("not one location", [*rows, (2, "eval", "a", "z", 4)], quota), ("2 requests instead of 1", [*rows, (3, "eval", "a", "y", 4)], quota), ("0 requests instead of 2", rows, quota | {("eval", "c"): 2}), ("instead of 0", rows, {k: v for k, v in quota.items() if k[0] == "train"})]:
+        with pytest.raises(ValueError, match=message):
+            P.locked_plan(df(bad), q)
+
+
+def test_reserves_are_used_in_order(spark):
+    rows = [("a", 1, True, True), ("a", 2, True, False), ("a", 3, False, False), ("b", 1, True, True), ("b", 2, False, False), ("b", 3, True, True), ("c", 1, True, True), ("d", 1, False, False)]
+    got = {r.k: (r.accepted, r.in_order, r.request) for r in P.topup(spark.createDataFrame(rows, "k string, n int, done boolean, ok boolean"), ["k"], [F.col("n")], "done", "ok", 3, 1.5).collect()}
+    assert got == {"a": (1, True, 1), "b": (2, False, 0), "c": (1, True, 0), "d": (0, True, 1)}

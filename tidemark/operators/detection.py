@@ -111,3 +111,17 @@ def assigned_slots(slots: DataFrame, gold: DataFrame, keys: list[str]) -> DataFr
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", slot bigint, gold bigint, cost double"
     return slots.select(*keys, "slot", "onset", "off", "conf").groupBy(*keys).cogroup(right.groupBy(*[f"g_{k}" for k in keys])).applyInPandas(run, schema)
+
+
+def evidence_metrics(predicted: DataFrame, gold: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """M3: over all ``records`` (key, no_evidence, p), the mean interval IoU, that of records with evidence, the accuracy and Brier score of p for no evidence, and the share of gold time that predictions keep.
+
+    A record without intervals on both sides has IoU 1, with one side only 0; no
+    evidence is predicted from p = 0.5 on; without gold time the kept share is null.
+    """
+    from tidemark.operators.intervals import common_time, union_length
+
+    times = common_time(predicted, gold, [key]).join(union_length(gold, [key]).withColumnRenamed("union_length", "gold_time"), key, "left")
+    both = records.join(times, key, "left").withColumn("iou", F.when(F.coalesce("union", F.lit(0.0)) > 0, F.col("intersection") / F.col("union")).otherwise(1.0))
+    y = F.col("no_evidence").cast("int")
+    return both.agg(F.avg("iou").alias("tiou"), F.avg(F.when(~F.col("no_evidence"), F.col("iou"))).alias("tiou_with_evidence"), F.avg(((F.col("p") >= 0.5) == F.col("no_evidence")).cast("int")).alias("no_evidence_accuracy"), F.avg((F.col("p") - y) * (F.col("p") - y)).alias("brier"), F.try_divide(F.sum("intersection"), F.sum("gold_time")).alias("kept"))

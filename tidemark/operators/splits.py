@@ -265,3 +265,37 @@ def locked_build(train: DataFrame, test: DataFrame, preserved: DataFrame, group:
     if missing := sorted(set(ontology) - seen):
         raise ValueError(f"labels without a train row: {missing}")
     return out
+
+
+def topup(reserve: DataFrame, keys: list[str], order: list[Column], evaluated: str, accepted: str, target: int, overdraw: float) -> DataFrame:
+    """SP9: per key the accepted rows (at most ``target``), how many reserve rows to ask for next, and whether the reserve was used in its order.
+
+    The reserve is frozen: an evaluated row after one that isn't breaks the order
+    (``in_order`` is false), and then nothing is asked for. Otherwise the request
+    is what is missing times ``overdraw``, rounded up, at most what is left.
+    """
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    rows = reserve.withColumn("_place", place)
+    done, open_ = F.max(F.when(F.col(evaluated), F.col("_place"))), F.min(F.when(~F.col(evaluated), F.col("_place")))
+    good = F.least(F.lit(target).cast("bigint"), F.count_if(F.col(evaluated) & F.col(accepted)))
+    out = rows.groupBy(*keys).agg(good.alias("accepted"), F.count_if(~F.col(evaluated)).alias("left"), F.coalesce(done < open_, F.lit(True)).alias("in_order"))
+    wanted = F.least("left", F.ceil((target - F.col("accepted")) * overdraw).cast("bigint"))
+    return out.select(*keys, "accepted", "in_order", F.when(F.col("in_order"), wanted).otherwise(0).alias("request"))
+
+
+def locked_plan(requests: DataFrame, quota: dict[tuple[str, str], int]) -> DataFrame:
+    """SP14: a row per video of requests (video, split, label, location, request): its split, location and sorted requests.
+
+    The plan fails if a video has two splits or two locations, or if a (split,
+    label) doesn't have its quota of requests exactly, whether more, fewer or
+    unasked for.
+    """
+    videos = requests.groupBy("video").agg(F.count_distinct("split").alias("_splits"), F.count_distinct("location").alias("_locations"), F.first("split").alias("split"), F.first("location").alias("location"), F.array_sort(F.collect_list(F.struct("label", "request"))).alias("requests"))
+    for column, what in (("_splits", "split"), ("_locations", "location")):
+        if bad := videos.where(F.col(column) != 1).select("video").limit(1).collect():
+            raise ValueError(f"video {bad[0].video} has not one {what}")
+    found = {(r.split, r.label): r.n for r in requests.groupBy("split", "label").agg(F.count("*").alias("n")).collect()}  # a row per split and label
+    for key in sorted({*found, *quota}):
+        if found.get(key, 0) != quota.get(key, 0):
+            raise ValueError(f"{key} has {found.get(key, 0)} requests instead of {quota.get(key, 0)}")
+    return videos.drop("_splits", "_locations")

@@ -201,3 +201,37 @@ def locked_build(spark, sf):
     kept = o.where(side == 4).withColumn("split", F.element_at(F.array(F.lit("train"), F.lit("dev"), F.lit("test")), (F.col("grp") % 3 + 1).cast("int")))
     ontology = sorted({r[0] for r in o.select(F.explode("labels")).distinct().collect()} - {"5-LOW", "P"})
     return built(o.where(side < 3), o.where(side == 3), kept, "grp", "labels", ["o_orderkey", "grp"], ontology, 0.2, "build").withColumn("labels", F.array_join("labels", ","))
+
+
+@query("SP9", "WITH r AS (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) n FROM part), e AS (SELECT *, n <= 6 OR (p_brand LIKE '%3' AND n = 9) done, p_partkey % 3 <> 0 ok FROM r), g AS (SELECT p_brand, least(5, count(*) FILTER (done AND ok)) accepted, count(*) FILTER (NOT done) rest, coalesce(max(n) FILTER (done) < min(n) FILTER (NOT done), true) in_order FROM e GROUP BY 1) SELECT p_brand, accepted, in_order, CASE WHEN in_order THEN least(rest, ceil((5 - accepted) * 1.5)::BIGINT) ELSE 0 END AS request FROM g")
+def frozen_topup(spark, sf):
+    from tidemark.operators.splits import topup
+
+    order = [F.desc("p_size"), F.col("p_partkey")]
+    n = F.row_number().over(Window.partitionBy("p_brand").orderBy(*order))
+    p = load(spark, sf, "part").withColumn("n", n).withColumns({"done": (F.col("n") <= 6) | F.col("p_brand").endswith("3") & (F.col("n") == 9), "ok": F.col("p_partkey") % 3 != 0})
+    return topup(p, ["p_brand"], order, "done", "ok", 5, 1.5)
+
+
+@query("SP14", "WITH r AS (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders), s AS (SELECT o_custkey AS video, CASE WHEN o_custkey % 4 = 0 THEN 'eval' ELSE 'train' END AS split, o_orderpriority l, o_orderkey k FROM r) SELECT video, any_value(split) AS split, string_agg(l || '@' || k, ',' ORDER BY l, k) AS requests FROM s GROUP BY 1")
+def locked_joint_plan(spark, sf):
+    from tidemark.operators.splits import locked_plan
+
+    split = F.when(F.col("o_custkey") % 4 == 0, "eval").otherwise("train")
+    r = load(spark, sf, "orders").select(F.col("o_custkey").alias("video"), split.alias("split"), F.col("o_orderpriority").alias("label"), (F.col("o_custkey") % 16).alias("location"), F.col("o_orderkey").alias("request"))
+    quota = {(x.split, x.label): x.n for x in r.groupBy("split", "label").agg(F.count("*").alias("n")).collect()}  # a row per split and label
+    plan = locked_plan(r, quota)
+    return plan.select("video", "split", F.array_join(F.transform("requests", lambda x: F.concat_ws("@", x["label"], x["request"])), ",").alias("requests"))
+
+
+@query("M3", """WITH d AS (SELECT event_id % 40 AS k, event_id, user_id, (epoch_us(ts) / 1e6) a, (epoch_us(ts) / 1e6) + value * 60 b FROM events WHERE event_id % 40 < 34), x AS (SELECT k, a AS t, 1 AS da, 0 AS dg FROM d WHERE event_id % 3 = 0 UNION ALL SELECT k, b, -1, 0 FROM d WHERE event_id % 3 = 0 UNION ALL SELECT k, a, 0, 1 FROM d WHERE event_id % 3 = 1 AND k < 30 UNION ALL SELECT k, b, 0, -1 FROM d WHERE event_id % 3 = 1 AND k < 30),
+w AS (SELECT k, t, sum(da) OVER o p, sum(dg) OVER o g, lead(t) OVER (PARTITION BY k ORDER BY t) n FROM (SELECT k, t, sum(da) da, sum(dg) dg FROM x GROUP BY 1, 2) WINDOW o AS (PARTITION BY k ORDER BY t)), m AS (SELECT k, sum(n - t) FILTER (p > 0 AND g > 0) i, sum(n - t) FILTER (p > 0 OR g > 0) u, sum(n - t) FILTER (g > 0) g FROM w GROUP BY 1),
+r AS (SELECT DISTINCT event_id % 40 AS k, event_id % 40 >= 30 AS none, (event_id % 40) / 40.0 AS q FROM events), j AS (SELECT r.*, coalesce(i, 0) i, g, CASE WHEN coalesce(u, 0) > 0 THEN coalesce(i, 0) / u ELSE 1 END iou FROM r LEFT JOIN m ON m.k = r.k)
+SELECT round(avg(iou), 6) AS tiou, round(avg(iou) FILTER (NOT none), 6) AS tiou_with_evidence, round(avg(((q >= 0.5) = none)::INT), 6) AS no_evidence_accuracy, round(avg((q - none::INT) ** 2), 6) AS brier, round(sum(i) / sum(g), 6) AS kept FROM j""")
+def evidence_metrics(spark, sf):
+    t = timeline(spark, sf).withColumn("k", F.col("event_id") % 40)
+    n = F.col("event_id") % 3
+    few = t.where("k < 34").select("k", "onset", "off", n.alias("side"))
+    records = t.select("k").distinct().select("k", (F.col("k") >= 30).alias("no_evidence"), (F.col("k") / 40).alias("p"))
+    m = detection.evidence_metrics(few.where("side = 0"), few.where("side = 1 AND k < 30"), records, "k")
+    return m.select(*[F.round(c, 6).alias(c) for c in m.columns])
