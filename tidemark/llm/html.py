@@ -513,13 +513,20 @@ _WORD_HASHES = _WordHashes()
 
 
 def identity(texts: list[str]) -> int:
-    """The least hash of a page's runs of three words: mostly the same for pages with mostly the same text."""
+    """The least hashes, by two orders, of a page's runs of three words: mostly the same for pages with mostly the same text.
+
+    Two, so that a template that all pages share seldom makes them one by giving the least hash.
+    """
     words = [w for t in texts for w in t.split()]
     h = np.fromiter(map(_WORD_HASHES.__getitem__, words), np.uint64, len(words))
+    odd = np.uint64(0x9E3779B97F4A7C15)
     if len(h) > 2:
-        odd = np.uint64(0x9E3779B97F4A7C15)
         h = ((h[:-2] * odd ^ h[1:-1]) * odd ^ h[2:]) * odd
-    return int(h.min(initial=np.uint64((1 << 64) - 1))) >> 1
+    least = []
+    for _ in range(2):
+        least.append(int(h.min(initial=np.uint64((1 << 64) - 1))))
+        h = (h ^ h >> np.uint64(29)) * odd
+    return _hash(" ".join(map(str, least)))
 
 
 def _texts(nodes: list[Node], pairs: tuple[int, ...], texts: list[str], known: list[str]) -> Iterator[tuple[int, int, int, bool]]:
