@@ -418,3 +418,23 @@ def test_reserves_are_used_in_order(spark):
     rows = [("a", 1, True, True), ("a", 2, True, False), ("a", 3, False, False), ("b", 1, True, True), ("b", 2, False, False), ("b", 3, True, True), ("c", 1, True, True), ("d", 1, False, False)]
     got = {r.k: (r.accepted, r.in_order, r.request) for r in P.topup(spark.createDataFrame(rows, "k string, n int, done boolean, ok boolean"), ["k"], [F.col("n")], "done", "ok", 3, 1.5).collect()}
     assert got == {"a": (1, True, 1), "b": (2, False, 0), "c": (1, True, 0), "d": (0, True, 1)}
+
+
+def test_evidence_metrics_keep_ties_in_any_order(spark):
+    intervals = lambda x: spark.createDataFrame(x, "k bigint, onset double, off double")
+    records = lambda x: spark.createDataFrame([(i, *r) for i, r in enumerate(x)], "k bigint, no_evidence boolean, p double")
+    none = intervals([])
+    ties = {(0.0, 0.365): 0.066613, (0.002, 0.027): 0.000367, (0.006, 0.297): 0.044123}  # (p1 ** 2 + p2 ** 2) / 2 ends in 5 at the seventh place
+    for p, want in ties.items():
+        assert D.evidence_metrics(none, none, records([(False, x) for x in p]), "k").select(F.round("brier", 6)).first()[0] == want
+    rng, seen = np.random.default_rng(2), set()
+    shares = [(k, k / 37, 1 + k / 11) for k in range(40)]  # gold [0, 1 + k / 11], predicted from k / 37 on
+    for order in (rng.permutation(40) for _ in range(6)):
+        place = {int(k): i for i, k in enumerate(order)}
+        gold, late = intervals([(place[k], 0.0, b) for k, _, b in shares]), intervals([(place[k], a, b) for k, a, b in shares])
+        seen.add(tuple(D.evidence_metrics(late, gold, records([(int(k) >= 30, int(k) / 40) for k in order]), "k").first()))
+    assert len(seen) == 1
+    got = seen.pop()
+    assert got[3] == 0.1396875 and got[0] == pytest.approx(np.mean([(b - a) / b for _, a, b in shares]), abs=1e-12)
+    odd = lambda *p: D.evidence_metrics(none, none, records([(False, x) for x in p]), "k").first().brier
+    assert np.isnan(odd(0.5, float("nan"))) and odd(0.5, None) == 0.25 and odd(None) is None and odd(1e9, 0.0) == 5e17

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.matching import assignment
@@ -113,15 +113,26 @@ def assigned_slots(slots: DataFrame, gold: DataFrame, keys: list[str]) -> DataFr
     return slots.select(*keys, "slot", "onset", "off", "conf").groupBy(*keys).cogroup(right.groupBy(*[f"g_{k}" for k in keys])).applyInPandas(run, schema)
 
 
+def steady(x: Column, how=F.sum) -> Column:
+    """The sum (or F.avg) of doubles, the same in whatever order their rows come: they are added as decimals of 15 places, which also drops what doubles under 1 lost, so a mean half-way between two roundings stays there.
+
+    With any of 1e12 or more, infinite or NaN it is the plain one.
+    """
+    fits = F.abs(x) < 1e12
+    return F.when(F.bool_and(fits), how(F.when(fits, x).cast("decimal(38,15)")).cast("double")).otherwise(how(x))
+
+
 def evidence_metrics(predicted: DataFrame, gold: DataFrame, records: DataFrame, key: str) -> DataFrame:
     """M3: over all ``records`` (key, no_evidence, p), the mean interval IoU, that of records with evidence, the accuracy and Brier score of p for no evidence, and the share of gold time that predictions keep.
 
     A record without intervals on both sides has IoU 1, with one side only 0; no
     evidence is predicted from p = 0.5 on; without gold time the kept share is null.
+    The order of records changes no result (see `steady`).
     """
     from tidemark.operators.intervals import common_time, union_length
 
     times = common_time(predicted, gold, [key]).join(union_length(gold, [key]).withColumnRenamed("union_length", "gold_time"), key, "left")
     both = records.join(times, key, "left").withColumn("iou", F.when(F.coalesce("union", F.lit(0.0)) > 0, F.col("intersection") / F.col("union")).otherwise(1.0))
     y = F.col("no_evidence").cast("int")
-    return both.agg(F.avg("iou").alias("tiou"), F.avg(F.when(~F.col("no_evidence"), F.col("iou"))).alias("tiou_with_evidence"), F.avg(((F.col("p") >= 0.5) == F.col("no_evidence")).cast("int")).alias("no_evidence_accuracy"), F.avg((F.col("p") - y) * (F.col("p") - y)).alias("brier"), F.try_divide(F.sum("intersection"), F.sum("gold_time")).alias("kept"))
+    error = (F.col("p") - y) * (F.col("p") - y)
+    return both.agg(steady(F.col("iou"), F.avg).alias("tiou"), steady(F.when(~F.col("no_evidence"), F.col("iou")), F.avg).alias("tiou_with_evidence"), F.avg(((F.col("p") >= 0.5) == F.col("no_evidence")).cast("int")).alias("no_evidence_accuracy"), steady(error, F.avg).alias("brier"), F.try_divide(steady(F.col("intersection")), steady(F.col("gold_time"))).alias("kept"))
