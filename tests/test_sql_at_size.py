@@ -42,6 +42,11 @@ def test_reviewed_merge_keeps_empty_events_and_rounds_as_sql(spark, tmp_path):
     assert got == want and len(got) == 3 + len(TIES)
 
 
+def test_located_times_are_printed_as_c_does(spark, tmp_path):
+    got, want = both(spark, tmp_path, "timeline_locate", [*ROWS, *TIES])
+    assert got == want
+
+
 def test_an_empty_event_makes_its_scene_weight_nan_as_in_sql(spark, tmp_path):
     got, want = both(spark, tmp_path, "overlap_weights", [*ROWS, *TIES])
     assert got == want and ("1", "nan") in got
