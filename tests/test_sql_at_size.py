@@ -50,3 +50,29 @@ def test_located_times_are_printed_as_c_does(spark, tmp_path):
 def test_an_empty_event_makes_its_scene_weight_nan_as_in_sql(spark, tmp_path):
     got, want = both(spark, tmp_path, "overlap_weights", [*ROWS, *TIES])
     assert got == want and ("1", "nan") in got
+
+
+def test_running_turns_of_rows_that_come_late(spark, tmp_path):
+    import random
+
+    from tidemark.streaming import streams
+
+    draw = random.Random(4)
+    start = pd.Timestamp("2024-01-01")
+    rows = [(i, draw.randrange(6), draw.choice(["click"] * 6 + ["view"]), start + pd.Timedelta(seconds=t), 1.0) for i, t in enumerate(draw.sample(range(10**6), 300))]
+    rows += [(1000 + i, 9, "view", start + pd.Timedelta(seconds=i), 1.0) for i in range(40)]  # one type only
+    draw.shuffle(rows)
+    for i in range(12):  # files in no order of time, eight a batch
+        events = pd.DataFrame(rows[i::12], columns=["event_id", "user_id", "event_type", "ts", "value"]).astype({"ts": "datetime64[us]"})
+        spark.createDataFrame(events).selectExpr("event_id", "user_id", "event_type", "cast(ts as timestamp_ntz) ts", "value").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = sorted(con.execute(REGISTRY["stream_running_turns"].sql).fetchall())
+    assert sorted(tuple(r) for r in REGISTRY["stream_running_turns"].run(spark, str(tmp_path)).collect()) == want
+    # a group's rows in several Arrow batches
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        one = streams.running_turns(streams.event_stream(spark, f"{tmp_path}/events.parquet", 100))
+        assert sorted((r.user_id, r.event_type, r.run) for r in streams.drained(one, "update").collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -44,17 +44,29 @@ def deduplicated(df: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
 
 
 def running_turns(df: DataFrame) -> DataFrame:
-    """ST6: per user the length of the current run of one event type, in keyed state."""
+    """ST6: per user the length of the current run of one event type, in keyed state.
+
+    Rows of a user may come in any order, over several batches or several Arrow
+    batches of one: the run is what follows, by (ts, event_id), the latest event
+    of another type than the latest event has. The state holds that event's place
+    and the run's own, all that a later row can still change; rows without time
+    come first.
+    """
 
     def update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        kind, n = state.get if state.exists else (None, 0)
-        for rows in batches:
-            for x in rows.sort_values("ts").event_type:
-                kind, n = (kind, n + 1) if x == kind else (x, 1)
-        state.update((kind, n))
+        kind, times, ids = state.get if state.exists else (None, [], [])
+        # the first place held is that of the event before the run, if there is one: of another type than any run has
+        held = [(t, i, None if n == 0 else kind) for n, (t, i) in enumerate(zip(times, ids))]
+        rows = [r for p in batches for r in zip(p.ts.to_numpy("datetime64[us]").astype("int64").tolist(), p.event_id.tolist(), p.event_type)]
+        places = sorted([*held, *rows], key=lambda r: r[:2])
+        kind = places[-1][2]
+        n = next((n for n, r in enumerate(reversed(places)) if r[2] != kind), len(places))
+        kept = places[-n - 1 :] if n < len(places) else [(-(1 << 63), -(1 << 63), None), *places]
+        state.update((kind, [r[0] for r in kept], [r[1] for r in kept]))
         yield pd.DataFrame({"user_id": [key[0]], "event_type": [kind], "run": [n]})
 
-    return df.groupBy("user_id").applyInPandasWithState(update, "user_id long, event_type string, run long", "kind string, n long", "update", "NoTimeout")
+    rows = df.select("user_id", "event_type", "event_id", "ts")
+    return rows.groupBy("user_id").applyInPandasWithState(update, "user_id long, event_type string, run long", "kind string, times array<long>, ids array<long>", "update", "NoTimeout")
 
 
 def drained(df: DataFrame, mode: str = "append", keep: str | None = None, notify: Callable[[str, dict], None] | None = None) -> DataFrame:
