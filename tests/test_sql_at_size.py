@@ -76,3 +76,16 @@ def test_running_turns_of_rows_that_come_late(spark, tmp_path):
         assert sorted((r.user_id, r.event_type, r.run) for r in streams.drained(one, "update").collect()) == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_thresholds_of_a_long_scene_need_no_pair_of_all_events(spark):
+    import time
+
+    from tidemark.operators import decoding
+
+    frames = spark.range(40_000).selectExpr("0 scene", "'a' label", "id frame", "if(id % 2 = 0, 0.9, 0.1) p")
+    gold = spark.range(20_000).selectExpr("0 scene", "'a' label", "cast(2 * id as double) onset", "cast(2 * id + 1 as double) off")
+    began = time.time()
+    (r,) = decoding.class_thresholds(frames, gold, [0.5, 0.95], 0.3)[0].collect()
+    assert (r.threshold, r.tp, r.fp, r.fn) == (0.5, 20_000, 0, 0)
+    assert time.time() - began < 90  # all pairs are 400 million
