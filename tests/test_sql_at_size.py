@@ -89,3 +89,22 @@ def test_thresholds_of_a_long_scene_need_no_pair_of_all_events(spark):
     (r,) = decoding.class_thresholds(frames, gold, [0.5, 0.95], 0.3)[0].collect()
     assert (r.threshold, r.tp, r.fp, r.fn) == (0.5, 20_000, 0, 0)
     assert time.time() - began < 90  # all pairs are 400 million
+
+
+def test_ranks_of_copies_zero_vectors_and_unknown_labels_equal_sql(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from tidemark.operators import similarity
+
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=(150, 8)).astype("float32")
+    one[7] = 0
+    rows = [(k * 1000 + i * 5, None if i % 11 == 0 else int(i % 4), one[i].tolist()) for k in range(4) for i in range(150)]
+    rows += [(9900, 77, one[3].tolist())]  # its label is nowhere else
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(REGISTRY["recall_at_k"].sql).fetchall())
+    for n in (similarity.ROWS, 16):  # many blocks, too
+        monkeypatch.setattr(similarity, "ROWS", n)
+        assert sorted(tuple(r) for r in REGISTRY["recall_at_k"].run(spark, str(tmp_path)).collect()) == want
