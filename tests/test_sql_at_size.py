@@ -108,3 +108,14 @@ def test_ranks_of_copies_zero_vectors_and_unknown_labels_equal_sql(spark, tmp_pa
     for n in (similarity.ROWS, 16):  # many blocks, too
         monkeypatch.setattr(similarity, "ROWS", n)
         assert sorted(tuple(r) for r in REGISTRY["recall_at_k"].run(spark, str(tmp_path)).collect()) == want
+
+
+def test_strongest_segments_of_a_long_recording(spark):
+    import time
+
+    from tidemark.operators import decoding
+
+    frames = spark.range(20_000).selectExpr("0 scene", "id frame", "case when id between 5000 and 5999 then 0.9 when id between 9000 and 9999 then 0.8 else 0.1 end p")
+    began = time.time()
+    assert sorted(tuple(r)[1:] for r in decoding.strongest(frames, ["scene"], 3, 0.6, 0.2).collect()) == [(5000, 6000, 0.9), (9000, 10000, 0.8)]
+    assert time.time() - began < 60  # a step that works out its ends for every frame takes hours

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import let
+
 KINDS = ("threshold", "hysteresis", "valley", "peak")
 #: Valley cuts: peaks count from this share of their run's highest frame.
 HIGH_PEAK = 0.7
@@ -110,19 +112,27 @@ def strongest(frames: DataFrame, keys: list[str], most: int, share: float, least
         below = F.array_position(F.transform(side, lambda x: x < cut), F.lit(True))
         return F.when(below == 0, F.size(side)).otherwise(below - 1).cast("bigint")
 
+    def grown(x: Column) -> Column:
+        """The state (left, found, peak, start, stop) with its segment taken."""
+        overlap = lambda o: F.greatest(F.lit(0), F.least(o["stop"], x["stop"]) - F.greatest(o["start"], x["start"])) / (F.greatest(o["stop"], x["stop"]) - F.least(o["start"], x["start"]))
+        new = F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["peak"].alias("peak"))
+        more = F.when(F.forall(x["found"], lambda o: overlap(o) < most_iou), F.array_append(x["found"], new)).otherwise(x["found"])
+        rest = F.transform(x["left"], lambda v, i: F.when((i >= x["start"]) & (i < x["stop"]), F.lit(-1.0)).otherwise(v))
+        return F.struct(rest.alias("left"), more.alias("found"))
+
+    def placed(x: Column) -> Column:
+        """The state (left, found, peak, at, from one on, and cut) with the segment's ends."""
+        start = x["at"] - 1 - reach(F.reverse(F.slice(x["left"], F.lit(1), (x["at"] - 1).cast("int"))), x["cut"])
+        stop = x["at"] + reach(F.slice(x["left"], (x["at"] + 1).cast("int"), F.size(x["left"])), x["cut"])
+        return F.struct(x["left"].alias("left"), x["found"].alias("found"), x["peak"].alias("peak"), start.alias("start"), stop.alias("stop"))
+
     def step(s: Column, _: Column) -> Column:
-        left, found = s["left"], s["found"]
-        peak = F.array_max(left)
-        at = F.array_position(left, peak)  # from one on
-        cut = F.greatest(F.lit(least), share * peak)
-        start = at - 1 - reach(F.reverse(F.slice(left, F.lit(1), (at - 1).cast("int"))), cut)
-        stop = at + reach(F.slice(left, (at + 1).cast("int"), F.size(left)), cut)
-        overlap = lambda o: F.greatest(F.lit(0), F.least(o["stop"], stop) - F.greatest(o["start"], start)) / (F.greatest(o["stop"], stop) - F.least(o["start"], start))
-        new = F.struct(start.alias("start"), stop.alias("stop"), peak.alias("peak"))
-        grown = F.when(F.forall(found, lambda o: overlap(o) < most_iou), F.array_append(found, new)).otherwise(found)
-        rest = F.transform(left, lambda x, i: F.when((i >= start) & (i < stop), F.lit(-1.0)).otherwise(x))
-        go_on = (F.size(found) < most) & (peak >= least)
-        return F.when(go_on, F.struct(rest.alias("left"), grown.alias("found"))).otherwise(s).cast(state)
+        # each part is bound once: inside a lambda it would be worked out for every frame
+        top = F.struct(s["left"].alias("left"), s["found"].alias("found"), F.array_max(s["left"]).alias("peak"))
+        at = lambda x: F.struct(x["left"].alias("left"), x["found"].alias("found"), x["peak"].alias("peak"), F.array_position(x["left"], x["peak"]).alias("at"), F.greatest(F.lit(least), share * x["peak"]).alias("cut"))
+        taken = lambda x: let(at(x), lambda y: let(placed(y), grown))
+        go_on = lambda x: (F.size(x["found"]) < most) & (x["peak"] >= least)
+        return let(top, lambda x: F.when(go_on(x), taken(x).cast(state)).otherwise(F.struct(x["left"].alias("left"), x["found"].alias("found")).cast(state))).cast(state)
 
     rows = frames.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", F.col("p").cast("double").alias("p")))), lambda x: x["p"]).alias("_p"))
     start = F.struct(F.col("_p").alias("left"), F.array().alias("found")).cast(state)
