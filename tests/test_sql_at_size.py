@@ -119,3 +119,18 @@ def test_strongest_segments_of_a_long_recording(spark):
     began = time.time()
     assert sorted(tuple(r)[1:] for r in decoding.strongest(frames, ["scene"], 3, 0.6, 0.2).collect()) == [(5000, 6000, 0.9), (9000, 10000, 0.8)]
     assert time.time() - began < 60  # a step that works out its ends for every frame takes hours
+
+
+def test_vote_over_many_turns():
+    import random
+    import time
+
+    from tidemark.operators import matching as M
+
+    draw = random.Random(2)
+    words = [f"w{i}" for i in range(100)]
+    turns = [[draw.choice(words) if draw.random() < 0.1 else w for w in words] for _ in range(150)]
+    began = time.time()
+    assert M.vote(turns) == words
+    assert time.time() - began < 8  # 22,500 pairs of 10,000 cells each take longer, cell by cell
+    assert M.word_distance(words, turns[0]) == M.aligned_words(words, turns[0])[1] == sum(a != b for a, b in zip(words, turns[0]))
